@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from .shared import LAST_ID, discard, id_key, materialize, partitions
 NUM, DEN, SHINGLE = 75, 100, 5
 BATCH_SHINGLES, BATCH_TEXTS, HOT = 1_000_000, 60_000, 16
 #: Rounds of further pivots before lists that still span components are compared pair by pair.
-PIVOT_ROUNDS, PAIRS_A_ENTRY = 6, 4
+PIVOT_ROUNDS, PAIRS_A_ENTRY = 4, 1000
 LOW, ALL = np.uint64((1 << 48) - 1), np.uint64(0xFFFF)
 
 
@@ -208,21 +209,24 @@ def states(returned: DataFrame, slices: int) -> DataFrame:
 
 
 def short_lists(reps: DataFrame) -> DataFrame:
-    """(token, k1, n, weight): the inverted lists to merge."""
+    """(token, k1, n, at, weight): the inverted lists to merge; at: the token's place among all n, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lead = b.column("lead").to_numpy(zero_copy_only=False)
             flat = [np.frombuffer(x, np.int64)[:n] for x, n in zip(b.column("tokens").to_pylist(), lead, strict=True)]
             row = np.repeat(np.arange(len(lead)), lead)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*flat, np.zeros(0, np.int64)])), *(b.column(c).take(pa.array(row)) for c in ("k1", "n", "weight"))], ["token", "k1", "n", "weight"])
+            size, shared = b.column("n").to_numpy(zero_copy_only=False), pc.binary_length(b.column("tokens")).to_numpy(zero_copy_only=False) // 8
+            at = (size - shared)[row] + np.arange(len(row)) - (np.cumsum(lead) - lead)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*flat, np.zeros(0, np.int64)])), *(b.column(c).take(pa.array(row)) for c in ("k1", "n")), pa.array(at), b.column("weight").take(pa.array(row))], ["token", "k1", "n", "at", "weight"])
 
-    return reps.select("k1", "n", "weight", "lead", "tokens").mapInArrow(run, "token long, k1 long, n long, weight double")
+    return reps.select("k1", "n", "weight", "lead", "tokens").mapInArrow(run, "token long, k1 long, n long, at long, weight double")
 
 
-def fits(a: str, b: str):
-    """Sizes that allow the similarity."""
-    return (F.least(a, b) * DEN) >= (F.greatest(a, b) * NUM)
+def fits(n: str, at: str, m: str, to: str):
+    """What can still be in common from these places on reaches the similarity. Where it is so at no common token, it is not so at
+    the first one, and the two are no link; it also keeps sizes apart that cannot link."""
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) * (NUM + DEN) >= (F.col(n) + F.col(m)) * NUM
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,14 +261,14 @@ def links(state: DataFrame) -> DataFrame:
     active = state.filter("tokens is not null")
     reps = materialize(active.filter("sig is null").unionByName(active.filter("sig is not null").join(first, "k1", "left_semi")), "sets")
     lists = materialize(short_lists(reps), "short-lists")
-    best = F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n")).alias("p")
-    pivots = materialize(lists.groupBy("token").agg(best, F.count("*").alias("size")).filter("size > 1").select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot")), "pivots")
-    pairs = lists.join(pivots, "token").filter((F.col("k1") != F.col("pivot")) & fits("n", "n_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
+    best = F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at")).alias("p")
+    pivots = materialize(lists.groupBy("token").agg(best, F.count("*").alias("size")).filter("size > 1").select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot")), "pivots")
+    pairs = lists.join(pivots, "token").filter((F.col("k1") != F.col("pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
     edges = materialize(edges.union(linked(pairs, reps)), "links")
     open_ = lists.join(pivots.select("token"), "token", "left_semi")
     for turn in range(PIVOT_ROUNDS + 1):
         labels = components(edges)
-        members = open_.join(labels, open_["k1"] == labels["node"], "left").select("token", "k1", "n", "weight", F.coalesce("label", "k1").alias("label"))
+        members = open_.join(labels, open_["k1"] == labels["node"], "left").select("token", "k1", "n", "at", "weight", F.coalesce("label", "k1").alias("label"))
         open_lists = members.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi and size > 2")
         before = members
         members = materialize(members.join(materialize(open_lists.select("token"), "open"), "token"), "open-lists")
@@ -273,16 +277,16 @@ def links(state: DataFrame) -> DataFrame:
         if not entries:
             return edges
         if turn == PIVOT_ROUNDS or cross <= PAIRS_A_ENTRY * entries:
-            two = members.select("token", F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-            pairs = members.join(two, "token").filter((F.col("k1") < F.col("b")) & (F.col("label") != F.col("l_b")) & fits("n", "n_b")).select(F.col("k1").alias("a"), "b").distinct()
+            two = members.select("token", F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("l_b"))
+            pairs = members.join(two, "token").filter((F.col("k1") < F.col("b")) & (F.col("label") != F.col("l_b")) & fits("n", "at", "n_b", "at_b")).select(F.col("k1").alias("a"), "b").distinct()
             return materialize(edges.union(linked(pairs, reps)), "links")
         # the next pivot: the most common member that is no pivot yet; a list without one left has only compared pairs
         done = pivots.select("token", F.col("pivot").alias("k1"))
-        nxt = materialize(members.join(done, ["token", "k1"], "left_anti").groupBy("token").agg(F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "label")).alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.label").alias("l_pivot")), "pivots")
-        pairs = members.join(nxt, "token").filter((F.col("label") != F.col("l_pivot")) & fits("n", "n_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
+        nxt = materialize(members.join(done, ["token", "k1"], "left_anti").groupBy("token").agg(F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at", "label")).alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot"), F.col("p.label").alias("l_pivot")), "pivots")
+        pairs = members.join(nxt, "token").filter((F.col("label") != F.col("l_pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
         edges = materialize(edges.union(linked(pairs, reps)), "links")
         pivots = pivots.select("token", "pivot").union(nxt.select("token", "pivot"))
-        open_ = members.select("token", "k1", "n", "weight")
+        open_ = members.select("token", "k1", "n", "at", "weight")
     return edges
 
 
