@@ -109,7 +109,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Rows of documents with shared anchors: (k1, k2, fps, pos, segs); segs: the text that the windows cover."""
+    """Rows of documents with shared anchors: (k1, tag, fps, pos, segs); segs: the text that the windows cover. Places start at tag."""
     kind = W.byte_class(False, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,8 @@ def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 fp = W.grams(h, window)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
                 doc = doc[at] if len(at) else at
                 counts = np.bincount(doc, minlength=hi - lo)
-                pos = at - w.first[:-1][doc] if len(at) else at
+                tag = b.column("tag").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                pos = at - w.first[:-1][doc] + tag[doc] if len(at) else at
                 segs: list[list[tuple[int, str]]] = [[] for _ in range(hi - lo)]
                 if len(at):
                     cut = np.flatnonzero(np.concatenate([[True], (at[1:] > at[:-1] + window) | (doc[1:] != doc[:-1])]))
@@ -137,101 +138,109 @@ def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 some = counts > 0
                 own = b.slice(lo, hi - lo).filter(pa.array(some))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("k1"), own.column("k2"), W.lists(fp, counts[some], pa.int64()), W.lists(pos.astype(np.int32), counts[some], pa.int32()), pa.array([s for s in segs if s], pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())])))],
-                    ["k1", "k2", "fps", "pos", "segs"],
+                    [own.column("k1"), own.column("tag"), W.lists(fp, counts[some], pa.int64()), W.lists(pos, counts[some], pa.int64()), pa.array([s for s in segs if s], pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string())])))],
+                    ["k1", "tag", "fps", "pos", "segs"],
                 )
 
-    return docs.select("k1", "k2", "text", "anchors").mapInArrow(run, "k1 long, k2 long, fps array<long>, pos array<int>, segs array<struct<start: int, text: string>>")
+    return docs.select("k1", "tag", "text", "anchors").mapInArrow(run, "k1 long, tag long, fps array<long>, pos array<long>, segs array<struct<start: long, text: string>>")
 
 
 def runs(matched: DataFrame) -> DataFrame:
-    """Windows with their sources, gathered by document, as spans: (k1, k2, start, n, s1, s2, s_start)."""
+    """Windows with their sources, gathered by document, as spans: (k1, start, n, s1, s_start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "start", "n", "s1", "s2", "s_start"]
+        names = ["k1", "start", "n", "s1", "s_start"]
         for b in batches:
             hits = b.column("hits")
             size = hits.value_lengths().to_numpy(zero_copy_only=False)
             flat = hits.flatten()
             row = np.repeat(np.arange(len(size)), size)
-            pos, s1, s2, s_pos = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            pos, s1, s_pos = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             order = np.lexsort((pos, row))
-            row, pos, s1, s2, s_pos = row[order], pos[order], s1[order], s2[order], s_pos[order]
+            row, pos, s1, s_pos = row[order], pos[order], s1[order], s_pos[order]
             once = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])])
-            row, pos, s1, s2, s_pos = row[once], pos[once], s1[once], s2[once], s_pos[once]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (s_pos[1:] != s_pos[:-1] + 1)])
+            row, pos, s1, s_pos = row[once], pos[once], s1[once], s_pos[once]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (s1[1:] != s1[:-1]) | (s_pos[1:] != s_pos[:-1] + 1)])
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(row)))
             owner = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([b.column("k1").take(owner), b.column("k2").take(owner), *(pa.array(x) for x in (pos[at], n, s1[at], s2[at], s_pos[at]))], names)
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(owner), *(pa.array(x) for x in (pos[at], n, s1[at], s_pos[at]))], names)
 
-    return matched.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "s1", "s2", "s_pos")).alias("hits")).mapInArrow(run, "k1 long, k2 long, start long, n long, s1 long, s2 long, s_start long")
+    return matched.groupBy("k1").agg(F.collect_list(F.struct("pos", "s1", "s_pos")).alias("hits")).mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long")
 
 
 def spans(found: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of every span that is wanted: those of documents (with their source) and those of sources (s1 null)."""
+    names = ["k1", "start", "n", "s1", "s_start", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for k1, k2, segs, want in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "segs", "want")), strict=True):
+            for k1, segs, want in zip(*(b.column(c).to_pylist() for c in ("k1", "segs", "want")), strict=True):
                 pieces = [(s["start"], s["text"].encode().split()) for s in segs]
                 for x in want:
                     start, size = x["start"], x["n"] + window - 1
-                    own = next(w[start - s : start - s + size] for s, w in pieces if s <= start and start + size <= s + len(w))
-                    out.append((k1, k2, start, x["n"], x["s1"], x["s2"], x["s_start"], b" ".join(own).decode()))
+                    own = next((w[start - s : start - s + size] for s, w in pieces if s <= start and start + size <= s + len(w)), None)
+                    if own is not None:  # else it stands in another row of the same id
+                        out.append((k1, start, x["n"], x["s1"], x["s_start"], b" ".join(own).decode()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 7 + [pa.string()], strict=True)], ["k1", "k2", "start", "n", "s1", "s2", "s_start", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.string()], strict=True)], names)
 
-    one = wanted.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "s1", "s2", "s_start")).alias("want"))
-    return found.select("k1", "k2", "segs").dropDuplicates(["k1", "k2"]).join(one, ["k1", "k2"]).mapInArrow(run, "k1 long, k2 long, start long, n long, s1 long, s2 long, s_start long, words string")
+    one = wanted.groupBy("k1").agg(F.collect_set(F.struct("start", "n", "s1", "s_start")).alias("want"))
+    return found.select("k1", "segs").join(one, "k1").mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long, words string").dropDuplicates(names[:-1])
 
 
 def statistics(pairs: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, a, b): words that a matching statistic of window or more covers; the automaton of a source is made once for rows in a row."""
+    """(k1, a, b): words that a matching statistic of window or more covers; the automaton of a source is made once for rows in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = automaton = None
         for b in batches:
             out = []
-            for k1, k2, start, mine, ref in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "start", "words", "ref")), strict=True):
+            for k1, start, mine, ref in zip(*(b.column(c).to_pylist() for c in ("k1", "start", "words", "ref")), strict=True):
                 if ref != of:
                     of, automaton = ref, Automaton(ref.encode().split())
-                out += [(k1, k2, start + x, start + y) for x, y in automaton.matches(mine.encode().split(), window)]
+                out += [(k1, start + x, start + y) for x, y in automaton.matches(mine.encode().split(), window)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k1", "k2", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k1", "a", "b"])
 
-    return pairs.select("k1", "k2", "start", "words", "ref").mapInArrow(run, "k1 long, k2 long, a long, b long")
+    return pairs.select("k1", "start", "words", "ref").mapInArrow(run, "k1 long, a long, b long")
+
+
+def tag(k2: str = "k2"):
+    """Where the places of a row's words start: rows that share an id have different texts, so other places."""
+    return F.shiftleft(F.col(k2).bitwiseAND(F.lit(2**30 - 1)), 32)
 
 
 def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(k1, k2, gone): the word spans that go, by document."""
+    """(k1, gone): the word spans that go, by id; places start at the row's tag."""
     docs = documents.select(id_key(), text_key(), F.col("text").cast("string").alias("text"))
     rows = materialize(anchors(docs, window, anchor), "anchors")
     many = materialize(rows.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("anchor"), "shared-anchors")
     known = rows.join(many, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
-    found = materialize(candidates(docs.join(known, "k1"), window, anchor), "windows")
+    found = materialize(candidates(docs.select("k1", tag().alias("tag"), "text").join(known, "k1"), window, anchor), "windows")
     discard(rows, many)
-    w = found.select("k1", "k2", F.explode(F.arrays_zip("fps", "pos")).alias("w")).select("k1", "k2", F.col("w.fps").alias("fp"), F.col("w.pos").alias("pos"))
-    source = w.groupBy("fp").agg(F.min(F.struct("k1", "k2", "pos")).alias("s"), F.max("k1").alias("hi")).filter("s.k1 < hi")
-    source = materialize(source.select("fp", F.col("s.k1").alias("s1"), F.col("s.k2").alias("s2"), F.col("s.pos").alias("s_pos")), "sources")
+    w = found.select("k1", F.explode(F.arrays_zip("fps", "pos")).alias("w")).select("k1", F.col("w.fps").alias("fp"), F.col("w.pos").alias("pos"))
+    source = w.groupBy("fp").agg(F.min("k1").alias("s1"), F.max("k1").alias("hi"), F.min_by("pos", "k1").alias("s_pos")).filter("s1 < hi")
+    source = materialize(source.select("fp", "s1", "s_pos"), "sources")
     span = materialize(runs(w.join(source, "fp").filter("k1 > s1")), "spans")
-    refs = span.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("s_start").alias("start"), "n").distinct()
+    discard(source)
+    refs = span.select(F.col("s1").alias("k1"), F.col("s_start").alias("start"), "n").distinct()
     none = F.lit(None).cast("long")
-    wanted = span.unionByName(refs.select("k1", "k2", "start", "n", none.alias("s1"), none.alias("s2"), none.alias("s_start")))
+    wanted = span.unionByName(refs.select("k1", "start", "n", none.alias("s1"), none.alias("s_start")))
     text = materialize(spans(found, wanted, window), "span-words")
-    discard(source)
-    ref = text.filter("s1 is null").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("start").alias("s_start"), "n", F.col("words").alias("ref"))
-    pairs = text.filter("s1 is not null").join(ref, ["s1", "s2", "s_start", "n"])
-    gone = materialize(statistics(pairs, window).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone")), "removed")
+    ref = text.filter("s1 is null").select(F.col("k1").alias("s1"), F.col("start").alias("s_start"), "n", F.col("words").alias("ref"))
+    pairs = text.filter("s1 is not null").join(ref, ["s1", "s_start", "n"])
+    gone = materialize(statistics(pairs, window).groupBy("k1").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone")), "removed")
     discard(found, span, text)
     return gone
 
 
 def removed(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The documents with n_words, n_removed and kept, the words left joined by one space."""
-    gone = repeats(documents, window, anchor).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("gone").alias("__gone"))
-    keyed = documents.withColumns({"__a": id_key(), "__b": text_key()})
+    gone = repeats(documents, window, anchor).select(F.col("k1").alias("__k1"), F.col("gone").alias("__gone"))
+    keyed = documents.withColumns({"__a": id_key(), "__k2": text_key()})
+    own = F.expr("transform(filter(__gone, x -> x.a >= __tag and x.a < __tag + 4294967296), x -> struct(x.a - __tag as a, x.b - __tag as b))")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(text, spans):  # noqa: ANN001, ANN202
@@ -251,8 +260,8 @@ def removed(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
             out.append((n, n - len(left), b" ".join(left).decode()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    joined = keyed.join(gone, [keyed["__a"] == gone["__k1"], keyed["__b"] == gone["__k2"]], "left")
-    return joined.withColumn("__cut", cut(F.coalesce(F.col("text"), F.lit("")), "__gone"))
+    joined = keyed.join(gone, keyed["__a"] == gone["__k1"], "left").withColumn("__tag", tag("__k2"))
+    return joined.withColumn("__cut", cut(F.coalesce(F.col("text"), F.lit("")), own))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
