@@ -1,16 +1,23 @@
 """Queries of the training-data operators and their SQL, where SQL can express them."""
 
-from . import decontamination, jaccard, pieces, quality, substrings
+from . import archive, chat, decontamination, extraction, jaccard, licenses, media, pieces, quality, substrings
 
 QUERIES = {
+    "op1_chat_rotation": chat.query,
     "op2_substring_dedup": substrings.query,
     "op3_decontamination": decontamination.query,
     "op4_sentencepiece": pieces.query,
+    "op5_transport_streams": media.query,
     "op6_jaccard_join": jaccard.query,
+    "op7_license_scan": licenses.query,
+    "op8_html_extraction": extraction.query,
+    "op9_warc": archive.query,
     "op10_quality": quality.query,
 }
 SQL = {
+    "op1_chat_rotation": chat.SQL,
     "op2_substring_dedup": substrings.SQL,
     "op3_decontamination": decontamination.SQL,
     "op6_jaccard_join": jaccard.SQL,
+    "op9_warc": archive.SQL,
 }

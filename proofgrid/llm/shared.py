@@ -21,11 +21,11 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{folder(spark)}/proofgrid/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.proofgrid_path = path
     return out
