@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,19 +134,19 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """The documents with a column score, 0 to 1."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, bias = shared.value
-        for series in text:
-            z = np.zeros(len(series))
-            for lo, hi, data, offsets in W.chunks(pa.array(series, pa.large_string())):
+        for column in text:
+            z = np.zeros(len(column))
+            for lo, hi, data, offsets in W.chunks(column):
                 bucket, per_word, inverse, again, w = features(data, offsets)
                 each = np.add.reduceat(weights[bucket], np.cumsum(per_word) - per_word) if len(bucket) else np.zeros(0)
                 doc = w.text_of_word()
                 total = np.bincount(doc, weights=each[inverse], minlength=hi - lo) + again * weights[0]
                 n = np.bincount(doc, weights=per_word[inverse], minlength=hi - lo) + again
                 z[lo:hi] = total / np.maximum(n, 1)
-            yield pd.Series(1 / (1 + np.exp(-(z + bias))))
+            yield pa.array(1 / (1 + np.exp(-(z + bias))))
 
     return documents.withColumn("score", scored(F.coalesce(F.col("text"), F.lit(""))))
 

@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+#: Arrays of 8 bytes for each byte of a chunk stand in memory several times over; a longer text is a chunk of its own.
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
