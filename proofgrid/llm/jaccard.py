@@ -109,16 +109,19 @@ def packed(df: DataFrame, slices: int, k: int) -> DataFrame:
                     count += len(value[-1])
         if docs:
             yield close(task << 32 | n, ids, text, value)
+        W.release()
 
     return df.mapInArrow(run, "slice int, uid long, kind int, blob binary, extra binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of a partition sorted by key, one group at a time."""
+    """Rows of a partition sorted by key, one group at a time; binary values are views of their batch, not copies."""
     now, rows = None, []
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
-            value = row[b.schema.get_field_index(key)]
+        at = b.schema.get_field_index(key)
+        columns = [map(pa.BinaryScalar.as_buffer, c) if pa.types.is_binary(c.type) else c.to_pylist() for c in b.columns]
+        for row in zip(*columns, strict=True):
+            value = row[at]
             if rows and value != now:
                 yield now, rows
                 rows = []
@@ -126,6 +129,7 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
             rows.append(row)
     if rows:
         yield now, rows
+    W.release()
 
 
 def shared_shingles(packs: DataFrame, slices: int) -> DataFrame:
@@ -134,7 +138,7 @@ def shared_shingles(packs: DataFrame, slices: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("slice", pa.int32()), ("uid", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary()), ("extra", pa.binary())])
         for s, rows in by_group(batches, "slice"):
-            out = [r for r in rows if r[2] == 0]
+            out = [(*r[:3], r[3].to_pybytes(), r[4].to_pybytes()) for r in rows if r[2] == 0]
             data = [(r[1], np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.int64)) for r in rows if r[2] == 1]
             if data:
                 token = np.concatenate([x[1] for x in data]) >> np.uint64(16)
@@ -214,7 +218,7 @@ def short_lists(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lead = b.column("lead").to_numpy(zero_copy_only=False)
-            flat = [np.frombuffer(x, np.int64)[:n] for x, n in zip(b.column("tokens").to_pylist(), lead, strict=True)]
+            flat = [np.frombuffer(x.as_buffer(), np.int64)[:n] for x, n in zip(b.column("tokens"), lead, strict=True)]
             row = np.repeat(np.arange(len(lead)), lead)
             size, shared = b.column("n").to_numpy(zero_copy_only=False), pc.binary_length(b.column("tokens")).to_numpy(zero_copy_only=False) // 8
             at = (size - shared)[row] + np.arange(len(row)) - (np.cumsum(lead) - lead)[row]

@@ -248,6 +248,7 @@ def tokenized(documents: DataFrame, path: str) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(counts * 4)]).astype(np.int32)
                 raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), raw, decode(m, ids, counts).cast(pa.string())], ["doc_id", "ids", "decoded"])
+        W.release()
 
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 

@@ -147,6 +147,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 n = np.bincount(doc, weights=per_word[inverse], minlength=hi - lo) + again
                 z[lo:hi] = total / np.maximum(n, 1)
             yield pa.array(1 / (1 + np.exp(-(z + bias))))
+        W.release()
 
     return documents.withColumn("score", scored(F.coalesce(F.col("text"), F.lit(""))))
 
