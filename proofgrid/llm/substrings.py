@@ -6,8 +6,9 @@ corpus itself, so its automata cannot be broadcast whole; each is sent to the do
 1. Every document keeps the minimum 8-gram hash of each window (an anchor); equal windows have equal anchors. Anchors of
    one document only are settled there.
 2. Windows with a shared anchor are fingerprinted; each fingerprint finds the smallest document that has it.
-3. Consecutive windows with the same source become one span, joined with the source's words. A suffix automaton of the
-   source span reads the document's span; its matching statistics decide, and every match of 50 words or more goes.
+3. Consecutive windows whose places in one source join up become one span, however often the text repeats itself, joined
+   with the source's words. A suffix automaton of the source span reads the document's span; its matching statistics
+   decide, and every match of 50 words or more goes.
 
 Defined cases: a null text has no words; a null id sorts after all others; rows with equal id never remove each other's
 words; each input row gives one result row, also repeated ones; other columns stay.
@@ -109,7 +110,8 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Rows of documents with shared anchors: (k1, tag, fps, pos, segs); segs: the text that the windows cover. Places start at tag."""
+    """Rows of documents with shared anchors: (k1, tag, fps, pos, first, segs); first: no earlier window of the row is
+    equal; segs: the text that the windows cover. Places start at tag."""
     kind = W.byte_class(False, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,6 +130,10 @@ def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 fp = W.grams(h, window)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
                 doc = doc[at] if len(at) else at
                 counts = np.bincount(doc, minlength=hi - lo)
+                order = np.lexsort((fp, doc))
+                new = np.concatenate([np.ones(min(1, len(fp)), bool), (fp[order][1:] != fp[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+                first = np.zeros(len(fp), bool)
+                first[order[new]] = True
                 tag = b.column("tag").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 pos = at - w.first[:-1][doc] + tag[doc] if len(at) else at
                 segs: list[list[tuple[int, str]]] = [[] for _ in range(hi - lo)]
@@ -138,18 +144,19 @@ def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 some = counts > 0
                 own = b.slice(lo, hi - lo).filter(pa.array(some))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("k1"), own.column("tag"), W.lists(fp, counts[some], pa.int64()), W.lists(pos, counts[some], pa.int64()), pa.array([s for s in segs if s], pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string())])))],
-                    ["k1", "tag", "fps", "pos", "segs"],
+                    [own.column("k1"), own.column("tag"), W.lists(fp, counts[some], pa.int64()), W.lists(pos, counts[some], pa.int64()), W.lists(first, counts[some], pa.bool_()), pa.array([s for s in segs if s], pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string())])))],
+                    ["k1", "tag", "fps", "pos", "first", "segs"],
                 )
 
-    return docs.select("k1", "tag", "text", "anchors").mapInArrow(run, "k1 long, tag long, fps array<long>, pos array<long>, segs array<struct<start: long, text: string>>")
+    return docs.select("k1", "tag", "text", "anchors").mapInArrow(run, "k1 long, tag long, fps array<long>, pos array<long>, first array<boolean>, segs array<struct<start: long, text: string>>")
 
 
 def runs(matched: DataFrame) -> DataFrame:
-    """Windows with their sources, gathered by document, as spans: (k1, start, n, s1, s_start)."""
+    """Windows with their sources, gathered by document, as spans: (k1, start, n, s1, s_start, m), n windows of the document that are
+    among m windows of the source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "start", "n", "s1", "s_start"]
+        names = ["k1", "start", "n", "s1", "s_start", "m"]
         for b in batches:
             hits = b.column("hits")
             size = hits.value_lengths().to_numpy(zero_copy_only=False)
@@ -163,15 +170,24 @@ def runs(matched: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (s1[1:] != s1[:-1]) | (s_pos[1:] != s_pos[:-1] + 1)])
             at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(row)))
-            owner = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([b.column("k1").take(owner), *(pa.array(x) for x in (pos[at], n, s1[at], s_pos[at]))], names)
+            out: list[list[int]] = []
+            for r, a, size, s, low in zip(*(x.tolist() for x in (row[at], pos[at], n, s1[at], s_pos[at])), strict=True):
+                last = out[-1] if out else None
+                if last and last[0] == r and last[3] == s and last[1] + last[2] == a and low <= last[4] + last[5] and last[4] <= low + size:
+                    top = max(last[4] + last[5], low + size)
+                    last[2], last[4] = last[2] + size, min(last[4], low)
+                    last[5] = top - last[4]
+                else:
+                    out.append([r, a, size, s, low, size])
+            columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)]
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(columns[0]), *columns[1:]], names)
 
-    return matched.groupBy("k1").agg(F.collect_list(F.struct("pos", "s1", "s_pos")).alias("hits")).mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long")
+    return matched.groupBy("k1").agg(F.collect_list(F.struct("pos", "s1", "s_pos")).alias("hits")).mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long, m long")
 
 
 def spans(found: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of every span that is wanted: those of documents (with their source) and those of sources (s1 null)."""
-    names = ["k1", "start", "n", "s1", "s_start", "words"]
+    names = ["k1", "start", "n", "s1", "s_start", "m", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,12 +198,12 @@ def spans(found: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     start, size = x["start"], x["n"] + window - 1
                     own = next((w[start - s : start - s + size] for s, w in pieces if s <= start and start + size <= s + len(w)), None)
                     if own is not None:  # else it stands in another row of the same id
-                        out.append((k1, start, x["n"], x["s1"], x["s_start"], b" ".join(own).decode()))
+                        out.append((k1, start, x["n"], x["s1"], x["s_start"], x["m"], b" ".join(own).decode()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.string()], strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.string()], strict=True)], names)
 
-    one = wanted.groupBy("k1").agg(F.collect_set(F.struct("start", "n", "s1", "s_start")).alias("want"))
-    return found.select("k1", "segs").join(one, "k1").mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long, words string").dropDuplicates(names[:-1])
+    one = wanted.groupBy("k1").agg(F.collect_set(F.struct("start", "n", "s1", "s_start", "m")).alias("want"))
+    return found.select("k1", "segs").join(one, "k1").mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long, m long, words string").dropDuplicates(names[:-1])
 
 
 def statistics(pairs: DataFrame, window: int) -> DataFrame:
@@ -220,17 +236,17 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     known = rows.join(many, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
     found = materialize(candidates(docs.select("k1", tag().alias("tag"), "text").join(known, "k1"), window, anchor), "windows")
     discard(rows, many)
-    w = found.select("k1", F.explode(F.arrays_zip("fps", "pos")).alias("w")).select("k1", F.col("w.fps").alias("fp"), F.col("w.pos").alias("pos"))
-    source = w.groupBy("fp").agg(F.min("k1").alias("s1"), F.max("k1").alias("hi"), F.min_by("pos", "k1").alias("s_pos")).filter("s1 < hi")
+    w = found.select("k1", F.explode(F.arrays_zip("fps", "pos", "first")).alias("w")).select("k1", F.col("w.fps").alias("fp"), F.col("w.pos").alias("pos"), F.col("w.first").alias("first"))
+    source = w.filter("first").groupBy("fp").agg(F.min("k1").alias("s1"), F.max("k1").alias("hi"), F.min_by("pos", "k1").alias("s_pos")).filter("s1 < hi")
     source = materialize(source.select("fp", "s1", "s_pos"), "sources")
-    span = materialize(runs(w.join(source, "fp").filter("k1 > s1")), "spans")
+    span = materialize(runs(w.drop("first").join(source, "fp").filter("k1 > s1")), "spans")
     discard(source)
-    refs = span.select(F.col("s1").alias("k1"), F.col("s_start").alias("start"), "n").distinct()
+    refs = span.select(F.col("s1").alias("k1"), F.col("s_start").alias("start"), F.col("m").alias("n")).distinct()
     none = F.lit(None).cast("long")
-    wanted = span.unionByName(refs.select("k1", "start", "n", none.alias("s1"), none.alias("s_start")))
+    wanted = span.unionByName(refs.select("k1", "start", "n", none.alias("s1"), none.alias("s_start"), none.alias("m")))
     text = materialize(spans(found, wanted, window), "span-words")
-    ref = text.filter("s1 is null").select(F.col("k1").alias("s1"), F.col("start").alias("s_start"), "n", F.col("words").alias("ref"))
-    pairs = text.filter("s1 is not null").join(ref, ["s1", "s_start", "n"])
+    ref = text.filter("s1 is null").select(F.col("k1").alias("s1"), F.col("start").alias("s_start"), F.col("n").alias("m"), F.col("words").alias("ref"))
+    pairs = text.filter("s1 is not null").join(ref, ["s1", "s_start", "m"])
     gone = materialize(statistics(pairs, window).groupBy("k1").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone")), "removed")
     discard(found, span, text)
     return gone
