@@ -256,41 +256,53 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
+def more(edges: DataFrame, found: DataFrame) -> DataFrame:
+    out = materialize(edges.union(found), "links")
+    discard(edges)
+    return out
+
+
 def links(state: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all links."""
+    """(a, b): links whose components are those of all links. Reads a written state, and deletes it and each table of its own after its last use."""
     alike = materialize(state.filter("sig is not null").groupBy("sig").agg(F.min("k1").alias("rep")), "equal-sets")
     copies = state.filter("sig is not null").select("k1", "sig").join(alike, "sig").filter("k1 <> rep").select(F.col("rep").alias("a"), F.col("k1").alias("b"))
     edges = materialize(copies, "copies")
     first = alike.select(F.col("rep").alias("k1")).distinct()
     active = state.filter("tokens is not null")
     reps = materialize(active.filter("sig is null").unionByName(active.filter("sig is not null").join(first, "k1", "left_semi")), "sets")
+    discard(state, alike)
     lists = materialize(short_lists(reps), "short-lists")
     best = F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at")).alias("p")
     pivots = materialize(lists.groupBy("token").agg(best, F.count("*").alias("size")).filter("size > 1").select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot")), "pivots")
+    used = [pivots]
     pairs = lists.join(pivots, "token").filter((F.col("k1") != F.col("pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
-    edges = materialize(edges.union(linked(pairs, reps)), "links")
-    open_ = lists.join(pivots.select("token"), "token", "left_semi")
+    edges = more(edges, linked(pairs, reps))
+    open_, members = lists.join(pivots.select("token"), "token", "left_semi"), lists
     for turn in range(PIVOT_ROUNDS + 1):
         labels = components(edges)
-        members = open_.join(labels, open_["k1"] == labels["node"], "left").select("token", "k1", "n", "at", "weight", F.coalesce("label", "k1").alias("label"))
-        open_lists = members.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi and size > 2")
-        before = members
-        members = materialize(members.join(materialize(open_lists.select("token"), "open"), "token"), "open-lists")
+        last, members = members, open_.join(labels, open_["k1"] == labels["node"], "left").select("token", "k1", "n", "at", "weight", F.coalesce("label", "k1").alias("label"))
+        several = members.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi and size > 2")
+        several = materialize(several.select("token"), "open")
+        members = materialize(members.join(several, "token"), "open-lists")
+        discard(last, labels, several)
         size = members.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
         entries, cross = members.count(), size.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0]
         if not entries:
-            return edges
+            break
         if turn == PIVOT_ROUNDS or cross <= PAIRS_A_ENTRY * entries:
             two = members.select("token", F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("l_b"))
             pairs = members.join(two, "token").filter((F.col("k1") < F.col("b")) & (F.col("label") != F.col("l_b")) & fits("n", "at", "n_b", "at_b")).select(F.col("k1").alias("a"), "b").distinct()
-            return materialize(edges.union(linked(pairs, reps)), "links")
+            edges = more(edges, linked(pairs, reps))
+            break
         # the next pivot: the most common member that is no pivot yet; a list without one left has only compared pairs
         done = pivots.select("token", F.col("pivot").alias("k1"))
         nxt = materialize(members.join(done, ["token", "k1"], "left_anti").groupBy("token").agg(F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at", "label")).alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot"), F.col("p.label").alias("l_pivot")), "pivots")
         pairs = members.join(nxt, "token").filter((F.col("label") != F.col("l_pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
-        edges = materialize(edges.union(linked(pairs, reps)), "links")
+        edges = more(edges, linked(pairs, reps))
+        used.append(nxt)
         pivots = pivots.select("token", "pivot").union(nxt.select("token", "pivot"))
         open_ = members.select("token", "k1", "n", "at", "weight")
+    discard(reps, members, *used)
     return edges
 
 
@@ -300,8 +312,11 @@ def groups(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     slices = min(4 * partitions(spark), 32_000)
     packs = packed(documents.select(id_key(), F.col("text").cast("string").alias("text")), slices, shingle)
     state = materialize(states(shared_shingles(packs, slices), slices), "shingle-sets")
-    labels = components(links(state))
-    out = state.select("k1", "n").join(labels, state["k1"] == labels["node"], "left")
+    size = materialize(state.select("k1", "n"), "sizes")
+    edges = links(state)
+    labels = components(edges)
+    discard(edges)
+    out = size.join(labels, size["k1"] == labels["node"], "left")
     return out.select("k1", F.col("n").alias("n_shingles"), F.when(F.col("k1") != LAST_ID, F.coalesce("label", "k1")).alias("component"))
 
 
