@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,23 +259,26 @@ def removed(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     keyed = documents.withColumns({"__a": id_key(), "__k2": text_key()})
     own = F.expr("transform(filter(__gone, x -> x.a >= __tag and x.a < __tag + 4294967296), x -> struct(x.a - __tag as a, x.b - __tag as b))")
 
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(text, spans):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
+    @F.arrow_udf("n_words long, n_removed long, kept string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        sizes, left_over, parts, kept, held = [], [], [pa.array([], pa.string())], [], 0
         for t, s in zip(text, spans, strict=True):
-            words = t.encode().split()
+            words = t.as_py().encode().split()
             n, at, left = len(words), 0, []
-            if s is None or not len(s):
-                out.append((n, 0, b" ".join(words).decode()))
-                continue
-            for x in s:
+            for x in s.as_py() or ():
                 left += words[at : x["a"]]
                 at = max(at, x["b"])
             left += words[at:]
-            out.append((n, n - len(left), b" ".join(left).decode()))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+            sizes.append(n)
+            left_over.append(len(left))
+            kept.append(b" ".join(left))
+            held += len(kept[-1])
+            if held > W.CHUNK_BYTES:
+                parts.append(pa.array(kept, pa.binary()).cast(pa.string()))
+                kept, held = [], 0
+        parts.append(pa.array(kept, pa.binary()).cast(pa.string()))
+        n, m = pa.array(sizes, pa.int64()), pa.array(left_over, pa.int64())
+        return pa.StructArray.from_arrays([n, pc.subtract(n, m), pa.concat_arrays(parts)], ["n_words", "n_removed", "kept"])
 
     joined = keyed.join(gone, keyed["__a"] == gone["__k1"], "left").withColumn("__tag", tag("__k2"))
     return joined.withColumn("__cut", cut(F.coalesce(F.col("text"), F.lit("")), own))
