@@ -103,6 +103,16 @@ def test_substring_edges(spark, edge):
     assert table(q.columns, [tuple(r) for r in q.collect()]) == table(["doc_id", "n_words", "n_removed", "kept_sha256"], brute_op2(edge_rows()))
 
 
+def test_substrings_of_texts_that_repeat_themselves(spark, tmp_path):
+    rng = random.Random(9)
+    beat = lambda n, k, at=0: " ".join(f"b{k}_{(at + i) % k}" for i in range(n))
+    rows = [(i, " ".join(rng.choice([beat(rng.randrange(40, 200), rng.choice([1, 2, 7]), rng.randrange(7)), PASSAGE, f"u{i}"]) for _ in range(4))) for i in range(60)]
+    rows += [(rows[3][0], beat(90, 2)), rows[5]]
+    pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}), tmp_path / "documents.parquet")
+    q = substrings.query(spark, str(tmp_path))
+    assert table(q.columns, [tuple(r) for r in q.collect()]) == table(["doc_id", "n_words", "n_removed", "kept_sha256"], brute_op2(rows))
+
+
 def test_automaton():
     a = substrings.Automaton(b"a b c a b d".split())
     assert a.matches(b"x a b d c a b c".split(), 3) == [(1, 4), (4, 7)] or a.matches(b"x a b d c a b".split(), 3) == [(1, 7)]
