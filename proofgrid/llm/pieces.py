@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .quality import spread
+from .shared import bounded_batches
 
 MARK, SPACE, UNKNOWN, NONE = 0x2581, 0x20, 1 << 20, np.int32(2**31 - 1)
 MODEL_NAME = "piece_bpe_32k.model"
@@ -237,6 +238,7 @@ def repaired(raw: bytes) -> str:
 
 def tokenized(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row; ids are little-endian 32-bit numbers."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(load(path))
     kind = documents.schema["doc_id"].dataType.simpleString()
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import bounded_batches
 
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH, SEED = 1 << 17, 8, (3, 4), 8, 2.0, 32, 7
 #: Fewer rows get more epochs, so that a fit never stops after a few steps.
@@ -132,6 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most: i
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """The documents with a column score, 0 to 1."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

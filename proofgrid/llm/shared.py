@@ -9,6 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAST_ID = 2**63 - 1
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own bound is a number of rows, however long their texts are.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of this session by bytes, where the user has not; a longer text is a batch of its own."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,6 +32,7 @@ def folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{folder(spark)}/proofgrid/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)

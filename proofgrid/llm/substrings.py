@@ -190,9 +190,12 @@ def spans(found: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of every span that is wanted: those of documents (with their source) and those of sources (s1 null)."""
     names = ["k1", "start", "n", "s1", "s_start", "m", "words"]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.string()], strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
+            out, held = [], 0
             for k1, segs, want in zip(*(b.column(c).to_pylist() for c in ("k1", "segs", "want")), strict=True):
                 pieces = [(s["start"], s["text"].encode().split()) for s in segs]
                 for x in want:
@@ -200,8 +203,12 @@ def spans(found: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     own = next((w[start - s : start - s + size] for s, w in pieces if s <= start and start + size <= s + len(w)), None)
                     if own is not None:  # else it stands in another row of the same id
                         out.append((k1, start, x["n"], x["s1"], x["s_start"], x["m"], b" ".join(own).decode()))
+                        held += len(out[-1][-1])
+                        if held > W.CHUNK_BYTES:
+                            yield batch(out)
+                            out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 6 + [pa.string()], strict=True)], names)
+                yield batch(out)
 
     one = wanted.groupBy("k1").agg(F.collect_set(F.struct("start", "n", "s1", "s_start", "m")).alias("want"))
     return found.select("k1", "segs").join(one, "k1").mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long, m long, words string").dropDuplicates(names[:-1])
