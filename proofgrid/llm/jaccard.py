@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import LAST_ID, discard, id_key, materialize, partitions
+from .shared import LAST_ID, discard, drop_shuffles, id_key, materialize, partitions
 
 NUM, DEN, SHINGLE = 75, 100, 5
 BATCH_SHINGLES, BATCH_TEXTS, HOT = 1_000_000, 60_000, 16
@@ -312,6 +312,7 @@ def groups(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     slices = min(4 * partitions(spark), 32_000)
     packs = packed(documents.select(id_key(), F.col("text").cast("string").alias("text")), slices, shingle)
     state = materialize(states(shared_shingles(packs, slices), slices), "shingle-sets")
+    drop_shuffles(spark)  # those of the packed shingles
     size = materialize(state.select("k1", "n"), "sizes")
     edges = links(state)
     labels = components(edges)

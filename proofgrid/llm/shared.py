@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,13 +42,22 @@ def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() made and nothing reads any longer."""
+    """Delete tables that materialize() made and nothing reads any longer, and the shuffle files behind them."""
     for df in tables:
         path = getattr(df, "proofgrid_path", None)
         if path:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does so when the driver collects what refers to them, which
+    a driver with memory to spare puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
