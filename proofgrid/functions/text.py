@@ -78,6 +78,29 @@ def disclosure(context: Column) -> Column:
     return F.coalesce(*found, F.struct(F.lit("UNEXPLAINED").alias("kind"), F.lit(None).cast("string").alias("matched")))
 
 
+def renderings(value: Column) -> Column:
+    """How a text may write a number: plain, with separators, with two places; none for null, NaN and infinity."""
+    whole = F.format_string("%.0f", value)
+    plain = F.regexp_replace(value.try_cast("decimal(38, 12)").cast("string"), "0+$", "")
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%f", value), "0+$", ""), r"\.$", "")
+    forms = F.when(value == F.floor(value), F.array(F.concat(whole, F.lit(".0")), whole, F.format_string("%,.0f", value), short)).otherwise(F.array(plain, F.format_string("%.2f", value), F.format_string("%,.2f", value), short))
+    return F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(forms)))
+
+
+def context_windows(text: Column, value: Column, around: int = 200) -> Column:
+    """The text around each place where a number is written, around characters to each side."""
+    text = F.coalesce(text, F.lit(""))
+
+    def places(form: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda s, part: F.struct((s["at"] + F.length(part) + F.length(form)).alias("at"), F.array_append(s["all"], s["at"] + F.length(part)).alias("all"))
+        every = F.aggregate(F.split(text, F.concat(F.lit("\\Q"), form, F.lit("\\E"))), zero, step, lambda s: s["all"])
+        low = lambda i: F.greatest(i - around, F.lit(0))
+        return F.transform(F.slice(every, F.lit(1), F.size(every) - 1), lambda i: F.substring(text, low(i) + 1, i + F.length(form) + around - low(i)))
+
+    return F.flatten(F.transform(renderings(value), places))
+
+
 def numbers(text: Column) -> Column:
     """The numbers of a text, citations like [F3] left out; parentheses are a minus."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[F\d+\]", " ")

@@ -79,6 +79,26 @@ def test_text(spark):
     assert tuple(r) == (-1234.0, None, 1200.0, None, "Q3-2021", "FY2019", "Net income", None, 1000.0, None, [-1200.0, 3.5], "A & B")
 
 
+def test_context_windows(spark):
+    texts = ["", None, "1,200 then 1200 and 1200.0, as restated; 12001200", "x" * 300 + "2.5" + "y" * 300 + "2.50", "1,234.56 or 1234.56.", "12345678.9", "-7 and 7"]
+    values = [1200.0, 2.5, 1234.56, 12345678.9, -7.0, None, NAN, INF]
+
+    def brute(text, v, n):
+        if not text or v is None or not math.isfinite(v):
+            return []
+        forms = {str(v), ("%f" % v).rstrip("0").rstrip("."), *((str(int(v)), f"{int(v):,}") if v == int(v) else (f"{v:.2f}", f"{v:,.2f}"))}
+        found = []
+        for f in forms:
+            at = text.find(f)
+            while at >= 0:
+                found.append(text[max(0, at - n) : at + len(f) + n])
+                at = text.find(f, at + len(f))
+        return sorted(found)
+
+    rows = spark.createDataFrame([(t, v) for t in texts for v in values], "t string, v double").select("t", "v", T.context_windows(F.col("t"), F.col("v"), 20).alias("w")).collect()
+    assert [(r.t, r.v, sorted(r.w)) for r in rows if sorted(r.w) != brute(r.t, r.v, 20)] == []
+
+
 def test_closure_meets_brute_force_and_cycles_raise(spark):
     edges = [("d", "b", "a"), ("d", "c", "a"), ("d", "e", "b"), ("d", "e", "c"), ("d", "f", "e"), ("x", "q", "p"), ("x", "p", "q")]
     e = spark.createDataFrame(edges, "doc_id string, src string, dst string")
