@@ -16,6 +16,12 @@ METRICS = {"total_revenue": "Total revenue", "net_income": "Net income", "total_
 RESTATED = [r"(?i)\bas\s+restated\b", r"(?i)\bprior[-\s]period\s+adjustment\b", r"(?i)\bpreviously\s+reported\b", r"(?i)\brestatement\b", r"(?i)\brestated\b"]
 RECLASSIFIED = [r"(?i)\breclassified\b", r"(?i)\breclassification\b", r"(?i)\brecast\b", r"(?i)\brealigned\b", r"(?i)\bsegment\s+realignment\b", r"(?i)\bconformed\s+to\s+(?:the\s+)?current\s+(?:period\s+)?presentation\b", r"(?i)\bto\s+conform\s+(?:to\s+)?(?:the\s+)?current\s+presentation\b"]
 
+#: What a text with primary statements names, and rows of a balance sheet with their figures.
+STATEMENT_TERMS = ("consolidated balance sheet", "consolidated statement income", "consolidated statements of income", "consolidated statement of operations", "consolidated statements of operations", "consolidated statement of cash flows", "consolidated statements of cash flows", "total assets", "net income", "earnings per common share", "weighted average", "cash and cash equivalents")
+FIGURE = r"[^0-9]{0,40}\$?\s*[0-9][0-9,]{4,}"
+ASSETS_ROW = r"(?i)total\s+assets" + FIGURE
+CLAIMS_ROW = r"(?i)(total\s+liabilities|total\s+(?:stockholders|shareholders|shareowners).{0,4}equity|total\s+equity|liabilities\s+and\s+(?:stockholders|shareholders|shareowners|equity))" + FIGURE
+
 
 def strip_html(html: Column) -> Column:
     x = F.coalesce(html, F.lit(""))
@@ -78,6 +84,24 @@ def disclosure(context: Column) -> Column:
     return F.coalesce(*found, F.struct(F.lit("UNEXPLAINED").alias("kind"), F.lit(None).cast("string").alias("matched")))
 
 
+def numeric_density(text: Column) -> Column:
+    """How many numbers of three digits or more a text has; real statements are dense with them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\d[\d,]{2,}(?:\.\d+)?")).cast("long")
+
+
+def statement_score(text: Column) -> Column:
+    """How many of the statement terms a text contains."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.size(F.filter(F.array(*map(F.lit, STATEMENT_TERMS)), lambda t: F.contains(low, t))).cast("long")
+
+
+def slice_quality(text: Column) -> Column:
+    """Whether a text has both rows of the balance sheet identity with their figures, one, or none."""
+    t = F.coalesce(text, F.lit(""))
+    both = t.rlike(ASSETS_ROW).cast("int") + t.rlike(CLAIMS_ROW).cast("int")
+    return F.when(both == 2, "full_identity").when(both == 1, "partial").otherwise("no_identity")
+
+
 def renderings(value: Column) -> Column:
     """How a text may write a number: plain, with separators, with two places; none for null, NaN and infinity."""
     whole = F.format_string("%.0f", value)

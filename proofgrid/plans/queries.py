@@ -426,6 +426,11 @@ def html_strip(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"))
 
 
+@query("numeric_density", r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9][0-9,]{2,}(?:\.[0-9]+)?'))::BIGINT AS density FROM documents")
+def numeric_density(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "documents").select("doc_id", T.numeric_density(F.col("text")).alias("density"))
+
+
 @query("definitional_flag", r"""WITH w(w) AS (VALUES ('flat'), ('stable'), ('about'), ('in line'), ('similar')), t AS (SELECT p_partkey, lower('Costs were ' || CASE p_partkey % 6 WHEN 0 THEN 'Flat' WHEN 1 THEN 'stable and flat' WHEN 2 THEN 'roundabout' WHEN 3 THEN 'in line, about' WHEN 4 THEN 'Similar.' ELSE 'up 4%' END) AS t FROM part)
 SELECT p_partkey, (SELECT w FROM w WHERE regexp_matches(t, '(^|[^a-z0-9_])' || w || '([^a-z0-9_]|$)') ORDER BY length(w) DESC, w LIMIT 1) AS word FROM t""")
 def definitional_flag(spark: SparkSession, sf: str) -> DataFrame:

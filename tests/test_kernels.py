@@ -99,6 +99,12 @@ def test_context_windows(spark):
     assert [(r.t, r.v, sorted(r.w)) for r in rows if sorted(r.w) != brute(r.t, r.v, 20)] == []
 
 
+def test_statement_text(spark):
+    texts = ["TOTAL ASSETS ... $ 123,456 and Total stockholders' equity 99,999", "Total equity 12,345; 2021, 12", "total assets 12", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.numeric_density(F.col("t")), T.statement_score(F.col("t")), T.slice_quality(F.col("t"))).collect()
+    assert [tuple(r) for r in sorted(rows)] == [(0, 2, 1, "full_identity"), (1, 2, 0, "partial"), (2, 0, 1, "no_identity"), (3, 0, 0, "no_identity"), (4, 0, 0, "no_identity")]
+
+
 def test_closure_meets_brute_force_and_cycles_raise(spark):
     edges = [("d", "b", "a"), ("d", "c", "a"), ("d", "e", "b"), ("d", "e", "c"), ("d", "f", "e"), ("x", "q", "p"), ("x", "p", "q")]
     e = spark.createDataFrame(edges, "doc_id string, src string, dst string")
