@@ -5,7 +5,8 @@ always shares a kept fingerprint at the same place. The fingerprints are joined,
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after folding A-Z. An item of fewer than `window` words is one window.
 
-Defined cases: a null or empty text has no words and no hits; null ids are kept as they are; rows with equal id and
+Defined cases: a null or empty text has no words and no hits; null ids are kept as they are; items
+without an id hit like others, count as one item together and add nothing to items_sha256; rows with equal id and
 text give one result row; items without words are ignored; an empty benchmark hits nothing; columns other than those
 named are ignored.
 """
@@ -105,7 +106,7 @@ def filter_bits(fps: DataFrame) -> np.ndarray:
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, doc_id, n_words, item_id, a, b): words a to b of the document stand in item_id; one row with null item_id where nothing does."""
+    """(k1, k2, doc_id, n_words, item_id, a, b): words a to b of the document stand in item_id, which may be null; one row with null a and b where nothing does."""
     spark = documents.sparkSession
     fps = materialize(benchmark_fingerprints(benchmark, window, gram), "benchmark-fingerprints")
     n = fps.count()
@@ -130,7 +131,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            item = np.asarray(b.column("item_id").is_valid())
+            item = np.asarray(b.column("item_ctx").is_valid())
             length = b.column("length").fill_null(0).to_numpy(zero_copy_only=False)
             pos = b.column("pos").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             mine, theirs = np.zeros((len(item), size), np.uint64), np.zeros((len(item), size), np.uint64)
@@ -155,12 +156,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, doc_id, n_words, n_hit, items sorted, spans) of every document."""
+    """(k1, k2, doc_id, n_words, n_hit, items sorted, n_items with the null one, spans) of every document."""
     union = "aggregate(array_sort(collect_set(if(a is null, null, struct(a, b)))), struct(0L as n, 0L as upto), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.upto)) as n, greatest(s.upto, cast(x.b as long)) as upto)).n"
     return (
         hits(documents, benchmark, window, gram)
         .groupBy("k1", "k2", "doc_id", "n_words")
-        .agg(F.expr(union).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"), F.expr("array_sort(collect_set(if(a is null, null, struct(a, b))))").alias("spans"))
+        .agg(F.expr(union).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"), F.expr("cast(size(collect_set(item_id)) + max(if(a is not null and item_id is null, 1, 0)) as long)").alias("n_items"), F.expr("array_sort(collect_set(if(a is null, null, struct(a, b))))").alias("spans"))
     )
 
 
@@ -173,7 +174,7 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 SQL = r"""

@@ -138,6 +138,17 @@ def test_decontamination_edges(spark, edge):
     assert {tuple(r) for r in QUERIES["op3_decontamination"](spark, edge).collect()} == want
 
 
+def test_decontamination_by_items_without_id(spark, tmp_path):
+    lost = " ".join(f"n{i}" for i in range(25))
+    docs = [(1, "a b " + lost + " c"), (2, "x short lost item y"), (3, lost + " " + PASSAGE), (4, PASSAGE), (5, "clean"), (6, None)]
+    bench = [(None, lost), (None, "short lost item"), ("i1", " ".join(PASSAGE.split()[20:45])), ("i2", lost[:80])]
+    pq.write_table(pa.table({"doc_id": [d[0] for d in docs], "text": [d[1] for d in docs]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [b[0] for b in bench], "text": [b[1] for b in bench]}), tmp_path / "benchmark.parquet")
+    same(QUERIES["op3_decontamination"](spark, str(tmp_path)), SQL["op3_decontamination"], str(tmp_path))
+    kept = corpus_pipeline.benchmark_decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {5, 6}
+
+
 def test_jaccard_edges(spark, edge):
     rows = edge_rows()
     sets = []
