@@ -258,6 +258,21 @@ def test_html(spark, sf_dir, edge):
     assert sorted(rows, key=str) == sorted([(1, "A & B x yz last"), (2, "A & B x yz last"), (2, "A & B x yz last"), (3, ""), (4, ""), (None, "A & B x yz last"), (5, "plain"), (6, 199_999)], key=str)
 
 
+def test_html_noise_in_any_element():
+    inside = [
+        ('<p class="advert">AD</p><p>a</p>', "a"), ('<p class="advert">AD<p>a', "a"), ('<ul><li>a<li class="comment">NO<li>b</ul>c', "a b c"), ('<ul><li class="ad">NO<ul><li>NO</ul>NO</ul>a', "a"), ('<h2 class="share">NO</h2>a', "a"),
+        ('<dl><dt>a<dd class="notice">NO<dt>b</dl>', "a b"), ('x <span class="sponsored">NO <span>NO</span> NO</span>y', "x y"), ('<p>x <a class="share" href="#">NO</a>y <label id="subscribe">NO</label></p>z', "x y z"), ('<x-box class="promo"><div>NO</div></x-box>a', "a"),
+        ('<p>a</p><article class="comment"><p>NO</article>b', "a b"), ('<p>a <a href="/x?id=ad&class=share" data-id="ad">b</a> <i data-class="ad">c</i>', "a b c"), ('<a class="share"><div>NO</a>a</div>', "a"), ('<table><tr><td class="ad">NO<td>a<tr class="promo"><td>NO<tr><td>b</table>', "a b"), ('<p id="comments">NO<br>NO<div>a</div>', "a"),
+    ]
+    for part, want in inside:
+        for page in (f"<html><body><nav>Menu</nav><article>{part}</article><footer>f", f"<head><title>t</title><body><div>{part}</div>"):
+            if "<article" in part and "<article>" not in page:
+                continue
+            assert extraction.main_text(page, "article") == want, page
+    assert extraction.main_text("<article class='comments-open'>a</article><article class='comment'>NO</article>", "article") == "a"
+    assert extraction.main_text("<div>a<section class='comments'><article>NO</article></section></div>", "article") == "a"
+
+
 def test_wrapper_groups():
     one, two = extraction.fold("article p # /x p # /x".split()), extraction.fold("article p # /x p # /x p # /x h1 #".split())
     assert extraction.align(one, two) == extraction.align(one, two) and any(t.endswith("+") for t in one)
