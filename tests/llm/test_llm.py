@@ -273,6 +273,27 @@ def test_html_noise_in_any_element():
     assert extraction.main_text("<div>a<section class='comments'><article>NO</article></section></div>", "article") == "a"
 
 
+def test_html_slots_of_hosts_without_article(spark, tmp_path):
+    links = lambda i: "".join(f"<div class='link'><h3>L{i}{k}</h3><div class='by'>B{i}{k}</div></div>" for k in range(4))
+    body = lambda i: [f"title {i}"] + [f"paragraph {k} of page {i} " + "word " * 40 for k in range(1 + i % 3)]
+    rows, want = [], {}
+    for i in range(8):
+        inner = "<p>Welcome to our site</p>" + "".join(f"<p>{x}</p>" for x in body(i)) + "<p>Written for our site</p>"
+        rows.append((i, f"http://one.example/{i}", f"<body><div class='wrap'><div class='links'>{links(i)}</div><div class='bod'>{inner}</div></div></body>"))
+        want[i] = " ".join(" ".join(x.split()) for x in body(i))
+        rows.append((100 + i, f"http://two.example/{i}", f"<body><article><p>Share this<p>text {i}</article>"))
+        want[100 + i] = f"text {i}"
+    for i in range(3):
+        rows.append((200 + i, "http://few.example/", f"<body><main><p>Same<p>text {i}</main>"))
+        want[200 + i] = f"Same text {i}"
+        rows.append((300 + i, "http://copies.example/", f"<body><div class='ad'>{i}</div><div class='x'>all one text</div>"))
+        want[300 + i] = "all one text"
+    pq.write_table(pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}), tmp_path / "pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.text for r in extraction.extracted(pages).collect()} == want
+    assert {r.host: (r.root, len(r.constant)) for r in extraction.wrappers(pages).collect()} == {"one.example": ("div.bod", 2), "two.example": ("article", 1), "few.example": ("main", 0), "copies.example": ("div.x", 0)}
+
+
 def test_wrapper_groups():
     one, two = extraction.fold("article p # /x p # /x".split()), extraction.fold("article p # /x p # /x p # /x h1 #".split())
     assert extraction.align(one, two) == extraction.align(one, two) and any(t.endswith("+") for t in one)
