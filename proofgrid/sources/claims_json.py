@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import text as T
 
-CAP = 200
 ELEMENT = "claim_text string, operation string, stated_value string, operands array<struct<value: string, source: string, category: string>>, rule_name string, eps_variant string, node_id string, depends_on array<string>"
 #: Names of operations and sources.
 OPERATIONS = "percent_change absolute_change sum difference ratio margin_percent average product identity unsupported internal_consistency trend_direction superlative consecutive_count aggregate_filter mda_xbrl_consistency definitional_flag".split()
@@ -49,9 +48,9 @@ def name(raw: Column) -> Column:
 
 
 def parsed(texts: DataFrame) -> DataFrame:
-    """(doc_id, ord, ok, reason, claim fields): every element up to the format's cap of 200 claims a text; ok false where it can't be a claim."""
+    """(doc_id, ord, ok, reason, claim fields): every element of a text, however many; ok false where it can't be a claim."""
     items = F.from_json(arrays(F.col("raw")), f"array<struct<{', '.join(p.replace(' ', ': ', 1) for p in split_fields(ELEMENT))}>>")
-    x = texts.select("doc_id", F.posexplode(F.slice(items, 1, CAP)).alias("ord", "c")).select("doc_id", F.col("ord").cast("long").alias("ord"), "c.*")
+    x = texts.select("doc_id", F.posexplode(items).alias("ord", "c")).select("doc_id", F.col("ord").cast("long").alias("ord"), "c.*")
     op = name(F.col("operation"))
     stated = T.dirty_number(F.col("stated_value"))
     none = F.lower(F.trim(F.coalesce("stated_value", F.lit("")))).isin("", "n/a", "na", "none", "null")

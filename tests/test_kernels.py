@@ -134,6 +134,14 @@ def test_tables(spark):
     assert {(p.doc_id, p.part, p.title, p.body) for p in parts} == {("m", 1, "one", "a\nb"), ("m", 2, "two", "c"), ("s", 0, None, "Document: only\nx")}
 
 
+def test_claims_json_of_many_elements(spark):
+    item = '{"claim_text": "t", "operation": "sum", "stated_value": "%d", "operands": []}'
+    raw = "[" + ", ".join([item % i for i in range(200)] + ['{"operation": "sum"}', item % 201]) + "]"
+    rows = sorted(claims_json.parsed(spark.createDataFrame([("d", raw)], "doc_id string, raw string")).collect(), key=lambda r: r.ord)
+    assert [r.ord for r in rows] == list(range(202)) and [r.ord for r in rows if not r.ok] == [200]
+    assert rows[200].reason == "no claim text" and rows[201].stated_value == 201
+
+
 def test_claims_json(spark):
     good = {"claim_text": "x [1] \"q\"", "operation": "Sum", "stated_value": "$3", "operands": [{"value": "1", "source": "Grounded"}, {"value": "2", "source": "grounded"}]}
     bad = [good | {"operation": "guess"}, good | {"stated_value": "1.2bn"}, {k: v for k, v in good.items() if k != "claim_text"}, good | {"operands": [{"value": "z", "source": "grounded"}]}]
