@@ -8,7 +8,8 @@ a slice counts in how many documents each shingle stands and sends back, to the
 have. A document whose other shingles already outnumber n - T can have no partner and leaves. Documents with equal sets
 are one. Each short list links its members to one pivot, the member whose shingles are the most common, by an exact
 overlap; a list that then still spans several components takes further pivots, and what is left is compared pair by pair,
-across components only. So a group of N near copies costs N comparisons and not N * N, and no link is lost.
+across components only. So a group of N near copies costs N comparisons and not N * N, and the components are exact;
+links between documents that already share a component are not produced.
 
 Hot shingles: occurrences inside a batch are counted before the shuffle, and joins on shingles, pivots or labels have a
 written table on either side, so that adaptive execution can split a hot key.
