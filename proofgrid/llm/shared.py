@@ -25,6 +25,8 @@ def folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="proofgrid-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -60,6 +62,37 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bits of the filter of may_be_in; as words of 64 bits it has FILTER_BITS / 64 rows at most, so its broadcast does not grow with the data.
+FILTER_BITS = 1 << 22
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose columns may be among keys, the others): both of rows' own columns; the first holds every row that a join with keys would
+    find, and few others until keys are about as many as FILTER_BITS. It keeps rows that a join can't find out of that join's shuffle,
+    texts and all. keys has the same columns and is written already. A null key is never found."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    words = keys.groupBy(F.shiftright(slot, 6).alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64({', '.join(columns)}), 64) as int)))").alias("__bits"))
+    own = rows.withColumn("__slot", slot)
+    seen = own.join(F.broadcast(words), F.shiftright(own["__slot"], 6) == words["__word"], "left").withColumn("__may", F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__slot % 64 as int)) & 1L"), F.lit(0)) == 1)
+    return tuple(seen.filter(f).drop("__slot", "__word", "__bits", "__may") for f in (F.col("__may"), ~F.col("__may")))
+
+
+def renamed(df: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ... but for own, which keep their names, and its names before: no name of ours can clash with the user's."""
+    return df.toDF(*[n if n in own else f"c{i}" for i, n in enumerate(df.columns)]), df.columns
+
+
+#: A side of a join whose size follows its data is broadcast up to so many bytes; beyond them both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where its values, counted in bytes first, are few enough. df is written already."""
+    wide = [F.octet_length(F.col(n)) if t in ("string", "binary") else F.lit(8) for n, t in df.dtypes]
+    size = df.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

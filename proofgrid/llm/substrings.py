@@ -1,17 +1,20 @@
-"""Substring deduplication with suffix automata of reference spans.
+"""Substring deduplication with suffix automata of reference shards.
 
 A word goes when a window of 50 words that covers it also starts in a document with a smaller id. The reference is the
-corpus itself, so its automata cannot be broadcast whole; each is sent to the documents that need it instead:
+corpus itself, so it is cut into shards of bounded size, and each shard's automaton goes to the tasks that stream the
+documents which can match it:
 
-1. Every document keeps the minimum 8-gram hash of each window (an anchor); equal windows have equal anchors. Anchors of
-   one document only are settled there.
-2. Windows with a shared anchor are fingerprinted; each fingerprint finds the smallest document that has it.
-3. Consecutive windows whose places in one source join up become one span, however often the text repeats itself, joined
-   with the source's words. A suffix automaton of the source span reads the document's span; its matching statistics
-   decide, and every match of 50 words or more goes.
+1. Every document keeps the minimum 8-gram hash of each window (an anchor); equal windows have equal anchors. Windows whose
+   anchor one document alone has are settled there.
+2. The other windows are fingerprinted; of each fingerprint the smallest document that has it is the source. What sources hold
+   of repeated windows is the reference: pieces of at most 2**PIECE_BITS windows, dealt by hash into shards of about SHARD words.
+3. Fingerprints only choose the shards a document is streamed through, and the range of its words. Each task builds the
+   suffix automaton of a shard's pieces, every state with the smallest id it comes from, streams the documents' words and
+   takes every match of 50 words whose state has a smaller id. A shard that very many words go through is sent to more tasks.
 
 Defined cases: a null text has no words; a null id sorts after all others; rows with equal id never remove each other's
-words; each input row gives one result row, also repeated ones; other columns stay.
+words; each input row gives one result row, also repeated ones; a very long text is anchored in one piece and streamed through
+each of its shards by range; an empty table gives an empty result; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,54 +28,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import discard, id_key, materialize, text_key
+from .shared import discard, id_key, materialize, may_be_in, partitions, renamed, text_key
 
 WINDOW, ANCHOR = 50, 8
+#: Places of a cell: of sources, whose windows in one are a piece, and of documents, whose windows in one are a range; powers of 2.
+PIECE_BITS, RANGE_BITS = 9, 12
+#: Words of a shard's pieces, and of documents that one task streams through it, both about.
+SHARD, STREAM = 32_768, 262_144
 
 
 class Automaton:
-    """Suffix automaton of a word sequence."""
-
-    def __init__(self, words: list[bytes]):
-        self.go, self.link, self.size = [{}], [-1], [0]
-        last = 0
-        for word in words:
-            new = self._state({}, 0, self.size[last] + 1)
+    """Suffix automaton of several word sequences, each with a number; a state knows the smallest number it comes from."""
+
+    def __init__(self, sequences: list[tuple[int, list[bytes]]]):
+        self.go, self.link, self.size, self.least = [{}], [-1], [0], [2**63 - 1]
+        for number, words in sequences:
+            last = 0
+            for word in words:
+                last = self._extend(last, word, number)
+        # what ends in a state also ends in its suffixes
+        for at in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            up = self.link[at]
+            self.least[up] = min(self.least[up], self.least[at])
+
+    def _extend(self, last: int, word: bytes, number: int) -> int:
+        go, link, size = self.go, self.link, self.size
+        to = go[last].get(word)
+        if to is not None and size[to] == size[last] + 1:
+            self.least[to] = min(self.least[to], number)
+            return to
+        new = None
+        if to is None:
+            new, at = self._state({}, 0, size[last] + 1, number), last
+            while at >= 0 and word not in go[at]:
+                go[at][word] = new
+                at = link[at]
+            if at < 0:
+                return new
+            to = go[at][word]
+        else:
             at = last
-            while at >= 0 and word not in self.go[at]:
-                self.go[at][word] = new
-                at = self.link[at]
-            if at >= 0:
-                to = self.go[at][word]
-                if self.size[to] != self.size[at] + 1:
-                    twin = self._state(dict(self.go[to]), self.link[to], self.size[at] + 1)
-                    while at >= 0 and self.go[at].get(word) == to:
-                        self.go[at][word] = twin
-                        at = self.link[at]
-                    self.link[to] = twin
-                    to = twin
-                self.link[new] = to
-            last = new
-
-    def _state(self, go: dict, link: int, size: int) -> int:
+        if size[to] != size[at] + 1:
+            twin = self._state(dict(go[to]), link[to], size[at] + 1, 2**63 - 1)
+            while at >= 0 and go[at].get(word) == to:
+                go[at][word] = twin
+                at = link[at]
+            link[to] = twin
+            to = twin
+        if new is None:
+            self.least[to] = min(self.least[to], number)
+            return to
+        link[new] = to
+        return new
+
+    def _state(self, go: dict, link: int, size: int, least: int) -> int:
         self.go.append(go)
         self.link.append(link)
         self.size.append(size)
+        self.least.append(least)
         return len(self.go) - 1
 
-    def matches(self, words: list[bytes], least: int) -> list[tuple[int, int]]:
-        """Maximal spans [a, b) whose every word lies in a match of at least least words."""
+    def matches(self, words: list[bytes], least: int, number: int) -> list[tuple[int, int]]:
+        """Maximal spans [a, b) of words that matches of exactly least words from sequences of smaller numbers cover."""
+        go, link, size, known = self.go, self.link, self.size, self.least
         out, at, have = [], 0, 0
         for i, word in enumerate(words):
-            while at and word not in self.go[at]:
-                at = self.link[at]
-                have = self.size[at]
-            if word in self.go[at]:
-                at, have = self.go[at][word], have + 1
-            if have >= least:
-                a = i + 1 - have
+            while at and word not in go[at]:
+                at = link[at]
+                have = size[at]
+            if word in go[at]:
+                at, have = go[at][word], have + 1
+            while at and size[link[at]] >= least:  # the state of the last words, as many as count
+                at = link[at]
+                have = size[at]
+            if have >= least and known[at] < number:
+                a = i + 1 - least
                 if out and out[-1][1] >= a:
-                    out[-1] = (min(out[-1][0], a), i + 1)
+                    out[-1] = (out[-1][0], i + 1)
                 else:
                     out.append((a, i + 1))
         return out
@@ -152,46 +184,13 @@ def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("k1", "tag", "text", "anchors").mapInArrow(run, "k1 long, tag long, fps array<long>, pos array<long>, first array<boolean>, segs array<struct<start: long, text: string>>")
 
 
-def runs(matched: DataFrame) -> DataFrame:
-    """Windows with their sources, gathered by document, as spans: (k1, start, n, s1, s_start, m), n windows of the document that are
-    among m windows of the source."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "start", "n", "s1", "s_start", "m"]
-        for b in batches:
-            hits = b.column("hits")
-            size = hits.value_lengths().to_numpy(zero_copy_only=False)
-            flat = hits.flatten()
-            row = np.repeat(np.arange(len(size)), size)
-            pos, s1, s_pos = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            order = np.lexsort((pos, row))
-            row, pos, s1, s_pos = row[order], pos[order], s1[order], s_pos[order]
-            once = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])])
-            row, pos, s1, s_pos = row[once], pos[once], s1[once], s_pos[once]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (s1[1:] != s1[:-1]) | (s_pos[1:] != s_pos[:-1] + 1)])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(row)))
-            out: list[list[int]] = []
-            for r, a, size, s, low in zip(*(x.tolist() for x in (row[at], pos[at], n, s1[at], s_pos[at])), strict=True):
-                last = out[-1] if out else None
-                if last and last[0] == r and last[3] == s and last[1] + last[2] == a and low <= last[4] + last[5] and last[4] <= low + size:
-                    top = max(last[4] + last[5], low + size)
-                    last[2], last[4] = last[2] + size, min(last[4], low)
-                    last[5] = top - last[4]
-                else:
-                    out.append([r, a, size, s, low, size])
-            columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)]
-            yield pa.RecordBatch.from_arrays([b.column("k1").take(columns[0]), *columns[1:]], names)
-
-    return matched.groupBy("k1").agg(F.collect_list(F.struct("pos", "s1", "s_pos")).alias("hits")).mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long, m long")
-
-
-def spans(found: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of every span that is wanted: those of documents (with their source) and those of sources (s1 null)."""
-    names = ["k1", "start", "n", "s1", "s_start", "m", "words"]
+def wanted_words(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words of wanted ranges (shard, k1, start, stop, reference) of documents' places, start inclusive."""
+    names = ["shard", "k1", "start", "reference", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.string()], strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,36 +198,51 @@ def spans(found: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             for k1, segs, want in zip(*(b.column(c).to_pylist() for c in ("k1", "segs", "want")), strict=True):
                 pieces = [(s["start"], s["text"].encode().split()) for s in segs]
                 for x in want:
-                    start, size = x["start"], x["n"] + window - 1
-                    own = next((w[start - s : start - s + size] for s, w in pieces if s <= start and start + size <= s + len(w)), None)
-                    if own is not None:  # else it stands in another row of the same id
-                        out.append((k1, start, x["n"], x["s1"], x["s_start"], x["m"], b" ".join(own).decode()))
-                        held += len(out[-1][-1])
-                        if held > W.CHUNK_BYTES:
-                            yield batch(out)
-                            out, held = [], 0
+                    for start, words in pieces:  # a range may span several, or stand in another row of the same id
+                        a, z = max(x["start"], start), min(x["stop"], start + len(words))
+                        if z > a:
+                            out.append((x["shard"], k1, a, x["reference"], b" ".join(words[a - start : z - start]).decode()))
+                            held += len(out[-1][-1])
+                            if held > W.CHUNK_BYTES:
+                                yield batch(out)
+                                out, held = [], 0
             if out:
                 yield batch(out)
 
-    one = wanted.groupBy("k1").agg(F.collect_set(F.struct("start", "n", "s1", "s_start", "m")).alias("want"))
-    return found.select("k1", "segs").join(one, "k1").mapInArrow(run, "k1 long, start long, n long, s1 long, s_start long, m long, words string").dropDuplicates(names[:-1])
+    one = wanted.groupBy("k1").agg(F.collect_set(F.struct("shard", "start", "stop", "reference")).alias("want"))
+    return found.select("k1", "segs").join(one, "k1").mapInArrow(run, "shard long, k1 long, start long, reference boolean, words string")
 
 
-def statistics(pairs: DataFrame, window: int) -> DataFrame:
-    """(k1, a, b): words that a matching statistic of window or more covers; the automaton of a source is made once for rows in a row."""
+def statistics(words: DataFrame, window: int) -> DataFrame:
+    """(k1, a, b): places that a match of window words in a source with a smaller id covers. A task has a shard's pieces first, builds their
+    automaton, and streams documents through it; shards with many words to stream have several parts, each with the pieces."""
+    load = words.groupBy("shard").agg(F.sum(F.when(~F.col("reference"), F.length("words") / 6 + 1)).alias("load"))
+    parts = load.select("shard", F.least(F.ceil(F.coalesce("load", F.lit(0.0)) / STREAM) + F.when(F.col("load") > 0, 0).otherwise(1), F.lit(2**20)).cast("int").alias("parts"))
+    dealt = words.join(parts, "shard")
+    each = F.when(F.col("reference"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k1", "start"), F.col("parts")).cast("int")))
+    dealt = dealt.select("shard", F.explode(each).alias("part"), "reference", "k1", "start", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = automaton = None
+        now, pieces, automaton, last = None, [], None, None
         for b in batches:
             out = []
-            for k1, start, mine, ref in zip(*(b.column(c).to_pylist() for c in ("k1", "start", "words", "ref")), strict=True):
-                if ref != of:
-                    of, automaton = ref, Automaton(ref.encode().split())
-                out += [(k1, start + x, start + y) for x, y in automaton.matches(mine.encode().split(), window)]
+            for shard, part, reference, k1, start, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (shard, part) != now:
+                    now, pieces, automaton, last = (shard, part), [], None, None
+                if last == (reference, k1, start):
+                    continue  # of a repeated row
+                last = (reference, k1, start)
+                if reference:
+                    pieces.append((k1, text.encode().split()))
+                    continue
+                if automaton is None:
+                    automaton, pieces = Automaton(pieces), []
+                out += [(k1, start + x, start + y) for x, y in automaton.matches(text.encode().split(), window, k1)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["k1", "a", "b"])
 
-    return pairs.select("k1", "start", "words", "ref").mapInArrow(run, "k1 long, a long, b long")
+    order = dealt.repartition(partitions(words.sparkSession), "shard", "part").sortWithinPartitions("shard", "part", F.desc("reference"), "k1", "start")
+    return order.mapInArrow(run, "k1 long, a long, b long")
 
 
 def tag(k2: str = "k2"):
@@ -240,31 +254,37 @@ def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     """(k1, gone): the word spans that go, by id; places start at the row's tag."""
     docs = documents.select(id_key(), text_key(), F.col("text").cast("string").alias("text"))
     rows = materialize(anchors(docs, window, anchor), "anchors")
-    many = materialize(rows.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("anchor"), "shared-anchors")
-    known = rows.join(many, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors"))
-    found = materialize(candidates(docs.select("k1", tag().alias("tag"), "text").join(known, "k1"), window, anchor), "windows")
-    discard(rows, many)
+    many = rows.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("anchor")
+    known = materialize(rows.join(many, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    discard(rows)
+    able = may_be_in(docs, known.select("k1"), "k1")[0]
+    found = materialize(candidates(able.select("k1", tag().alias("tag"), "text").join(known, "k1"), window, anchor), "windows")
+    discard(known)
     w = found.select("k1", F.explode(F.arrays_zip("fps", "pos", "first")).alias("w")).select("k1", F.col("w.fps").alias("fp"), F.col("w.pos").alias("pos"), F.col("w.first").alias("first"))
     source = w.filter("first").groupBy("fp").agg(F.min("k1").alias("s1"), F.max("k1").alias("hi"), F.min_by("pos", "k1").alias("s_pos")).filter("s1 < hi")
     source = materialize(source.select("fp", "s1", "s_pos"), "sources")
-    span = materialize(runs(w.drop("first").join(source, "fp").filter("k1 > s1")), "spans")
+    piece = F.shiftright("s_pos", PIECE_BITS)
+    refs = source.groupBy(F.col("s1").alias("k1"), piece.alias("cell")).agg(F.min("s_pos").alias("start"), (F.max("s_pos") + window).alias("stop"))
+    shards = 1 + (refs.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0) // SHARD
+    shard = lambda k1, cell: F.pmod(F.xxhash64(k1, cell), F.lit(shards)).alias("shard")
+    refs = refs.select(shard("k1", "cell"), "k1", "start", "stop", F.lit(True).alias("reference"))
+    hits = w.join(source, "fp").filter("k1 > s1").groupBy(shard("s1", piece), "k1", F.shiftright("pos", RANGE_BITS).alias("cell")).agg(F.min("pos").alias("start"), (F.max("pos") + window).alias("stop"))
+    wanted = materialize(refs.unionByName(hits.select("shard", "k1", "start", "stop", F.lit(False).alias("reference"))), "ranges")
     discard(source)
-    refs = span.select(F.col("s1").alias("k1"), F.col("s_start").alias("start"), F.col("m").alias("n")).distinct()
-    none = F.lit(None).cast("long")
-    wanted = span.unionByName(refs.select("k1", "start", "n", none.alias("s1"), none.alias("s_start"), none.alias("m")))
-    text = materialize(spans(found, wanted, window), "span-words")
-    ref = text.filter("s1 is null").select(F.col("k1").alias("s1"), F.col("start").alias("s_start"), F.col("n").alias("m"), F.col("words").alias("ref"))
-    pairs = text.filter("s1 is not null").join(ref, ["s1", "s_start", "m"])
-    gone = materialize(statistics(pairs, window).groupBy("k1").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone")), "removed")
-    discard(found, span, text)
+    words = materialize(wanted_words(found, wanted), "shard-words")
+    discard(found, wanted)
+    gone = materialize(statistics(words, window).groupBy("k1").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("gone")), "removed")
+    discard(words)
     return gone
 
 
-def removed(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """The documents with n_words, n_removed and kept, the words left joined by one space."""
-    gone = repeats(documents, window, anchor).select(F.col("k1").alias("__k1"), F.col("gone").alias("__gone"))
-    keyed = documents.withColumns({"__a": id_key(), "__k2": text_key()})
-    own = F.expr("transform(filter(__gone, x -> x.a >= __tag and x.a < __tag + 4294967296), x -> struct(x.a - __tag as a, x.b - __tag as b))")
+def removed(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """(documents with removed words, with a column cut of n_words, n_removed and kept, the words left joined by one space; the other
+    documents with it). Columns but doc_id and text are named by place. Documents that lose nothing pass by the join without a shuffle."""
+    gone = repeats(documents, window, anchor)
+    plain, _ = renamed(documents, "doc_id", "text")
+    keyed = plain.withColumns({"k1": id_key(), "k2": text_key()}).withColumn("tag", tag("k2"))
+    own = F.expr("transform(filter(gone, x -> x.a >= tag and x.a < tag + 4294967296), x -> struct(x.a - tag as a, x.b - tag as b))")
 
     @F.arrow_udf("n_words long, n_removed long, kept string")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -287,21 +307,25 @@ def removed(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
         n, m = pa.array(sizes, pa.int64()), pa.array(left_over, pa.int64())
         return pa.StructArray.from_arrays([n, pc.subtract(n, m), pa.concat_arrays(parts)], ["n_words", "n_removed", "kept"])
 
-    joined = keyed.join(gone, keyed["__a"] == gone["__k1"], "left").withColumn("__tag", tag("__k2"))
-    return joined.withColumn("__cut", cut(F.coalesce(F.col("text"), F.lit("")), own))
+    touched, rest = may_be_in(keyed, gone.select("k1"), "k1")
+    touched, rest = touched.join(gone, "k1", "left").withColumn("gone", own), rest.withColumn("gone", F.expr("cast(null as array<struct<a: bigint, b: bigint>>)"))
+    return tuple(x.withColumn("cut", cut(F.coalesce(F.col("text"), F.lit("")), F.col("gone"))).select(*plain.columns, "cut") for x in (touched, rest))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents with texts cut; where nothing goes, the text stays as it is. n_chars, where there is one, follows the text."""
-    out = removed(documents)
-    text = F.when(F.col("__cut.n_removed") > 0, F.col("__cut.kept")).otherwise(F.col("text"))
-    cols = [text.alias(c) if c == "text" else F.when(F.col("__cut.n_removed") > 0, F.length("__cut.kept")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in documents.dtypes]
-    return out.select(*cols)
+    touched, rest = removed(documents)
+    less = F.col("cut.n_removed") > 0
+    cols = []
+    for new, (old, kind) in zip(touched.columns, documents.dtypes, strict=False):
+        value = F.when(less, F.col("cut.kept")).otherwise(F.col(new)) if old == "text" else F.when(less, F.length("cut.kept")).otherwise(F.col(new)) if old == "n_chars" else F.col(new)
+        cols.append(value.cast(kind).alias(new))
+    return touched.select(*cols).unionByName(rest.drop("cut")).toDF(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "__cut.n_words", "__cut.n_removed", F.sha2("__cut.kept", 256).alias("kept_sha256"))
+    touched, rest = removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return touched.unionByName(rest).select("doc_id", "cut.n_words", "cut.n_removed", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -113,10 +113,18 @@ def test_substrings_of_texts_that_repeat_themselves(spark, tmp_path):
     assert table(q.columns, [tuple(r) for r in q.collect()]) == table(["doc_id", "n_words", "n_removed", "kept_sha256"], brute_op2(rows))
 
 
-def test_automaton():
-    a = substrings.Automaton(b"a b c a b d".split())
-    assert a.matches(b"x a b d c a b c".split(), 3) == [(1, 4), (4, 7)] or a.matches(b"x a b d c a b".split(), 3) == [(1, 7)]
-    assert a.matches(b"z z".split(), 1) == []
+def test_automaton_meets_brute_force():
+    rng = random.Random(3)
+    for turn in range(300):
+        n, k = rng.choice([2, 3, 30]), rng.choice([1, 2, 3, 5])
+        text = lambda m: [b"%d" % rng.randrange(n) for _ in range(m)]
+        known = [(rng.randrange(5), text(rng.randrange(20))) for _ in range(rng.randrange(6))]
+        a = substrings.Automaton(known)
+        words, number = text(rng.randrange(30)), rng.randrange(6)
+        earlier = {tuple(w[i : i + k]) for j, w in known if j < number for i in range(len(w) - k + 1)}
+        want = {p for i in range(len(words) - k + 1) if tuple(words[i : i + k]) in earlier for p in range(i, i + k)}
+        spans = a.matches(words, k, number)
+        assert {p for x, y in spans for p in range(x, y)} == want and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False)), turn
 
 
 def test_decontamination_edges(spark, edge):
