@@ -6,9 +6,9 @@ always shares a kept fingerprint at the same place. The fingerprints are joined,
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after folding A-Z. An item of fewer than `window` words is one window.
 
 Defined cases: a null or empty text has no words and no hits; null ids are kept as they are; items
-without an id hit like others, count as one item together and add nothing to items_sha256; rows with equal id and
-text give one result row; items without words are ignored; an empty benchmark hits nothing; columns other than those
-named are ignored.
+without an id hit like others, count as one item together and add nothing to items_sha256; each input row gives one result
+row, also repeated ones; items without words are ignored; an empty benchmark hits nothing; a very long text is read in one
+piece, a text at a time; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import id_key, materialize, text_key
+from .shared import broadcast_if_small, id_key, materialize, may_be_in, renamed, text_key
 
 WINDOW, GRAM = 10, 5
 #: Entries of the filter that fingerprints of documents pass before the join; its size does not depend on the data.
 FILTER_BITS = 1 << 22
-#: The benchmark side is broadcast up to this many fingerprints, else both sides are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def winnow(grams: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
@@ -105,11 +103,9 @@ def filter_bits(fps: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, doc_id, n_words, item_id, a, b): words a to b of the document stand in item_id, which may be null; one row with null a and b where nothing does."""
+def scanned(documents: DataFrame, fps: DataFrame, window: int, gram: int) -> DataFrame:
+    """(k1, k2, doc_id, n_words, found) of every row of documents; found: its fingerprints that items may have."""
     spark = documents.sparkSession
-    fps = materialize(benchmark_fingerprints(benchmark, window, gram), "benchmark-fingerprints")
-    n = fps.count()
     short = sorted(-r[0] for r in fps.filter("length < 0").select("length").distinct().collect())
     bits = spark.sparkContext.broadcast(filter_bits(fps))
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"), id_key(), text_key())
@@ -124,52 +120,47 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
                 np.cumsum(np.bincount(doc, minlength=hi - lo), out=at[1:])
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), part.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), entry)], ["k1", "k2", "doc_id", "n_words", "found"])
 
-    rows = docs.mapInArrow(run, out).select("k1", "k2", "doc_id", "n_words", F.explode_outer("found").alias("f")).select("k1", "k2", "doc_id", "n_words", "f.*")
-    side = F.broadcast(fps) if n <= BROADCAST_ROWS else fps
-    joined = rows.join(side, ["fp", "length"], "left").select("k1", "k2", "doc_id", "n_words", "pos", "length", "ctx", "item_ctx", "item_id")
+    return materialize(docs.mapInArrow(run, out), "document-fingerprints")
+
+
+def hits(rows: DataFrame, fps: DataFrame, window: int, gram: int) -> DataFrame:
+    """(k1, k2, item_id, a, b): words a to b of the document stand in item_id, which may be null. Repeated rows count once."""
+    each = rows.filter(F.size("found") > 0).select("k1", "k2", F.explode("found").alias("f")).select("k1", "k2", "f.*").distinct()
+    joined = each.join(broadcast_if_small(fps), ["fp", "length"]).select("k1", "k2", "pos", "length", "ctx", "item_ctx", "item_id")
     before, size = window - gram, 2 * window - gram
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            item = np.asarray(b.column("item_ctx").is_valid())
-            length = b.column("length").fill_null(0).to_numpy(zero_copy_only=False)
-            pos = b.column("pos").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            mine, theirs = np.zeros((len(item), size), np.uint64), np.zeros((len(item), size), np.uint64)
-            if item.any():
-                for side, name in ((mine, "ctx"), (theirs, "item_ctx")):
-                    side[item] = np.frombuffer(b"".join(b.column(name).filter(pa.array(item)).to_pylist()), np.uint64).reshape(-1, size)
+            length, pos = b.column("length").to_numpy(), b.column("pos").to_numpy().astype(np.int64)
+            mine, theirs = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, size) for c in ("ctx", "item_ctx"))
             same = (mine == theirs) & (mine != 0)
             left = np.cumprod(same[:, :before][:, ::-1], axis=1).sum(axis=1)
             right = np.cumprod(same[:, before + gram :], axis=1).sum(axis=1)
-            short_hit = item & (length < 0) & same[np.arange(len(item))[:, None], before + np.arange(gram)[None, :]][:, :1].all(axis=1)
-            long_hit = item & (length > 0) & same[:, before : before + gram].all(axis=1) & (left + gram + right >= window)
-            hit = short_hit | long_hit
+            hit = np.where(length > 0, same[:, before : before + gram].all(axis=1) & (left + gram + right >= window), same[:, before])
             a = np.where(length > 0, pos - left, pos)
             z = np.where(length > 0, pos + gram + right, pos - length)
-            no = ~hit
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("k1", "k2", "doc_id", "n_words")), pa.array(np.where(hit, b.column("item_id").to_numpy(zero_copy_only=False), None), pa.string()), pa.array(a, pa.int32(), mask=no), pa.array(z, pa.int32(), mask=no)],
-                ["k1", "k2", "doc_id", "n_words", "item_id", "a", "b"],
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "item_id")), pa.array(a, pa.int32()), pa.array(z, pa.int32())], ["k1", "k2", "item_id", "a", "b"]).filter(pa.array(hit))
 
-    return joined.mapInArrow(extend, out[: out.index(", found")] + ", item_id string, a int, b int")
+    return joined.mapInArrow(extend, "k1 long, k2 long, item_id string, a int, b int")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, doc_id, n_words, n_hit, items sorted, n_items with the null one, spans) of every document."""
-    union = "aggregate(array_sort(collect_set(if(a is null, null, struct(a, b)))), struct(0L as n, 0L as upto), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.upto)) as n, greatest(s.upto, cast(x.b as long)) as upto)).n"
-    return (
-        hits(documents, benchmark, window, gram)
-        .groupBy("k1", "k2", "doc_id", "n_words")
-        .agg(F.expr(union).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"), F.expr("cast(size(collect_set(item_id)) + max(if(a is not null and item_id is null, 1, 0)) as long)").alias("n_items"), F.expr("array_sort(collect_set(if(a is null, null, struct(a, b))))").alias("spans"))
-    )
+    """(k1, k2, doc_id, n_words, n_hit, items sorted, n_items with the null one, spans): one row for each row of documents."""
+    fps = materialize(benchmark_fingerprints(benchmark, window, gram), "benchmark-fingerprints")
+    rows = scanned(documents, fps, window, gram)
+    union = "aggregate(spans, struct(0L as n, 0L as upto), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.upto)) as n, greatest(s.upto, cast(x.b as long)) as upto)).n"
+    found = hits(rows, fps, window, gram).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.expr("cast(size(collect_set(item_id)) + max(if(item_id is null, 1, 0)) as long)").alias("n_items"), F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    out = rows.drop("found").join(found, ["k1", "k2"], "left")
+    return out.select("k1", "k2", "doc_id", "n_words", F.coalesce(F.expr(union), F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "spans")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a word of a benchmark window, with all their columns; repeated rows stay."""
-    bad = contamination(documents, benchmark).filter("n_hit > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    keyed = documents.withColumns({"__a": id_key(), "__b": text_key()})
-    return keyed.join(bad, [keyed["__a"] == bad["__k1"], keyed["__b"] == bad["__k2"]], "left_anti").drop("__a", "__b")
+    """The documents without a word of a benchmark window, with all their columns; repeated rows stay. Rows that can't be hit pass by
+    the join without a shuffle."""
+    bad = materialize(contamination(documents, benchmark).filter("n_hit > 0").select("k1", "k2").distinct(), "hit-documents")
+    plain, names = renamed(documents, "doc_id", "text")
+    touched, rest = may_be_in(plain.withColumns({"k1": id_key(), "k2": text_key()}), bad, "k1", "k2")
+    return rest.unionByName(touched.join(bad, ["k1", "k2"], "left_anti")).select(*plain.columns).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
