@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import LAST_ID, discard, drop_shuffles, id_key, materialize, partitions
+from .shared import LAST_ID, discard, drop_shuffles, id_key, materialize, may_be_in, partitions, renamed
 
 NUM, DEN, SHINGLE = 75, 100, 5
 BATCH_SHINGLES, BATCH_TEXTS, HOT = 1_000_000, 60_000, 16
@@ -324,15 +324,18 @@ def groups(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without those that link, over any number of links, to a smaller id; all columns stay. Of rows with equal id and
-    component one stays; rows without id stay."""
+    component one stays; rows without id stay. Rows that have no link and no twin pass by without a shuffle."""
     g = materialize(groups(documents), "groups")
-    worse = g.filter("component <> k1").select("k1").distinct()
-    again = g.filter("component = k1").groupBy("k1").count().filter("count > 1").select("k1")
-    keyed = documents.withColumn("__k1", id_key())
-    left = keyed.join(worse, keyed["__k1"] == worse["k1"], "left_anti")
-    once = left.join(again, left["__k1"] == again["k1"], "left_anti")
-    twice = left.join(again, left["__k1"] == again["k1"], "left_semi").dropDuplicates(["__k1"])
-    return once.unionByName(twice).drop("__k1")
+    tells = g.filter("component is not null").groupBy("k1").agg(F.max(F.col("component") != F.col("k1")).alias("worse"), F.count("*").alias("n"))
+    tells = materialize(tells.filter("worse or n > 1").select("k1", "worse"), "copies")
+    discard(g)
+    plain, names = renamed(documents, "doc_id", "text")
+    keyed = plain.withColumn("k1", id_key())
+    touched, rest = may_be_in(keyed, tells, "k1")
+    left = touched.join(tells, "k1", "left")
+    once, twins = left.filter("worse is null").drop("worse"), may_be_in(keyed, tells.filter("not worse"), "k1")[0]
+    twins = twins.join(tells.filter("not worse").select("k1"), "k1", "left_semi").dropDuplicates(["k1"])
+    return rest.unionByName(once).unionByName(twins).select(*plain.columns).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
