@@ -1,21 +1,26 @@
 """SentencePiece byte-pair encoding and decoding by vectorised merge rounds.
 
 A chunk's texts become one flat array of symbols. Words (a run of word marks and what follows) cannot merge with each
-other, so each different word is encoded once. Every round finds the best-ranked pair of each unfinished word (a
+other, so each different word is encoded once; long words are cut where no piece holds the two neighbours, which no merge can
+cross. Every round finds the best-ranked pair of each unfinished word (a
 segmented minimum), merges its leftmost non-overlapping occurrences in all words at once, and compacts the arrays,
 until no pair is left. All occurrences merge together only where no piece made from the result ranks better than it;
-the few other pieces merge one occurrence a round, so the order is exactly the library's.
+the few other pieces merge one occurrence a round, so the order is exactly the library's. A run of more than LONG symbols that
+can't be cut, which would take very many rounds, is merged by a heap of its pairs instead, in the same order.
 
 The library only reads the model file, on the driver; the tables (bounded by the vocabulary) are broadcast.
 
 Defined cases: a null text is empty; an empty text has the begin and end ids and decodes to ""; each input row gives
-one result row; characters outside the vocabulary become byte pieces; other columns are ignored.
+one result row; characters outside the vocabulary become byte pieces; a very long text is encoded in one piece, in time that
+grows with its length; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ from .shared import bounded_batches
 
 MARK, SPACE, UNKNOWN, NONE = 0x2581, 0x20, 1 << 20, np.int32(2**31 - 1)
 MODEL_NAME = "piece_bpe_32k.model"
+#: Words of more symbols are cut where they can be; runs of more are merged by a heap.
+SPLIT, LONG = 24, 512
 
 
 @dataclass
@@ -48,6 +55,13 @@ class Model:
     begin: int
     end: int
     probes: int
+    pairs: np.ndarray  # sorted pairs of code points that stand next to each other in a piece
+
+    @cached_property
+    def ranks(self) -> dict[int, int]:
+        """Rank of each pair of symbols, for runs that are merged one pair at a time."""
+        used = self.slots >= 0
+        return dict(zip(self.slots[used].tolist(), self.slot_rank[used].tolist(), strict=True))
 
 
 def hashed(key: np.ndarray, size: int) -> np.ndarray:
@@ -75,7 +89,7 @@ def load(path: str) -> Model:
         for k in range(1, len(p)):
             a, b = p[:k], p[k:]
             if a in symbols and b in symbols:
-                keys.append(symbols[a] << 21 | symbols[b])
+                keys.append(symbols[a] << 22 | symbols[b])
                 ranks.append(rank[p])
                 for part in (a, b):
                     if rank.get(part, -1) > rank[p]:
@@ -96,11 +110,12 @@ def load(path: str) -> Model:
     return Model(
         np.array([c for c, _ in single], np.uint32), np.array([i for _, i in single], np.int32), slots, slot_rank, np.array([pieces[p] for p in longer], np.int32), together,
         np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), np.array([not s and p.startswith("▁") for s, p in zip(special, map(sp.id_to_piece, range(n)), strict=True)]), byte_ids, sp.bos_id(), sp.eos_id(), probes,
+        np.array(sorted({ord(a) << 22 | ord(b) for p in longer for a, b in zip(p, p[1:], strict=False)}), np.int64),
     )
 
 
 def pair_ranks(m: Model, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    key = left.astype(np.int64) << 21 | right
+    key = left.astype(np.int64) << 22 | right
     at, size = hashed(key, len(m.slots)), len(m.slots)
     out = np.where(m.slots[at] == key, m.slot_rank[at], NONE)
     open_ = np.flatnonzero((m.slots[at] != key) & (m.slots[at] >= 0))
@@ -155,6 +170,51 @@ def merge_words(m: Model, sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarr
     return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(counts))
 
 
+def cut_words(m: Model, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of each run, runs of each word): long words are cut between neighbours that stand in no piece together."""
+    first = np.cumsum(size) - size
+    start = np.zeros(len(chars), bool)
+    start[first] = True
+    long = np.flatnonzero(size > SPLIT)
+    if len(long) and len(m.pairs):
+        i = spread(first[long] + 1, size[long] - 1)
+        key = chars[i - 1].astype(np.int64) << 22 | chars[i].astype(np.int64)
+        start[i[m.pairs[np.minimum(np.searchsorted(m.pairs, key), len(m.pairs) - 1)] != key]] = True
+    return np.diff(np.append(np.flatnonzero(start), len(chars))), np.add.reduceat(start.astype(np.int64), first)
+
+
+def merge_long(m: Model, sym: list[int]) -> list[int]:
+    """The symbols of one run after all merges: the best-ranked pair first, of equals the leftmost."""
+    after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+    heap = [(m.ranks[k], i, k) for i in range(len(sym) - 1) if (k := sym[i] << 22 | sym[i + 1]) in m.ranks]
+    heapify(heap)
+    while heap:
+        rank, i, key = heappop(heap)
+        j = after[i]
+        if sym[i] < 0 or j >= len(sym) or sym[i] << 22 | sym[j] != key:
+            continue
+        sym[i], sym[j], after[i] = int(m.by_rank[rank]), -1, after[j]
+        if after[i] < len(sym):
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < len(sym) and (k := sym[a] << 22 | sym[b]) in m.ranks:
+                heappush(heap, (m.ranks[k], a, k))
+    return [x for x in sym if x >= 0]
+
+
+def merged(m: Model, sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """merge_words, with long runs merged before."""
+    if len(long := np.flatnonzero(counts > LONG)):
+        at, parts = np.cumsum(counts), []
+        counts, done = counts.copy(), 0
+        for i in long:
+            run = merge_long(m, sym[at[i] - counts[i] : at[i]].tolist())
+            parts += [sym[done : at[i] - counts[i]], np.array(run, np.int32)]
+            done, counts[i] = at[i], len(run)
+        sym = np.concatenate([*parts, sym[done:]])
+    return merge_words(m, sym, counts)
+
+
 def to_bytes(m: Model, sym: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Characters outside the vocabulary as byte pieces: (ids, ids a word)."""
     code = sym - UNKNOWN
@@ -183,14 +243,13 @@ def encode(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     if not len(starts):
         n = len(offsets) - 1
         return np.tile(np.array([m.begin, m.end], np.int32), n), np.full(n, 2)
-    up, down = W.BYTE_POWERS(len(flat) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], dtype=np.uint64)])
-    h = W.mix((sums[starts + size] - sums[starts]) * down[starts] + size.astype(np.uint64))
-    _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+    _, index, inverse = np.unique(W.span_hashes(flat.view(np.uint8), 4 * starts, 4 * (starts + size)), return_index=True, return_inverse=True)
     chars = flat[spread(starts[index], size[index])]
     where = np.minimum(np.searchsorted(m.chars, chars), len(m.chars) - 1)
     sym = np.where(m.chars[where] == chars, m.char_ids[where], UNKNOWN + chars.astype(np.int32)).astype(np.int32)
-    sym, per = merge_words(m, sym, size[index])
+    runs, runs_a_word = cut_words(m, chars, size[index])
+    sym, per = merged(m, sym, runs)
+    per = np.add.reduceat(per, np.cumsum(runs_a_word) - runs_a_word)
     sym, per = to_bytes(m, sym, np.repeat(np.arange(len(per)), per), len(per))
     first = np.cumsum(per) - per
     per_word = per[inverse]

@@ -1,12 +1,14 @@
 """Words and hashes of whole Arrow batches at once.
 
 A batch's texts are one byte buffer. Words are runs of word bytes (every separator is ASCII, so UTF-8 bytes and
-characters agree). Hashes are polynomials modulo 2**64 from prefix sums, so a word or a run of k words costs a few
-vector operations however long it is.
+characters agree). A word's hash mixes eight bytes a step, all words of a chunk at once; a very long word has a digest of its
+own. Runs of k words are polynomials modulo 2**64 of these hashes, from prefix sums, so k costs nothing; k stays far below
+the lengths from which such polynomials can be made to agree.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +47,36 @@ class Powers:
         return self.up, self.down
 
 
+#: Words of more bytes are digested one by one.
+LONG_WORD = 256
+LANE_KEY, LENGTH_KEY = U64(0x9FB21C651E98DF25), U64(0xA0761D6478BD642F)
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of the bytes data[starts[i]:ends[i]] for every i."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(size.astype(U64) + LENGTH_KEY)
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(live):
+        left = size[live] - at
+        out[live] = mix(out[live] ^ ((lanes[starts[live] + at] & TAIL[np.minimum(left, 8)]) * LANE_KEY))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0x5851F42D4C957F2D))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def byte_class(lower: bool, alphanumeric: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(is a word byte, value) of each byte; lower folds A-Z, alphanumeric takes digits, letters and non-ASCII only."""
+def byte_class(lower: bool, alphanumeric: bool) -> tuple[np.ndarray, bool]:
+    """(is a word byte of each byte, lower); lower folds A-Z, alphanumeric takes digits, letters and non-ASCII only."""
     word = np.ones(256, bool)
     if alphanumeric:
         word[:128] = False
@@ -61,14 +85,14 @@ def byte_class(lower: bool, alphanumeric: bool) -> tuple[np.ndarray, np.ndarray]
             word[ord("A") : ord("Z") + 1] = True
     else:
         word[[0x20, *range(0x09, 0x0E)]] = False
-    return word, (BYTE_VALUES[LOWER] if lower else BYTE_VALUES)
+    return word, lower
 
 
 class Words:
     """The words of a chunk of texts: data, starts and ends of words, first[i]:first[i + 1] the words of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, np.ndarray]):
-        is_word, values = kind
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: tuple[np.ndarray, bool]):
+        is_word, self.lower = kind
         self.data, self.offsets = data, offsets
         w = is_word[data]
         before, after = np.zeros(len(w), bool), np.zeros(len(w), bool)
@@ -79,13 +103,9 @@ class Words:
         self.starts, self.ends = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        self.values = values
 
     def hashes(self) -> np.ndarray:
-        up, down = BYTE_POWERS(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(self.values[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
+        return span_hashes(LOWER[self.data] if self.lower else self.data, self.starts, self.ends)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
