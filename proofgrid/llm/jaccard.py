@@ -1,22 +1,27 @@
 """n-gram Jaccard join as a T-occurrence search (DivideSkip), with the components of its links.
 
-A document with n shingles needs T = ceil(0.75 n) of them in common with a partner. Of its n inverted lists the
-n - T + 1 shortest are merged to find candidates, and the T - 1 long ones are only probed, by binary search, for those.
-
-How Spark runs it. Shingle hashes travel packed, a sorted array per batch of documents and slice of the hash range;
-a slice counts in how many documents each shingle stands and sends back, to the batches, the ones that two or more
-have. A document whose other shingles already outnumber n - T can have no partner and leaves. Documents with equal sets
-are one. Each short list links its members to one pivot, the member whose shingles are the most common, by an exact
-overlap; a list that then still spans several components takes further pivots, and what is left is compared pair by pair,
-across components only. So a group of N near copies costs N comparisons and not N * N, and the components are exact;
-links between documents that already share a component are not produced.
+A document with n shingles needs T = ceil(0.75 n) of them in common with a partner, so every partner stands in one of its
+n - T + 1 shortest inverted lists. Those lists are joined by Spark and propose, for a query document, the others of the list;
+the block of documents proposed to one query is then searched by DivideSkip: the query's inverted lists over the block, the short
+ones merged with counts, the L longest set aside, and what reaches the required overlap less L probed for, by binary search, in
+those; documents that reach the overlap are its links.
+
+How Spark runs it. Shingle hashes travel packed, a sorted array per batch of documents and slice of the hash range; there are
+four slices a shuffle partition, so a slice is as large as a partition is. A slice counts in how many documents each shingle
+stands and sends back, to the batches, the ones that two or more have. A document whose other shingles already outnumber n - T
+can have no partner and leaves. Documents with equal sets are one. The queries of a list are its pivots: first one, the member
+whose shingles are the most common; a list whose members are then not of one component takes 16 more, then 256, and so on, and
+only members of other components are proposed to them. So a group of N near copies costs about N comparisons and not N * N, and a
+list ends when all its members are in one component or have been queries. Components are exact; links between documents that
+already share a component are not produced.
 
 Hot shingles: occurrences inside a batch are counted before the shuffle, and joins on shingles, pivots or labels have a
 written table on either side, so that adaptive execution can split a hot key.
 
 Defined cases: a null or empty text has 0 shingles and no links; fewer words than 5 are one shingle; a null id gets a
 null component and takes no part in links; rows with equal id are one node, each with its own n_shingles; repeated rows
-give repeated results; an empty table gives an empty result; other columns are ignored.
+give repeated results; of equally common pivots the one with the smallest id is taken; a very long text is cut into shingles in one
+piece; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +41,18 @@ from .shared import LAST_ID, discard, drop_shuffles, id_key, materialize, may_be
 
 NUM, DEN, SHINGLE = 75, 100, 5
 BATCH_SHINGLES, BATCH_TEXTS, HOT = 1_000_000, 60_000, 16
-#: Rounds of further pivots before lists that still span components are compared pair by pair.
-PIVOT_ROUNDS, PAIRS_A_ENTRY = 4, 1000
+#: A list that stays open takes so many times as many pivots in the next round.
+MORE_PIVOTS = 16
+#: Cost of merging an entry against that of a probe; it sets how many lists are long.
+MERGE_COST = 0.0085
 LOW, ALL = np.uint64((1 << 48) - 1), np.uint64(0xFFFF)
 
 
+def place(s: int) -> np.uint64:
+    """The upper bits of the tokens of slice s."""
+    return np.uint64((s * 40503 & 0xFFFF) << 48)
+
+
 def shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, text of each shingle, hash) by chunks, repeats included."""
     kind = W.byte_class(True, False)
@@ -63,7 +75,7 @@ def packed(df: DataFrame, slices: int, k: int) -> DataFrame:
 
     def close(uid: int, ids: list, text: list, value: list) -> pa.RecordBatch:
         ids, text, value = np.concatenate(ids), np.concatenate(text), np.concatenate(value)
-        part = ((value >> np.uint64(48)) % np.uint64(slices)).astype(np.uint16)
+        part = ((value >> np.uint64(16)) % np.uint64(slices)).astype(np.int32)
         key = (value & LOW) << np.uint64(16) | text.astype(np.uint64)
         order = np.argsort(part, kind="stable")
         part, key = part[order], key[order]
@@ -82,12 +94,12 @@ def packed(df: DataFrame, slices: int, k: int) -> DataFrame:
             if (count >= HOT).any():
                 hot = np.repeat(count >= HOT, count)
                 hot_key.append(own[hot])
-                hot_part.append(np.full(hot.sum(), s, np.uint16))
+                hot_part.append(np.full(hot.sum(), s, np.int32))
                 weights = count[count >= HOT].astype(np.int64).tobytes()
                 own = np.concatenate([own[~hot], token[start[count >= HOT]] << np.uint64(16) | ALL])
             rows.append((s, uid, 1, own.tobytes(), weights))
         none = np.zeros(0, np.uint64)
-        hot = np.concatenate([*hot_key, none]).tobytes() + np.concatenate([*hot_part, np.zeros(0, np.uint16)]).tobytes()
+        hot = np.concatenate([*hot_key, none]).tobytes() + np.concatenate([*hot_part, np.zeros(0, np.int32)]).tobytes()
         rows.append((uid % slices, uid, 0, ids.tobytes() + size.tobytes(), hot))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "uid", "kind", "blob", "extra"])
 
@@ -177,21 +189,21 @@ def states(returned: DataFrame, slices: int) -> DataFrame:
             head = next(r for r in rows if r[2] == 0)
             ids, size = np.frombuffer(head[3], np.int64).reshape(2, -1)
             hot = np.frombuffer(head[4], np.uint8)
-            n_hot = len(hot) // 10
-            hot_key, hot_part = hot[: 8 * n_hot].view(np.uint64), hot[8 * n_hot :].view(np.uint16)
+            n_hot = len(hot) // 12
+            hot_key, hot_part = hot[: 8 * n_hot].view(np.uint64), hot[8 * n_hot :].view(np.int32)
             tokens, text, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, _, kind, blob, extra in rows:
                 if kind == 0:
                     continue
                 key, n_in = np.frombuffer(blob, np.uint64), np.frombuffer(extra, np.uint16).astype(np.int64)
                 whole = (key & ALL) == ALL
-                tokens.append(key[~whole] >> np.uint64(16) | np.uint64(s << 48))
+                tokens.append(key[~whole] >> np.uint64(16) | place(s))
                 text.append((key[~whole] & ALL).astype(np.int64))
                 df.append(n_in[~whole])
                 if whole.any():
                     own = hot_key[hot_part == s]
                     at = np.searchsorted(key[whole] >> np.uint64(16), own >> np.uint64(16))
-                    tokens.append(own >> np.uint64(16) | np.uint64(s << 48))
+                    tokens.append(own >> np.uint64(16) | place(s))
                     text.append((own & ALL).astype(np.int64))
                     df.append(n_in[whole][at])
             tokens, text, df = np.concatenate(tokens), np.concatenate(text), np.concatenate(df)
@@ -234,25 +246,47 @@ def fits(n: str, at: str, m: str, to: str):
     return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) * (NUM + DEN) >= (F.col(n) + F.col(m)) * NUM
 
 
+def search(query: np.ndarray, n: int, block: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Which documents of a block have the overlap with a query that links them; query: its tokens, sorted; n and sizes: shingles of each."""
+    need = -(-NUM * (n + sizes) // (NUM + DEN))
+    flat = np.concatenate(block)
+    owner = np.repeat(np.arange(len(block)), [len(x) for x in block])
+    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
+    hit = query[at] == flat
+    at, owner = at[hit], owner[hit]
+    order = np.argsort(at, kind="stable")
+    entries, length = owner[order], np.bincount(at, minlength=len(query))  # the inverted list of each token, documents in order
+    ends = np.cumsum(length)
+    t = max(int(need.min()), 1)
+    most = min(t - 1, int(t / (MERGE_COST * np.log2(max(length.max(), 2)) + 1)))
+    long = np.argsort(-length, kind="stable")[:most]
+    short = np.ones(len(query), bool)
+    short[long] = False
+    count = np.bincount(entries[np.repeat(short, length)], minlength=len(block))
+    left = np.flatnonzero(count >= need - most)
+    for token in long:
+        own = entries[ends[token] - length[token] : ends[token]]
+        if len(own) and len(left):
+            where = np.minimum(np.searchsorted(own, left), len(own) - 1)
+            count[left] += own[where] == left
+    return count >= need
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough: each token of b is probed, by binary search, in the list of a."""
+    """Those of pairs (a, b) whose sets are similar enough: b is searched in blocks, a being the query."""
     one = sets.select(F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     two = sets.select(F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = own = None
         for b in batches:
-            sizes = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("t_a"), b.column("t_b"), strict=True)
-            keep = []
-            for n_a, n_b, t_a, t_b in sizes:
-                t_a = t_a.as_buffer()
-                if blob is None or not blob.equals(t_a):
-                    blob, own = t_a, np.sort(np.frombuffer(t_a, np.uint64))
-                probe = np.frombuffer(t_b.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(own, probe), len(own) - 1)
-                both = int((own[at] == probe).sum())
-                keep.append(both * DEN >= NUM * (n_a + n_b - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, n_a, n_b = (b.column(c).to_numpy() for c in ("a", "n_a", "n_b"))
+            keep = np.zeros(len(a), bool)
+            start = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+            for lo, hi in zip(start, np.append(start[1:], len(a)), strict=True):
+                query = np.sort(np.frombuffer(b.column("t_a")[int(lo)].as_buffer(), np.uint64))
+                keep[lo:hi] = search(query, int(n_a[lo]), [np.frombuffer(b.column("t_b")[i].as_buffer(), np.uint64) for i in range(lo, hi)], n_b[lo:hi])
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+        W.release()
 
     return pairs.join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
@@ -275,33 +309,26 @@ def links(state: DataFrame) -> DataFrame:
     lists = materialize(short_lists(reps), "short-lists")
     best = F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at")).alias("p")
     pivots = materialize(lists.groupBy("token").agg(best, F.count("*").alias("size")).filter("size > 1").select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot")), "pivots")
-    used = [pivots]
     pairs = lists.join(pivots, "token").filter((F.col("k1") != F.col("pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
     edges = more(edges, linked(pairs, reps))
     open_, members = lists.join(pivots.select("token"), "token", "left_semi"), lists
-    for turn in range(PIVOT_ROUNDS + 1):
+    used, done, classes = [pivots], pivots.select("token", "pivot"), MORE_PIVOTS
+    while True:
         labels = components(edges)
         last, members = members, open_.join(labels, open_["k1"] == labels["node"], "left").select("token", "k1", "n", "at", "weight", F.coalesce("label", "k1").alias("label"))
-        several = members.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi and size > 2")
-        several = materialize(several.select("token"), "open")
+        several = members.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        several = materialize(several.join(done.groupBy("token").agg(F.count("*").alias("asked")), "token").filter("size > asked + 1").select("token"), "open")
         members = materialize(members.join(several, "token"), "open-lists")
         discard(last, labels, several)
-        size = members.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        entries, cross = members.count(), size.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0]
-        if not entries:
-            break
-        if turn == PIVOT_ROUNDS or cross <= PAIRS_A_ENTRY * entries:
-            two = members.select("token", F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("l_b"))
-            pairs = members.join(two, "token").filter((F.col("k1") < F.col("b")) & (F.col("label") != F.col("l_b")) & fits("n", "at", "n_b", "at_b")).select(F.col("k1").alias("a"), "b").distinct()
-            edges = more(edges, linked(pairs, reps))
+        if members.isEmpty():
             break
-        # the next pivot: the most common member that is no pivot yet; a list without one left has only compared pairs
-        done = pivots.select("token", F.col("pivot").alias("k1"))
-        nxt = materialize(members.join(done, ["token", "k1"], "left_anti").groupBy("token").agg(F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at", "label")).alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot"), F.col("p.label").alias("l_pivot")), "pivots")
-        pairs = members.join(nxt, "token").filter((F.col("label") != F.col("l_pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
+        new = members.join(done, (members["token"] == done["token"]) & (members["k1"] == done["pivot"]), "left_anti").groupBy("token", F.pmod(F.xxhash64("k1"), F.lit(classes)))
+        new = new.agg(F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at", "label")).alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot"), F.col("p.label").alias("l_pivot"))
+        new = materialize(new, "pivots")
+        pairs = members.join(new, "token").filter((F.col("label") != F.col("l_pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
         edges = more(edges, linked(pairs, reps))
-        used.append(nxt)
-        pivots = pivots.select("token", "pivot").union(nxt.select("token", "pivot"))
+        used.append(new)
+        done, classes = done.union(new.select("token", "pivot")), classes * MORE_PIVOTS
         open_ = members.select("token", "k1", "n", "at", "weight")
     discard(reps, members, *used)
     return edges
@@ -310,7 +337,7 @@ def links(state: DataFrame) -> DataFrame:
 def groups(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(k1, n_shingles, component): one row for each row of documents; component null where the id is."""
     spark = documents.sparkSession
-    slices = min(4 * partitions(spark), 32_000)
+    slices = 4 * partitions(spark)
     packs = packed(documents.select(id_key(), F.col("text").cast("string").alias("text")), slices, shingle)
     state = materialize(states(shared_shingles(packs, slices), slices), "shingle-sets")
     drop_shuffles(spark)  # those of the packed shingles
