@@ -34,7 +34,7 @@ WINDOW, ANCHOR = 50, 8
 #: Places of a cell: of sources, whose windows in one are a piece, and of documents, whose windows in one are a range; powers of 2.
 PIECE_BITS, RANGE_BITS = 9, 12
 #: Words of a shard's pieces, and of documents that one task streams through it, both about.
-SHARD, STREAM = 32_768, 262_144
+SHARD, STREAM = 32_768, 65_536
 
 
 class Automaton:
