@@ -5,7 +5,8 @@ record is put together again by a join on the digest, and parsed: its length and
 
 Defined cases: a null html is an empty payload; a null url is empty; of equal payloads of at least `least` bytes the record
 with the smallest page_id is the response and the others revisit it; a null page_id sorts after all others; repeated rows
-with the response's page_id are each a response; smaller payloads are all responses; other columns are ignored.
+with the response's page_id are each a response; smaller payloads are all responses; a very long page is one payload, a row
+at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ counters, timestamps, clock references and random-access marks. Reading parses t
 counters, puts the elementary packets together again, and gives the payload with its access points.
 
 Defined cases: a null or empty text is 192 spaces; each input row gives one result row; lost or repeated packets are
-counted, a repeated one is dropped, and what can't be read is left out; other columns are ignored.
+counted, a repeated one is dropped, and what can't be read is left out; equal texts have equal streams; a very long text is more
+units of one stream, a row at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ the fitted vectors and output layer fold into one number a bucket, so a word see
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; each input row gives one
 result row, also repeated ones; a null id is in no fold (held_out null) and never trained on; rows whose label is null
-or that have two labels count once for each label; without training rows every score is 0.5; other columns are ignored.
+or that have two labels count once for each label; without training rows every score is 0.5; of labelled rows with equal hash
+the smaller id is taken; a very long text is scored whole, in one piece; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ import pytest
 from conftest import duck, same, table
 
 import corpus_pipeline
-from proofgrid.llm import archive, chat, extraction, licenses, media, pieces, quality, substrings
+from proofgrid.llm import archive, chat, extraction, jaccard, licenses, media, pieces, quality, substrings
 from proofgrid.llm.registry import QUERIES, SQL
 
 NAMES = "op1_chat_rotation op2_substring_dedup op3_decontamination op6_jaccard_join op9_warc".split()
@@ -168,34 +168,57 @@ def test_decontamination_by_items_without_id(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {5, 6}
 
 
-def test_jaccard_edges(spark, edge):
-    rows = edge_rows()
+def brute_components(rows) -> list[tuple]:
+    """(id, shingles, component) of each row."""
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets.append({tuple(w[a : a + 5]) for a in range(max(len(w) - 4, 1))} if w else set())
     label = {i: i for i, _ in rows if i is not None}
+    linked = [(a, b) for (a, _), s in zip(rows, sets, strict=True) for (b, _), t in zip(rows, sets, strict=True) if a is not None and b is not None and s and t and 100 * len(s & t) >= 75 * len(s | t)]
     for _ in rows:
-        for (a, _), s in zip(rows, sets, strict=True):
-            for (b, _), t in zip(rows, sets, strict=True):
-                if a is not None and b is not None and s and t and 100 * len(s & t) >= 75 * len(s | t):
-                    label[a] = label[b] = min(label[a], label[b])
-    want = sorted(repr((i, len(s), None if i is None else label[i])) for (i, _), s in zip(rows, sets, strict=True))
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+    return [(i, len(s), None if i is None else label[i]) for (i, _), s in zip(rows, sets, strict=True)]
+
+
+def test_jaccard_edges(spark, edge):
+    want = sorted(map(repr, brute_components(edge_rows())))
     assert sorted(repr(tuple(r)) for r in QUERIES["op6_jaccard_join"](spark, edge).collect()) == want
 
 
-def test_sentencepiece(spark, sf_dir, edge):
-    import public_tokenizers
-    import sentencepiece
+def test_jaccard_lists_that_stay_open(spark, tmp_path):
+    """Many documents that share half of their shingles, in groups of near copies: lists of many components."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(40)]
+    rows = []
+    for g in range(30):
+        own = [f"g{g}_{i}" for i in range(30)]
+        for c in range(rng.randrange(1, 5)):
+            w = shared + own
+            if c:
+                w = [*w[: 69 - rng.randrange(6)], f"c{c}"]
+            rows.append((len(rows), " ".join(w)))
+    pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}), tmp_path / "documents.parquet")
+    got = sorted(repr(tuple(r)) for r in QUERIES["op6_jaccard_join"](spark, str(tmp_path)).collect())
+    assert got == sorted(map(repr, brute_components(rows)))
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL_NAME))
-    for d in (sf_dir, edge):
-        want = []
-        for r in pq.read_table(f"{d}/documents.parquet").to_pylist():
-            ids = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
-            want.append((r["doc_id"], len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(sp.decode(ids).encode())))
-        q = pieces.query(spark, d)
-        assert table(q.columns, [tuple(r) for r in q.collect()]) == table(q.columns, want)
+
+def test_search_meets_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        n, extra = int(rng.integers(1, 60)), int(rng.integers(0, 8))
+        query = np.sort(rng.choice(200, n, replace=False).astype(np.uint64))
+        block = []
+        for _ in range(int(rng.integers(1, 20))):
+            own = np.concatenate([query[rng.random(n) > rng.random() * 0.5], rng.choice(np.arange(200, 400), int(rng.integers(1, 12)), replace=False).astype(np.uint64)])
+            rng.shuffle(own)
+            block.append(own)
+        sizes = np.array([len(x) + int(rng.integers(0, 3)) for x in block])
+        both = np.array([len(set(query.tolist()) & set(x.tolist())) for x in block])
+        assert jaccard.search(query, n + extra, block, sizes).tolist() == (100 * both >= 75 * (n + extra + sizes - both)).tolist()
 
 
 def morse(n: int, swap: bool = False) -> str:
@@ -255,6 +278,40 @@ def test_transport_streams(spark, sf_dir, edge):
         assert got == sorted(want)
 
 
+def read_stream(ts: bytes) -> tuple[bytes, int, list[int], int]:
+    """(payload, packets, timestamps, access points) of the one elementary stream, read by the standard and nothing of ours."""
+    units, times, access, last = [], [], 0, None
+    assert len(ts) % 188 == 0
+    for at in range(0, len(ts), 188):
+        p = ts[at : at + 188]
+        assert p[0] == 0x47
+        pid, body = (p[1] & 0x1F) << 8 | p[2], 4
+        if p[3] & 0x20:
+            access += pid == 0x100 and p[4] > 0 and p[5] >> 6 & 1
+            body = 5 + p[4]
+        if pid == 0x100:
+            assert last is None or p[3] & 15 == (last + 1) % 16
+            last = p[3] & 15
+            if p[1] & 0x40:
+                units.append(b"")
+            units[-1] += p[body:]
+    for u in units:
+        assert u[:4] == b"\x00\x00\x01\xbd" and int.from_bytes(u[4:6], "big") == len(u) - 6
+        t = u[9:14]
+        times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+    return b"".join(u[9 + u[8] :] for u in units), len(ts) // 188, times, access
+
+
+def test_transport_streams_read_by_the_standard(spark, edge):
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    streams = {hashlib.sha256(r.media).hexdigest(): r.media for r in media.stored(docs).collect()}
+    for r in media.query(spark, edge).collect():
+        payload, packets, times, access = read_stream(streams[r.media_sha256])
+        assert (sha(payload), len(payload), len(streams[r.media_sha256])) == (r.payload_sha256, r.payload_bytes, r.media_bytes)
+        assert r.feature == f"pid=256;type=6;packets={packets};units={len(times)};random={access};gaps=0;repeats=0;bad_tables=0;last_time={times[-1]}"
+        assert times == [3600 * i for i in range(len(times))]
+
+
 def test_transport_streams_lost_and_repeated_packets():
     payload = bytes(range(256)) * 192
     ts = media.mux(payload)
@@ -377,6 +434,30 @@ def test_html_noise_in_any_element():
     assert extraction.main_text("<div>a<section class='comments'><article>NO</article></section></div>", "article") == "a"
 
 
+def test_html_tags_as_browsers_read_them():
+    cases = [("<p title=\"5\" tall\">Hello</p>", "Hello"), ("<p title='a>b'>x</p>", "x"), ("a<p x=1 y>b</p", "a b"), ("a <b", "a"), ("1 < 2 <3", "1 < 2 <3"), ("<p =>x", "x"), ("<div class=\"alert-fatigue\">kept</div>", "kept"), ("<div class='alert alert-info'>NO</div>a", "a"), ("<p id=cookie-notice>NO<p>a", "a"), ("<p class='comment-list'>NO<p>a", "a"), ("<p class='shared-memory ad-hoc'>kept", "kept"), ("<p><!-- x > --> y</p></ >z", "y z"), ("<script>if (a</b) {}</script >x", "x"), ("<!doctype html><p>é &lt;b&gt;", "é <b>")]
+    for page, want in cases:
+        assert extraction.main_text(f"<article>{page}", "article") == want, page
+
+
+def test_html_long_pages_and_many_streams_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<a href=\"" * 100_000, "<p " * 300_000, "<div>" * 50_000, "<p>x" * 100_000, "<a b='" + "<p>" * 200_000, "<!--" * 200_000, "<script>" * 100_000, "<" * 300_000):
+        extraction.walk(page)
+    assert time.perf_counter() - start < 40
+    rng = random.Random(1)
+    streams = [[f"t{rng.randrange(300)}" for _ in range(120)] for _ in range(400)]
+    start = time.perf_counter()
+    import json
+
+    import pandas as pd
+
+    wrapper = json.loads(extraction.merged(pd.Series([json.dumps(s) for s in streams])))
+    assert time.perf_counter() - start < 30 and len(wrapper) < 5000
+
+
 def test_html_slots_of_hosts_without_article(spark, tmp_path):
     links = lambda i: "".join(f"<div class='link'><h3>L{i}{k}</h3><div class='by'>B{i}{k}</div></div>" for k in range(4))
     body = lambda i: [f"title {i}"] + [f"paragraph {k} of page {i} " + "word " * 40 for k in range(1 + i % 3)]
@@ -432,6 +513,62 @@ def test_quality(spark, edge):
     assert len(rows) == len(edge_rows()) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_scores_meet_brute_force(spark, edge):
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    weights, bias = rng.normal(size=quality.BUCKETS).astype(np.float32), 0.3
+    buckets: dict[str, list[int]] = {}
+
+    def of(word: str) -> list[int]:
+        if word not in buckets:
+            raw = word.encode()
+            buckets[word] = quality.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
+            assert len(buckets[word]) == 1 + sum(max(0, len(word) + 2 - n + 1) for n in quality.NGRAMS)
+        return buckets[word]
+
+    want = []
+    for i, t in edge_rows():
+        words = re.findall(r"[^\x20\x09-\x0d]+", t or "")
+        all_ = [b for w in words for b in of(w)] + [0 for a, b in zip(words, words[1:], strict=False) if a == b]
+        want.append((i, 1 / (1 + math.exp(-(sum(float(weights[b]) for b in all_) / max(len(all_), 1) + bias)))))
+    docs = spark.read.parquet(f"{edge}/documents.parquet").select("doc_id", "text")
+    got = [(r.doc_id, r.score) for r in quality.score(docs, (weights, bias)).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for (i, a), (j, b) in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert i == j and abs(a - b) < 1e-4
+
+
+def test_pipeline_stages_on_difficult_rows(spark, edge):
+    docs, rows = spark.read.parquet(f"{edge}/documents.parquet"), edge_rows()
+    kept = lambda df: sorted(repr((r.doc_id, r.text)) for r in df.select("doc_id", "text").collect())
+    clash = lambda df: {(r.k1, r.score, r.label, r.anchor, r.n_words) for r in df.collect()} == {("z", 1.0, "q", None, 3)}
+    label = brute_components(rows)
+    once: dict[int, tuple] = {}
+    for (i, t), (_, _, c) in zip(rows, label, strict=True):
+        if i is not None and c == i:
+            once.setdefault(i, (i, t))
+    out = corpus_pipeline.near_duplicates(spark, docs, edge)
+    assert out.columns == docs.columns and clash(out) and kept(out) == sorted(map(repr, [*once.values(), *[r for r in rows if r[0] is None]]))
+    out = corpus_pipeline.substring_dedup(spark, docs, edge)
+    want = {(i, n, gone, digest) for i, n, gone, digest in brute_op2(rows)}
+    assert out.columns == docs.columns and clash(out) and out.count() == len(rows)
+    plain = {(i, t) for i, t in rows}
+    assert all((r.doc_id, r.text) in plain and r.n_chars == (None if r.text is None else len(r.text)) or any(i == r.doc_id and gone and sha(r.text.encode()) == digest and r.n_chars == len(r.text) for i, _, gone, digest in want) for r in out.collect())
+    assert sum((r.doc_id, r.text) not in plain for r in out.collect()) == sum(bool(gone) for _, _, gone, _ in brute_op2(rows))
+    out = corpus_pipeline.benchmark_decontamination(spark, docs, edge)
+    hit = {(r.doc_id, r.n_words) for r in QUERIES["op3_decontamination"](spark, edge).collect() if r.contaminated}
+    words = lambda t: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    assert out.columns == docs.columns and clash(out) and kept(out) == sorted(repr(r) for r in rows if (r[0], words(r[1])) not in hit)
+    scored = QUERIES["op10_quality"](spark, edge).collect()
+    out = corpus_pipeline.quality_classifier(spark, docs, edge)
+    assert out.columns == docs.columns and out.count() == sum(r.predicted for r in scored) and (not out.count() or clash(out))
+    out = corpus_pipeline.sentencepiece_encoding(spark, docs, edge)
+    assert out.count() == len(rows)
+
+
 def test_pipeline_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names, kept = docs.columns, {}
