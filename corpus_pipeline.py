@@ -17,22 +17,32 @@ from proofgrid.llm.shared import folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score reaches the classifier's threshold; the others go. Null and empty texts are scored by the bias alone, repeated
+    rows alike, a very long text whole; a null id is never trained on; an empty table stays empty; other columns stay as they are."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents that with the smallest id, and one row of those that share its id and group. Documents without words
+    link with nothing, rows without id all stay; texts and other columns stay as they are."""
     return jaccard.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of 50-word windows that a document with a smaller id has too. A text that loses nothing stays as it is, null
+    and empty ones too; one that loses words is its other words joined by one space, and n_chars follows; a null id sorts last; other columns
+    stay as they are, repeated rows alike."""
     return substrings.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a word of a benchmark window; null and empty texts have none and stay, an empty benchmark drops nothing, items without id
+    count like others; other columns stay as they are, repeated rows alike."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; a null text is empty, repeated rows alike, an empty table stays empty."""
     return pieces.digests(docs)
 
 
