@@ -10,7 +10,7 @@ How Spark runs it. Shingle hashes travel packed, a sorted array per batch of doc
 four slices a shuffle partition, so a slice is as large as a partition is. A slice counts in how many documents each shingle
 stands and sends back, to the batches, the ones that two or more have. A document whose other shingles already outnumber n - T
 can have no partner and leaves. Documents with equal sets are one. The queries of a list are its pivots: first one, the member
-whose shingles are the most common; a list whose members are then not of one component takes 16 more, then 256, and so on, and
+whose shingles are the most common; a list whose members are then not of one component takes 64 more, then 4096, and so on, and
 only members of other components are proposed to them. So a group of N near copies costs about N comparisons and not N * N, and a
 list ends when all its members are in one component or have been queries. Components are exact; links between documents that
 already share a component are not produced.
@@ -42,7 +42,7 @@ from .shared import LAST_ID, discard, drop_shuffles, id_key, materialize, may_be
 NUM, DEN, SHINGLE = 75, 100, 5
 BATCH_SHINGLES, BATCH_TEXTS, HOT = 1_000_000, 60_000, 16
 #: A list that stays open takes so many times as many pivots in the next round.
-MORE_PIVOTS = 16
+MORE_PIVOTS = 64
 #: Cost of merging an entry against that of a probe; it sets how many lists are long.
 MERGE_COST = 0.0085
 LOW, ALL = np.uint64((1 << 48) - 1), np.uint64(0xFFFF)
@@ -273,7 +273,8 @@ def search(query: np.ndarray, n: int, block: list[np.ndarray], sizes: np.ndarray
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough: b is searched in blocks, a being the query."""
+    """Those of pairs (a, b, and what else they carry) whose sets are similar enough: b is searched in blocks, a being the query."""
+    names = pairs.columns
     one = sets.select(F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     two = sets.select(F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
 
@@ -285,10 +286,10 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for lo, hi in zip(start, np.append(start[1:], len(a)), strict=True):
                 query = np.sort(np.frombuffer(b.column("t_a")[int(lo)].as_buffer(), np.uint64))
                 keep[lo:hi] = search(query, int(n_a[lo]), [np.frombuffer(b.column("t_b")[i].as_buffer(), np.uint64) for i in range(lo, hi)], n_b[lo:hi])
-            yield b.select(["a", "b"]).filter(pa.array(keep))
+            yield b.select(names).filter(pa.array(keep))
         W.release()
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select(*names, "n_a", "n_b", "t_a", "t_b").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def more(edges: DataFrame, found: DataFrame) -> DataFrame:
@@ -311,25 +312,33 @@ def links(state: DataFrame) -> DataFrame:
     pivots = materialize(lists.groupBy("token").agg(best, F.count("*").alias("size")).filter("size > 1").select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot")), "pivots")
     pairs = lists.join(pivots, "token").filter((F.col("k1") != F.col("pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
     edges = more(edges, linked(pairs, reps))
-    open_, members = lists.join(pivots.select("token"), "token", "left_semi"), lists
-    used, done, classes = [pivots], pivots.select("token", "pivot"), MORE_PIVOTS
+    labels = components(edges)
+    open_ = lists.join(pivots.select("token"), "token", "left_semi")
+    members = open_.join(labels, open_["k1"] == labels["node"], "left").select("token", "k1", "n", "at", "weight", F.coalesce("label", "k1").alias("label"))
+    used, done, classes, before = [pivots], pivots.select("token", "pivot"), MORE_PIVOTS, [labels, lists]
     while True:
-        labels = components(edges)
-        last, members = members, open_.join(labels, open_["k1"] == labels["node"], "left").select("token", "k1", "n", "at", "weight", F.coalesce("label", "k1").alias("label"))
         several = members.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
         several = materialize(several.join(done.groupBy("token").agg(F.count("*").alias("asked")), "token").filter("size > asked + 1").select("token"), "open")
         members = materialize(members.join(several, "token"), "open-lists")
-        discard(last, labels, several)
+        discard(several, *before)
         if members.isEmpty():
             break
         new = members.join(done, (members["token"] == done["token"]) & (members["k1"] == done["pivot"]), "left_anti").groupBy("token", F.pmod(F.xxhash64("k1"), F.lit(classes)))
         new = new.agg(F.max(F.struct("weight", (-F.col("k1")).alias("minus"), "n", "at", "label")).alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("p.at").alias("at_pivot"), F.col("p.label").alias("l_pivot"))
         new = materialize(new, "pivots")
-        pairs = members.join(new, "token").filter((F.col("label") != F.col("l_pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b")).distinct()
-        edges = more(edges, linked(pairs, reps))
+        pairs = members.join(new, "token").filter((F.col("label") != F.col("l_pivot")) & fits("n", "at", "n_pivot", "at_pivot")).select(F.col("pivot").alias("a"), F.col("k1").alias("b"), F.col("l_pivot").alias("l_a"), F.col("label").alias("l_b")).distinct()
+        found = materialize(linked(pairs, reps), "found")
+        if not found.isEmpty():
+            edges = more(edges, found.select("a", "b"))
+            joined = components(found.select(F.col("l_a").alias("a"), F.col("l_b").alias("b")))
+            before = [members, joined]
+            own = members.withColumnRenamed("label", "old")
+            members = own.join(joined, own["old"] == joined["node"], "left").select("token", "k1", "n", "at", "weight", F.coalesce("label", "old").alias("label"))
+        else:
+            before = [members]
+        discard(found)
         used.append(new)
         done, classes = done.union(new.select("token", "pivot")), classes * MORE_PIVOTS
-        open_ = members.select("token", "k1", "n", "at", "weight")
     discard(reps, members, *used)
     return edges
 
