@@ -21,10 +21,10 @@ PERCENT = ("percent_change", "margin_percent")
 #: Words that assert constancy without a number.
 CONSTANCY = ["flat", "stable", "steady", "unchanged", "roughly", "approximately", "about", "around", "in line", "consistent", "comparable", "similar", "modest", "slight", "marginal", "minimal", "negligible"]
 #: Phrases of a grounded context.
-NCI = r"(?i)(noncontrolling\s+(?:redeemable\s+)?interest|redeemable\s+noncontrolling\s+interest|non-controlling\s+interest|minority\s+interest|limited\s+partners['’]?\s+\w*\s*interest|interest\s+in\s+the\s+operating\s+partnership|redeemable\s+\w*\s*interest)"
+NCI = r"(?i)(noncontrolling\s+(?:redeemable\s+)?interest|redeemable\s+noncontrolling\s+interest|non-controlling\s+interest|minority\s+interest|limited\s+partners[’']?\s+\w*\s*interest|interest\s+in\s+the\s+operating\s+partnership|redeemable\s+\w*\s*interest)"
 REDEEMABLE = r"(?i)(redeemable\s+noncontrolling\s+interest|redeemable\s+operating\s+partnership|redeemable\s+(?:limited\s+)?partnership\s+units?|temporary\s+equity|mezzanine\s+equity|redeemable\s+\w*\s*units?)"
 TO_COMMON = r"(?i)(net\s+income\s+(?:applicable|available|attributable)\s+(?:to\s+)?common|net\s+income\s+applicable\s+common|(?:income|earnings)\s+available\s+to\s+common|preferred\s+(?:stock\s+)?dividend|preferred\s+(?:stock\s+)?(?:distributions|redemption))"
-RESTRICTED_LABEL = r"(?i)restricted\s+cash"
+RESTRICTED_LABEL = r"(?i)(and\s+restricted\s+cash|restricted\s+cash)"
 RESTRICTED_NOTE = r"(?i)\b(restricted\s+cash|escrow|reconcil(?:e|ed|iation|ing)|difference\s+attribut(?:able|ed)|included\s+in\s+cash\s+and\s+cash\s+equivalents)\b"
 
 
@@ -84,9 +84,14 @@ def classify(stated: Column, calc: Column, absolute: Column | None = None, rel:
     return F.when(~finite(stated) | ~finite(calc), verdict(AMBIGUOUS)).otherwise(verdict(F.when(ok, VERIFIED).otherwise(WRONG), calc, stated - calc))
 
 
+def bind(x: Column, f) -> Column:  # noqa: ANN001
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def declined(result: Column, when: Column) -> Column:
     """A conviction that evidence in the context explains becomes a decline."""
-    return F.when((result["status"] == WRONG) & F.coalesce(when, F.lit(False)), verdict(INSUFFICIENT, result["recomputed"], result["delta"])).otherwise(result)
+    return bind(result, lambda r: F.when((r["status"] == WRONG) & F.coalesce(when, F.lit(False)), verdict(INSUFFICIENT, r["recomputed"], r["delta"])).otherwise(r))
 
 
 def balance_sheet(v: Column, complete: Column, nci: Column, redeemable: Column, rel: float = BS_TOL) -> Column:
@@ -128,24 +133,19 @@ def far_apart(stated: Column, calc: Column) -> Column:
 def half_ulp(value: Column) -> Column:
     """Half the last published digit's unit, read from the shortest decimal form of the value."""
     v = F.abs(value)
-    s = v.cast("string")
-    frac = F.rtrim(F.regexp_extract(s, r"\.([0-9]+)", 1), F.lit("0"))
-    exp = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.greatest(F.length(frac) - exp, F.lit(0))
-    whole = v.try_cast("decimal(38,0)").cast("string")
-    zeros = F.length(whole) - F.length(F.rtrim(whole, F.lit("0")))
-    half = F.lit(0.5) * F.pow(F.lit(10.0), zeros)
-    return (
-        F.when(~finite(v) | (v == 0), 0.0)
-        .when((v >= 1e16) | (v < 1e-4), F.least(F.lit(0.5), v * ULP_CAP))
-        .when(v != F.floor(v), F.lit(0.5) * F.pow(F.lit(10.0), -digits))
-        .when(zeros > 0, F.least(half, v * ULP_CAP))
-        .otherwise(half)
-    )
+
+    def of_digits(p: Column) -> Column:
+        frac = F.length(p) - F.instr(p, ".")
+        zeros = F.length(p) - 1 - F.length(F.rtrim(F.rtrim(p, F.lit(".")), F.lit("0")))
+        half = F.lit(0.5) * F.pow(F.lit(10.0), F.when(frac > 0, -frac).otherwise(zeros))
+        return F.when((frac > 0) | (zeros == 0), half).otherwise(F.least(half, v * ULP_CAP))
+
+    digits = F.rtrim(v.try_cast("decimal(38, 21)").cast("string"), F.lit("0"))
+    return F.when(~finite(v) | (v == 0), 0.0).when((v >= 1e16) | (v < 1e-4), F.least(F.lit(0.5), v * ULP_CAP)).otherwise(bind(digits, of_digits))
 
 
 def eps_tolerance(eps: Column, income: Column, shares: Column, floor: float = EPS_TOL) -> Column:
-    own = F.when((eps == F.floor(eps)) & (half_ulp(eps) > floor), F.lit(floor)).otherwise(half_ulp(eps))
+    own = bind(half_ulp(eps), lambda h: F.when((eps == F.floor(eps)) & (h > floor), F.lit(floor)).otherwise(h))
     spread = own + F.try_divide(half_ulp(income), F.abs(shares)) + F.try_divide(F.abs(income), shares * shares) * half_ulp(shares)
     return F.when((shares == 0) | ~finite(eps) | ~finite(income) | ~finite(shares), floor).otherwise(F.greatest(F.lit(floor), spread))
 

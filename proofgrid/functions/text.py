@@ -20,7 +20,19 @@ RECLASSIFIED = [r"(?i)\breclassified\b", r"(?i)\breclassification\b", r"(?i)\bre
 STATEMENT_TERMS = ("consolidated balance sheet", "consolidated statement income", "consolidated statements of income", "consolidated statement of operations", "consolidated statements of operations", "consolidated statement of cash flows", "consolidated statements of cash flows", "total assets", "net income", "earnings per common share", "weighted average", "cash and cash equivalents")
 FIGURE = r"[^0-9]{0,40}\$?\s*[0-9][0-9,]{4,}"
 ASSETS_ROW = r"(?i)total\s+assets" + FIGURE
-CLAIMS_ROW = r"(?i)(total\s+liabilities|total\s+(?:stockholders|shareholders|shareowners).{0,4}equity|total\s+equity|liabilities\s+and\s+(?:stockholders|shareholders|shareowners|equity))" + FIGURE
+CLAIMS_ROW = r"(?i)(total\s+liabilities|total\s+(?:stockholders|shareholders|shareowners)['’]?\s+equity|total\s+equity|liabilities\s+and\s+(?:stockholders|shareholders|shareowners|equity))" + FIGURE
+#: Number tokens of answers, numbers with a unit of sources, the units in millions.
+NUMBER = r"-?\$?\(?\d[\d,]*\.?\d*\)?%?"
+NUMBER_UNIT = r"(?i)(-?\$?\s*\d[\d,]*(?:\.\d+)?)\s*(billion|bn|million|mm|m|thousand|k)?"
+UNITS = {"billion": 1000.0, "bn": 1000.0, "million": 1.0, "mm": 1.0, "m": 1.0, "thousand": 0.001, "k": 0.001}
+#: Shapes of keys and tokens; what may be shown of them in groups.
+SECRET = r"(gsk_)[A-Za-z0-9]{8,}|(sk-)(?=[A-Za-z0-9._\-]{8,})(ant-)?[A-Za-z0-9._\-]*|(AIza)[A-Za-z0-9._\-]{8,}|(AQ\.)[A-Za-z0-9._\-]{8,}|(Bearer)\s+[A-Za-z0-9._\-]{8,}"
+#: Words that don't tell topics apart in questions, and in gold claims.
+STOPWORDS = "the a an is are was were did do does why how what which of to in on for and or with by from at it its this that company s".split()
+GOLD_STOPWORDS = "the was were and a an of to in at is its over year with for on from".split()
+#: Forward-looking terms of tags, and terms that make them something else.
+GUIDANCE = r"(?i)guidance|outlook|projection|forecast|expectedrevenue|expectedearnings"
+NOT_GUIDANCE = r"(?i)hedge|hedging|derivative|forecastedtransaction|reinsurance|expectedcost|expectednumber|amortization|tax|qualifying"
 
 
 def strip_html(html: Column) -> Column:
@@ -46,9 +58,10 @@ def table_number(cell: Column) -> Column:
 
 
 def dirty_number(x: Column) -> Column:
-    """A number of a claim; words for none are null, suffixes are not scaled but rejected as null."""
-    s = F.lower(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[,$%]", "")))
-    return F.when(s.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)(e[-+]?\d+)?$"), s.try_cast("double"))
+    """A finite number of a claim; words for none are null, suffixes are not scaled but rejected as null, and so are 1e999 and the like."""
+    s = F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), r"[,$%]", ""))
+    v = F.when(s.rlike(r"^-?\d*\.?\d+(e[-+]?\d+)?$"), s.try_cast("double"))
+    return F.when(F.abs(v) < float("inf"), v)
 
 
 def millions(raw: Column) -> Column:
@@ -126,17 +139,52 @@ def context_windows(text: Column, value: Column, around: int = 200) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """The numbers of a text, citations like [F3] left out; parentheses are a minus."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[F\d+\]", " ")
-    tokens = F.regexp_extract_all(bare, F.lit(r"-?\$?\(?\d[\d,]*\.?\d*\)?%?"), F.lit(0))
-    value = lambda t: F.regexp_replace(t, r"[,$%()]", "").try_cast("double")
-    return F.filter(F.transform(tokens, lambda t: F.when(t.contains("("), -value(t)).otherwise(value(t))), lambda x: x.isNotNull())
+    """The numbers of a text, citations like [F3] left out; parentheses on both sides are a minus."""
+    found = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[F\d+\]", ""), F.lit(NUMBER), F.lit(0))
+    bare = F.transform(found, lambda t: F.regexp_replace(t, r"[,$%]", ""))
+    value = lambda t: F.regexp_replace(t, r"[()]", "").try_cast("double")
+    return F.filter(F.transform(bare, lambda t: F.when(t.rlike(r"^\(.*\)$"), -value(t)).otherwise(value(t))), lambda x: x.isNotNull())
+
+
+def withheld(text: Column) -> Column:
+    """A text without its numbers."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), NUMBER, "[number withheld]")
 
 
 def allowed(number: Column, facts: Column) -> Column:
-    """A number may stand in an answer: a small integer, a fact within half a percent, or a fact rounded to 0 to 3 places."""
-    near = lambda w: (F.abs(number - w) <= F.greatest(F.abs(w) * 0.005, F.lit(0.01))) | (F.abs(number - w) <= 0.5)
-    return ((number == F.floor(number)) & (F.abs(number) <= 12)) | F.exists(facts, near)
+    """A number may stand in an answer: an integer up to 12, a fact or its size within half a percent or 0.01, or within half a unit of a fact
+    rounded to 0 to 3 places."""
+    near = lambda w: (F.abs(number - w) <= F.greatest(F.abs(w) * 0.005, F.lit(0.01))) | F.exists(F.array(*[F.struct(F.bround(w, d).alias("v"), F.lit(10.0**-d / 2 + 1e-9).alias("by")) for d in range(4)]), lambda r: F.abs(number - r["v"]) <= r["by"])
+    return ((number == F.floor(number)) & (F.abs(number) <= 12)) | F.exists(facts, lambda w: near(w) | near(F.abs(w)))
+
+
+def source_numbers(text: Column) -> Column:
+    """Every number of a source, and what it is in millions where a unit follows."""
+    found = F.zip_with(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_UNIT), F.lit(1)), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER_UNIT), F.lit(2)), lambda n, u: F.struct(F.regexp_replace(n, r"[$,\s]", "").try_cast("double").alias("v"), F.lower(u).alias("u")))
+    scale = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(found, lambda f: F.array(f["v"], f["v"] * F.try_element_at(scale, f["u"]))))))
+
+
+def redacted(text: Column) -> Column:
+    """A text whose keys and tokens are masked but for their first letters."""
+    return F.regexp_replace(text, SECRET, "$1$2$3$4$5$6***REDACTED***")
+
+
+def plain_words(text: Column, edge: str) -> Column:
+    """Words between white space, without the characters of edge around them."""
+    return F.transform(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+"), lambda w: F.btrim(w, F.lit(edge)))
+
+
+def overlaps(question: Column, text: Column) -> Column:
+    """Whether they share a word of more than three letters that is no stop word and has no digit."""
+    telling = lambda ws: F.filter(ws, lambda w: (F.length(w) > 3) & ~w.rlike(r"\d") & ~w.isin(*STOPWORDS))
+    return F.arrays_overlap(telling(plain_words(question, "?.,!()'\"")), telling(plain_words(text, "?.,!()'\"$%")))
+
+
+def forward_looking(tag: Column, label: Column, description: Column) -> Column:
+    """struct(raw, candidate): a tag that speaks of what is expected, and one that is not of another kind."""
+    hay = F.concat_ws(" ", tag, F.coalesce(label, F.lit("")), F.coalesce(description, F.lit("")))
+    return F.struct(hay.rlike(GUIDANCE).alias("raw"), (hay.rlike(GUIDANCE) & ~hay.rlike(NOT_GUIDANCE)).alias("candidate"))
 
 
 def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:

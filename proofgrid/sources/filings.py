@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FACT = "struct<start: string, end: string, val: double, fy: int, fp: string, form: string, filed: string>"
 #: An explicit schema: inference would make a struct field of every tag.
 COMPANY = f"cik long, entityName string, facts map<string, map<string, struct<units: map<string, array<{FACT}>>>>>"
 FEED = "accessionNumber array<string>, form array<string>, filingDate array<string>, reportDate array<string>, primaryDocument array<string>, items array<string>"
+#: Of a filing's folder: its documents by name.
+FOLDER = "item array<struct<name: string>>"
 FORM4 = "reportingOwner struct<reportingOwnerId: struct<rptOwnerName: string>>, nonDerivativeTable struct<nonDerivativeTransaction: array<struct<transactionDate: struct<value: string>, transactionCoding: struct<transactionCode: string>, transactionAmounts: struct<transactionShares: struct<value: string>, transactionPricePerShare: struct<value: string>>>>>"
 
 
@@ -38,9 +40,87 @@ def latest_filing(filings: DataFrame, form: str = "10-K") -> DataFrame:
     return filings.filter(F.col("form") == form).groupBy("entity").agg(F.min_by(F.struct("accessionNumber", "filingDate", "reportDate", "primaryDocument"), "pos").alias("f")).select("entity", "f.*")
 
 
+def cik_lookup(wanted: DataFrame, tickers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, unknown): wanted (ticker) with cik and title of exactly that ticker in any case, and those that are not there."""
+    key = F.upper(F.trim("ticker"))
+    own, known = wanted.withColumn("ticker", key), tickers.select(key.alias("ticker"), "cik", "title").dropDuplicates(["ticker"])
+    return own.join(known, "ticker"), own.join(known, "ticker", "left_anti")
+
+
+def with_industry(entities: DataFrame, codes: DataFrame) -> DataFrame:
+    """entities (ticker) with sic and sic_description; null where the code is not known. codes: ticker, sic, sic_description."""
+    key = F.upper(F.trim("ticker"))
+    return entities.withColumn("ticker", key).join(codes.select(key.alias("ticker"), "sic", "sic_description").dropDuplicates(["ticker"]), "ticker", "left")
+
+
+def form4_filings(filings: DataFrame, most: int = 10) -> DataFrame:
+    """The first filings of form 4 of each feed, in its order, at most so many (the feature)."""
+    w = Window.partitionBy("entity").orderBy("pos")
+    return filings.filter("form = '4'").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most)
+
+
+def ownership_document(names: Column) -> Column:
+    """The first name of a folder that is an XML document and no style sheet."""
+    return F.get(F.filter(names, lambda n: F.lower(n).endswith(".xml") & ~F.lower(n).startswith("xsl")), F.lit(0))
+
+
+def two_feeds(timeline: DataFrame, other: DataFrame, form: str = "10-K") -> DataFrame:
+    """(entity, ok, detail): whether both feeds have the same latest filing of a form. timeline: entity, form, filing_date, accession; other: entity,
+    accession, filing_date, pos, in feed order."""
+    ours = timeline.filter(F.col("form") == form).groupBy("entity").agg(F.max(F.struct("filing_date", "accession")).alias("a"))
+    theirs = other.groupBy("entity").agg(F.min_by(F.struct("filing_date", "accession"), "pos").alias("b"))
+    x = ours.join(theirs, "entity", "full")
+    same = (F.col("a.accession") == F.col("b.accession")) & (F.col("b.filing_date").isNull() | (F.col("a.filing_date") == F.col("b.filing_date")))
+    return x.select("entity", F.coalesce(same, F.lit(False)).alias("ok"), F.when(F.col("a").isNull(), "no filing in timeline").when(F.col("b").isNull(), "no filing in the other feed").when(same, "agrees").otherwise("mismatch").alias("detail"))
+
+
+GOLD = "documents array<struct<id: string, name: string, source: string, summary: string, gold_claims: array<struct<id: string, claim_text: string, operation: string, stated_value: double, operands: array<struct<value: double, source: string, source_text: string>>, unit: string, expected_status: string>>>>"
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, ord, claim fields, expected_status) of gold files."""
+    d = spark.read.schema(GOLD).json(path, multiLine=True).select(F.explode("documents").alias("d"))
+    return d.select(F.col("d.id").alias("doc_id"), F.posexplode("d.gold_claims").alias("ord", "c")).select("doc_id", F.col("ord").cast("long").alias("ord"), "c.*")
+
+
+def read_replays(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, raw) of files with what a model answered, one a ticker."""
+    return spark.read.schema("ticker string, raw string").json(path, multiLine=True).select(F.upper("ticker").alias("doc_id"), F.coalesce("raw", F.lit("[]")).alias("raw"))
+
+
+def replayed(wanted: DataFrame, replays: DataFrame) -> DataFrame:
+    """wanted (doc_id) with raw and available; without a replay an empty array, and not available."""
+    return wanted.join(replays, "doc_id", "left").withColumns({"available": F.col("raw").isNotNull(), "raw": F.coalesce("raw", F.lit("[]"))})
+
+
+def example_of(requests: DataFrame, examples: DataFrame) -> DataFrame:
+    """requests (source, summary) with the example's id whose texts are the same but for white space; null where there is none."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    known = examples.select(flat("source").alias("__s"), flat("summary").alias("__t"), F.col("id").alias("example_id")).dropDuplicates(["__s", "__t"])
+    return requests.withColumns({"__s": flat("source"), "__t": flat("summary")}).join(known, ["__s", "__t"], "left").drop("__s", "__t")
+
+
+def newest_file(spark: SparkSession, path: str, pattern: str) -> str | None:
+    """The file that was written last of those with a name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "modificationTime")
+    return files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+
+
+def latest_run(runs: DataFrame, mode: str = "replay") -> DataFrame:
+    """The records of the newest run of a mode, and of no other: an entity that it does not have has none. runs: run_id, at, mode, and records."""
+    last = runs.filter(F.col("mode") == mode).agg(F.max_by("run_id", F.struct("at", "run_id")).alias("run_id"))
+    return runs.join(F.broadcast(last), "run_id", "left_semi")
+
+
+def requested(filings: DataFrame, tickers: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """A filing set cut to tickers, in any case, and then to the first so many by their place."""
+    x = filings if tickers is None else filings.filter(F.upper("ticker").isin(*[t.upper() for t in tickers]))
+    return x if most is None else x.orderBy("pos").limit(most)
+
+
 def insider_transactions(forms: DataFrame) -> DataFrame:
     """(entity, accession, owner, code, shares, price, date) of Form 4 documents (column xml); rows without readable shares go."""
     x = forms.select("entity", "accession", F.from_xml("xml", FORM4).alias("d"))
     t = x.select("entity", "accession", F.col("d.reportingOwner.reportingOwnerId.rptOwnerName").alias("owner"), F.explode("d.nonDerivativeTable.nonDerivativeTransaction").alias("t"))
-    num = lambda c: F.col(c).try_cast("double")
+    num = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
     return t.select("entity", "accession", "owner", F.col("t.transactionCoding.transactionCode").alias("code"), num("t.transactionAmounts.transactionShares.value").alias("shares"), num("t.transactionAmounts.transactionPricePerShare.value").alias("price"), F.try_to_date("t.transactionDate.value").alias("date")).filter("shares is not null")

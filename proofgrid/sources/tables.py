@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.functions import text as T
 
-HEADER = r"(?im)^\s*(?:#+\s*|=+\s*)?(?:document|filing|source)\s*[:#]?\s*(.+?)\s*=*\s*$"
+#: Lines that start a document, with its label; periods and types that heads and texts name.
+HEADERS = (r"(?i)^\s*(?:source\s+)?document\s+([A-Z0-9][\w-]*)\s*[—\-:.]", r"(?i)^\s*={2,}\s*document\s+([\w-]+).*?={2,}\s*$", r"(?i)^\s*(?:exhibit|filing)\s+([A-Z0-9][\w-]*)\s*[—\-:.]")
+PERIODS = (r"(?i)\bFY\s?(\d{4})\b", r"(?i)fiscal\s+(?:year\s+)?(\d{4})")
+DOC_TYPE = r"(?i)\b(10-K|10-Q|8-K|press\s+release|annual\s+report|earnings\s+release)\b"
 
 
 def separator(cells: Column) -> Column:
@@ -43,13 +46,24 @@ def millions(found: DataFrame) -> DataFrame:
     return found.withColumn("value", F.when(share, F.col("value")).otherwise(T.rescale(F.col("value"), F.col("unit_footnote"))))
 
 
-def documents(texts: DataFrame, header: str = HEADER) -> DataFrame:
-    """(doc_id, part, title, body): a text with two header lines or more is cut at each; others stay whole as part 0."""
-    lines = texts.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("pos", "line")).withColumn("is_head", F.col("line").rlike(header))
-    w = Window.partitionBy("doc_id")
-    numbered = lines.withColumns({"heads": F.count_if("is_head").over(w), "grp": F.count_if("is_head").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))})
-    part = F.when(F.col("heads") < 2, 0).otherwise(F.col("grp")).cast("long")
-    own = numbered.withColumn("part", part).filter((F.col("heads") < 2) | (F.col("grp") > 0))
-    g = own.groupBy("doc_id", "part").agg(F.min_by("line", "pos").alias("first"), F.max("heads").alias("heads"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    body = F.trim(F.array_join(F.transform(F.when(F.col("heads") < 2, F.col("ls")).otherwise(F.slice("ls", 2, F.size("ls"))), lambda x: x["line"]), "\n"))
-    return g.select("doc_id", "part", F.when(F.col("heads") >= 2, F.regexp_extract("first", header, 1)).alias("title"), body.alias("body"))
+def first_of(text: Column, *patterns: str) -> Column:
+    """The first group of the first pattern that a text has; null without one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+
+
+def documents(texts: DataFrame) -> DataFrame:
+    """(doc_id, part, id, period, doc_type, body): a text with two heads or more is cut at each, and a part's id is its label with its period; others
+    stay whole, as DOC_1. A text is cut inside its row, so nothing is shuffled."""
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    heads = F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: first_of(F.get("__l", i), *HEADERS).isNotNull())
+    x = texts.withColumn("__l", lines).withColumn("__h", heads)
+    multi = F.size("__h") >= 2
+    spans = F.when(multi, F.transform("__h", lambda h, j: F.struct(h.alias("a"), F.coalesce(F.get("__h", j + 1), F.size("__l")).alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("a"), F.size("__l").alias("b"))))
+    y = x.select("doc_id", "text", "__l", multi.alias("multi"), F.posexplode(spans).alias("part", "s"))
+    cut = F.regexp_replace(F.array_join(F.slice("__l", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")), "\n"), r"^\s+|\s+$", "")
+    y = y.select("doc_id", "part", "multi", F.get("__l", F.col("s.a")).alias("head"), F.when(F.col("multi"), cut).otherwise(F.coalesce("text", F.lit(""))).alias("body")).filter("not multi or body <> ''")
+    period = F.when(F.col("multi"), F.concat(F.lit("FY"), F.coalesce(first_of(F.col("head"), *PERIODS), first_of(F.col("body"), *PERIODS))))
+    kind = F.when(F.col("multi"), F.regexp_replace(F.coalesce(first_of(F.col("head"), DOC_TYPE), first_of(F.col("body"), DOC_TYPE)), r"\s+", " "))
+    label = F.upper(first_of(F.col("head"), *HEADERS))
+    named = F.when(~F.col("multi"), "DOC_1").when(period.isNotNull(), F.concat_ws("_", label, period)).otherwise(F.concat(F.lit("DOC_"), label))
+    return y.select("doc_id", F.col("part").cast("long").alias("part"), named.alias("id"), period.alias("period"), kind.alias("doc_type"), "body")
