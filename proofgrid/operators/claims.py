@@ -16,6 +16,42 @@ WEIGHTS = {K.VERIFIED: 1.0, K.WRONG: 0.0, K.UNSUPPORTED: 0.4, K.AMBIGUOUS: 0.4,
 FAILING = (K.WRONG, K.UNSUPPORTED)
 
 
+#: Evidence that each gated rule needs.
+FLAGS = {"balance_sheet_identity": ["liabilities_complete"], "eps_reconciliation": ["eps_income_basis", "income_operand_basis"], "cash_flow_tie_out": ["restricted_cash_disclosed"]}
+#: Verdicts that do not count as checkable, and which side owns a bucket.
+UNCHECKABLE = (K.UNCHECKED, K.REVIEW, K.PROPAGATED, K.INSUFFICIENT)
+OWNERS = {"extraction_failure:missing_evidence_flags": "extraction", "extraction_failure:missing_operand": "extraction", "verifier_gate_fired:by_design": "verifier(by_design)", "verifier_safety_net:restricted_cash_label_caught": "verifier(safety_net)", "verifier_structural:variant_or_count_or_div0": "verifier(structural)", "verifier_definitional:human_routed": "verifier(by_design)", "auto:true_positive_candidate": "—(verified)", "auto:NEEDS_REVIEW_HIGH(conviction)": "—(needs_human)"}
+
+
+def context(claims: DataFrame) -> Column:
+    """All grounded text of a claim in one: claim, source, notes and operands', joined by spaces."""
+    has = set(claims.columns)
+    texts = F.transform("operands", lambda o: o["source_text"]) if "source_text" in claims.schema["operands"].dataType.elementType.names else F.array().cast("array<string>")
+    return F.concat_ws(" ", *[F.col(c) for c in ("claim_text", "source_text", "notes") if c in has], F.filter(texts, lambda t: t != ""))
+
+
+def with_evidence(claims: DataFrame) -> DataFrame:
+    """claims (with params, a map of strings) with context and the evidence columns that verify reads; what params doesn't hold is null."""
+    of = lambda k, t: F.try_element_at("params", F.lit(k)).try_cast(t).alias(k)
+    kinds = {"liabilities_complete": "boolean", "redeemable_equity_present": "boolean", "eps_income_basis": "string", "income_operand_basis": "string", "preferred_dividends_present": "boolean", "restricted_cash_disclosed": "boolean", "target_period": "string", "mode": "string", "actual_percent_change": "double", "flat_band_pct": "double"}
+    pairs = F.from_json(F.try_element_at("params", F.lit("series")), "array<array<string>>")
+    return claims.select("*", context(claims).alias("context"), *[of(k, t) for k, t in kinds.items()], F.transform(pairs, lambda p: p[1].try_cast("double")).alias("series"), F.transform(pairs, lambda p: p[0]).alias("periods"))
+
+
+def emission(claims: DataFrame) -> DataFrame:
+    """claims with evidence_emitted (all flags that the rule needs are in params, with any value) and evidence_gate_satisfied (with values that let
+    the rule run); the basis of income may stand on the second operand instead. Claims without a gated rule have both."""
+    there, value = (lambda k: F.map_contains_key("params", F.lit(k))), (lambda k: F.try_element_at("params", F.lit(k)))
+    tagged = F.coalesce(F.length(F.get("operands", F.lit(1))["category"]) > 0, F.lit(False))
+    rule = F.coalesce("rule_name", F.lit(""))
+    emitted = F.when(rule == "eps_reconciliation", there("eps_income_basis") & (there("income_operand_basis") | tagged))
+    ok = F.when(rule == "eps_reconciliation", value("eps_income_basis").isNotNull() & (value("income_operand_basis").isNotNull() | tagged)).when(rule == "balance_sheet_identity", F.coalesce(value("liabilities_complete") == "true", F.lit(False))).when(rule == "cash_flow_tie_out", value("restricted_cash_disclosed").isNotNull())
+    for name, flags in FLAGS.items():
+        if len(flags) == 1:
+            emitted = emitted.when(rule == name, there(flags[0]))
+    return claims.withColumns({"evidence_emitted": emitted.otherwise(True), "evidence_gate_satisfied": ok.otherwise(True)})
+
+
 def verify(claims: DataFrame, pct: float = K.PCT_TOL, rel: float = K.REL_TOL) -> DataFrame:
     """claims with status, recomputed and delta. Columns that are absent count as null."""
     has = dict(claims.dtypes)
@@ -42,8 +78,8 @@ def verify(claims: DataFrame, pct: float = K.PCT_TOL, rel: float = K.REL_TOL) ->
         .when(op == "trend_direction", K.trend(series, col("trend_dir")))
         .when(op == "superlative", K.superlative(periods, series, col("superlative"), col("target_period")))
         .when(op == "consecutive_count", K.consecutive(series, col("trend_dir"), stated))
-        .when(op == "aggregate_filter", K.aggregate_filter(values, stated, col("mode")))
-        .when(op == "mda_xbrl_consistency", K.mda(col("trend_dir"), F.coalesce(col("actual_percent_change", "double"), stated)))
+        .when(op == "aggregate_filter", K.aggregate_filter(values, stated, F.coalesce(col("mode"), F.lit("sum"))))
+        .when(op == "mda_xbrl_consistency", K.mda(col("trend_dir"), F.coalesce(col("actual_percent_change", "double"), stated), F.coalesce(col("flat_band_pct", "double"), F.lit(K.MDA_BAND))))
         .when(op == "definitional_flag", K.definitional(col("claim_text")))
         .otherwise(K.verify_scalar(op, values, sources, stated, pct, rel))
     )
@@ -56,13 +92,13 @@ def weight(status: Column) -> Column:
 
 
 def score(verdicts: DataFrame, keys: list[str], downstream: str | None = None) -> DataFrame:
-    """One row a document: counts, total_checkable, flat and weighted score in percent. With nothing to check the score is not available, 0 and not 100."""
+    """One row a document: counts, total_checkable, flat and weighted score in percent to one place. With nothing to check the score is not available, 0 and not 100."""
     w = weight(F.col("status"))
     reach = 1 + F.log1p(F.coalesce(F.col(downstream), F.lit(0)).cast("double")) if downstream else F.lit(1.0)
     use = F.when(w.isNotNull(), reach)
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)]
     out = verdicts.groupBy(*keys).agg(*counts, F.count(w).alias("total_checkable"), F.avg(w).alias("__flat"), F.try_divide(F.sum(w * use), F.sum(use)).alias("__weighted"))
-    return out.select(*keys, *[f"n_{s.lower()}" for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)], "total_checkable", (F.col("total_checkable") > 0).alias("score_available"), (F.coalesce("__flat", F.lit(0.0)) * 100).alias("unweighted_score"), (F.coalesce("__weighted", F.lit(0.0)) * 100).alias("score"))
+    return out.select(*keys, *[f"n_{s.lower()}" for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)], "total_checkable", (F.col("total_checkable") > 0).alias("score_available"), F.bround(F.coalesce("__flat", F.lit(0.0)) * 100, 1).alias("unweighted_score"), F.bround(F.coalesce("__weighted", F.lit(0.0)) * 100, 1).alias("score"))
 
 
 def adjudicated(prose: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -90,27 +126,85 @@ def bucket(status: Column, emitted: Column, rule: Column, label_caught: Column)
     )
 
 
-def breakdown(verdicts: DataFrame, *dimensions: str) -> DataFrame:
-    """Counts by each dimension and verdict in one pass over grouping sets: (dimension, value, status, n)."""
-    parts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias("value")) for d in dimensions])
-    return verdicts.select(F.inline(parts), "status").groupBy("dimension", "value", "status").agg(F.count("*").alias("n"))
+def owner(bucket: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in OWNERS.items() for x in kv]), bucket), F.lit("other"))
+
+
+def breakdown(verdicts: DataFrame, *dimensions: str, blank: str = "(none)") -> DataFrame:
+    """Counts by each dimension and verdict in one pass over grouping sets: (dimension, value, status, n). A dimension that is an array counts
+    for each of its values."""
+    kinds = dict(verdicts.dtypes)
+    one = lambda d: F.struct(F.lit(d).alias("dimension"), F.coalesce(F.nullif(F.trim(F.col(d).cast("string")), F.lit("")), F.lit("(unlabeled)" if d == "sector" else blank)).alias("value"))
+
+    def many(d: str) -> Column:
+        return F.transform(d, lambda x: F.struct(F.lit(d).alias("dimension"), x.cast("string").alias("value")))
+
+    parts = [many(d) if kinds[d].startswith("array") else F.array(one(d)) for d in dimensions]
+    return verdicts.select(F.inline(F.concat(*parts)), "status").groupBy("dimension", "value", "status").agg(F.count("*").alias("n"))
+
+
+def summaries(counts: DataFrame) -> DataFrame:
+    """(dimension, value, n, verified, insufficient_evidence, extraction_miss, wrong_math, ambiguous and three percentages) of breakdown's counts."""
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0))
+    names = {"verified": K.VERIFIED, "insufficient_evidence": K.INSUFFICIENT, "extraction_miss": K.UNSUPPORTED, "wrong_math": K.WRONG, "ambiguous": K.AMBIGUOUS}
+    g = counts.groupBy("dimension", "value").agg(F.sum("n").alias("total"), *[of(s).alias(n) for n, s in names.items()])
+    return g.select("dimension", "value", F.col("total").alias("n"), *names, *[percent(F.col(n), F.col("total")).alias(f"pct_{n}") for n in ("verified", "insufficient_evidence", "extraction_miss")])
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """To one place, 0 of nothing."""
+    return F.coalesce(F.bround(F.try_divide(part * 100.0, whole), 1), F.lit(0.0))
+
+
+def tier(status: Column) -> Column:
+    return F.when(status.isin(K.VERIFIED, K.WRONG), "high").when(status == K.INSUFFICIENT, "medium").otherwise("low")
 
 
 def calibration(verdicts: DataFrame, *keys: str) -> DataFrame:
-    """Precision and false positives among decided claims, coverage and declines among all; null, not 0, where nothing is decided."""
+    """Precision and false positives among decided claims, coverage and declines among all; null, not 0, where nothing is decided; claims of each
+    tier of confidence."""
     n, ok = F.count("*"), F.count_if(F.col("status") == K.VERIFIED)
     wrong, no = F.count_if(F.col("status") == K.WRONG), F.count_if(F.col("status") == K.INSUFFICIENT)
     g = verdicts.groupBy(*keys) if keys else verdicts.groupBy()
-    return g.agg(n.alias("n"), ok.alias("n_verified"), wrong.alias("n_wrong"), no.alias("n_declined"), F.try_divide(ok * 100.0, ok + wrong).alias("precision_pct"), F.try_divide(wrong * 100.0, ok + wrong).alias("fpr_pct"), F.try_divide((ok + wrong) * 100.0, n).alias("coverage_pct"), F.try_divide(no * 100.0, n).alias("decline_pct"))
+    tiers = [F.count_if(tier(F.col("status")) == t).alias(f"n_{t}") for t in ("high", "medium", "low")]
+    return g.agg(n.alias("n"), ok.alias("n_verified"), wrong.alias("n_wrong"), no.alias("n_declined"), *tiers, F.try_divide(ok * 100.0, ok + wrong).alias("precision_pct"), F.try_divide(wrong * 100.0, ok + wrong).alias("fpr_pct"), F.try_divide((ok + wrong) * 100.0, n).alias("coverage_pct"), F.try_divide(no * 100.0, n).alias("decline_pct"))
+
+
+def eps_queue(verdicts: DataFrame) -> DataFrame:
+    """The convictions to review, with what their operands give: income over shares of three operands, null where shares are 0."""
+    v = F.transform("operands", lambda o: o["value"])
+    return verdicts.filter(F.col("status") == K.WRONG).withColumn("computed", F.when(F.size(v) == 3, F.try_divide(F.get(v, F.lit(1)), F.get(v, F.lit(2)))))
 
 
 def pipeline_status(fetched: Column, available: Column, degraded: Column, n_claims: Column, n_checkable: Column) -> Column:
     return F.when(~fetched, "fetch_failed").when(~available, "extraction_unavailable").when(degraded, "silent_degradation").when(n_claims == 0, "extraction_empty").when(n_checkable == 0, "vacuous_no_checkable").otherwise("ok")
 
 
-def audit_rows(verdicts: DataFrame, order: list[str]) -> DataFrame:
-    """A flat record for each verdict, numbered from 1 within a document."""
+def shown(x: Column) -> Column:
+    """A number as records show it: whole ones without places, others to six digits; empty for null."""
+    return F.when(x.isNull(), "").when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
+
+
+def citation(o: Column) -> Column:
+    """Where an operand comes from: category; text; doc=id [source]."""
+    bits = F.concat_ws("; ", F.nullif(o["category"], F.lit("")), F.nullif(o["source_text"], F.lit("")), F.concat(F.lit("doc="), F.nullif(o["doc_id"], F.lit(""))))
+    return F.when(bits == "", o["source"]).otherwise(F.concat(bits, F.lit(" ["), o["source"], F.lit("]")))
+
+
+def audit_rows(verdicts: DataFrame, order: list[str], stamp: Column) -> DataFrame:
+    """The fifteen columns of an audit record for each verdict, numbered from 1 within a document."""
     from pyspark.sql import Window
 
-    fmt = lambda c: F.when(F.col(c) == F.floor(c), F.format_string("%d", F.col(c).cast("long"))).otherwise(F.format_string("%.6g", c))
-    return verdicts.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long")).withColumns({"stated": fmt("stated_value"), "recomputed_text": fmt("recomputed")})
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)).cast("long")
+    return verdicts.select(
+        "doc_id", row.alias("row"), F.coalesce("claim_text", F.lit("")).alias("claim_text"), "operation", text("rule_name"), text("eps_variant"), F.array_join(F.transform("operands", lambda o: shown(o["value"])), " | ").alias("operands"),
+        F.array_join(F.transform("operands", citation), "; ").alias("operand_sources"), shown(F.col("stated_value")).alias("stated_value"), F.col("status").alias("verdict"), shown(F.col("recomputed")).alias("recomputed_value"), shown(F.col("delta")).alias("delta"),
+        text("caused_by"), text("explanation"), text("source_text"), stamp.alias("run_timestamp"),
+    )
+
+
+def review_rows(records: DataFrame) -> DataFrame:
+    """One row a claim for reviewers: bucket, owner, and an empty label. records: doc_id, rule_name, status, evidence_emitted, label_caught, operands."""
+    b = bucket(F.col("status"), F.col("evidence_emitted"), F.col("rule_name"), F.col("label_caught"))
+    return records.select("doc_id", "rule_name", F.col("status").alias("verdict"), b.alias("auto_bucket"), owner(b).alias("owner"), F.array_join(F.transform("operands", lambda o: shown(o["value"])), "|").alias("operands"), F.lit("").alias("human_label"), F.lit("").alias("human_notes"))

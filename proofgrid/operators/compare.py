@@ -1,13 +1,16 @@
-"""Comparison across documents and filers: conflicts, derived outputs, peers, gold matches."""
+"""Comparison across documents and filers: conflicts, derived outputs, peers, insiders."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofgrid.functions import kernels as K
 from proofgrid.functions import text as T
 
+from . import claims as C
+from . import graph
+
 STALE_DAYS, MIN_PEERS, SIGMA = 200, 3, 2.0
 LINK_TOL, DERIVED = 1e-6, ("sum", "difference", "product", "average")
 
@@ -21,14 +24,43 @@ def conflicts(cells: DataFrame, rel: float = 0.0) -> DataFrame:
     return side("a").join(side("b"), ["set_id", "row", "col"]).filter((F.col("ord_a") < F.col("ord_b")) & (gap > rel)).select("set_id", "row", "col", "doc_a", "value_a", "doc_b", "value_b")
 
 
-def classified(found: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Conflicts with the strongest disclosure of any context of their documents (doc_id, context); without a context UNCLASSIFIED."""
-    rank = F.when(F.col("d.kind") == "EXPLICIT_RESTATEMENT", 2).when(F.col("d.kind") == "POSSIBLE_RECLASSIFICATION", 1).otherwise(0)
-    best = contexts.select("doc_id", T.disclosure(F.col("context")).alias("d")).groupBy("doc_id").agg(F.max_by("d.kind", rank).alias("kind"), F.max(rank).alias("rank"))
-    a = best.select(F.col("doc_id").alias("doc_a"), F.col("kind").alias("kind_a"), F.col("rank").alias("rank_a"))
-    b = best.select(F.col("doc_id").alias("doc_b"), F.col("kind").alias("kind_b"), F.col("rank").alias("rank_b"))
-    kind = F.when(F.coalesce("rank_b", F.lit(-1)) >= F.coalesce("rank_a", F.lit(-1)), F.col("kind_b")).otherwise(F.col("kind_a"))
-    return found.join(a, "doc_a", "left").join(b, "doc_b", "left").withColumn("restatement_type", F.coalesce(kind, F.lit("UNCLASSIFIED"))).drop("kind_a", "kind_b", "rank_a", "rank_b")
+def conflict_for(found: DataFrame, row_label: str, column_label: str) -> DataFrame:
+    """The first conflict under one label pair, by documents."""
+    return found.filter((F.col("row") == row_label.strip().lower()) & (F.col("col") == column_label.strip().lower())).orderBy("doc_a", "doc_b", "value_a", "value_b").limit(1)
+
+
+RANK = {"EXPLICIT_RESTATEMENT": 2, "POSSIBLE_RECLASSIFICATION": 1, "UNEXPLAINED": 0}
+
+
+def strongest(contexts: Column) -> Column:
+    """The strongest disclosure of an array of texts, as struct(rank, kind, matched); null without a text."""
+    rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
+    each = F.transform(contexts, lambda c: K.bind(T.disclosure(c), lambda d: F.struct(rank[d["kind"]].alias("rank"), d["kind"].alias("kind"), d["matched"].alias("matched"))))
+    return F.aggregate(each, F.lit(None).cast("struct<rank: int, kind: string, matched: string>"), lambda best, x: F.when(best.isNull() | (x["rank"] > best["rank"]), x).otherwise(best))
+
+
+def annotated(found: DataFrame, texts: DataFrame, around: int = 200) -> DataFrame:
+    """Conflicts with restatement_type and matched: the strongest disclosure near either value in the second document's text where that is explicit,
+    else in the first's, else in the second's. Without a place that states a value UNCLASSIFIED. texts: doc_id, text. Only places of the figures
+    are joined, not texts with texts."""
+    out = found
+    for side in ("a", "b"):
+        own = texts.select(F.col("doc_id").alias(f"doc_{side}"), F.col("text").alias("__text"))
+        windows = F.concat(T.context_windows(F.col("__text"), F.col("value_a"), around), T.context_windows(F.col("__text"), F.col("value_b"), around))
+        out = out.join(own, f"doc_{side}", "left").withColumn(f"__{side}", strongest(windows)).drop("__text")
+    b, a = F.col("__b"), F.col("__a")
+    pick = F.when(b["rank"] == 2, b).when(a.isNotNull(), a).otherwise(b)
+    return out.withColumns({"restatement_type": F.coalesce(pick["kind"], F.lit("UNCLASSIFIED")), "matched": pick["matched"]}).drop("__a", "__b")
+
+
+def conflict_verdicts(annotated: DataFrame) -> DataFrame:
+    """Conflicts as verdict rows: an identity claim without a stated value whose operands are both figures with their documents."""
+    number = lambda c: C.shown(F.col(c))
+    text = F.concat(F.lit("Cross-document conflict on '"), "row", F.lit(" / "), "col", F.lit("': "), "doc_a", F.lit("="), number("value_a"), F.lit(", "), "doc_b", F.lit("="), number("value_b"))
+    operand = lambda s: F.struct(F.col(f"value_{s}").alias("value"), F.lit("grounded").alias("source"), F.col(f"doc_{s}").alias("doc_id"))
+    scan = F.when(F.col("restatement_type") != "UNCLASSIFIED", F.concat(F.lit(" Disclosure scan: "), "restatement_type", F.coalesce(F.concat(F.lit(" (matched '"), "matched", F.lit("')")), F.lit("")), F.lit(".")))
+    none = F.lit(None).cast("double")
+    return annotated.select("set_id", text.alias("claim_text"), F.lit("identity").alias("operation"), none.alias("stated_value"), F.array(operand("a"), operand("b")).alias("operands"), F.lit(K.CONFLICT).alias("status"), none.alias("recomputed"), none.alias("delta"), F.concat(text, F.coalesce(scan, F.lit(""))).alias("explanation"), "restatement_type")
 
 
 def derived_links(claims: DataFrame, source_numbers: DataFrame) -> DataFrame:
@@ -46,6 +78,15 @@ def derived_links(claims: DataFrame, source_numbers: DataFrame) -> DataFrame:
     return only.filter("dst = other").select("doc_id", "src", "dst").distinct()
 
 
+def linked(claims: DataFrame, source_numbers: DataFrame) -> DataFrame:
+    """derived_links without edges that would close a cycle with those that claims name already (depends_on, by claim_id), or with earlier ones.
+    claims: doc_id, claim_id, ord, operation, stated_value, operands array<double>, depends_on."""
+    new = derived_links(claims, source_numbers)
+    given = claims.select("doc_id", F.col("claim_id").alias("src"), F.explode("depends_on").alias("dst"))
+    known = claims.select("doc_id", F.col("claim_id").alias("src"), F.col("ord").alias("rank"))
+    return graph.without_cycles(new.join(known, ["doc_id", "src"]), given)
+
+
 def latest_ratio(numerator: DataFrame, denominator: DataFrame) -> DataFrame:
     """(entity, end, value): the ratio in percent at the latest end that both have."""
     n, d = numerator.select("entity", "end", F.col("val").alias("n")), denominator.select("entity", "end", F.col("val").alias("d"))
@@ -53,14 +94,47 @@ def latest_ratio(numerator: DataFrame, denominator: DataFrame) -> DataFrame:
 
 
 def gated(peers: DataFrame, low: float, high: float, stale: int = STALE_DAYS, least: int = MIN_PEERS) -> DataFrame:
-    """Peers (group, entity, end, value) with exclude_reason, the group's state, z of those included and whether that is an outlier."""
-    g = Window.partitionBy("group")
-    reason = F.when(F.col("value").isNull(), "no_value").when(F.datediff(F.max("end").over(g), "end") > stale, "stale").when(~F.col("value").between(low, high), "out_of_band")
-    x = peers.withColumn("exclude_reason", reason).withColumn("included", F.col("exclude_reason").isNull())
+    """Peers (group, entity, end, value) with exclude_reason, the group's state, z of those included and whether that is an outlier. Groups are
+    aggregated and joined back, so that a hot group is never one task's window."""
+    latest = peers.filter("value is not null").groupBy("group").agg(F.max("end").alias("__latest"))
+    reason = F.when(F.col("value").isNull(), "no_value").when(F.datediff("__latest", "end") > stale, "stale").when(~F.col("value").between(low, high), "out_of_band")
+    x = peers.join(latest, "group", "left").withColumn("exclude_reason", reason).drop("__latest").withColumn("included", F.col("exclude_reason").isNull())
     own = F.when(F.col("included"), F.col("value"))
-    x = x.withColumns({"n_included": F.count(own).over(g), "mean": F.avg(own).over(g), "sd": F.stddev_pop(own).over(g)})
+    x = x.join(x.groupBy("group").agg(F.count(own).alias("n_included"), F.avg(own).alias("mean"), F.stddev_pop(own).alias("sd")), "group")
     z = F.when(F.col("included") & (F.col("n_included") >= least), F.try_divide(F.col("value") - F.col("mean"), F.col("sd")))
-    return x.withColumns({"state": F.when(F.col("n_included") >= least, "compared").otherwise("declined"), "zscore": z}).withColumns({"outlier_strict": F.coalesce(F.abs("zscore") > SIGMA, F.lit(False)), "outlier": F.coalesce(F.abs(F.round("zscore", 2)) >= SIGMA, F.lit(False))})
+    return x.withColumns({"state": F.when(F.col("n_included") >= least, "compared").otherwise("declined"), "zscore": z}).withColumns({"outlier_strict": F.coalesce(F.abs("zscore") > SIGMA, F.lit(False)), "outlier": F.coalesce(F.abs(F.bround("zscore", 2)) >= SIGMA, F.lit(False))})
+
+
+#: Metrics of peers, with the concepts they divide, the band of sane values and the industries where they do not compare.
+METRICS = [("net_margin", "net_income", "revenue", -100.0, 100.0, ("6798", "6331", "6021", "6311", "6141", "6162")), ("return_on_assets", "net_income", "assets", -60.0, 60.0, ()), ("debt_ratio", "liabilities", "assets", 0.0, 200.0, ())]
+
+
+def grouped(entities: DataFrame) -> DataFrame:
+    """(group, members, viable): entities (entity, sic) by industry code, without one UNKNOWN; viable groups are known and have peers enough."""
+    g = entities.select("entity", F.coalesce(F.nullif(F.trim("sic"), F.lit("")), F.lit("UNKNOWN")).alias("group")).groupBy("group").agg(F.count_distinct("entity").alias("members"))
+    return g.withColumn("viable", (F.col("group") != "UNKNOWN") & (F.col("members") >= MIN_PEERS))
+
+
+def sweep(points: DataFrame, entities: DataFrame) -> DataFrame:
+    """(metric, group, entity, end, value, exclude_reason, zscore, outlier, decline_reason): every metric over every viable group. points: entity, concept,
+    end, val; entities: entity, sic. Filers without a value stay, with a reason."""
+    viable = grouped(entities).filter("viable").select("group")
+    members = entities.select("entity", F.trim("sic").alias("group")).join(viable, "group").distinct()
+    out = None
+    for metric, top, bottom, low, high, excluded in METRICS:
+        side = lambda c: points.filter(F.col("concept") == c)
+        own = members.join(latest_ratio(side(top), side(bottom)), "entity", "left")
+        g = gated(own, low, high)
+        declined = F.when(F.col("group").isin(*excluded) if excluded else F.lit(False), "not comparable").when(F.col("state") == "declined", "too few peers")
+        part = g.select(F.lit(metric).alias("metric"), "group", "entity", "end", "value", "exclude_reason", F.bround("zscore", 2).alias("zscore"), "outlier", declined.alias("decline_reason"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sweep_coverage(swept: DataFrame) -> DataFrame:
+    """(metric, viable_groups, compared) of each metric, and of all together under any: groups that some metric compares."""
+    per = swept.groupBy("metric").agg(F.count_distinct("group").alias("viable_groups"), F.count_distinct(F.when(F.col("decline_reason").isNull(), F.col("group"))).alias("compared"))
+    return per.unionByName(swept.agg(F.lit("any").alias("metric"), F.count_distinct("group").alias("viable_groups"), F.count_distinct(F.when(F.col("decline_reason").isNull(), F.col("group"))).alias("compared")).select("metric", "viable_groups", "compared"))
 
 
 def extremes(gate: DataFrame) -> DataFrame:
@@ -70,21 +144,20 @@ def extremes(gate: DataFrame) -> DataFrame:
     return x.groupBy("group").agg(first(-1).alias("winner"), F.max("value").alias("best"), first(1).alias("loser"), F.min("value").alias("worst"))
 
 
-def gold_matches(pairs: DataFrame) -> DataFrame:
-    """Greedy one-to-one assignment of predictions to gold claims by score, within a document (claims of a document are few: at most 200).
-    pairs: doc_id, pred, gold, pred_text, gold_text, pred_stated, gold_stated, pred_op, gold_op."""
-    stop = ("the", "of", "in", "and", "to", "by", "was", "for")
-    near = (F.abs(F.col("pred_stated") - F.col("gold_stated")) <= F.greatest(F.abs("gold_stated") * 0.01, F.lit(0.05))) | (F.col("pred_stated").isNull() & F.col("gold_stated").isNull())
-    score = 3 * T.jaccard(T.tokens(F.col("pred_text"), stop), T.tokens(F.col("gold_text"), stop)) + F.coalesce(near, F.lit(False)).cast("double") + F.when(F.col("pred_op") == F.col("gold_op"), 0.3).otherwise(0.0)
-    scored = pairs.select("doc_id", "pred", "gold", score.alias("score")).filter("score > 0.15")
-
-    def greedy(g: pd.DataFrame) -> pd.DataFrame:
-        used_p, used_g, rows = set(), set(), []
-        for r in g.sort_values(["score", "pred", "gold"], ascending=[False, True, True]).itertuples():
-            if r.pred not in used_p and r.gold not in used_g:
-                used_p.add(r.pred)
-                used_g.add(r.gold)
-                rows.append((r.doc_id, r.pred, r.gold, r.score))
-        return pd.DataFrame(rows, columns=["doc_id", "pred", "gold", "score"])
-
-    return scored.groupBy("doc_id").applyInPandas(greedy, scored.schema)
+def superlatives(gate: DataFrame) -> DataFrame:
+    """extremes with the verdicts of two claims: that the winner has the highest value, and, as a control, that the loser has."""
+    e = extremes(gate)
+    hold = lambda v: F.when(v == F.col("best"), K.VERIFIED).otherwise(K.WRONG)
+    return e.withColumns({"verdict": hold(F.col("best")), "control": F.when(F.col("winner") != F.col("loser"), hold(F.col("worst")))})
+
+
+def buyback_crosscheck(buybacks: DataFrame, transactions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, tag, end, value, transactions, acquisition, disposition, other, net_disposition, status) of each entity: repurchases against insiders'
+    flows. buybacks: entity, tag, tag_rank, end, val (points of several tags; the first tag that has any counts, at its latest end);
+    transactions: entity, direction, shares."""
+    b = buybacks.groupBy("entity").agg(F.max_by(F.struct("tag", "end", F.col("val").alias("value")), F.struct(-F.col("tag_rank"), F.col("end"))).alias("b")).select("entity", "b.*")
+    own = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("shares"))), F.lit(0.0)).alias(d)
+    t = transactions.groupBy("entity").agg(F.count("*").alias("transactions"), own("acquisition"), own("disposition"), own("other"))
+    x = entities.select("entity").distinct().join(b, "entity", "left").join(t, "entity", "left")
+    x = x.withColumns({"transactions": F.coalesce("transactions", F.lit(0)), **{d: F.coalesce(d, F.lit(0.0)) for d in ("acquisition", "disposition", "other")}}).withColumn("net_disposition", F.col("disposition") - F.col("acquisition"))
+    return x.withColumn("status", F.when(F.col("value").isNull() | (F.col("transactions") == 0), K.INSUFFICIENT).when((F.col("value") > 0) & (F.col("net_disposition") > 0), "FACTUAL_DIVERGENCE_REVIEW").otherwise("FACTUAL_CONTEXT"))

@@ -1,11 +1,12 @@
-"""Claim graphs: reachability, cycles, nearest failing root. Edges say that src depends on dst.
+"""Claim graphs: edges, reachability, cycles, nearest failing root. Edges say that src depends on dst.
 
 Frontiers are DataFrames, expanded breadth first; every round is cut by a checkpoint in the shared folder, so lineage stays short
-and a lost executor costs one round. Paths that meet (diamonds) do not multiply, because a visited pair is not expanded again.
+and a lost executor costs one round. Paths that meet (diamonds) do not multiply, because what was visited is not expanded again.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +17,52 @@ from .claims import FAILING
 MOST_ROUNDS = 1000
 
 
+class CycleError(ValueError):
+    """Claims that depend, over any number of steps, on themselves."""
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint where the cluster names a folder, else a temporary one (tests)."""
+    """Checkpoint in the folder that the cluster names, or that the user has set; a temporary one only in local mode (tests)."""
     import tempfile
 
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="proofgrid-"))
+        where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="proofgrid-"))
     return df.checkpoint()
 
 
+def node_of(ord_: str = "ord"):
+    """A claim's node: its id; a claim that depends on others without having an id is a node nothing can name."""
+    return F.coalesce("node_id", F.when(F.size("depends_on") > 0, F.concat(F.lit("__anon_"), F.col(ord_).cast("string"))))
+
+
+def edges(claims: DataFrame) -> DataFrame:
+    """(doc_id, src, dst) of claims with doc_id, ord, node_id and depends_on; what depends on an unknown node is dropped."""
+    wanted = claims.select("doc_id", node_of().alias("src"), F.explode("depends_on").alias("dst")).distinct()
+    known = claims.filter("node_id is not null").select("doc_id", F.col("node_id").alias("dst")).distinct()
+    return wanted.join(known, ["doc_id", "dst"], "left_semi").select("doc_id", "src", "dst")
+
+
+def missing_references(claims: DataFrame) -> DataFrame:
+    """(doc_id, src, dst) of dependencies on nodes that are not there."""
+    wanted = claims.select("doc_id", node_of().alias("src"), F.explode("depends_on").alias("dst")).distinct()
+    return wanted.join(claims.select("doc_id", F.col("node_id").alias("dst")).filter("dst is not null").distinct(), ["doc_id", "dst"], "left_anti").select("doc_id", "src", "dst")
+
+
+def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The (doc_id, node) of nodes that depend on nothing."""
+    return nodes.join(edges.select("doc_id", F.col("src").alias("node")).distinct(), ["doc_id", "node"], "left_anti")
+
+
+def dependents(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """(doc_id, node, dependent): what directly depends on the nodes (doc_id, node)."""
+    return of.join(edges.select("doc_id", F.col("dst").alias("node"), F.col("src").alias("dependent")).distinct(), ["doc_id", "node"])
+
+
 def closure(edges: DataFrame, roots: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
     """(doc_id, root, node, dist) of everything that depends, over any number of steps, on the roots (doc_id, root); the root itself is left out
     unless a cycle leads back to it."""
@@ -42,9 +78,71 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = MOST_ROUNDS) -> Data
     raise ValueError(f"no end of the graph after {most} steps")
 
 
+def knots(edges: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+    """The edges that cycles can go through: those left when edges from nodes nothing depends on, and to nodes that depend on nothing, are
+    taken away again and again. Without a cycle nothing is left; every round is linear in the edges."""
+    left = cut(edges.select("doc_id", "src", "dst").distinct())
+    n = left.count()
+    for _ in range(most):
+        if not n:
+            return left
+        inner = left.join(left.select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi").join(left.select("doc_id", F.col("src").alias("dst")).distinct(), ["doc_id", "dst"], "left_semi")
+        left = cut(inner.select("doc_id", "src", "dst"))
+        before, n = n, left.count()
+        if n == before:
+            return left
+    raise ValueError(f"no end of the graph after {most} steps")
+
+
+def assert_acyclic(edges: DataFrame) -> None:
+    """Raise CycleError with one cycle's path; the driver follows single edges of one document's knot only."""
+    left = knots(edges)
+    first = left.orderBy("doc_id", "src", "dst").first()
+    if first is None:
+        return
+    path = [first.src]
+    while True:
+        step = left.filter((F.col("doc_id") == F.lit(first.doc_id)) & (F.col("src") == F.lit(path[-1]))).agg(F.min("dst")).first()[0]
+        if step in path:
+            raise CycleError(f"{first.doc_id}: " + " -> ".join(map(str, [*path[path.index(step) :], step])))
+        path.append(step)
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(doc_id, node) that reach themselves."""
-    return closure(edges, edges.select("doc_id", F.col("dst").alias("root")).distinct()).filter("root = node").select("doc_id", "node").distinct()
+    """(doc_id, node) that reach themselves; only edges of knots are followed."""
+    left = knots(edges)
+    return closure(left, left.select("doc_id", F.col("dst").alias("root")).distinct()).filter("root = node").select("doc_id", "node").distinct()
+
+
+def without_cycles(new: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """The new edges (doc_id, src, dst, rank), not among those given, that close no cycle when they are added to given by rank. Only edges of knots need that order; they
+    are decided document by document, the others are taken at once."""
+    own = ["doc_id", "src", "dst"]
+    new = cut(new if given is None else new.join(given, own, "left_anti"))
+    if new.isEmpty():
+        return new.select(*own)
+    every = new.select(*own) if given is None else new.select(*own).unionByName(given.select(*own))
+    tied = knots(every)
+    free = new.join(tied, own, "left_anti").select(*own)
+    ranked = tied.join(new.select(*own, "rank"), own, "left").select(*own, "rank")
+
+    def decide(g: pd.DataFrame) -> pd.DataFrame:
+        after: dict[object, set] = {}
+        taken = []
+        for r in g.sort_values(["rank", "src", "dst"], na_position="first").itertuples():
+            stack, seen = [r.dst], set()
+            while stack and r.src not in seen:
+                at = stack.pop()
+                if at not in seen:
+                    seen.add(at)
+                    stack += after.get(at, ())
+            if pd.isna(r.rank) or r.src not in seen:
+                after.setdefault(r.src, set()).add(r.dst)
+                if not pd.isna(r.rank):
+                    taken.append((r.doc_id, r.src, r.dst))
+        return pd.DataFrame(taken, columns=own)
+
+    return free.unionByName(ranked.groupBy("doc_id").applyInPandas(decide, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.select(*own).schema)))
 
 
 def downstream(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
@@ -53,10 +151,57 @@ def downstream(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     return reach.filter("root <> node").groupBy("doc_id", F.col("root").alias("node")).agg(F.count("*").alias("n"))
 
 
-def propagate(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
+def nearest(edges: DataFrame, sources: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+    """(doc_id, node, root_ord, dist) of everything that depends on the sources (doc_id, node, root_ord): the nearest, of equals the first. One search
+    from all sources at once: a node is expanded once, in the round that reaches it, with the first root of that round."""
+    e = edges.select("doc_id", F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
+    front = cut(sources.groupBy("doc_id", "node").agg(F.min("root_ord").alias("root_ord")))
+    seen = front.withColumn("dist", F.lit(0))
+    for dist in range(1, most + 1):
+        step = front.join(e, ["doc_id", "node"]).groupBy("doc_id", F.col("next").alias("node")).agg(F.min("root_ord").alias("root_ord"))
+        front = cut(step.join(seen.select("doc_id", "node"), ["doc_id", "node"], "left_anti"))
+        if front.isEmpty():
+            return seen.filter("dist > 0")
+        seen = seen.unionByName(front.withColumn("dist", F.lit(dist)))
+    raise ValueError(f"no end of the graph after {most} steps")
+
+
+def propagate(verdicts: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
     """Whatever depends on a failing claim becomes a propagated error, caused by the nearest failing root, of equals the first by ord.
-    A failing claim keeps its verdict. verdicts: doc_id, node, ord, status."""
-    roots = verdicts.filter(F.col("status").isin(*FAILING)).select("doc_id", F.col("node").alias("root"), F.col("ord").alias("root_ord"))
-    near = closure(edges, roots).join(roots, ["doc_id", "root"]).groupBy("doc_id", "node").agg(F.min_by("root", F.struct("dist", "root_ord")).alias("caused_by"))
+    A failing claim keeps its verdict. verdicts: doc_id, node, ord, status. reach: the closure of all nodes, where it is there already."""
+    failing = verdicts.filter(F.col("status").isin(*FAILING)).select("doc_id", "node", F.col("ord").alias("root_ord"))
+    cause = failing.select("doc_id", "root_ord", F.col("node").alias("caused_by"))
+    sources = failing.filter("node is not null")
+    if reach is None:
+        near = nearest(edges, sources)
+    else:
+        near = reach.join(sources.withColumnRenamed("node", "root"), ["doc_id", "root"]).groupBy("doc_id", "node").agg(F.min_by("root_ord", F.struct("dist", "root_ord")).alias("root_ord"))
+    near = near.join(cause, ["doc_id", "root_ord"]).select("doc_id", "node", "caused_by")
     hit = F.col("caused_by").isNotNull() & ~F.col("status").isin(*FAILING)
     return verdicts.join(near, ["doc_id", "node"], "left").withColumns({"caused_by": F.when(hit, F.col("caused_by")), "status": F.when(hit, K.PROPAGATED).otherwise(F.col("status"))})
+
+
+def injected(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, root, relabelled): for each node that others depend on, how many claims would be propagated errors caused by it if it alone
+    had failed besides those that fail already. verdicts: doc_id, node, ord, status."""
+    reach = closure(edges, edges.select("doc_id", F.col("dst").alias("root")).distinct())
+    kept = verdicts.filter(~F.col("status").isin(*FAILING)).select("doc_id", "node")
+    own = nearest(edges, verdicts.filter(F.col("status").isin(*FAILING)).select("doc_id", "node", F.col("ord").alias("root_ord"))).select("doc_id", "node", "root_ord", F.col("dist").alias("other"))
+    at = verdicts.select("doc_id", F.col("node").alias("root"), F.col("ord").alias("mine"))
+    hit = reach.filter("root <> node").join(kept, ["doc_id", "node"]).join(at, ["doc_id", "root"]).join(own, ["doc_id", "node"], "left")
+    closer = F.col("other").isNull() | (F.struct("dist", "mine") <= F.struct("other", "root_ord"))
+    n = hit.groupBy("doc_id", "root").agg(F.count_if(closer).alias("n"))
+    return edges.select("doc_id", F.col("dst").alias("root")).distinct().join(n, ["doc_id", "root"], "left").select("doc_id", "root", F.coalesce("n", F.lit(0)).cast("long").alias("relabelled"))
+
+
+def measured(claims: DataFrame) -> DataFrame:
+    """(doc_id, claims, edges, with_upstream, with_downstream, with_evidence, missing_refs) of each document. claims: doc_id, ord, node_id, depends_on,
+    source_text."""
+    c = claims.withColumns({"node": F.coalesce("node_id", F.concat(F.lit("claim-"), (F.col("ord") + 1).cast("string"))), "depends_on": F.coalesce("depends_on", F.array().cast("array<string>"))})
+    wanted = c.select("doc_id", F.col("node").alias("src"), F.explode("depends_on").alias("dst"))
+    known = c.select("doc_id", F.col("node").alias("dst"), F.lit(True).alias("there")).distinct()
+    refs = wanted.join(known, ["doc_id", "dst"], "left")
+    own = c.groupBy("doc_id").agg(F.count("*").alias("claims"), F.count_if(F.col("source_text").isNotNull()).alias("with_evidence"))
+    e = refs.groupBy("doc_id").agg(F.count_if("there").alias("edges"), F.count_if(F.col("there").isNull()).alias("missing_refs"), F.count_distinct(F.when(F.col("there"), F.col("src"))).alias("with_upstream"), F.count_distinct(F.when(F.col("there"), F.col("dst"))).alias("with_downstream"))
+    counts = ("edges", "with_upstream", "with_downstream", "with_evidence", "missing_refs")
+    return own.join(e, "doc_id", "left").select("doc_id", "claims", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts])
