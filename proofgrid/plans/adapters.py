@@ -5,7 +5,7 @@ Sums are exact decimals before they become doubles, so partial sums in any order
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,8 +33,6 @@ OPS = ("percent_change", "absolute_change", "difference", "ratio", "margin_perce
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalar claims: two years of a nation, one of nine operations by key, and planted faults by key."""
-    from pyspark.sql import Window
-
     r = revenue(spark, sf_dir).withColumn("old", F.lag("v").over(Window.partitionBy("k").orderBy("fy"))).filter("old is not null")
     key = F.col("k") * 31 + F.col("fy")
     r = r.withColumn("key", key).withColumn("operation", F.get(F.array(*map(F.lit, OPS)), (F.col("key") % 9).cast("int")))
@@ -55,7 +53,7 @@ stated AS (SELECT *, CASE WHEN operation = 'identity' THEN [a0] WHEN key % 23 =
 claims AS (SELECT entity AS doc_id, fy::BIGINT AS claim_id, key, operation, vals, key % 5 = 0 AS missing, CASE WHEN key % 11 <> 2 THEN CASE WHEN key % 3 = 1 THEN truth * 1.25 + 1 ELSE truth END END AS stated_value FROM stated),
 calc AS (SELECT *, CASE operation WHEN 'percent_change' THEN CASE WHEN vals[1] <> 0 THEN (vals[2] - vals[1]) / vals[1] * 100 END WHEN 'absolute_change' THEN vals[2] - vals[1] WHEN 'difference' THEN vals[1] - vals[2]
  WHEN 'ratio' THEN CASE WHEN vals[2] <> 0 THEN vals[1] / vals[2] END WHEN 'margin_percent' THEN CASE WHEN vals[2] <> 0 THEN vals[1] / vals[2] * 100 END WHEN 'sum' THEN list_sum(vals) WHEN 'average' THEN list_sum(vals) / len(vals) WHEN 'product' THEN list_product(vals) ELSE vals[1] END AS c FROM claims),
-verdicts AS (SELECT doc_id, claim_id, key, operation, stated_value, CASE WHEN missing THEN 'UNSUPPORTED_NUMBER' WHEN stated_value IS NULL OR len(list_filter(vals, lambda x: isnan(x))) > 0 OR c IS NULL
+verdicts AS (SELECT doc_id, claim_id, key, operation, stated_value, vals, missing, CASE WHEN missing THEN 'UNSUPPORTED_NUMBER' WHEN stated_value IS NULL OR len(list_filter(vals, lambda x: isnan(x))) > 0 OR c IS NULL
  OR (operation = 'identity' AND len(vals) <> 1) OR (operation IN ('sum', 'average', 'product') AND len(vals) < 2) OR (operation NOT IN ('identity', 'sum', 'average', 'product') AND len(vals) <> 2) THEN 'AMBIGUOUS'
  WHEN CASE WHEN operation IN ('percent_change', 'margin_percent') THEN abs(stated_value - c) <= 0.5 ELSE abs(stated_value - c) / greatest(abs(c), 1e-9) <= 0.005 END THEN 'VERIFIED' ELSE 'WRONG_MATH' END AS status, c FROM calc)"""
 
@@ -75,29 +73,70 @@ st AS (SELECT key, a * CASE WHEN key % 4 = 1 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged facts: a customer's yearly and quarterly order sums under three tags, some filed twice, some with odd spans."""
+    """Tagged facts: a customer's yearly order sums under three tags, some filed twice, some with odd spans, some again in another currency and
+    filed later, some of a quarter after the year."""
     o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("d"), "o_totalprice", "o_orderkey")
     y = o.groupBy(F.col("o_custkey").cast("string").alias("entity"), F.year("d").alias("fy")).agg(exact("o_totalprice").alias("val"), F.max("o_orderkey").alias("pos"), F.count("*").alias("n"))
     k = F.col("entity").cast("long")
     tag = F.when(k % 5 == 0, "SalesRevenueNet").when(k % 7 == 0, "Assets").otherwise("Revenues")
     end = F.make_date("fy", F.lit(12), F.lit(31))
     start = F.when(k % 7 == 0, F.lit(None).cast("date")).when((k + F.col("fy")) % 6 == 0, F.make_date("fy", F.lit(7), F.lit(1))).otherwise(F.make_date("fy", F.lit(1), F.lit(1)))
-    base = y.select("entity", tag.alias("tag"), start.alias("start"), end.alias("end"), "val", "fy", F.lit("FY").alias("fp"), F.lit("10-K").alias("form"), F.date_add(end, 60).alias("filed"), "pos")
+    base = y.select("entity", tag.alias("tag"), F.lit("USD").alias("unit"), start.alias("start"), end.alias("end"), "val", "fy", F.lit("FY").alias("fp"), F.lit("10-K").alias("form"), F.date_add(end, 60).alias("filed"), "pos")
     again = base.filter(F.col("pos") % 3 == 0).withColumns({"val": F.col("val") + 100, "filed": F.date_add("filed", 365), "pos": F.col("pos") + 1})
-    return base.unionByName(again)
+    other = base.filter(F.col("pos") % 5 == 1).withColumns({"val": F.col("val") * 0.5, "unit": F.lit("EUR"), "filed": F.date_add("filed", 400)})
+    quarter = base.filter(F.col("pos") % 4 == 1).withColumns({"val": F.col("val") * 0.25, "start": F.make_date(F.col("fy") + 1, F.lit(1), F.lit(1)), "end": F.make_date(F.col("fy") + 1, F.lit(3), F.lit(31)), "form": F.lit("10-Q"), "fp": F.lit("Q1"), "filed": F.date_add("filed", 120)})
+    return base.unionByName(again).unionByName(other).unionByName(quarter)
 
 
 FACTS = """y AS (SELECT o_custkey::VARCHAR AS entity, o_custkey AS k, year(o_orderdate)::INT AS fy, SUM(o_totalprice::DECIMAL(18,2))::DOUBLE AS val, max(o_orderkey) AS pos FROM orders GROUP BY 1, 2, 3),
-f0 AS (SELECT entity, CASE WHEN k % 5 = 0 THEN 'SalesRevenueNet' WHEN k % 7 = 0 THEN 'Assets' ELSE 'Revenues' END AS tag, CASE WHEN k % 7 = 0 THEN NULL WHEN (k + fy) % 6 = 0 THEN make_date(fy, 7, 1) ELSE make_date(fy, 1, 1) END AS start_d,
- make_date(fy, 12, 31) AS end_d, val, fy, make_date(fy, 12, 31) + 60 AS filed, pos FROM y),
-facts AS (SELECT * FROM f0 UNION ALL SELECT entity, tag, start_d, end_d, val + 100, fy, filed + 365, pos + 1 FROM f0 WHERE pos % 3 = 0),
-pts AS (SELECT * FROM (SELECT *, coalesce(end_d - start_d, 0) AS days, row_number() OVER (PARTITION BY entity, tag, end_d ORDER BY filed DESC, pos DESC) AS rn FROM facts WHERE coalesce(end_d - start_d, 0) = 0 OR end_d - start_d BETWEEN 340 AND 380) WHERE rn = 1)"""
+f0 AS (SELECT entity, CASE WHEN k % 5 = 0 THEN 'SalesRevenueNet' WHEN k % 7 = 0 THEN 'Assets' ELSE 'Revenues' END AS tag, 'USD' AS unit, CASE WHEN k % 7 = 0 THEN NULL WHEN (k + fy) % 6 = 0 THEN make_date(fy, 7, 1) ELSE make_date(fy, 1, 1) END AS start_d,
+ make_date(fy, 12, 31) AS end_d, val, fy, '10-K' AS form, make_date(fy, 12, 31) + 60 AS filed, pos FROM y),
+facts AS (SELECT * FROM f0 UNION ALL SELECT entity, tag, unit, start_d, end_d, val + 100, fy, form, filed + 365, pos + 1 FROM f0 WHERE pos % 3 = 0
+ UNION ALL SELECT entity, tag, 'EUR', start_d, end_d, val * 0.5::DOUBLE, fy, form, filed + 400, pos FROM f0 WHERE pos % 5 = 1
+ UNION ALL SELECT entity, tag, unit, make_date(fy + 1, 1, 1), make_date(fy + 1, 3, 31), val * 0.25::DOUBLE, fy, '10-Q', filed + 120, pos FROM f0 WHERE pos % 4 = 1),
+fits AS (SELECT *, start_d IS NULL OR CASE form WHEN '10-Q' THEN end_d - start_d BETWEEN 80 AND 100 ELSE end_d - start_d BETWEEN 340 AND 380 END AS fit FROM facts),
+pts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, tag, unit, form, end_d ORDER BY filed DESC, pos DESC) AS rn FROM fits WHERE fit) WHERE rn = 1)"""
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of whole filings: the fields of a balance sheet, earnings and cash of each customer and year, some left out, some wrong, some under
+    fallback tags, and beside them other forms, currencies and years."""
+    o = table(spark, sf_dir, "orders")
+    y = o.groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("fy")).agg(exact("o_totalprice").alias("v"), F.count("*").alias("n"), F.max("o_orderkey").alias("pos"))
+    k, v = F.col("k"), F.col("v")
+    income = (F.col("n") * 1000).cast("double")
+    common = income - 50
+    shares = (100 + k % 50).cast("double")
+    base = F.when(k % 6 == 0, common).otherwise(income)
+    eps = F.floor(base / shares * F.when(k % 9 == 1, 1.1).otherwise(1.0) * 100).cast("double") / 100
+    nci = "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"
+    equity = v * 0.4 * F.when(k % 11 == 0, 0.9).when(k % 13 == 0, 0.8).otherwise(1.0)
+    end = F.make_date("fy", F.lit(12), F.lit(31))
+    wide = y.withColumn("last", F.max("fy").over(Window.partitionBy("k")))
+    fact = lambda tag, value, unit="USD", lasts=False, when=None: F.when(when if when is not None else F.lit(True), F.struct((tag if isinstance(tag, Column) else F.lit(tag)).alias("tag"), value.alias("val"), F.lit(unit).alias("unit"), F.lit(lasts).alias("lasts")))
+    every = F.array_compact(F.array(
+        fact("Assets", v), fact("Liabilities", v * 0.6, when=(k % 7 != 0) & ~((k % 8 == 3) & (F.col("fy") == F.col("last")))), fact(F.when(k % 5 == 0, nci).otherwise("StockholdersEquity"), equity),
+        fact("RedeemableNoncontrollingInterestEquityCarryingAmount", v * 0.04, when=k % 11 == 0), fact("NetIncomeLoss", income, lasts=True), fact("NetIncomeLossAvailableToCommonStockholdersBasic", common, lasts=True, when=k % 6 == 0),
+        fact("EarningsPerShareBasic", eps, "USD/shares", True), fact("WeightedAverageNumberOfSharesOutstandingBasic", shares, "shares", True), fact("EarningsPerShareDiluted", eps, "USD/shares", True, k % 2 == 0), fact("WeightedAverageNumberOfDilutedSharesOutstanding", shares + F.when(k % 4 == 0, 0.0).otherwise(1.0), "shares", True, k % 2 == 0),
+        fact("CashAndCashEquivalentsAtCarryingValue", v * 0.1), fact("CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents", v * 0.1 + (k % 2) * 10, when=k % 3 == 0),
+    ))
+    x = wide.select("k", "fy", "pos", F.inline(every))
+    rows = x.select(F.col("k").cast("string").alias("entity"), F.lit("us-gaap").alias("taxonomy"), "tag", "unit", F.when(F.col("lasts"), F.make_date("fy", F.lit(1), F.lit(1))).alias("start"), end.alias("end"), "val", "fy", F.lit("FY").alias("fp"), F.lit("10-K").alias("form"), F.date_add(end, 60).alias("filed"), "pos")
+    quarter = rows.withColumns({"val": F.col("val") * 0.3, "end": F.make_date(F.col("fy") + 1, F.lit(3), F.lit(31)), "start": F.when(F.col("start").isNotNull(), F.make_date(F.col("fy") + 1, F.lit(1), F.lit(1))), "form": F.lit("10-Q")})
+    euro = rows.filter("unit = 'USD' and pos % 3 = 0").withColumns({"val": F.col("val") * 2, "unit": F.lit("EUR"), "filed": F.date_add("filed", 9)})
+    return rows.unionByName(quarter).unionByName(euro)
+
+
+TAGGED = """w0 AS (SELECT o_custkey AS k, year(o_orderdate)::INT AS fy, SUM(o_totalprice::DECIMAL(18,2))::DOUBLE AS v, count(*) AS n FROM orders GROUP BY 1, 2),
+w1 AS (SELECT *, (n * 1000)::DOUBLE AS income, (n * 1000 - 50)::DOUBLE AS common, (100 + k % 50)::DOUBLE AS shares, v * 0.4::DOUBLE * CASE WHEN k % 11 = 0 THEN 0.9::DOUBLE WHEN k % 13 = 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS equity FROM w0),
+w2 AS (SELECT *, floor(CASE WHEN k % 6 = 0 THEN common ELSE income END / shares * CASE WHEN k % 9 = 1 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END * 100)::DOUBLE / 100 AS eps, row_number() OVER (PARTITION BY k ORDER BY fy DESC) AS rn FROM w1),
+filer AS (SELECT k, k::VARCHAR AS entity, make_date(fy, 12, 31) AS period_end, v AS assets, CASE WHEN k % 7 <> 0 AND k % 8 <> 3 THEN v * 0.6::DOUBLE END AS liabilities, equity, CASE WHEN k % 11 = 0 THEN v * 0.04::DOUBLE END AS temp_equity, income AS net_income_total,
+ CASE WHEN k % 6 = 0 THEN common END AS net_income_to_common, eps AS eps_basic, CASE WHEN k % 2 = 0 THEN eps END AS eps_diluted, shares AS shares_basic, CASE WHEN k % 2 = 0 THEN shares + CASE WHEN k % 4 = 0 THEN 0.0 ELSE 1.0 END END AS shares_diluted,
+ v * 0.1::DOUBLE AS bs_cash, CASE WHEN k % 3 = 0 THEN v * 0.1::DOUBLE + (k % 2) * 10 ELSE v * 0.1::DOUBLE END AS cf_cash FROM w2 WHERE rn = 1)"""
 
 
 def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(verdicts, edges): the n-th order of a customer depends on the order n / 2, every fifth also on the one 3 before; statuses by key."""
-    from pyspark.sql import Window
-
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")
     r = o.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("o_orderkey")).cast("long"))
     status = F.when(F.col("o_orderkey") % 13 == 1, "WRONG_MATH").when(F.col("o_orderkey") % 17 == 1, "UNSUPPORTED_NUMBER").when(F.col("o_orderkey") % 7 == 1, "INSUFFICIENT_EVIDENCE").otherwise("VERIFIED")

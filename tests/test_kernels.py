@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from proofgrid.functions import kernels as K
 from proofgrid.functions import text as T
 from proofgrid.operators import claims as C
-from proofgrid.operators import compare, dashboards, graph
-from proofgrid.sources import claims_json, filings, sinks, tables
+from proofgrid.operators import answers, audit, compare, dashboards, gold, graph, series
+from proofgrid.operators import facts as X
+from proofgrid.sources import claims_json, filings, sinks, statements, store, tables
 from proofgrid.streaming import filings as streams
 
 SCHEMA = "doc_id string, operation string, operands array<struct<value: double, source: string, category: string>>, stated_value double, rule_name string, eps_variant string, context string, liabilities_complete boolean, eps_income_basis string, restricted_cash_disclosed boolean, trend_dir string, superlative string, claim_text string, mode string"
@@ -119,9 +120,20 @@ def test_closure_meets_brute_force_and_cycles_raise(spark):
 def test_scores_are_not_available_without_anything_to_check(spark):
     v = spark.createDataFrame([("a", "UNCHECKED"), ("b", "VERIFIED"), ("b", "WRONG_MATH"), ("b", "CONFLICT")], "doc_id string, status string")
     rows = {r.doc_id: r for r in C.score(v, ["doc_id"]).collect()}
-    assert not rows["a"].score_available and rows["a"].score == 0 and rows["b"].score == pytest.approx(100 / 3)
-    p = {(r.doc_id, r.panel): r for r in dashboards.panels(v.withColumns({"emitted": F.lit(True), "adjudicated": F.lit(False)}), "doc_id").collect()}
-    assert p["a", "verification"].state == "unassessed" and p["a", "verification"].value is None
+    assert not rows["a"].score_available and rows["a"].score == 0 and rows["b"].score == 33.3
+    p = {(r.doc_id, r.panel): r for r in dashboards.record_panels(v.withColumns({"evidence_emitted": F.lit(True), "evidence_gate_satisfied": F.lit(False), "adjudicated": F.lit(False)})).collect()}
+    assert p["a", "verification_score"].state == "unassessed" and p["a", "verification_score"].value is None
+    none = dashboards.restatement_panel(v.filter("doc_id = 'a'"), spark.createDataFrame([], "doc_id string, restatement_type string"))
+    whole = {(r.doc_id, r.panel): r for r in dashboards.assembled(v, none).collect()}
+    assert whole["a", "restatement_risk"].state == "ok" and whole["a", "restatement_risk"].parts["conflicts"] == 0
+    assert whole["b", "restatement_risk"].state == "unassessed" and whole["b", "verification_score"].state == "no_data"
+
+
+def test_consistency_panel_does_not_penalise_splits(spark):
+    rows = [("a", 5, 0, True, ["split_sensitive_series"]), ("a", 5, 1, False, []), ("a", 5, 0, False, ["fallback_xbrl_tag_used"]), ("a", 1, 0, False, []), ("b", 1, 0, False, [])]
+    m = spark.createDataFrame(rows, "doc_id string, n_points int, n_dropped int, split_sensitive boolean, signals array<string>")
+    got = {r.doc_id: (r.state, r.value) for r in dashboards.consistency_panel(m).collect()}
+    assert got == {"a": ("ok", 33.3), "b": ("no_data", None)}
 
 
 def test_tables(spark):
@@ -130,8 +142,9 @@ def test_tables(spark):
     assert rows == [("Net sales", "2021", 1.2), ("Net sales", "2020", -0.03), ("Diluted EPS per share", "2021", 2.5), ("Diluted EPS per share", "col2", 9.0)]
     w = spark.createDataFrame([("d", "sales", None), ("d", "net sales", "2020")], "doc_id string, want string, column string")
     assert {(r.want, r.value) for r in tables.lookup(tables.cells(t), w).collect()} == {("sales", 1200.0), ("net sales", -30.0)}
-    parts = tables.documents(spark.createDataFrame([("m", "Document: one\na\nb\nFiling: two\nc"), ("s", "Document: only\nx")], "doc_id string, text string")).collect()
-    assert {(p.doc_id, p.part, p.title, p.body) for p in parts} == {("m", 1, "one", "a\nb"), ("m", 2, "two", "c"), ("s", 0, None, "Document: only\nx")}
+    texts = [("m", "Document one - 10-Q\na\nb\n\nFiling two: x\nc in fiscal 2021"), ("s", "Document: only\nx"), ("e", None)]
+    parts = tables.documents(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert {tuple(p) for p in parts} == {("m", 0, "DOC_ONE", None, "10-Q", "Document one - 10-Q\na\nb"), ("m", 1, "TWO_FY2021", "FY2021", None, "Filing two: x\nc in fiscal 2021"), ("s", 0, "DOC_1", None, None, "Document: only\nx"), ("e", 0, "DOC_1", None, None, "")}
 
 
 def test_claims_json_of_many_elements(spark):
@@ -143,12 +156,24 @@ def test_claims_json_of_many_elements(spark):
 
 
 def test_claims_json(spark):
-    good = {"claim_text": "x [1] \"q\"", "operation": "Sum", "stated_value": "$3", "operands": [{"value": "1", "source": "Grounded"}, {"value": "2", "source": "grounded"}]}
-    bad = [good | {"operation": "guess"}, good | {"stated_value": "1.2bn"}, {k: v for k, v in good.items() if k != "claim_text"}, good | {"operands": [{"value": "z", "source": "grounded"}]}]
-    texts = [("a", json.dumps([good, *bad])), ("b", "Sure:\n```json\n" + json.dumps([good]) + "\n```"), ("c", json.dumps({"claims": [good]})), ("d", "none"), ("e", None)]
-    rows = claims_json.parsed(spark.createDataFrame(texts, "doc_id string, raw string")).collect()
-    assert sorted((r.doc_id, r.ord, r.ok) for r in rows) == [("a", 0, True), ("a", 1, False), ("a", 2, False), ("a", 3, False), ("a", 4, False), ("b", 0, True), ("c", 0, True)]
-    assert {r.status for r in C.verify(spark.createDataFrame([r for r in rows if r.ok], claims_json.parsed(spark.createDataFrame(texts, "doc_id string, raw string")).schema)).collect()} == {"VERIFIED"}
+    good = {"claim_text": "x [1] \"q\"", "operation": "Sum", "stated_value": "$3", "operands": [{"value": "1", "source": "Grounded"}, {"value": 2, "source": "grounded", "source_span": [1, 2]}]}
+    bad = [good | {"operation": "guess"}, good | {"stated_value": "1.2bn"}, {k: v for k, v in good.items() if k != "claim_text"}, good | {"operands": [{"value": "z", "source": "grounded"}]}, good | {"stated_value": "1e999"}, good | {"eps_variant": "odd"}, good | {"operands": [{"value": 1, "source_span": [1]}]}]
+    texts = [("a", json.dumps([good, *bad, 7])), ("b", "Sure:\n```json\n" + json.dumps([good]) + "\n```"), ("c", json.dumps({"note": "[no]", "claims": [good]})), ("d", "none"), ("e", None), ("f", "[]"), ("g", "so [" + json.dumps(good) + "] and ]["), ("h", "[{")]
+    df = claims_json.parsed(spark.createDataFrame(texts, "doc_id string, raw string"))
+    rows = df.collect()
+    assert sorted((r.doc_id, r.ord, r.ok) for r in rows if r.ord is not None) == [("a", 0, True), *[("a", i, False) for i in range(1, 9)], ("b", 0, True), ("c", 0, True), ("g", 0, True)]
+    assert {(r.doc_id, r.reason) for r in rows if r.ord is None} == {("d", "no JSON array found in model response"), ("e", "empty model response"), ("h", "JSON decode error")}
+    assert {r.reason for r in rows if r.ord == 8} == {"array element is not an object"}
+    assert {r.status for r in C.verify(df.filter("ok")).collect()} == {"VERIFIED"}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize(("raw", "want"), [("gross_margin", "margin_percent"), ("Growth Rate", "percent_change"), ("divide", "ratio"), ("subtract", "difference")])
+def test_aliases_are_read_before_they_are_judged(spark, raw, want):
+    text = json.dumps([{"claim_text": "t", "operation": raw, "operands": [{"value": 1, "source": "table cell"}, {"value": 2, "source": "prose"}], "params": None}])
+    r = claims_json.parsed(spark.createDataFrame([("d", text)], "doc_id string, raw string")).first()
+    assert r.ok and r.operation == want and [o.source for o in r.operands] == ["grounded_table_cell", "grounded_prose"] and r.note.startswith("repaired")
 
 
 def test_filings(spark, tmp_path):
@@ -169,6 +194,12 @@ def test_sinks(spark, tmp_path):
     assert sinks.verdict_counts(v, "doc_id").first().counts == {"VERIFIED": 2, "UNKNOWN": 1}
     sinks.write_csv(v, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
+    sinks.write_csv(v, str(tmp_path / "meta"), meta={"ticker": "T", "n": "3"})
+    lines = [x for p in (tmp_path / "meta").glob("part-*") for x in p.read_text().splitlines()]
+    assert lines[:3] == ["# ticker: T", "# n: 3", "doc_id,status,xs"] and spark.read.csv(str(tmp_path / "meta"), header=True, comment="#").filter("doc_id = 'a'").count() == 3
+    sinks.write_run(v.select("doc_id").distinct(), v.withColumn("ord", F.lit(0)), str(tmp_path / "run"), run_mode="replay", started_at="a", finished_at="b")
+    run = spark.read.json(str(tmp_path / "run")).first()
+    assert run["mode"] == "replay" and len(run.claims) == 3
     sinks.write_json(v, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
     assert [r.doc_id for r in sinks.append_new(spark.createDataFrame([("a",), ("b",), ("b",)], "doc_id string"), v, ["doc_id"]).collect()] == ["b"]
@@ -193,3 +224,156 @@ def test_streams(spark, tmp_path):
     assert spark.table("seen").count() == 4
     assert [r.accession for r in spark.table("latest").filter("entity = 'e'").orderBy("ts").collect()] == ["a1", "a0", "a2"]
     assert {(r.form, r.n) for r in spark.table("counted").collect()} == {("10-K", 2), ("8-K", 1), ("4", 2)}
+
+
+def test_hallucinated_numbers_do_not_pass(spark):
+    lit = F.lit
+    cases = [(2.8, [2.4], False), (2.4, [2.4], True), (2.0, [2.4], True), (1234.5, [-1234.5], True), (-1234.5, [1234.5], False), (12.0, [], True), (13.0, [], False), (12.5, [], False), (100.4, [100.0], True), (101.0, [100.0], False), (0.12, [0.1234], True), (3.6, [3.14], False)]
+    rows = spark.createDataFrame([(i, x, f) for i, (x, f, _) in enumerate(cases)], "i int, x double, f array<double>").select("i", T.allowed(F.col("x"), F.col("f")).alias("ok")).collect()
+    assert [(i, r.ok) for i, r in enumerate(sorted(rows))] == [(i, ok) for i, (*_, ok) in enumerate(cases)]
+    r = one(spark, a=T.numbers(lit("(450 million, up 3%)")), b=T.numbers(lit("(450)% of -7")), c=T.dirty_number(lit("1e999")), d=T.dirty_number(lit("-.5e1")), e=T.withheld(lit("of $1,200 (3)")))
+    assert tuple(r) == ([450.0, 3.0], [-450.0, -7.0], None, -5.0, "of [number withheld] [number withheld]")
+
+
+def test_answers(spark):
+    ledger = spark.createDataFrame([("d", "F1", "balance_sheet_identity", "assets", [100.0]), ("d", None, "cash_flow_tie_out", "gap", [])], "doc_id string, fact_id string, topic string, said string, values array<double>")
+    q = spark.createDataFrame([("d", 1, "Does the balance hold?"), ("d", 2, "And cash?"), ("d", 3, "Margins?"), ("d", 4, "balance and cash?")], "doc_id string, question_id int, question string")
+    gates = answers.gate(q, ledger)
+    assert {r.question_id: r["mode"] for r in gates.collect()} == {1: "answered", 2: "refused_blocked", 3: "refused_no_data", 4: "refused_blocked"}
+    given = [("d", 1, json.dumps([{"answer": a, "citations": c}])) for a, c in [("It is 100 [F1].", ["F1"])]] + [("d", 2, json.dumps([{"answer": "9", "citations": ["F1"]}]))]
+    out = {r.question_id: (r["mode"], r.answer, r.reason) for r in answers.judged(gates, spark.createDataFrame(given, "doc_id string, question_id int, raw string")).collect()}
+    assert out[1] == ("answered", "It is 100 [F1].", None) and out[2][0] == "refused_blocked"
+    for text, cites, why in (("It is 250 [F1].", ["F1"], "number of no verified fact"), ("100", [], "no citations"), ("100", ["F7"], "unknown citation F7")):
+        r = spark.range(1).select(answers.failure(F.lit(text), F.array(*map(F.lit, cites)).cast("array<string>"), F.array(F.lit("F1")), F.array(F.lit(100.0))).alias("w")).first()
+        assert r.w == why
+
+
+def test_graphs_with_cycles_raise_and_new_edges_close_none(spark):
+    import random
+
+    rng = random.Random(2)
+    new, given = [], []
+    for doc in range(40):
+        n = rng.randrange(2, 7)
+        order = rng.sample(range(n), n)
+        given += [(doc, order[i], order[j]) for i in range(n) for j in range(i) if rng.random() < 0.3]
+        new += [(doc, rng.randrange(n), rng.randrange(n), rank) for rank in range(rng.randrange(6))]
+    g = spark.createDataFrame(given, "doc_id int, src int, dst int")
+    new = [x for x in {(d, a, b): (d, a, b, r) for d, a, b, r in new}.values() if x[:3] not in set(given)]
+    e = spark.createDataFrame(new, "doc_id int, src int, dst int, rank int")
+    offered = sorted((d, r, a, b) for d, a, b, r in new)
+    graph.assert_acyclic(g)
+    have = {(d, a, b) for d, a, b in given}
+    want = set()
+    for doc, _, a, b in offered:
+        reach, stack = set(), [b]
+        while stack:
+            at = stack.pop()
+            if at not in reach:
+                reach.add(at)
+                stack += [y for d, x, y in have if d == doc and x == at]
+        if a not in reach:
+            have.add((doc, a, b))
+            want.add((doc, a, b))
+    got = graph.without_cycles(e, g).cache()
+    assert {(r.doc_id, r.src, r.dst) for r in got.collect()} == want
+    graph.assert_acyclic(g.unionByName(got))
+    with pytest.raises(graph.CycleError, match="->"):
+        graph.assert_acyclic(spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 9, 1), (2, 1, 2)], "doc_id int, src int, dst int"))
+
+
+def test_gold_matches_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    words = "revenue income assets grew fell margin the of quarter".split()
+    claim = lambda i: (rng.randrange(12), i, " ".join(rng.choice(words) for _ in range(rng.randrange(6))), rng.choice([None, 0.0, 0.04, 5.0, 5.04, 100.0, 100.9, -7.0, 1e9]), rng.choice(["sum", "ratio", "identity"]))
+    p, g = [claim(i) for i in range(90)], [claim(i) for i in range(80)]
+    schema = "doc_id int, ord long, claim_text string, stated_value double, operation string"
+    tokens = lambda t: {x for x in re.split("[^a-z0-9]+", t.lower()) if len(x) >= 2} - set(T.GOLD_STOPWORDS)
+    near = lambda a, b: a is b is None or (a is not None and b is not None and abs(a - b) <= max(abs(b) * 0.01, 0.05))
+    want = set()
+    for doc in range(12):
+        pairs = []
+        for _, i, t, v, o in (x for x in p if x[0] == doc):
+            for _, j, u, w, q in (x for x in g if x[0] == doc):
+                a, b = tokens(t), tokens(u)
+                pairs.append((3 * (len(a & b) / len(a | b) if a | b else 0) + near(v, w) + 0.3 * (o == q), i, j))
+        up, ug = set(), set()
+        for s, i, j in sorted(((round(s, 9), i, j) for s, i, j in pairs), reverse=True):
+            if s > 0.15 and i not in up and j not in ug:
+                up.add(i)
+                ug.add(j)
+                want.add((doc, i, j))
+        want |= {(doc, None, x[1]) for x in g if x[0] == doc and x[1] not in ug} | {(doc, x[1], None) for x in p if x[0] == doc and x[1] not in up}
+    got = gold.matches(spark.createDataFrame(p, schema), spark.createDataFrame(g, schema)).collect()
+    assert {(r.doc_id, r.pred, r.gold) for r in got} == want
+
+
+def test_gold_kernels(spark):
+    o = lambda *xs: [(None if x is None else float(x), s) for x, s in xs]
+    cases = [(o((1, "grounded"), (2, "inferred")), o((2, "inferred"), (1, "grounded")), True, True), (o((1, "grounded"), (2, "grounded")), o((2, "inferred"), (1, "grounded")), True, False), (o((1, "grounded")), o((1, "grounded"), (1, "grounded")), False, False), (o((5, "missing"), (1, "grounded")), o((9, "missing"), (1, "grounded")), True, True), (o((1, "grounded"), (1, "inferred")), o((1, "inferred"), (1, "grounded")), True, False), ([], [], True, True)]
+    kind = "array<struct<value: double, source: string>>"
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, *_) in enumerate(cases)], f"i int, a {kind}, b {kind}").select("i", gold.same_values(gold.values(F.col("a")), gold.values(F.col("b"))).alias("v"), gold.same_grounding(F.col("a"), F.col("b")).alias("g")).collect()
+    assert [tuple(r) for r in sorted(rows)] == [(i, v, g) for i, (_, _, v, g) in enumerate(cases)]
+
+
+def test_statements_of_banks_and_indexes():
+    dense, rows = "1,234 " * 40, "Total assets $ 999,999 text total equity 888,888 "
+    index = "CONSOLIDATED BALANCE SHEETS page 12 " + "prose " * 900
+    text = index + "CONSOLIDATED STATEMENTS OF INCOME " + dense + "x " * 14000 + "CONSOLIDATED BALANCE SHEETS " + dense + rows + "y " * 300 + "NOTES TO FINANCIAL STATEMENTS " + dense * 20
+    got = statements.cut_out(text)
+    assert got.startswith("CONSOLIDATED BALANCE SHEETS 1,234") and rows.strip() in got
+    assert statements.cut_out("") == "" and statements.cut_out(None) == "" and len(statements.cut_out("z" * 99_999)) == statements.SLICE
+    near = "CONSOLIDATED STATEMENTS OF INCOME " + dense + "x " * 6000 + "Balance sheets " + dense + rows + "w " * 300 + "NOTES TO FINANCIAL STATEMENTS"
+    assert statements.cut_out(near).startswith("CONSOLIDATED STATEMENTS OF INCOME") and rows.strip() in statements.cut_out(near)
+    assert statements.cut_out("BALANCE SHEETS 12,345 " + "q " * 20000).startswith("BALANCE SHEETS") and len(statements.cut_out("BALANCE SHEETS 12,345 " + "q " * 40000)) <= statements.SLICE
+
+
+def test_facts_of_other_units_and_forms_do_not_count(spark):
+    import datetime as dt
+
+    d = lambda y, m, n: dt.date(y, m, n)
+    rows = [("e", "Assets", "USD", None, d(2020, 12, 31), 100.0, "10-K", d(2021, 2, 1), 0), ("e", "Assets", "EUR", None, d(2020, 12, 31), 90.0, "10-K", d(2021, 3, 1), 1), ("e", "Assets", "USD", None, d(2021, 3, 31), 30.0, "10-Q", d(2021, 5, 1), 2), ("e", "Liabilities", "USD", None, d(2019, 12, 31), 40.0, "10-K", d(2020, 2, 1), 3), ("e", "StockholdersEquity", "USD", None, d(2020, 12, 31), 60.0, "10-K", d(2021, 2, 1), 4)]
+    f = spark.createDataFrame(rows, "entity string, tag string, unit string, start date, end date, val double, form string, filed date, pos int").withColumns({"fy": F.lit(2020), "fp": F.lit("FY")})
+    r = X.pivoted(f).first()
+    assert (r.assets, r.liabilities, r.equity, str(r.period_end)) == (100.0, None, 60.0, "2020-12-31")
+    assert X.claims_of(X.pivoted(f)).count() == 0  # without total liabilities there is no balance sheet to claim
+    assert {(x.unit, x.form, x.val) for x in series.comparable(f).filter("tag = 'Assets'").collect()} == {("USD", "10-K", 100.0), ("EUR", "10-K", 90.0), ("USD", "10-Q", 30.0)}
+
+
+def test_audit_of_two_filings(spark):
+    docs = spark.createDataFrame([("s", "a", 0, "figure 100 as first"), ("s", "b", 1, "figure 120 as restated")], "set_id string, doc_id string, doc_ord int, text string")
+    cells = spark.createDataFrame([("s", "a", 0, "Net sales ", "FY1", 100.0), ("s", "b", 1, "net sales", "fy1", 120.0)], "set_id string, doc_id string, doc_ord int, row_label string, column_label string, value double")
+    claims = [{"claim_text": "t", "operation": "sum", "stated_value": 3, "operands": [{"value": 1}, {"value": 2}], "node_id": "x"}, {"claim_text": "t", "operation": "ratio", "stated_value": 9, "operands": [{"value": 3}, {"value": 4}]}, {"claim_text": "t", "operation": "identity", "stated_value": 9, "operands": [{"value": 9}], "depends_on": ["y", "gone"]}, {"claim_text": "t", "operation": "identity", "stated_value": 8, "operands": [{"value": 9}], "node_id": "y"}]
+    statement = [{"claim_text": "t", "operation": "internal_consistency", "rule_name": "cash_flow_tie_out", "operands": [{"value": 5}, {"value": 5}]}]
+    raw = spark.createDataFrame([("s", json.dumps(claims))], "set_id string, raw string")
+    own = spark.createDataFrame([("a", json.dumps(statement)), ("b", json.dumps(statement))], "doc_id string, raw string")
+    results, conflicts, scores = audit.many(docs, raw, own, cells)
+    by = {(r.ord): r for r in results.collect()}
+    assert [by[i].status for i in (0, 1, 2, 3)] == ["VERIFIED", "WRONG_MATH", "PROPAGATED_ERROR", "WRONG_MATH"] and by[2].caused_by == "y"
+    assert by[1].depends_on == ["x"]  # 3 stands in no source and is what the first claim gives
+    assert sorted(o.doc_id for r in results.filter("operation = 'internal_consistency'").collect() for o in r.operands) == ["a", "a", "b", "b"]
+    c = conflicts.first()
+    assert (c.restatement_type, c.status, c.operands[1].doc_id) == ("EXPLICIT_RESTATEMENT", "CONFLICT", "b") and "as restated" in c.explanation
+    s = scores.first()
+    assert (s.n_verified, s.n_wrong_math, s.n_conflict, s.n_propagated_error, s.total_checkable, s.unweighted_score) == (3, 2, 1, 1, 6, 50.0)
+
+
+def test_store(spark, tmp_path):
+    store.create(spark, "audits_test")
+    rows = spark.createDataFrame([(1, 7, "T"), (2, 7, "T"), (3, 8, "T")], "id long, org_id long, ticker string")
+    store.append(rows, "audits_test.watchlists")
+    store.append(rows, "audits_test.watchlists")
+    assert spark.table("audits_test.watchlists").count() == 2 and len(spark.catalog.listTables("audits_test")) == 8
+    spark.sql("DROP DATABASE audits_test CASCADE")
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "gold.json").write_text(json.dumps({"documents": [{"id": "A", "gold_claims": [{"claim_text": "t", "operation": "sum", "stated_value": 3, "operands": [{"value": 1, "source": "grounded"}], "expected_status": "VERIFIED"}]}]}))
+    g = filings.read_gold(spark, str(tmp_path / "gold.json")).first()
+    assert (g.doc_id, g.ord, g.operation, g.operands[0].value, g.expected_status) == ("A", 0, "sum", 1.0, "VERIFIED")
+    (tmp_path / "t1.json").write_text(json.dumps({"ticker": "abc", "raw": "[]"}))
+    assert filings.read_replays(spark, str(tmp_path / "t1.json")).first().doc_id == "ABC"
+    assert filings.newest_file(spark, str(tmp_path), "*.json").endswith("t1.json")
