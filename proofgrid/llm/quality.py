@@ -2,8 +2,8 @@
 
 A document is the mean of learned vectors of its words, their character n-grams and repeats of the word before, all
 hashed into a fixed number of buckets; a softmax layer scores it; numpy trains both by stochastic gradient descent.
-The model is fitted on the driver on at most `TRAIN_ROWS` labelled rows (documented bound), chosen by a hash of the id
-among rows outside the held-out fold; every document is scored on the executors, on its whole text. With two classes
+The model is fitted on the driver on at most `TRAIN_ROWS` labelled rows of at most `TRAIN_CHARS` characters (documented bounds), chosen
+by a hash of the id among rows outside the held-out fold; every document is scored on the executors, on its whole text. With two classes
 the fitted vectors and output layer fold into one number a bucket, so a word seen twice in a chunk costs nothing.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone; each input row gives one
@@ -29,6 +29,8 @@ BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH, SEED = 1 << 17, 8, (3, 4), 8, 2.0, 32
 #: Fewer rows get more epochs, so that a fit never stops after a few steps.
 LEAST_STEPS = 800
 TRAIN_ROWS, FOLDS, THRESHOLD = 3000, 5, 0.3
+#: Labelled texts of more characters are no training rows, so that what reaches the driver is bounded.
+TRAIN_CHARS = 200_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, W.Words]:
@@ -127,7 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", most: i
     """Fit on at most `most` labelled rows outside fold 0, the first by a hash of the id."""
     marked = labels.select("doc_id", F.col(label).cast("int").alias("__y")).filter((fold() != 0) & F.col("__y").isin(0, 1))
     chosen = marked.select("doc_id", "__y", F.xxhash64("doc_id").alias("__h")).orderBy("__h", "doc_id", "__y").limit(most)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen), "doc_id").orderBy("__h", "doc_id", "__y", "__text").limit(most).select("__text", "__y").collect()
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).filter(F.length("__text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("__h", "doc_id", "__y", "__text").limit(most).select("__text", "__y").collect()
     if not rows:
         return np.zeros(BUCKETS, np.float32), 0.0
     return train([r[0] for r in rows], np.array([r[1] for r in rows]))
