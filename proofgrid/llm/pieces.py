@@ -159,7 +159,9 @@ def merge_words(m: Model, sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarr
         keep[at + 1] = False
         moved = np.cumsum(keep) - 1
         sym, word, rank, at = sym[keep], word[keep], rank[keep], moved[at]
-        again = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        touched = np.zeros(len(sym), bool)
+        touched[at] = touched[at[at > 0] - 1] = True
+        again = np.flatnonzero(touched)
         inner = again[again < len(sym) - 1]
         rank[again] = NONE
         same = inner[word[inner] == word[inner + 1]]
