@@ -7,7 +7,7 @@ and a lost executor costs one round. Paths that meet (diamonds) do not multiply,
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid.functions import kernels as K
@@ -21,17 +21,25 @@ class CycleError(ValueError):
     """Claims that depend, over any number of steps, on themselves."""
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names, or that the user has set; a temporary one only in local mode (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one only in local mode (tests)."""
     import tempfile
 
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = tempfile.mkdtemp(prefix="proofgrid-")
+    spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder that the user has set, or else the cluster."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="proofgrid-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -68,13 +76,13 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = MOST_ROUNDS) -> Data
     unless a cycle leads back to it."""
     e = edges.select("doc_id", F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
     front = cut(roots.select("doc_id", "root", F.col("root").alias("node")).distinct())
-    seen = cut(front.select("doc_id", "root", "node", F.lit(0).alias("dist")).limit(0))
+    seen = front.select("doc_id", "root", "node", F.lit(0).alias("dist")).filter("false")
     for dist in range(1, most + 1):
         step = front.join(e, ["doc_id", "node"]).select("doc_id", "root", F.col("next").alias("node")).distinct()
         front = cut(step.join(seen, ["doc_id", "root", "node"], "left_anti"))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front.withColumn("dist", F.lit(dist))))
+        seen = seen.unionByName(front.withColumn("dist", F.lit(dist)))
     raise ValueError(f"no end of the graph after {most} steps")
 
 

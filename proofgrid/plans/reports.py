@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from proofgrid.functions import text as T
 from proofgrid.operators import claims as C
 from proofgrid.operators import compare, dashboards
 from proofgrid.operators import facts as X
+from proofgrid.operators.graph import shared_folder
 from proofgrid.sources import claims_json, statements, store, tables
 from proofgrid.sources import filings as S
+from proofgrid.streaming import filings as streams
 
 from . import adapters as A
 from .base import query
@@ -406,3 +410,18 @@ def audit_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query("watchlists_listed", "SELECT c_name AS ticker, c_custkey AS id FROM customer WHERE c_nationkey = 3")
 def watchlists_listed(spark: SparkSession, sf: str) -> DataFrame:
     return store.listed(A.table(spark, sf, "customer").select(F.col("c_nationkey").alias("org_id"), F.col("c_name").alias("ticker"), F.col("c_custkey").alias("id")), 3, "ticker").drop("org_id")
+
+
+# Streams.
+
+
+@query("filing_stream", "WITH f AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN '10-K' WHEN 'click' THEN '8-K' ELSE '4' END AS form FROM events) SELECT form, count(*)::BIGINT AS filings, count(*)::BIGINT AS accessions FROM f GROUP BY 1")
+def filing_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of filings, each twice, in which every accession is kept once; what the stream wrote is counted."""
+    where = f"{shared_folder(spark)}/proofgrid/stream-{uuid.uuid4().hex}"
+    kind = A.table(spark, sf, "events").schema
+    e = spark.readStream.schema(kind).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/events.parquet*")
+    form = F.when(F.col("event_type") == "purchase", "10-K").when(F.col("event_type") == "click", "8-K").otherwise("4")
+    twice = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("accession"), form.alias("form"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    streams.once(twice, "3650 days").select("accession", "form").writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out").awaitTermination()
+    return spark.read.parquet(f"{where}/out").groupBy("form").agg(F.count("*").alias("filings"), F.count_distinct("accession").alias("accessions"))
