@@ -597,6 +597,24 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert before.count() == docs.count() > 0
 
 
+def test_filter_of_ids_loses_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from proofgrid.llm import shared
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 100 != 7, F.col("id") * 7919).alias("k1"), (F.col("id") % 3).alias("k2"), "id")
+    keys = shared.materialize(rows.filter("id % 50 = 3").select("k1", "k2"), "keys")
+    touched, rest = shared.may_be_in(rows, keys, "k1", "k2")
+    a, b = {r.id for r in touched.collect()}, {r.id for r in rest.collect()}
+    assert touched.columns == rows.columns and not a & b and len(a) + len(b) == 20_000
+    assert {i for i in range(20_000) if i % 50 == 3} <= a and len(a) < 600
+    none = shared.may_be_in(rows, shared.materialize(keys.limit(0), "keys"), "k1", "k2")
+    assert none[0].count() == 0 and none[1].count() == 20_000
+    big = spark.range(10).select(F.repeat(F.lit("x"), shared.BROADCAST_BYTES // 5).alias("t"))
+    assert "broadcast" not in shared.broadcast_if_small(big)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" in shared.broadcast_if_small(spark.range(10))._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_pipeline_runs_on_edges(spark, edge, empty):
     assert corpus_pipeline.run(spark, edge).count() > 0
     assert corpus_pipeline.run(spark, empty).count() == 0
