@@ -473,11 +473,11 @@ def directional_claims(spark: SparkSession, sf: str) -> DataFrame:
     return C.verify(X.directional(points, said)).select("doc_id", "ord", "trend_dir", "status")
 
 
-@query("table_claims", f"""WITH {A.STATEMENTS} SELECT 'p' || key AS doc_id, 'balance_sheet_identity' AS rule_name, (round(assets * 100) / 100 / 1000) AS first FROM st WHERE key % 3 > 0 UNION ALL SELECT 'p' || key, 'cash_flow_tie_out', (round(equity * 100) / 100 / 1000) FROM st WHERE key % 2 = 0""")
+@query("table_claims", f"""WITH {A.STATEMENTS} SELECT 'p' || key AS doc_id, 'balance_sheet_identity' AS rule_name, floor(assets) / 1000 AS first FROM st WHERE key % 3 > 0 UNION ALL SELECT 'p' || key, 'cash_flow_tie_out', floor(equity) / 1000 FROM st WHERE key % 2 = 0""")
 def table_claims(spark: SparkSession, sf: str) -> DataFrame:
     """Claims of statements in pipe tables: some tables lack a row."""
     s = A.statements(spark, sf)
-    row = lambda label, c: F.concat(F.lit(f"| {label} | $"), F.format_number(c, 2), F.lit(" | 1 |\n"))
+    row = lambda label, c: F.concat(F.lit(f"| {label} | $"), F.format_number(F.floor(c), 0), F.lit(" | 1 |\n"))
     k = F.col("key")
     text = F.concat(F.lit("Amounts in thousands\n| | FY2024 | FY2023 |\n|---|---|---|\n"), row("Total assets", "assets"), F.when(k % 3 > 0, row("Total liabilities", "liabilities")).otherwise(""), row("Total shareholders equity", "equity"), F.when(k % 2 == 0, row("Cash and cash equivalents, end of year", "equity")).otherwise(""), F.when(k % 2 == 0, row("Cash and cash equivalents", "equity")).otherwise(""))
     cells_ = tables.millions(tables.cells(s.select(F.concat(F.lit("p"), k.cast("string")).alias("doc_id"), text.alias("text"))))
