@@ -56,8 +56,8 @@ def with_links(claims: DataFrame, sources: DataFrame) -> DataFrame:
 def verdicts(claims: DataFrame) -> DataFrame:
     """Claims (doc_id, ord, node_id, depends_on, and what verify reads) with verdicts, errors propagated; a cycle raises. downstream: how many claims
     depend on each."""
-    v = C.verify(claims).withColumn("node", graph.node_of())
-    e = graph.cut(graph.edges(claims))
+    v = graph.cut(C.verify(claims).withColumn("node", graph.node_of()))  # read several times below
+    e = graph.cut(graph.edges(v))
     reach = graph.closure(e, e.select("doc_id", F.col("dst").alias("root")).distinct())
     if not reach.filter("root = node").isEmpty():
         graph.assert_acyclic(e)
