@@ -366,7 +366,7 @@ def test_store(spark, tmp_path):
     rows = spark.createDataFrame([(1, 7, "T"), (2, 7, "T"), (3, 8, "T")], "id long, org_id long, ticker string")
     store.append(rows, "audits_test.watchlists")
     store.append(rows, "audits_test.watchlists")
-    assert spark.table("audits_test.watchlists").count() == 2 and len(spark.catalog.listTables("audits_test")) == 8
+    assert spark.table("audits_test.watchlists").count() == 2 and sum(not t.isTemporary for t in spark.catalog.listTables("audits_test")) == 8
     spark.sql("DROP DATABASE audits_test CASCADE")
 
 
