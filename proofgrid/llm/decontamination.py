@@ -45,12 +45,12 @@ def around(hashes: np.ndarray, doc: np.ndarray, at: np.ndarray, before: int, tot
     return np.where(inside & (doc[idx] == doc[at][:, None]), hashes[idx], np.uint64(0))
 
 
-def fingerprints(column: pa.Array, window: int, gram: int, short: list[int], bits: np.ndarray | None, items: bool):
+def fingerprints(column: pa.Array, window: int, gram: int, short: list[int], bits: np.ndarray | None, items: bool, secret: int):
     """(row of text, words of text, per fingerprint: text, hash, position, length, context) by chunks."""
     kind, size = W.byte_class(True, True), 2 * window - gram
     for lo, hi, data, offsets in W.chunks(column):
         w = W.Words(data, offsets, kind)
-        h, doc = w.hashes(), w.text_of_word()
+        h, doc = w.hashes(secret), w.text_of_word()
         found = []
         g = W.grams(h, gram)
         at = winnow(g, W.within(w.first, window, len(g)), window - gram + 1)
@@ -80,14 +80,14 @@ def binary_rows(ctx: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ctx), [None, at, pa.py_buffer(np.ascontiguousarray(ctx).tobytes())])
 
 
-def benchmark_fingerprints(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+def benchmark_fingerprints(benchmark: DataFrame, window: int, gram: int, secret: int) -> DataFrame:
     """(fp, item_id, length, item_ctx) of every item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("item_id")
-            for lo, _, _, doc, fp, _, length, ctx in fingerprints(b.column("text"), window, gram, list(range(1, window)), None, True):
+            for lo, _, _, doc, fp, _, length, ctx in fingerprints(b.column("text"), window, gram, list(range(1, window)), None, True, secret):
                 yield pa.RecordBatch.from_arrays([pa.array(fp), ids.take(pa.array(doc + lo)), pa.array(length, pa.int32()), binary_rows(ctx)], ["fp", "item_id", "length", "item_ctx"])
 
     return items.mapInArrow(run, "fp long, item_id string, length int, item_ctx binary").distinct()
@@ -103,7 +103,7 @@ def filter_bits(fps: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def scanned(documents: DataFrame, fps: DataFrame, window: int, gram: int) -> DataFrame:
+def scanned(documents: DataFrame, fps: DataFrame, window: int, gram: int, secret: int) -> DataFrame:
     """(k1, k2, doc_id, n_words, found) of every row of documents; found: its fingerprints that items may have."""
     spark = documents.sparkSession
     short = sorted(-r[0] for r in fps.filter("length < 0").select("length").distinct().collect())
@@ -113,7 +113,7 @@ def scanned(documents: DataFrame, fps: DataFrame, window: int, gram: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, w, doc, fp, pos, length, ctx in fingerprints(b.column("text"), window, gram, short, bits.value, False):
+            for lo, hi, w, doc, fp, pos, length, ctx in fingerprints(b.column("text"), window, gram, short, bits.value, False, secret):
                 part = b.slice(lo, hi - lo)
                 entry = pa.StructArray.from_arrays([pa.array(fp), pa.array(pos, pa.int32()), pa.array(length, pa.int32()), binary_rows(ctx)], ["fp", "pos", "length", "ctx"])
                 at = np.zeros(hi - lo + 1, np.int32)
@@ -146,8 +146,9 @@ def hits(rows: DataFrame, fps: DataFrame, window: int, gram: int) -> DataFrame:
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k1, k2, doc_id, n_words, n_hit, items sorted, n_items with the null one, spans): one row for each row of documents."""
-    fps = materialize(benchmark_fingerprints(benchmark, window, gram), "benchmark-fingerprints")
-    rows = scanned(documents, fps, window, gram)
+    secret = W.draw()
+    fps = materialize(benchmark_fingerprints(benchmark, window, gram, secret), "benchmark-fingerprints")
+    rows = scanned(documents, fps, window, gram, secret)
     union = "aggregate(spans, struct(0L as n, 0L as upto), (s, x) -> struct(s.n + greatest(0L, x.b - greatest(x.a, s.upto)) as n, greatest(s.upto, cast(x.b as long)) as upto)).n"
     found = hits(rows, fps, window, gram).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.expr("cast(size(collect_set(item_id)) + max(if(item_id is null, 1, 0)) as long)").alias("n_items"), F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     out = rows.drop("found").join(found, ["k1", "k2"], "left")

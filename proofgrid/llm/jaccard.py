@@ -53,12 +53,12 @@ def place(s: int) -> np.uint64:
     return np.uint64((s * 40503 & 0xFFFF) << 48)
 
 
-def shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingles(column: pa.Array, k: int, secret: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, text of each shingle, hash) by chunks, repeats included."""
     kind = W.byte_class(True, False)
     for lo, hi, data, offsets in W.chunks(column):
         w = W.Words(data, offsets, kind)
-        h, doc = w.hashes(), w.text_of_word()
+        h, doc = w.hashes(secret), w.text_of_word()
         g = W.grams(h, k)
         ok = W.within(w.first, k, len(g))
         text, value = [doc[: len(g)][ok]], [g[ok]]
@@ -72,6 +72,7 @@ def shingles(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, n
 
 def packed(df: DataFrame, slices: int, k: int) -> DataFrame:
     """(slice, uid, kind, blob, extra): kind 0 heads a batch (ids and sizes; its hot shingles), kind 1 has its part of a slice."""
+    secret = W.draw()
 
     def close(uid: int, ids: list, text: list, value: list) -> pa.RecordBatch:
         ids, text, value = np.concatenate(ids), np.concatenate(text), np.concatenate(value)
@@ -108,7 +109,7 @@ def packed(df: DataFrame, slices: int, k: int) -> DataFrame:
         ids, text, value, docs, count = [], [], [], 0, 0
         for b in batches:
             k1 = b.column("k1").to_numpy(zero_copy_only=False)
-            for lo, hi, t, v in shingles(b.column("text"), k):
+            for lo, hi, t, v in shingles(b.column("text"), k, secret):
                 for i in range(lo, hi, BATCH_TEXTS):  # very many empty texts
                     j = min(hi, i + BATCH_TEXTS)
                     mine = (t >= i - lo) & (t < j - lo) if hi - lo > BATCH_TEXTS else slice(None)

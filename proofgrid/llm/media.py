@@ -86,9 +86,16 @@ class Stream:
 
 
 def section(data: bytes) -> bytes | None:
-    t = data[1 + data[0] :]
-    size = 3 + ((t[1] & 0x0F) << 8 | t[2])
-    return t[8 : size - 4] if crc32(t[:size]) == 0 else None
+    """What a table says after its header; None where the packet has no whole table, or its checksum is wrong."""
+    t = data[1 + data[0] :] if data else b""
+    size = 3 + ((t[1] & 0x0F) << 8 | t[2]) if len(t) > 2 else 0
+    return t[8 : size - 4] if 12 <= size <= len(t) and crc32(t[:size]) == 0 else None
+
+
+def program_stream(table: bytes) -> tuple[int, int] | None:
+    """(type, packet id) of a program's first stream."""
+    own = table[4 + ((table[2] & 0x0F) << 8 | table[3]) :] if len(table) > 3 else b""
+    return (own[0], (own[1] & 0x1F) << 8 | own[2]) if len(own) > 2 else None
 
 
 def demux(ts: bytes) -> Stream:
@@ -105,6 +112,9 @@ def demux(ts: bytes) -> Stream:
         random_access = bool(control & 0x20 and p[4] and p[5] & 0x40)
         if not control & 0x10:
             continue
+        if body >= SIZE:  # it names a payload and leaves no byte for it
+            s.gaps += 1
+            continue
         if pid in counters and p[3] & 15 != counters[pid] + 1 & 15:
             if p[3] & 15 == counters[pid]:
                 s.repeats += 1
@@ -116,13 +126,14 @@ def demux(ts: bytes) -> Stream:
             if raw not in known:
                 known[raw] = section(raw)
             t = known[raw]
-            if t is None:
+            if t is None or len(t) < 4:
                 s.bad_tables += 1
             elif pid == PAT_PID:
                 program = (t[2] & 0x1F) << 8 | t[3]
+            elif found := program_stream(t):
+                s.stream_type, s.pid = found
             else:
-                own = t[4 + ((t[2] & 0x0F) << 8 | t[3]) :]
-                s.stream_type, s.pid = own[0], (own[1] & 0x1F) << 8 | own[2]
+                s.bad_tables += 1
         elif pid == s.pid:
             if start:
                 units.append((at // SIZE, random_access, parts := []))
@@ -131,9 +142,12 @@ def demux(ts: bytes) -> Stream:
     out = []
     for first, random_access, parts in units:
         d = b"".join(parts)
+        if len(d) < 9 or d[:3] != b"\x00\x00\x01":
+            s.gaps += 1  # a unit whose head is lost
+            continue
         size = d[4] << 8 | d[5]
         t = d[9:14]
-        time = (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1 if d[7] & 0x80 else None
+        time = (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1 if d[7] & 0x80 and len(t) == 5 else None
         s.times.append((time, first, random_access))
         out.append(d[9 + d[8] : 6 + size])
     s.payload = b"".join(out)

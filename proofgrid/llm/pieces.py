@@ -230,6 +230,23 @@ def to_bytes(m: Model, sym: np.ndarray, word: np.ndarray, words: int) -> tuple[n
     return out, np.bincount(np.repeat(word, n), minlength=words)
 
 
+def distinct_words(flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each different word, which of them each word is); words are all of flat. Words are brought together by a hash and then compared
+    character by character; those that only share a hash are told apart by their characters."""
+    _, index, inverse = np.unique(W.span_hashes(flat.view(np.uint8), 4 * starts, 4 * (starts + size)), return_index=True, return_inverse=True)
+    same = flat == flat[np.minimum(spread(starts[index][inverse], size), len(flat) - 1)]
+    other = np.flatnonzero(~np.logical_and.reduceat(same, starts) | (size != size[index][inverse]))
+    known: dict[bytes, int] = {}
+    more = []
+    for i in other.tolist():
+        word = flat[starts[i] : starts[i] + size[i]].tobytes()
+        if word not in known:
+            known[word] = len(index) + len(more)
+            more.append(i)
+        inverse[i] = known[word]
+    return np.append(index, more).astype(np.int64), inverse
+
+
 def encode(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, with begin and end ids, ids a text) of a chunk of UTF-8 texts."""
     code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -245,7 +262,7 @@ def encode(m: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     if not len(starts):
         n = len(offsets) - 1
         return np.tile(np.array([m.begin, m.end], np.int32), n), np.full(n, 2)
-    _, index, inverse = np.unique(W.span_hashes(flat.view(np.uint8), 4 * starts, 4 * (starts + size)), return_index=True, return_inverse=True)
+    index, inverse = distinct_words(flat, starts, size)
     chars = flat[spread(starts[index], size[index])]
     where = np.minimum(np.searchsorted(m.chars, chars), len(m.chars) - 1)
     sym = np.where(m.chars[where] == chars, m.char_ids[where], UNKNOWN + chars.astype(np.int32)).astype(np.int32)

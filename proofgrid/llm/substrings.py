@@ -110,9 +110,9 @@ class Automaton:
         return out
 
 
-def window_minima(w: W.Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_minima(w: W.Words, window: int, anchor: int, secret: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, start of every window, its anchor)."""
-    h = w.hashes()
+    h = w.hashes(secret)
     g = W.grams(h, anchor)
     if len(h) < window:
         return h, np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -121,7 +121,7 @@ def window_minima(w: W.Words, window: int, anchor: int) -> tuple[np.ndarray, np.
     return h, at, low[at]
 
 
-def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+def anchors(docs: DataFrame, window: int, anchor: int, secret: int) -> DataFrame:
     kind = W.byte_class(False, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             k1 = b.column("k1").to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in W.chunks(b.column("text")):
                 w = W.Words(data, offsets, kind)
-                _, at, low = window_minima(w, window, anchor)
+                _, at, low = window_minima(w, window, anchor, secret)
                 if len(at):
                     doc = w.text_of_word()[at]
                     new = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])
@@ -142,7 +142,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("k1", "text").mapInArrow(run, "anchor long, k1 long")
 
 
-def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+def candidates(docs: DataFrame, window: int, anchor: int, secret: int) -> DataFrame:
     """Rows of documents with shared anchors: (k1, tag, fps, pos, first, segs); first: no earlier window of the row is
     equal; segs: the text that the windows cover. Places start at tag."""
     kind = W.byte_class(False, False)
@@ -152,7 +152,7 @@ def candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             known = b.column("anchors")
             for lo, hi, data, offsets in W.chunks(b.column("text")):
                 w = W.Words(data, offsets, kind)
-                h, at, low = window_minima(w, window, anchor)
+                h, at, low = window_minima(w, window, anchor, secret)
                 part = known.slice(lo, hi - lo)
                 flat = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 owner = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
@@ -253,12 +253,13 @@ def tag(k2: str = "k2"):
 def repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(k1, gone): the word spans that go, by id; places start at the row's tag."""
     docs = documents.select(id_key(), text_key(), F.col("text").cast("string").alias("text"))
-    rows = materialize(anchors(docs, window, anchor), "anchors")
+    secret = W.draw()
+    rows = materialize(anchors(docs, window, anchor, secret), "anchors")
     many = rows.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("anchor")
     known = materialize(rows.join(many, "anchor").groupBy("k1").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
     discard(rows)
     able = may_be_in(docs, known.select("k1"), "k1")[0]
-    found = materialize(candidates(able.select("k1", tag().alias("tag"), "text").join(known, "k1"), window, anchor), "windows")
+    found = materialize(candidates(able.select("k1", tag().alias("tag"), "text").join(known, "k1"), window, anchor, secret), "windows")
     discard(known)
     w = found.select("k1", F.explode(F.arrays_zip("fps", "pos", "first")).alias("w")).select("k1", F.col("w.fps").alias("fp"), F.col("w.pos").alias("pos"), F.col("w.first").alias("first"))
     source = w.filter("first").groupBy("fp").agg(F.min("k1").alias("s1"), F.max("k1").alias("hi"), F.min_by("pos", "k1").alias("s_pos")).filter("s1 < hi")

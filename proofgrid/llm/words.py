@@ -2,13 +2,15 @@
 
 A batch's texts are one byte buffer. Words are runs of word bytes (every separator is ASCII, so UTF-8 bytes and
 characters agree). A word's hash mixes eight bytes a step, all words of a chunk at once; a very long word has a digest of its
-own. Runs of k words are polynomials modulo 2**64 of these hashes, from prefix sums, so k costs nothing; k stays far below
+own. Its keys come from a secret that an operator draws for each run (draw()), so that nobody can write words that agree; with
+secret 0 they are fixed, for hashes that must be the same in every run. Runs of k words are polynomials modulo 2**64 of these hashes, from prefix sums, so k costs nothing; k stays far below
 the lengths from which such polynomials can be made to agree.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,19 +55,33 @@ LANE_KEY, LENGTH_KEY = U64(0x9FB21C651E98DF25), U64(0xA0761D6478BD642F)
 TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def draw() -> int:
+    """A secret for hashes that are compared within one run only; the driver draws it, all tasks of the run get it."""
+    return secrets.randbits(63) + 1
+
+
+def keys(secret: int) -> tuple[np.uint64, np.uint64]:
+    """(the multiplier of eight bytes, odd; what a word's length is added to)."""
+    if not secret:
+        return LANE_KEY, LENGTH_KEY
+    raw = np.frombuffer(hashlib.blake2b(secret.to_bytes(8, "little"), digest_size=16).digest(), "<u8")
+    return raw[0] | U64(1), raw[1]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret: int = 0) -> np.ndarray:
     """A hash of 64 bits of the bytes data[starts[i]:ends[i]] for every i."""
+    lane_key, length_key = keys(secret)
     size = ends - starts
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    out = mix(size.astype(U64) + LENGTH_KEY)
+    out = mix(size.astype(U64) + length_key)
     live, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
     while len(live):
         left = size[live] - at
-        out[live] = mix(out[live] ^ ((lanes[starts[live] + at] & TAIL[np.minimum(left, 8)]) * LANE_KEY))
+        out[live] = mix(out[live] ^ ((lanes[starts[live] + at] & TAIL[np.minimum(left, 8)]) * lane_key))
         live, at = live[left > 8], at + 8
     for i in np.flatnonzero(size > LONG_WORD):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=secret.to_bytes(8, "little")).digest(), "little")
     return out
 
 
@@ -104,8 +120,8 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(LOWER[self.data] if self.lower else self.data, self.starts, self.ends)
+    def hashes(self, secret: int = 0) -> np.ndarray:
+        return span_hashes(LOWER[self.data] if self.lower else self.data, self.starts, self.ends, secret)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
