@@ -6,7 +6,7 @@ its documents; every step is a DataFrame, so a set of filings and a million of t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions import kernels as K
@@ -14,7 +14,7 @@ from proofgrid.functions import text as T
 from proofgrid.sources import claims_json
 
 from . import claims as C
-from . import compare, graph
+from . import compare, graph, reach
 
 #: How reasons start of elements that never became a claim.
 DROPPED = ("array element is not an object", "JSON decode error", "no JSON array", "empty model response", "no claim text", "unknown ", "stated value", "operand is", "span has")
@@ -43,7 +43,7 @@ def joined(summary: DataFrame, statements: DataFrame) -> DataFrame:
 def with_links(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Claims with node_id and depends_on extended by derived links: an operand that no number of the source (doc_id, text) states and that one derived
     claim gives. Ends of a link without an id are c<ord>. Links that close a cycle are left out."""
-    known = sources.select("doc_id", F.explode(T.source_numbers(F.col("text"))).alias("value"))
+    known = sources.select("doc_id", F.explode(T.source_numbers(F.col("text"))).alias("value")).distinct()
     ids = claims.withColumn("claim_id", F.coalesce("node_id", F.concat(F.lit("c"), F.col("ord").cast("string"))))
     links = compare.linked(ids.select("doc_id", "claim_id", "ord", "operation", "stated_value", F.filter(F.transform("operands", lambda o: o["value"]), lambda v: v.isNotNull()).alias("operands"), "depends_on"), known)
     out = links.groupBy("doc_id", F.col("src").alias("claim_id")).agg(F.array_sort(F.collect_set("dst")).alias("__new"))
@@ -58,11 +58,11 @@ def verdicts(claims: DataFrame) -> DataFrame:
     depend on each."""
     v = graph.cut(C.verify(claims).withColumn("node", graph.node_of()))  # read several times below
     e = graph.cut(graph.edges(v))
-    reach = graph.closure(e, e.select("doc_id", F.col("dst").alias("root")).distinct())
-    if not reach.filter("root = node").isEmpty():
+    near = graph.cut(reach.reach(e, graph.failing(v), graph.cut))
+    if not near.filter("cyclic").isEmpty():
         graph.assert_acyclic(e)
-    p = graph.propagate(v.select("doc_id", "node", "ord", "status"), e, reach).select("doc_id", "ord", F.col("status").alias("__status"), "caused_by")
-    n = graph.downstream(e, reach).select("doc_id", "node", F.col("n").alias("downstream"))
+    p = graph.propagate(v.select("doc_id", "node", "ord", "status"), e, near).select("doc_id", "ord", F.col("status").alias("__status"), "caused_by")
+    n = near.filter("n > 0").select("doc_id", "node", F.col("n").alias("downstream"))
     x = v.join(p, ["doc_id", "ord"]).withColumn("status", F.col("__status")).drop("__status")
     return x.join(n, ["doc_id", "node"], "left").drop("node")
 
@@ -79,11 +79,11 @@ def scored(results: DataFrame, issues: DataFrame | None = None) -> DataFrame:
 
 def one(summaries: DataFrame, sources: DataFrame, statements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, scores) of documents by themselves. summaries and statements: doc_id, raw; sources: doc_id, text."""
-    parsed = claims_json.parsed(summaries)
+    parsed = graph.cut(claims_json.parsed(summaries))  # read for claims, links and issues
     issues = parsed
     claims = with_links(parsed.filter("ok"), sources)
     if statements is not None:
-        s = statement_claims(statements, sources)
+        s = graph.cut(statement_claims(statements, sources))
         issues = issues.unionByName(s)
         claims = joined(claims, s.filter("ok"))
     results = verdicts(C.with_evidence(claims))
@@ -94,12 +94,14 @@ def many(documents: DataFrame, summaries: DataFrame, statements: DataFrame, cell
     """(results, conflicts, scores) of sets of documents. documents: set_id, doc_id, doc_ord, text; summaries: set_id, raw; statements: doc_id, raw; cells: set_id,
     doc_id, doc_ord, row_label, column_label, value. Statements are checked document by document, their operands told by document; the same figure
     under one label with different values is a conflict, added after propagation and before the score."""
-    sources = labelled(documents).select(F.col("set_id").alias("doc_id"), "text")
-    parsed = claims_json.parsed(summaries.select(F.col("set_id").alias("doc_id"), "raw"))
-    own = statement_claims(statements.select("doc_id", "raw"), documents.select("doc_id", "text"))
+    sources = parts(documents).select(F.col("set_id").alias("doc_id"), F.col("part").alias("text"))  # numbers are read document by document
+    parsed = graph.cut(claims_json.parsed(summaries.select(F.col("set_id").alias("doc_id"), "raw")))
+    own = graph.cut(statement_claims(statements.select("doc_id", "raw"), documents.select("doc_id", "text")))
     stamped = F.transform("operands", lambda o: o.withField("doc_id", F.coalesce(o["doc_id"], F.col("doc_id"))))
-    order = documents.select("doc_id", "set_id", "doc_ord")
-    per = own.withColumn("operands", stamped).join(order, "doc_id").withColumns({"ord": F.col("doc_ord") * 1_000_000 + F.col("ord"), "doc_id": F.col("set_id")}).drop("set_id", "doc_ord")
+    sizes = own.groupBy("doc_id").agg((F.max("ord") + 1).alias("n")).join(documents.select("doc_id", "set_id", "doc_ord"), "doc_id")
+    ahead = Window.partitionBy("set_id").orderBy("doc_ord", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = sizes.select("doc_id", "set_id", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))  # one row a document
+    per = own.withColumn("operands", stamped).join(order, "doc_id").withColumns({"ord": F.col("before") + F.col("ord"), "doc_id": F.col("set_id")}).drop("set_id", "before")
     results = verdicts(C.with_evidence(joined(with_links(parsed.filter("ok"), sources), per.filter("ok"))))
     texts = documents.select("doc_id", "text")
     conflicts = graph.cut(compare.conflict_verdicts(compare.annotated(compare.conflicts(cells, rel), texts)))
@@ -107,15 +109,20 @@ def many(documents: DataFrame, summaries: DataFrame, statements: DataFrame, cell
     return results, conflicts, scored(every, parsed.unionByName(per))
 
 
-def labelled(documents: DataFrame) -> DataFrame:
-    """(set_id, text): the documents of each set in order, each under a head with its id, period and type. documents: set_id, doc_id, doc_ord, text, and
-    where there are any period and doc_type. A set of filings fits in one row by contract."""
+def parts(documents: DataFrame) -> DataFrame:
+    """(set_id, doc_ord, part): each document under a head with its id, period and type. documents: set_id, doc_id, doc_ord, text, and where there are any
+    period and doc_type."""
     has = set(documents.columns)
     own = lambda c: F.nullif(F.col(c), F.lit("")) if c in has else F.lit(None).cast("string")
     both = F.concat_ws(", ", F.concat(F.lit("period: "), own("period")), F.concat(F.lit("type: "), own("doc_type")))
     head = F.concat(F.lit("=== DOCUMENT "), "doc_id", F.when(both != "", F.concat(F.lit(" ("), both, F.lit(")"))).otherwise(""), F.lit(" ===\n"))
-    part = F.concat(head, F.trim("text"))
-    return documents.groupBy("set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("text"))
+    return documents.select("set_id", "doc_ord", F.concat(head, F.trim("text")).alias("part"))
+
+
+def labelled(documents: DataFrame) -> DataFrame:
+    """(set_id, text): the parts of each set in order, joined into one text, as a model is asked with. A set of filings fits in one row by contract; audits read the
+    parts themselves."""
+    return parts(documents).groupBy("set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_ord", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
 
 
 def serialised(results: DataFrame) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions import kernels as K
 from proofgrid.functions import text as T
 
+from .graph import cut
+
 #: Operations whose operands have an order.
 ORDERED = ("percent_change", "absolute_change", "difference", "ratio", "margin_percent")
 #: Pairs below this score are no match.
 LEAST = 0.15
+#: The score of a pair that has nothing but the operation in common. No share of words alone gives it.
+SAME_OPERATION = 0.3
 
 
 def equal(a: Column, b: Column, rel: float = 0.01, floor: float = 0.05) -> Column:
@@ -43,47 +46,76 @@ def same_grounding(pred: Column, gold: Column) -> Column:
     return F.when(F.size(pred) != F.size(gold), False).when(F.size(gold) == 0, True).otherwise(F.aggregate(gold, step, take, lambda s: s["ok"]))
 
 
-def candidates(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """(doc_id, pred, gold, score) of the pairs that can reach a match: they share a word, or a stated value (or its absence) near enough, or the
-    operation. Each of these is an equi-join, the value by bins as wide as the tolerance with both neighbours, so no document is crossed with
-    itself. pred and gold: doc_id, ord, claim_text, stated_value, operation."""
-    words = lambda x: T.tokens(F.col(x), tuple(T.GOLD_STOPWORDS))
-    p = pred.select("doc_id", F.col("ord").alias("pred"), words("claim_text").alias("pw"), F.col("stated_value").alias("ps"), F.col("operation").alias("po"))
-    g = gold.select("doc_id", F.col("ord").alias("gold"), words("claim_text").alias("gw"), F.col("stated_value").alias("gs"), F.col("operation").alias("go"))
+def sides(claims: DataFrame, name: str) -> DataFrame:
+    """(doc_id, name, words, stated, operation) of claims, written; name is struct(ord, copy): claims of a document that share a number are told apart."""
+    own = Window.partitionBy("doc_id", "ord").orderBy("claim_text", "stated_value", "operation")
+    x = claims.select("doc_id", "ord", "claim_text", "stated_value", "operation").withColumn("copy", F.row_number().over(own))
+    words = F.array_sort(T.tokens(F.col("claim_text"), tuple(T.GOLD_STOPWORDS)))
+    return cut(x.select("doc_id", F.struct("ord", "copy").alias(name), words.alias(f"{name}_words"), F.col("stated_value").alias(f"{name}_stated"), F.col("operation").alias(f"{name}_op")))
+
+
+def score() -> Column:
+    """What a pair's words, stated values and operations have in common."""
+    same_op = F.coalesce(F.col("pred_op") == F.col("gold_op"), F.lit(False))
+    return 3 * T.jaccard(F.col("pred_words"), F.col("gold_words")) + equal(F.col("pred_stated"), F.col("gold_stated")).cast("double") + F.when(same_op, 0.3).otherwise(0.0)
+
+
+def candidates(p: DataFrame, g: DataFrame) -> DataFrame:
+    """(doc_id, pred, gold, score) of the pairs (of sides()) that share a word, or a stated value (or its absence) near enough. Each of these is an equi-join, the
+    value by bins as wide as the tolerance with both neighbours. Pairs that share no more than the operation are not made: matches() counts them off."""
     bin_of = lambda c: F.when(F.abs(c) < 5, F.floor(c / 0.1).cast("double")).otherwise(F.signum(c) * (1000 + F.floor(F.log(F.abs(c)) / 0.02)))
     near = lambda c: F.explode(F.array_distinct(F.array(*[bin_of(c * (1 + d) + e) for d in (-0.02, 0.0, 0.02) for e in (-0.06, 0.0, 0.06)])))
     ways = (
-        p.select("doc_id", "pred", F.explode("pw").alias("k")).join(g.select("doc_id", "gold", F.explode("gw").alias("k")), ["doc_id", "k"]),
-        p.select("doc_id", "pred", F.col("po").alias("k")).join(g.select("doc_id", "gold", F.col("go").alias("k")), ["doc_id", "k"]),
-        p.filter("ps is not null").select("doc_id", "pred", near(F.col("ps")).alias("k")).join(g.filter("gs is not null").select("doc_id", "gold", bin_of(F.col("gs")).alias("k")), ["doc_id", "k"]),
-        p.filter("ps is null").select("doc_id", "pred").join(g.filter("gs is null").select("doc_id", "gold"), "doc_id"),
+        p.select("doc_id", "pred", F.explode("pred_words").alias("k")).join(g.select("doc_id", "gold", F.explode("gold_words").alias("k")), ["doc_id", "k"]),
+        p.filter("pred_stated is not null").select("doc_id", "pred", near(F.col("pred_stated")).alias("k")).join(g.filter("gold_stated is not null").select("doc_id", "gold", bin_of(F.col("gold_stated")).alias("k")), ["doc_id", "k"]),
+        p.filter("pred_stated is null").select("doc_id", "pred").join(g.filter("gold_stated is null").select("doc_id", "gold"), "doc_id"),
     )
     pairs = None
     for way in ways:
         one = way.select("doc_id", "pred", "gold")
         pairs = one if pairs is None else pairs.unionByName(one)
-    score = 3 * T.jaccard(F.col("pw"), F.col("gw")) + equal(F.col("ps"), F.col("gs")).cast("double") + F.when(F.col("po") == F.col("go"), 0.3).otherwise(0.0)
-    return pairs.distinct().join(p, ["doc_id", "pred"]).join(g, ["doc_id", "gold"]).select("doc_id", "pred", "gold", score.alias("score")).filter(F.col("score") > LEAST)
+    return pairs.distinct().join(p, ["doc_id", "pred"]).join(g, ["doc_id", "gold"]).select("doc_id", "pred", "gold", score().alias("score")).filter(F.col("score") > LEAST)
+
+
+def assigned(pairs: DataFrame) -> DataFrame:
+    """(doc_id, pred, gold, score) of the pairs that taking the best pair first, again and again, leaves: by score, of equals the larger pred, then the larger gold. A round
+    takes all pairs that are the best of both their ends, which that order would take as well, and drops their rivals; so many pairs of all
+    documents are decided at once, and no document in one task. The best pair of each document goes in each round at least."""
+    order, out = F.struct("score", "pred", "gold"), None
+    left = cut(pairs.select("doc_id", "pred", "gold", "score"))
+    while not left.isEmpty():
+        mine = left.groupBy("doc_id", "pred").agg(F.max(order).alias("best")).select("doc_id", "best.*")
+        theirs = left.groupBy("doc_id", "gold").agg(F.max(order).alias("best")).select("doc_id", "best.pred", "best.gold")
+        won = cut(mine.join(theirs, ["doc_id", "pred", "gold"]).select("doc_id", "pred", "gold", "score"))
+        out = won if out is None else out.unionByName(won)
+        left = cut(left.join(won.select("doc_id", "pred"), ["doc_id", "pred"], "left_anti").join(won.select("doc_id", "gold"), ["doc_id", "gold"], "left_anti"))
+    return left if out is None else cut(out)
 
 
 def matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """(doc_id, pred, gold, score): greedy one-to-one assignment by score within a document, of equals the larger ords first, and what is left over
-    with a null on the other side. A document's candidates are decided in one task: those of a document are few, as they share words,
-    values or operations."""
-    scored = candidates(pred, gold)
-
-    def greedy(g: pd.DataFrame) -> pd.DataFrame:
-        used_p, used_g, rows = set(), set(), []
-        for r in g.sort_values(["score", "pred", "gold"], ascending=False).itertuples():
-            if r.pred not in used_p and r.gold not in used_g:
-                used_p.add(r.pred)
-                used_g.add(r.gold)
-                rows.append((r.doc_id, r.pred, r.gold, r.score))
-        return pd.DataFrame(rows, columns=["doc_id", "pred", "gold", "score"])
-
-    found = scored.groupBy("doc_id").applyInPandas(greedy, scored.schema)
-    rest = lambda x, side: x.select("doc_id", F.col("ord").alias(side)).join(found.select("doc_id", side), ["doc_id", side], "left_anti")
-    return found.unionByName(rest(gold, "gold"), allowMissingColumns=True).unionByName(rest(pred, "pred"), allowMissingColumns=True)
+    """(doc_id, pred, gold, score): one-to-one assignment within a document, the best score first, of equals the larger numbers first, and what is left over with a
+    null on the other side. Claims of a document that share a number are claims of their own, each with its row; of those the one with the larger text, value and
+    operation comes first. Steps go down the scores, and each sees only what those before have left: claims that agree in everything; pairs that share a word or a
+    value; pairs that share the operation alone, which all have one score and so pair off in order, without being made; pairs with few common words."""
+    p, g = sides(pred, "pred"), sides(gold, "gold")
+    found = None
+
+    def free(x: DataFrame, side: str) -> DataFrame:
+        return x if found is None else x.join(found.select("doc_id", side), ["doc_id", side], "left_anti")
+
+    def keep(more: DataFrame) -> DataFrame:
+        return more if found is None else found.unionByName(more)
+
+    alike = p.join(g.withColumns({"pred_words": F.col("gold_words"), "pred_op": F.col("gold_op")}), ["doc_id", "pred_words", "pred_op"]).filter((F.size("pred_words") > 0) & equal(F.col("pred_stated"), F.col("gold_stated")))
+    found = keep(assigned(alike.select("doc_id", "pred", "gold", score().alias("score"))))
+    some = cut(candidates(free(p, "pred"), free(g, "gold")))
+    found = keep(assigned(some.filter(F.col("score") > SAME_OPERATION)))
+    place = lambda x, side: free(x, side).filter(F.col(f"{side}_op").isNotNull()).select("doc_id", side, F.col(f"{side}_op").alias("op"), F.row_number().over(Window.partitionBy("doc_id", f"{side}_op").orderBy(F.desc(side))).alias("place"))
+    found = keep(cut(place(p, "pred").join(place(g, "gold"), ["doc_id", "op", "place"]).select("doc_id", "pred", "gold", F.lit(SAME_OPERATION).alias("score"))))
+    found = keep(assigned(free(free(some.filter(F.col("score") < SAME_OPERATION), "pred"), "gold")))
+    rest = lambda x, side: free(x, side).select("doc_id", F.col(f"{side}.ord").alias(side))
+    both = found.select("doc_id", F.col("pred.ord").alias("pred"), F.col("gold.ord").alias("gold"), "score")
+    return both.unionByName(rest(g, "gold"), allowMissingColumns=True).unionByName(rest(p, "pred"), allowMissingColumns=True)
 
 
 def evaluated(pairs: DataFrame, pred: DataFrame, gold: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Claim graphs: edges, reachability, cycles, nearest failing root. Edges say that src depends on dst.
 
-Frontiers are DataFrames, expanded breadth first; every round is cut by a checkpoint in the shared folder, so lineage stays short
-and a lost executor costs one round. Paths that meet (diamonds) do not multiply, because what was visited is not expanded again.
+What is asked of all nodes at once (dependents, cycles, causes) is answered by bits in reach.py; closure() lists the pairs themselves, breadth first. Every round is
+cut by a checkpoint in the shared folder, so lineage stays short and a lost executor costs one round. Paths that meet (diamonds) do not multiply.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import kernels as K
 
+from . import reach
 from .claims import FAILING
 
 MOST_ROUNDS = 1000
@@ -86,52 +87,61 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = MOST_ROUNDS) -> Data
     raise ValueError(f"no end of the graph after {most} steps")
 
 
-def knots(edges: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
-    """The edges that cycles can go through: those left when edges from nodes nothing depends on, and to nodes that depend on nothing, are
-    taken away again and again. Without a cycle nothing is left; every round is linear in the edges."""
-    left = cut(edges.select("doc_id", "src", "dst").distinct())
-    n = left.count()
-    for _ in range(most):
-        if not n:
-            return left
-        inner = left.join(left.select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi").join(left.select("doc_id", F.col("src").alias("dst")).distinct(), ["doc_id", "dst"], "left_semi")
-        left = cut(inner.select("doc_id", "src", "dst"))
-        before, n = n, left.count()
-        if n == before:
-            return left
-    raise ValueError(f"no end of the graph after {most} steps")
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that reach themselves: every cycle is made of such edges."""
+    on = cut(reach.reach(edges, None, cut).filter("cyclic").select("doc_id", "node"))
+    return edges.join(on.withColumnRenamed("node", "src"), ["doc_id", "src"], "left_semi").join(on.withColumnRenamed("node", "dst"), ["doc_id", "dst"], "left_semi").select("doc_id", "src", "dst").distinct()
+
+
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """(doc_id, path) of each document with a cycle: the one that the smallest successors lead to from its smallest node on a cycle, from its own smallest node back to it.
+    Pointers are doubled, so the rounds are the logarithm of the longest cycle: first every node learns where it is after more steps than there are nodes, and the
+    smallest node of the cycle there; then the nodes of that cycle learn how far they are from it."""
+    succ = cut(on_cycles(edges).groupBy("doc_id", F.col("src").alias("node")).agg(F.min("dst").alias("next")))
+    most = succ.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    jump, steps = succ.withColumn("low", F.least("node", "next")), 1
+    while steps < most:
+        then = jump.select("doc_id", F.col("node").alias("next"), F.col("next").alias("after"), F.col("low").alias("lower"))
+        jump = cut(jump.join(then, ["doc_id", "next"]).select("doc_id", "node", F.col("after").alias("next"), F.least("low", "lower").alias("low")))
+        steps *= 2
+    start = jump.groupBy("doc_id").agg(F.min_by("next", "node").alias("node"))
+    head = cut(start.join(jump.select("doc_id", "node", "low"), ["doc_id", "node"]).select("doc_id", F.col("low").alias("head")))
+    ring = jump.select("doc_id", F.col("next").alias("node")).distinct().join(succ, ["doc_id", "node"]).join(head, "doc_id")
+    far, steps = cut(ring.select("doc_id", "head", "node", F.col("next").alias("at"), F.lit(1).cast("long").alias("dist"))), 1
+    while steps < most:  # a node that has come to the head stays there; those of other cycles never do
+        then = far.select("doc_id", F.col("node").alias("at"), F.col("at").alias("after"), F.col("dist").alias("more"))
+        there = F.col("at") == F.col("head")
+        both = far.join(then, ["doc_id", "at"])
+        far = cut(both.select("doc_id", "head", "node", F.when(there, F.col("at")).otherwise(F.col("after")).alias("at"), F.when(there, F.col("dist")).otherwise(F.col("dist") + F.col("more")).alias("dist")))
+        steps *= 2
+    own = far.filter("at = head").groupBy("doc_id", "head").agg(F.sort_array(F.collect_list(F.struct("dist", "node")), asc=False).alias("nodes"))
+    return own.select("doc_id", F.concat(F.transform("nodes", lambda x: x["node"]), F.array("head")).alias("path"))
 
 
 def assert_acyclic(edges: DataFrame) -> None:
-    """Raise CycleError with one cycle's path; the driver follows single edges of one document's knot only."""
-    left = knots(edges)
-    first = left.orderBy("doc_id", "src", "dst").first()
-    if first is None:
-        return
-    path = [first.src]
-    while True:
-        step = left.filter((F.col("doc_id") == F.lit(first.doc_id)) & (F.col("src") == F.lit(path[-1]))).agg(F.min("dst")).first()[0]
-        if step in path:
-            raise CycleError(f"{first.doc_id}: " + " -> ".join(map(str, [*path[path.index(step) :], step])))
-        path.append(step)
+    """Raise CycleError with the path of the first document's cycle, if there is one."""
+    first = cycle_paths(edges).orderBy("doc_id").first()
+    if first is not None:
+        raise CycleError(f"{first.doc_id}: " + " -> ".join(map(str, first.path)))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(doc_id, node) that reach themselves; only edges of knots are followed."""
-    left = knots(edges)
-    return closure(left, left.select("doc_id", F.col("dst").alias("root")).distinct()).filter("root = node").select("doc_id", "node").distinct()
+    """(doc_id, node) that reach themselves."""
+    return reach.reach(edges, None, cut).filter("cyclic").select("doc_id", "node")
 
 
 def without_cycles(new: DataFrame, given: DataFrame | None = None) -> DataFrame:
-    """The new edges (doc_id, src, dst, rank), not among those given, that close no cycle when they are added to given by rank. Only edges of knots need that order; they
-    are decided document by document, the others are taken at once."""
+    """The new edges (doc_id, src, dst, rank), not among those given, that close no cycle when they are added to given by rank. Only edges on cycles of all of them together
+    need that order; they are decided document by document, the others are taken at once. Documents without a new edge are not looked at."""
     own = ["doc_id", "src", "dst"]
     new = cut(new if given is None else new.join(given, own, "left_anti"))
     if new.isEmpty():
         return new.select(*own)
-    every = new.select(*own) if given is None else new.select(*own).unionByName(given.select(*own))
-    tied = knots(every)
+    every = new.select(*own) if given is None else new.select(*own).unionByName(given.select(*own).join(new.select("doc_id").distinct(), "doc_id", "left_semi"))
+    tied = cut(on_cycles(cut(every)))
     free = new.join(tied, own, "left_anti").select(*own)
+    if tied.isEmpty():
+        return free
     ranked = tied.join(new.select(*own, "rank"), own, "left").select(*own, "rank")
 
     def decide(g: pd.DataFrame) -> pd.DataFrame:
@@ -153,38 +163,23 @@ def without_cycles(new: DataFrame, given: DataFrame | None = None) -> DataFrame:
     return free.unionByName(ranked.groupBy("doc_id").applyInPandas(decide, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.select(*own).schema)))
 
 
-def downstream(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def downstream(edges: DataFrame) -> DataFrame:
     """(doc_id, node, n) of every node with dependents."""
-    reach = closure(edges, edges.select("doc_id", F.col("dst").alias("root")).distinct()) if reach is None else reach
-    return reach.filter("root <> node").groupBy("doc_id", F.col("root").alias("node")).agg(F.count("*").alias("n"))
+    return reach.reach(edges, None, cut).filter("n > 0").select("doc_id", "node", "n")
 
 
-def nearest(edges: DataFrame, sources: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
-    """(doc_id, node, root_ord, dist) of everything that depends on the sources (doc_id, node, root_ord): the nearest, of equals the first. One search
-    from all sources at once: a node is expanded once, in the round that reaches it, with the first root of that round."""
-    e = edges.select("doc_id", F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
-    front = cut(sources.groupBy("doc_id", "node").agg(F.min("root_ord").alias("root_ord")))
-    seen = front.withColumn("dist", F.lit(0))
-    for dist in range(1, most + 1):
-        step = front.join(e, ["doc_id", "node"]).groupBy("doc_id", F.col("next").alias("node")).agg(F.min("root_ord").alias("root_ord"))
-        front = cut(step.join(seen.select("doc_id", "node"), ["doc_id", "node"], "left_anti"))
-        if front.isEmpty():
-            return seen.filter("dist > 0")
-        seen = seen.unionByName(front.withColumn("dist", F.lit(dist)))
-    raise ValueError(f"no end of the graph after {most} steps")
+def failing(verdicts: DataFrame) -> DataFrame:
+    """(doc_id, node, root_ord) of failing claims that others can name."""
+    return verdicts.filter(F.col("status").isin(*FAILING) & F.col("node").isNotNull()).select("doc_id", "node", F.col("ord").alias("root_ord"))
 
 
-def propagate(verdicts: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def propagate(verdicts: DataFrame, edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """Whatever depends on a failing claim becomes a propagated error, caused by the nearest failing root, of equals the first by ord.
-    A failing claim keeps its verdict. verdicts: doc_id, node, ord, status. reach: the closure of all nodes, where it is there already."""
-    failing = verdicts.filter(F.col("status").isin(*FAILING)).select("doc_id", "node", F.col("ord").alias("root_ord"))
-    cause = failing.select("doc_id", "root_ord", F.col("node").alias("caused_by"))
-    sources = failing.filter("node is not null")
-    if reach is None:
-        near = nearest(edges, sources)
-    else:
-        near = reach.join(sources.withColumnRenamed("node", "root"), ["doc_id", "root"]).groupBy("doc_id", "node").agg(F.min_by("root_ord", F.struct("dist", "root_ord")).alias("root_ord"))
-    near = near.join(cause, ["doc_id", "root_ord"]).select("doc_id", "node", "caused_by")
+    A failing claim keeps its verdict. verdicts: doc_id, node, ord, status. reached: reach() from the failing claims, where it is there already."""
+    if reached is None:
+        reached = reach.reach(edges, failing(verdicts), cut)
+    cause = failing(verdicts).withColumnRenamed("node", "caused_by")
+    near = reached.filter("dist > 0").select("doc_id", "node", "root_ord").join(cause, ["doc_id", "root_ord"]).select("doc_id", "node", "caused_by")
     hit = F.col("caused_by").isNotNull() & ~F.col("status").isin(*FAILING)
     return verdicts.join(near, ["doc_id", "node"], "left").withColumns({"caused_by": F.when(hit, F.col("caused_by")), "status": F.when(hit, K.PROPAGATED).otherwise(F.col("status"))})
 
@@ -192,14 +187,8 @@ def propagate(verdicts: DataFrame, edges: DataFrame, reach: DataFrame | None = N
 def injected(verdicts: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, root, relabelled): for each node that others depend on, how many claims would be propagated errors caused by it if it alone
     had failed besides those that fail already. verdicts: doc_id, node, ord, status."""
-    reach = closure(edges, edges.select("doc_id", F.col("dst").alias("root")).distinct())
-    kept = verdicts.filter(~F.col("status").isin(*FAILING)).select("doc_id", "node")
-    own = nearest(edges, verdicts.filter(F.col("status").isin(*FAILING)).select("doc_id", "node", F.col("ord").alias("root_ord"))).select("doc_id", "node", "root_ord", F.col("dist").alias("other"))
-    at = verdicts.select("doc_id", F.col("node").alias("root"), F.col("ord").alias("mine"))
-    hit = reach.filter("root <> node").join(kept, ["doc_id", "node"]).join(at, ["doc_id", "root"]).join(own, ["doc_id", "node"], "left")
-    closer = F.col("other").isNull() | (F.struct("dist", "mine") <= F.struct("other", "root_ord"))
-    n = hit.groupBy("doc_id", "root").agg(F.count_if(closer).alias("n"))
-    return edges.select("doc_id", F.col("dst").alias("root")).distinct().join(n, ["doc_id", "root"], "left").select("doc_id", "root", F.coalesce("n", F.lit(0)).cast("long").alias("relabelled"))
+    n = reach.relabelled(edges, verdicts.select("doc_id", "node", "ord", F.col("status").isin(*FAILING).alias("failing")), cut)
+    return edges.select("doc_id", F.col("dst").alias("node")).distinct().join(n, ["doc_id", "node"], "left").select("doc_id", F.col("node").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("relabelled"))
 
 
 def measured(claims: DataFrame) -> DataFrame:

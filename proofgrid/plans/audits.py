@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions import kernels as K
+from proofgrid.functions import text as T
 from proofgrid.operators import answers, audit, compare, dashboards, gold, graph
 from proofgrid.operators import claims as C
 from proofgrid.operators import facts as X
@@ -110,15 +111,45 @@ def fault_injection(spark: SparkSession, sf: str) -> DataFrame:
     return graph.injected(v, graph.cut(graph.edges(c)))
 
 
-@query("cycle_guard", """WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT doc_id, n AS src, n - 1 AS dst FROM o WHERE n > 1 AND n % 4 <> 1
-UNION ALL SELECT doc_id, n, n + 2 FROM o WHERE n % 4 = 1 AND EXISTS (SELECT 1 FROM o b WHERE b.doc_id = o.doc_id AND b.n = o.n + 2) AND FALSE""")
+GUARD = "o AS (SELECT o_custkey AS doc_id, o_orderkey % 2 = 0 AS even, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)"
+
+
+def in_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, n, key, most): a customer's orders, numbered from 1, with the number of all."""
+    w = Window.partitionBy("o_custkey")
+    o = A.table(spark, sf, "orders")
+    return o.select(F.col("o_custkey").alias("doc_id"), F.row_number().over(w.orderBy("o_orderkey")).cast("long").alias("n"), F.col("o_orderkey").alias("key"), F.count("*").over(w).alias("most"))
+
+
+@query("cycle_guard", f"""WITH {GUARD} SELECT doc_id, n AS src, n - 1 AS dst FROM o WHERE n > 1 AND n % 4 <> 1
+UNION ALL SELECT doc_id, n, n - 1 FROM o WHERE n > 1 AND n % 4 = 1 AND even
+UNION ALL SELECT doc_id, n - 1, n FROM o WHERE n > 1 AND n % 4 = 1 AND NOT even
+UNION ALL SELECT doc_id, n, n - 3 FROM o WHERE n > 4 AND n % 4 = 0""")
 def cycle_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders in a row depend on the one before, in blocks of four; edges offered later would lead from the first of a block to its third."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("n"))
-    back = o.filter("n > 1 and n % 4 <> 1").select("doc_id", F.col("n").alias("src"), (F.col("n") - 1).alias("dst"), F.lit(1).alias("rank"))
-    third = o.filter("n % 4 = 3").select("doc_id", (F.col("n") - 2).alias("src"), F.col("n").alias("dst"), F.lit(2).alias("rank"))
-    return graph.without_cycles(back.unionByName(third))
+    """Orders in a row depend on the one before, in blocks of four. Edges offered later: from the first of a block to its third (closes a cycle); from the first of a block to
+    the last of the block before, where its key is even; from there back to it (closes a cycle just where the one before was offered); from the last to the first."""
+    o = in_rows(spark, sf)
+    edge = lambda where, src, dst, rank: o.filter(where).select("doc_id", F.expr(src).alias("src"), F.expr(dst).alias("dst"), F.lit(rank).alias("rank"))
+    offered = edge("n > 1 and n % 4 <> 1", "n", "n - 1", 1).unionByName(edge("n % 4 = 3", "n - 2", "n", 2)).unionByName(edge("n > 1 and n % 4 = 1 and key % 2 = 0", "n", "n - 1", 3))
+    return graph.without_cycles(offered.unionByName(edge("n > 1 and n % 4 = 1", "n - 1", "n", 4)).unionByName(edge("n > 4 and n % 4 = 0", "n", "n - 3", 5)))
+
+
+@query("cycle_paths", """WITH RECURSIVE o AS (SELECT o_custkey AS doc_id, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS most FROM orders),
+e AS (SELECT doc_id, n AS src, n - 1 AS dst FROM o WHERE n > 1 AND key % 3 <> 0 UNION SELECT doc_id, n, n + 1 + key % 4 FROM o WHERE key % 5 = 0 AND n + 1 + key % 4 <= most UNION SELECT doc_id, n, (n + 3) // 2 FROM o WHERE key % 3 = 0 AND (n + 3) // 2 <= most AND n <> (n + 3) // 2),
+reach AS (SELECT doc_id, src, dst FROM e UNION SELECT r.doc_id, r.src, e.dst FROM reach r JOIN e ON e.doc_id = r.doc_id AND e.src = r.dst),
+c AS (SELECT doc_id, src AS node FROM reach WHERE src = dst),
+f AS (SELECT e.doc_id, e.src AS node, min(e.dst) AS nxt FROM e JOIN c a ON a.doc_id = e.doc_id AND a.node = e.src JOIN c b ON b.doc_id = e.doc_id AND b.node = e.dst GROUP BY 1, 2),
+w AS (SELECT doc_id, min(node) AS node, 0 AS step FROM c GROUP BY 1 UNION ALL SELECT w.doc_id, f.nxt, step + 1 FROM w JOIN f ON f.doc_id = w.doc_id AND f.node = w.node WHERE step < 200),
+h AS (SELECT doc_id, min(node) AS head FROM w WHERE step >= 100 GROUP BY 1),
+t AS (SELECT doc_id, head, min(step) AS t0 FROM w JOIN h USING (doc_id) WHERE step >= 100 AND node = head GROUP BY 1, 2),
+u AS (SELECT doc_id, t0, min(step) AS t1 FROM w JOIN t USING (doc_id) WHERE node = head AND step > t0 GROUP BY 1, 2)
+SELECT doc_id, string_agg(node::VARCHAR, ' -> ' ORDER BY step) AS path FROM w JOIN u USING (doc_id) WHERE step BETWEEN t0 AND t1 GROUP BY 1""")
+def cycle_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """A cycle of each customer whose orders, by their keys, depend on each other in a circle."""
+    o = in_rows(spark, sf)
+    edge = lambda where, dst: o.filter(where).select("doc_id", F.col("n").alias("src"), F.expr(dst).cast("long").alias("dst"))
+    every = edge("n > 1 and key % 3 <> 0", "n - 1").union(edge("key % 5 = 0 and n + 1 + key % 4 <= most", "n + 1 + key % 4")).union(edge("key % 3 = 0 and (n + 3) div 2 <= most and n <> (n + 3) div 2", "(n + 3) div 2"))
+    return graph.cycle_paths(every.distinct()).select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), " -> ").alias("path"))
 
 
 # Audits.
@@ -365,49 +396,80 @@ def trust_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(predictions, gold): a customer's orders as gold claims, and what was read of them: some lost, some with other words, numbers or operations, some made
-    up from the order's items."""
+    """(predictions, gold): a customer's orders as gold claims, and what was read of them: some lost, some with other words, numbers or operations, and one made up
+    from each of the order's items."""
     o = A.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     text = F.concat(F.lit("total of "), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", " ")), F.lit(" order in "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" was "), F.col("o_orderstatus"))
     g = o.select(F.col("o_custkey").alias("doc_id"), k.alias("ord"), text.alias("claim_text"), F.col("o_totalprice").alias("stated_value"), F.get(F.array(*map(F.lit, OPS)), (k % 5).cast("int")).alias("operation"))
     p = g.filter("ord % 9 <> 4").select("doc_id", (F.col("ord") * 2).alias("ord"), F.when(F.col("ord") % 4 == 1, F.concat(F.lit("figure "), F.substring("claim_text", 10, 40))).otherwise(F.col("claim_text")).alias("claim_text"), F.when(F.col("ord") % 5 == 2, F.col("stated_value") * 1.2).when(F.col("ord") % 5 == 3, F.col("stated_value") * 1.005).otherwise(F.col("stated_value")).alias("stated_value"), F.when(F.col("ord") % 3 == 1, "sum").otherwise(F.col("operation")).alias("operation"))
-    made_up = A.table(spark, sf, "lineitem").filter("l_linenumber = 7").select(F.col("l_orderkey").alias("k"), (F.col("l_orderkey") * 2 + 1).alias("ord"), F.lit("one more item of an order").alias("claim_text"), F.col("l_extendedprice").alias("stated_value"), F.lit("identity").alias("operation"))
-    return p.unionByName(made_up.join(o.select(k.alias("k"), F.col("o_custkey").alias("doc_id")), "k").select("doc_id", "ord", "claim_text", "stated_value", "operation")), g
+    items = A.table(spark, sf, "lineitem").join(o.select(k.alias("l_orderkey"), F.col("o_custkey").alias("doc_id")), "l_orderkey")
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    made_up = items.select("doc_id", (n * 2 + 1).cast("long").alias("ord"), F.concat(F.lit("item shipped "), F.date_format("l_shipdate", "MMMM yyyy")).alias("claim_text"), F.col("l_extendedprice").alias("stated_value"), F.lit("identity").alias("operation"))
+    return p.unionByName(made_up), g
 
 
-@query("gold_match")
+def match_sql(pred: str, gold: str) -> str:
+    """CTEs after which `matched` holds (doc_id, pred, gold) of tables with doc_id, ord, claim_text, stated_value, operation: all pairs of a document, best first, taken one by one."""
+    words = "list_distinct(list_filter(string_split_regex(lower(coalesce(claim_text, '')), '[^a-z0-9]+'), lambda t: length(t) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.GOLD_STOPWORDS) + "], t)))"
+    return f"""mp AS (SELECT *, {words} AS w FROM {pred}), mg AS (SELECT *, {words} AS w FROM {gold}),
+ms AS (SELECT doc_id, mp.ord AS pred, mg.ord AS gold, 3 * CASE WHEN len(list_concat(mp.w, mg.w)) > 0 THEN len(list_intersect(mp.w, mg.w))::DOUBLE / len(list_distinct(list_concat(mp.w, mg.w))) ELSE 0 END
+ + CASE WHEN mp.stated_value IS NULL OR mg.stated_value IS NULL THEN (mp.stated_value IS NULL AND mg.stated_value IS NULL)::INT ELSE (abs(mp.stated_value - mg.stated_value) <= greatest(abs(mg.stated_value) * 0.01, 0.05))::INT END + CASE WHEN mp.operation = mg.operation THEN 0.3::DOUBLE ELSE 0 END AS score FROM mp JOIN mg USING (doc_id)),
+ml AS (SELECT doc_id, list([{{'p': pred, 'g': gold, 's': score}}] ORDER BY score DESC, pred DESC, gold DESC) AS pairs FROM ms WHERE score > 0.15 GROUP BY 1),
+mt AS (SELECT doc_id, unnest(list_reduce(pairs, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.p = x[1].p OR y.g = x[1].g)) > 0 THEN a ELSE list_concat(a, x) END)) AS m FROM ml),
+mm AS (SELECT doc_id, m.p AS pred, m.g AS gold, m.s AS score FROM mt),
+matched AS (SELECT doc_id, pred, gold, score FROM mm UNION ALL SELECT doc_id, NULL, ord, NULL FROM mg WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.doc_id = mg.doc_id AND mm.gold = mg.ord) UNION ALL SELECT doc_id, ord, NULL, NULL FROM mp WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.doc_id = mp.doc_id AND mm.pred = mp.ord))"""
+
+
+GOLD_SETS = """gg AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, 'total of ' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]', ' ', 'g')) || ' order in ' || strftime(o_orderdate, '%B %Y') || ' was ' || o_orderstatus AS claim_text, o_totalprice AS stated_value, ['sum', 'difference', 'percent_change', 'ratio', 'identity'][(o_orderkey % 5 + 1)::INT] AS operation FROM orders),
+pp AS (SELECT doc_id, ord * 2 AS ord, CASE WHEN ord % 4 = 1 THEN 'figure ' || substr(claim_text, 10, 40) ELSE claim_text END AS claim_text, CASE ord % 5 WHEN 2 THEN stated_value * 1.2::DOUBLE WHEN 3 THEN stated_value * 1.005::DOUBLE ELSE stated_value END AS stated_value, CASE WHEN ord % 3 = 1 THEN 'sum' ELSE operation END AS operation FROM gg WHERE ord % 9 <> 4
+ UNION ALL SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) * 2 + 1, 'item shipped ' || strftime(l_shipdate, '%B %Y'), l_extendedprice, 'identity' FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query("gold_match", f"WITH {GOLD_SETS}, {match_sql('pp', 'gg')} SELECT doc_id, pred, gold, score FROM matched")
 def gold_match(spark: SparkSession, sf: str) -> DataFrame:
     return gold.matches(*gold_sets(spark, sf))
 
 
 def gold_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, predictions, gold) as verdicts: each claim of an order is predicted as it is, or with its operands swapped, changed or of another source."""
-    c = typed_claims(spark, sf).withColumn("ord", F.col("key"))
+    """(pairs, predictions, gold) as verdicts: each claim of an order is predicted as it is, or with its operands swapped, changed or of another source, some under other
+    words; which prediction is of which claim is for the assignment to find."""
     k = F.col("key")
+    c = typed_claims(spark, sf).withColumns({"ord": k, "claim_text": F.concat(F.lit("claim of order "), k.cast("string"))})
     swapped = F.when(k % 6 == 1, F.reverse("operands")).when(k % 6 == 2, F.transform("operands", lambda o: o.withField("value", o["value"] * 1.5))).when(k % 6 == 3, F.transform("operands", lambda o: o.withField("source", F.lit("inferred")))).otherwise(F.col("operands"))
-    p = c.filter("key % 8 <> 5").withColumns({"operands": swapped, "stated_value": F.when(k % 10 == 7, F.col("stated_value") * 2).otherwise(F.col("stated_value"))})
-    pairs = c.select("doc_id", F.when(k % 8 != 5, k).alias("pred"), k.alias("gold"))
+    p = c.filter("key % 8 <> 5").withColumns({"operands": swapped, "stated_value": F.when(k % 10 == 7, F.col("stated_value") * 2).otherwise(F.col("stated_value")), "claim_text": F.when(k % 4 == 1, F.concat(F.lit("figure "), F.floor(k / 7).cast("string"))).otherwise(F.col("claim_text"))})
     extra = p.filter("key % 12 = 4").withColumn("ord", -F.col("ord"))
-    return pairs.unionByName(extra.select("doc_id", F.col("ord").alias("pred"), F.lit(None).cast("long").alias("gold"))), C.verify(p.unionByName(extra)), C.verify(c)
+    every = p.unionByName(extra)
+    return gold.matches(every, c), C.verify(every), C.verify(c)
+
+
+def near_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN {a} IS NULL AND {b} IS NULL ELSE abs({a} - {b}) <= greatest(abs({b}) * 0.01, 0.05) END"
 
 
-GOLD = f"""{ORDERS}, gp AS (SELECT *, key % 8 <> 5 AS matched, key % 11 = 4 AS missing, operation IN ('difference', 'percent_change', 'ratio') AS ordered, operation <> 'identity' AS two, CASE key % 6 WHEN 1 THEN CASE WHEN operation = 'identity' THEN p ELSE p END WHEN 2 THEN CASE WHEN operation = 'identity' THEN p ELSE q END * 1.5::DOUBLE ELSE CASE WHEN operation = 'identity' THEN p ELSE q END END AS a1,
- CASE key % 6 WHEN 1 THEN q WHEN 2 THEN p * 1.5::DOUBLE ELSE p END AS a2, CASE WHEN operation = 'identity' THEN p ELSE q END AS b1, CASE WHEN key % 10 = 7 THEN stated * 2 ELSE stated END AS ps FROM ov),
-eq AS (SELECT *, abs(a1 - b1) <= greatest(abs(b1) * 0.01, 0.05) AS e1, abs(a2 - p) <= greatest(abs(p) * 0.01, 0.05) AS e2, coalesce(abs(ps - stated) <= greatest(abs(stated) * 0.01, 0.05), stated IS NULL) AS stated_ok,
- CASE operation WHEN 'sum' THEN a1 + a2 WHEN 'difference' THEN a1 - a2 WHEN 'percent_change' THEN (a2 - a1) / a1 * 100 WHEN 'ratio' THEN a1 / a2 ELSE a1 END AS calc, key % 6 = 3 AS other FROM gp),
-ev AS (SELECT *, CASE WHEN ordered AND NOT (missing AND NOT other) AND NOT missing THEN e1 AND e2 END AS order_ok, CASE WHEN missing AND NOT other THEN TRUE WHEN missing THEN FALSE WHEN two THEN greatest(a1, a2) BETWEEN greatest(q, p) - greatest(greatest(q, p) * 0.01, 0.05) AND greatest(q, p) + greatest(greatest(q, p) * 0.01, 0.05) AND abs(least(a1, a2) - least(q, p)) <= greatest(abs(least(q, p)) * 0.01, 0.05) ELSE e1 END AS same,
- CASE WHEN missing AND NOT other THEN 'UNSUPPORTED_NUMBER' WHEN ps IS NULL THEN 'AMBIGUOUS' WHEN CASE WHEN operation = 'percent_change' THEN abs(ps - calc) <= 0.5 ELSE abs(ps - calc) / greatest(abs(calc), 1e-9) <= 0.005 END THEN 'VERIFIED' ELSE 'WRONG_MATH' END AS pv FROM eq)"""
+#: gp and ge: each prediction and each gold claim with values v1, v2 (null where missing), sources and verdict; ev: what is right of each pair of `matched`.
+GOLD = f"""{ORDERS}, g1 AS (SELECT *, key % 11 = 4 AS missing, operation <> 'identity' AS two, key % 6 = 3 AS other, CASE WHEN operation = 'identity' THEN p ELSE q END AS b1, CASE WHEN key % 10 = 7 THEN stated * 2 ELSE stated END AS ps FROM ov),
+g2 AS (SELECT *, CASE WHEN key % 6 = 1 AND two THEN p WHEN key % 6 = 2 THEN b1 * 1.5::DOUBLE ELSE b1 END AS a1, CASE key % 6 WHEN 1 THEN q WHEN 2 THEN p * 1.5::DOUBLE ELSE p END AS a2 FROM g1),
+g3 AS (SELECT *, CASE operation WHEN 'sum' THEN a1 + a2 WHEN 'difference' THEN a1 - a2 WHEN 'percent_change' THEN (a2 - a1) / a1 * 100 WHEN 'ratio' THEN a1 / a2 ELSE a1 END AS calc FROM g2),
+g4 AS (SELECT *, CASE WHEN missing AND NOT other THEN 'UNSUPPORTED_NUMBER' WHEN ps IS NULL THEN 'AMBIGUOUS' WHEN CASE WHEN operation = 'percent_change' THEN abs(ps - calc) <= 0.5 ELSE abs(ps - calc) / greatest(abs(calc), 1e-9) <= 0.005 END THEN 'VERIFIED' ELSE 'WRONG_MATH' END AS pv FROM g3),
+ge AS (SELECT doc_id, key AS ord, 'claim of order ' || key AS claim_text, stated AS stated_value, operation, two, CASE WHEN NOT missing THEN b1 END AS v1, CASE WHEN NOT missing AND two THEN p END AS v2, CASE WHEN missing THEN 'missing' ELSE 'grounded' END AS source, status FROM g2),
+g5 AS (SELECT doc_id, key AS ord, CASE WHEN key % 4 = 1 THEN 'figure ' || (key // 7) ELSE 'claim of order ' || key END AS claim_text, ps AS stated_value, operation, two, CASE WHEN NOT missing OR other THEN a1 END AS v1, CASE WHEN (NOT missing OR other) AND two THEN a2 END AS v2, CASE WHEN other THEN 'inferred' WHEN missing THEN 'missing' ELSE 'grounded' END AS source, pv AS status FROM g4 WHERE key % 8 <> 5),
+gp AS (SELECT * FROM g5 UNION ALL SELECT * REPLACE (-ord AS ord) FROM g5 WHERE ord % 12 = 4), {match_sql('gp', 'ge')},
+e0 AS (SELECT m.doc_id, m.pred, m.gold, g.operation, m.pred IS NOT NULL AND m.gold IS NOT NULL AS matched, p.operation = g.operation AS op_ok, {near_sql('p.stated_value', 'g.stated_value')} AS stated_ok, p.two = g.two AS as_many, g.two, p.v1, p.v2, g.v1 AS w1, g.v2 AS w2, p.source = g.source AS sources, p.status = g.status AS agree,
+ (p.v1 IS NULL) = (g.v1 IS NULL) AS as_missing FROM matched m LEFT JOIN gp p ON p.doc_id = m.doc_id AND p.ord = m.pred LEFT JOIN ge g ON g.doc_id = m.doc_id AND g.ord = m.gold),
+ev AS (SELECT *, CASE WHEN matched AND operation IN ('difference', 'percent_change', 'ratio') AND w1 IS NOT NULL AND as_many THEN {near_sql('v1', 'w1')} AND {near_sql('v2', 'w2')} END AS order_ok,
+ matched AND as_many AND as_missing AND CASE WHEN w1 IS NULL THEN TRUE WHEN two THEN {near_sql('least(v1, v2)', 'least(w1, w2)')} AND {near_sql('greatest(v1, v2)', 'greatest(w1, w2)')} ELSE {near_sql('v1', 'w1')} END AS same,
+ matched AND as_many AND sources AND CASE WHEN two THEN ({near_sql('v1', 'w1')} AND {near_sql('v2', 'w2')}) OR (NOT {near_sql('v1', 'w1')} AND {near_sql('v2', 'w1')} AND {near_sql('v1', 'w2')}) ELSE {near_sql('v1', 'w1')} END AS grounding FROM e0)"""
 
 
-@query("gold_evaluation", f"""WITH RECURSIVE {GOLD} SELECT operation, count(*)::BIGINT AS total_gold, count(*) FILTER (matched)::BIGINT AS recall, count(*) FILTER (matched AND stated_ok)::BIGINT AS stated_ok, count(*) FILTER (matched AND order_ok)::BIGINT AS order_ok, count(*) FILTER (matched AND order_ok IS NOT NULL)::BIGINT AS order_ok_of, count(*) FILTER (matched AND same AND NOT other)::BIGINT AS grounding_ok, count(*) FILTER (matched AND stated_ok AND same AND coalesce(order_ok, TRUE) AND NOT other)::BIGINT AS fully_correct, count(*) FILTER (matched AND pv = status)::BIGINT AS verdict_agree FROM ev GROUP BY 1""")
+@query("gold_evaluation", f"""WITH RECURSIVE {GOLD} SELECT operation, count(*)::BIGINT AS total_gold, count(*) FILTER (matched)::BIGINT AS recall, count(*) FILTER (matched AND op_ok)::BIGINT AS operation_ok, count(*) FILTER (matched AND stated_ok)::BIGINT AS stated_ok, count(*) FILTER (order_ok)::BIGINT AS order_ok, count(*) FILTER (order_ok IS NOT NULL)::BIGINT AS order_ok_of, count(*) FILTER (grounding)::BIGINT AS grounding_ok, count(*) FILTER (matched AND op_ok AND stated_ok AND same AND coalesce(order_ok, TRUE) AND grounding)::BIGINT AS fully_correct, count(*) FILTER (agree)::BIGINT AS verdict_agree FROM ev WHERE gold IS NOT NULL GROUP BY 1""")
 def gold_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     pairs, pred, g = gold_pairs(spark, sf)
     e = gold.evaluated(pairs, pred, g).join(g.select("doc_id", F.col("ord").alias("gold"), "operation"), ["doc_id", "gold"])
-    return gold.summary(e, "operation").select("operation", "total_gold", "recall", "stated_ok", "order_ok", "order_ok_of", "grounding_ok", "fully_correct", "verdict_agree")
+    return gold.summary(e, "operation").select("operation", "total_gold", "recall", "operation_ok", "stated_ok", "order_ok", "order_ok_of", "grounding_ok", "fully_correct", "verdict_agree")
 
 
-@query("gold_documents", f"WITH RECURSIVE {GOLD} SELECT doc_id, count(*)::BIGINT AS total_gold, count(*) FILTER (matched)::BIGINT AS recall, count(*) FILTER (matched AND key % 12 = 4)::BIGINT AS spurious FROM ev GROUP BY 1")
+@query("gold_documents", f"WITH RECURSIVE {GOLD} SELECT doc_id, count(gold)::BIGINT AS total_gold, count(*) FILTER (matched)::BIGINT AS recall, count(*) FILTER (gold IS NULL)::BIGINT AS spurious FROM ev GROUP BY 1")
 def gold_documents(spark: SparkSession, sf: str) -> DataFrame:
     return gold.summary(gold.evaluated(*gold_pairs(spark, sf)), "doc_id").select("doc_id", "total_gold", "recall", "spurious")
 
