@@ -144,11 +144,25 @@ def extremes(gate: DataFrame) -> DataFrame:
     return x.groupBy("group").agg(first(-1).alias("winner"), F.max("value").alias("best"), first(1).alias("loser"), F.min("value").alias("worst"))
 
 
+def highest_claims(gate: DataFrame, said: DataFrame) -> DataFrame:
+    """Claims that a member has the highest value of its group (said: group, entity, and what else they carry), as the verifier reads them: the member's own value against
+    the best of the other members that compare, which is one number whatever the group's size; a member that does not compare has no value, and its claim an operand
+    that is missing."""
+    x = gate.filter("state = 'compared' and included").select("group", "entity", "value")
+    own = said.join(x.withColumnRenamed("value", "mine"), ["group", "entity"], "left")
+    rest = said.select("group", "entity").distinct().join(x.select("group", F.col("entity").alias("__other"), "value"), "group").filter("entity <> __other").groupBy("group", "entity").agg(F.max("value").alias("others"))
+    operand = lambda v: F.struct(v.alias("value"), F.when(v.isNull(), "missing").otherwise("grounded").alias("source"), F.lit(None).cast("string").alias("category"))
+    values = F.when(F.col("others").isNull(), F.array(operand(F.col("mine")))).otherwise(F.array(operand(F.col("mine")), operand(F.col("others"))))
+    claim = own.join(rest, ["group", "entity"], "left").withColumns({"operation": F.lit("superlative"), "superlative": F.lit("max"), "stated_value": F.lit(None).cast("double"), "operands": values, "periods": F.array(F.col("entity").cast("string"), F.lit("the others")), "target_period": F.col("entity").cast("string")})
+    return claim.drop("mine", "others")
+
+
 def superlatives(gate: DataFrame) -> DataFrame:
-    """extremes with the verdicts of two claims: that the winner has the highest value, and, as a control, that the loser has."""
+    """extremes with the verdicts of two claims: that the winner has the highest value, and, as a control, that the loser has; null where they are one."""
     e = extremes(gate)
-    hold = lambda v: F.when(v == F.col("best"), K.VERIFIED).otherwise(K.WRONG)
-    return e.withColumns({"verdict": hold(F.col("best")), "control": F.when(F.col("winner") != F.col("loser"), hold(F.col("worst")))})
+    said = e.select("group", F.col("winner").alias("entity"), F.lit("verdict").alias("kind")).unionByName(e.filter("winner <> loser").select("group", F.col("loser").alias("entity"), F.lit("control").alias("kind")))
+    v = C.verify(highest_claims(gate, said)).groupBy("group").agg(*[F.max(F.when(F.col("kind") == k, F.col("status"))).alias(k) for k in ("verdict", "control")])
+    return e.join(v, "group")
 
 
 def buyback_crosscheck(buybacks: DataFrame, transactions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -118,9 +118,13 @@ SEGMENT_KEYS = ("segments", "segment", "dimensions", "dimension")
 
 
 def segments(facts: DataFrame, most: int = 3) -> DataFrame:
-    """(entity, n, examples) of filers whose raw facts have keys of segments; examples: the first of them (the report's feature). facts: entity, pos, tag, unit,
-    fact, a map."""
-    x = facts.withColumn("segment_keys", F.array_sort(F.array_intersect(F.map_keys("fact"), F.array(*map(F.lit, SEGMENT_KEYS))))).filter(F.size("segment_keys") > 0)
-    ranked = x.withColumn("__r", F.row_number().over(Window.partitionBy("entity").orderBy("pos")))
-    first = F.array_sort(F.collect_list(F.when(F.col("__r") <= most, F.struct("pos", "tag", "unit", "segment_keys"))))
-    return ranked.groupBy("entity").agg(F.count("*").alias("n"), first.alias("examples"))
+    """(entity, n_facts, n, examples) of filers whose raw facts have keys of segments, with the number of all their facts; examples: the first of them by taxonomy, tag, unit
+    and place (the report's feature). facts: entity, taxonomy, tag, unit, pos, keys."""
+    x = facts.withColumn("segment_keys", F.array_intersect("keys", F.array(*map(F.lit, SEGMENT_KEYS))))
+    has = F.size("segment_keys") > 0
+    order = ("taxonomy", "tag", "unit", "pos")
+    counts = x.groupBy("entity").agg(F.count("*").alias("n_facts"), F.count_if(has).alias("n")).filter("n > 0")
+    nth = F.row_number().over(Window.partitionBy("entity").orderBy(*order))
+    first = x.filter(has).withColumn("__r", nth).filter(F.col("__r") <= most)  # Spark keeps so many a task and filer before the shuffle
+    examples = first.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(*order, "segment_keys"))).alias("examples"))
+    return counts.join(examples, "entity")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import text as T
 from proofgrid.operators import claims as C
-from proofgrid.operators import compare, dashboards
+from proofgrid.operators import asof, compare, dashboards
 from proofgrid.operators import facts as X
 from proofgrid.operators.graph import shared_folder
-from proofgrid.sources import claims_json, statements, store, tables
+from proofgrid.sources import buckets, claims_json, statements, store, tables
 from proofgrid.sources import filings as S
 from proofgrid.streaming import filings as streams
 
@@ -213,18 +213,51 @@ def text_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "part").select("p_partkey", F.coalesce(T.overlaps(F.lit("What does this company's liabilities, of 2024q1, net to?"), text), F.lit(False)).alias("shared"))
 
 
-@query("guidance_scan", "SELECT p_partkey AS entity, p_partkey % 4 = 1 AS candidate FROM part WHERE p_partkey % 4 IN (0, 1)")
+NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS nth FROM lineitem)"
+#: Words of tags, by a part's key.
+WORDS = ("DerivativeForecast", "RevenueOutlookLow", "Assets", "EffectiveTaxRate", "ProjectionOfSales")
+
+
+def raw_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """Company files of suppliers as text: a concept for each of their parts, with label and description, whose facts are the parts' items; some facts name segments, some
+    have keys that nothing knows; every 23rd file is no JSON."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    li = A.table(spark, sf, "lineitem").withColumn("nth", F.row_number().over(w) - 1)
+    k, n = F.col("l_partkey"), F.col("nth")
+    fact = F.concat(F.lit('{"end": "'), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit('", "val": '), F.col("l_quantity").cast("string"), F.lit(', "fy": '), F.year("l_shipdate").cast("string"), F.lit(', "form": "10-K"'), F.when(n % 3 == 0, F.lit(', "segment": "x"')).otherwise(""), F.when(n % 6 == 0, F.lit(', "dimensions": []')).otherwise(""), F.when(n % 4 == 1, F.lit(', "frame": {"a": 1}')).otherwise(""), F.lit("}"))
+    tag = F.concat(F.get(F.array(*map(F.lit, WORDS)), (k % len(WORDS)).cast("int")), k.cast("string"))
+    unit = F.when(n % 2 == 0, "USD").otherwise("shares")
+    units = li.groupBy("l_suppkey", k.alias("k"), tag.alias("tag"), unit.alias("unit")).agg(F.array_sort(F.collect_list(F.struct("nth", fact.alias("j")))).alias("f"))
+    one = F.concat(F.lit('"'), "unit", F.lit('": ['), F.array_join(F.transform("f", lambda x: x["j"]), ", "), F.lit("]"))
+    tags = units.groupBy("l_suppkey", "k", "tag").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(one)), ", "), F.lit("}")).alias("u"))
+    label = F.when(F.col("k") % 7 == 0, "Sales outlook").when(F.col("k") % 7 == 1, 'A \\"quoted\\" label')
+    concept = F.concat(F.lit('"'), "tag", F.lit('": {'), F.when(label.isNotNull(), F.concat(F.lit('"label": "'), label, F.lit('", '))).otherwise(""), F.when(F.col("k") % 11 == 0, F.lit('"description": "of hedging", ')).otherwise(""), F.lit('"units": '), "u", F.lit("}"))
+    whole = tags.groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_list(concept)), ", ").alias("c"))
+    return whole.select(F.col("l_suppkey").cast("string").alias("entity"), F.concat(F.lit('{"cik": '), F.col("l_suppkey").cast("string"), F.lit(', "facts": {"us-gaap": {'), "c", F.when(F.col("l_suppkey") % 23 == 5, "").otherwise("}}}")).alias("json"))
+
+
+@query("guidance_scan", """WITH t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS k, ['DerivativeForecast', 'RevenueOutlookLow', 'Assets', 'EffectiveTaxRate', 'ProjectionOfSales'][(l_partkey % 5 + 1)::INT] || l_partkey AS tag FROM lineitem WHERE l_suppkey % 23 <> 5),
+h AS (SELECT *, CASE k % 7 WHEN 0 THEN 'Sales outlook' WHEN 1 THEN 'A "quoted" label' END AS label, tag || ' ' || CASE k % 7 WHEN 0 THEN 'Sales outlook' ELSE '' END || CASE WHEN k % 11 = 0 THEN ' of hedging' ELSE '' END AS hay FROM t)
+SELECT s::VARCHAR AS entity, tag, label, NOT regexp_matches(hay, 'hedg|derivative|tax', 'i') AS candidate FROM h WHERE regexp_matches(hay, 'outlook|projection|forecast', 'i')""")
 def guidance_scan(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    c = A.table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.lit("us-gaap").alias("taxonomy"), F.when(k == 0, "DerivativeForecast").when(k == 1, "RevenueOutlookLow").when(k == 2, "Assets").otherwise("TaxRate").alias("tag"), F.lit(None).cast("string").alias("label"), F.lit("what it is").alias("description"))
-    return X.guidance(c).select("entity", "candidate")
+    return X.guidance(S.concepts(S.companies(raw_companies(spark, sf)))).select("entity", "tag", "label", "candidate")
 
 
-@query("segment_scan", """WITH r AS (SELECT l_suppkey AS entity, l_orderkey * 10 + l_linenumber AS pos, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS nth FROM lineitem WHERE l_linenumber % 3 = 0) SELECT entity, count(*)::BIGINT AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (nth <= 3) AS first FROM r GROUP BY 1""")
+@query("segment_scan", f"""WITH r AS (SELECT l_suppkey AS entity, nth, ['DerivativeForecast', 'RevenueOutlookLow', 'Assets', 'EffectiveTaxRate', 'ProjectionOfSales'][(l_partkey % 5 + 1)::INT] || l_partkey AS tag, CASE WHEN nth % 2 = 0 THEN 'USD' ELSE 'shares' END AS unit FROM {NUMBERED} WHERE l_suppkey % 23 <> 5),
+p AS (SELECT *, row_number() OVER (PARTITION BY entity, tag, unit ORDER BY nth) - 1 AS pos FROM r), q AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tag, unit, pos) AS place FROM p WHERE nth % 3 = 0), c AS (SELECT entity, count(*)::BIGINT AS n_facts FROM r GROUP BY 1)
+SELECT entity::VARCHAR AS entity, any_value(n_facts) AS n_facts, count(*)::BIGINT AS n, string_agg(tag || '/' || unit || '/' || pos || '/' || CASE WHEN nth % 6 = 0 THEN 'dimensions+segment' ELSE 'segment' END, ',' ORDER BY place) FILTER (place <= 3) AS first FROM q JOIN c USING (entity) GROUP BY 1""")
 def segment_scan(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("l_linenumber")
-    f = A.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity"), (F.col("l_orderkey") * 10 + k).alias("pos"), F.lit("Assets").alias("tag"), F.lit("USD").alias("unit"), F.when(k % 3 == 0, F.create_map(F.lit("val"), F.lit("1"), F.lit("segment"), F.lit("x"))).otherwise(F.create_map(F.lit("val"), F.lit("1"))).alias("fact"))
-    return X.segments(f).select("entity", "n", F.array_join(F.transform("examples", lambda e: e["pos"].cast("string")), ",").alias("first"))
+    f = S.raw_facts(S.concepts(S.companies(raw_companies(spark, sf))))
+    first = F.array_join(F.transform("examples", lambda e: F.concat_ws("/", e["tag"], e["unit"], e["pos"].cast("string"), F.array_join(e["segment_keys"], "+"))), ",")
+    return X.segments(f).select("entity", "n_facts", "n", first.alias("first"))
+
+
+@query("variant_facts", f"""SELECT l_suppkey::VARCHAR AS entity, ['DerivativeForecast', 'RevenueOutlookLow', 'Assets', 'EffectiveTaxRate', 'ProjectionOfSales'][(l_partkey % 5 + 1)::INT] || l_partkey AS tag, CASE WHEN nth % 2 = 0 THEN 'USD' ELSE 'shares' END AS unit, l_shipdate::DATE AS "end", l_quantity AS val, year(l_shipdate)::INT AS fy, '10-K' AS form, 2 + 2 + (nth % 3 = 0)::INT + (nth % 6 = 0)::INT + (nth % 4 = 1)::INT AS n_keys FROM {NUMBERED} WHERE l_suppkey % 23 <> 5""")
+def variant_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed facts of company files read without a schema, with the number of keys that each file gave them."""
+    f = S.raw_facts(S.concepts(S.companies(raw_companies(spark, sf))))
+    typed = S.typed_facts(f).join(f.select("entity", "taxonomy", "tag", "unit", "pos", F.size("keys").alias("n_keys")), ["entity", "taxonomy", "tag", "unit", "pos"])
+    return typed.select("entity", "tag", "unit", "end", "val", "fy", "form", "n_keys")
 
 
 @query("fetch_outcomes", """WITH x AS (SELECT CASE event_id % 7 WHEN 0 THEN 'http_429' WHEN 1 THEN 'http_404' WHEN 2 THEN 'url_error' WHEN 3 THEN 'timeout' WHEN 4 THEN 'error_ValueError' WHEN 5 THEN 'error_ConnectionError' ELSE 'ok' END AS outcome, event_id % 7 IN (0, 2, 3, 5) AS again FROM events) SELECT outcome, again, count(*)::BIGINT AS n FROM x GROUP BY 1, 2""")
@@ -425,3 +458,29 @@ def filing_stream(spark: SparkSession, sf: str) -> DataFrame:
     twice = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("accession"), form.alias("form"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     streams.once(twice, "3650 days").select("accession", "form").writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/out").awaitTermination()
     return spark.read.parquet(f"{where}/out").groupBy("form").agg(F.count("*").alias("filings"), F.count_distinct("accession").alias("accessions"))
+
+
+# Tables updated in place, and what was known when.
+
+
+@query("store_in_place", """WITH c AS (SELECT c_custkey AS id, c_custkey % 5 AS org_id, 'T' || c_custkey AS ticker FROM customer), u AS (SELECT o_custkey AS id, max(o_orderkey) AS k, count(*) AS n FROM orders GROUP BY 1)
+SELECT org_id, ticker, id, CASE WHEN n > 12 THEN 'a' || k END AS last_seen_accession FROM c LEFT JOIN u USING (id) WHERE id % 3 <> 0 UNION ALL SELECT id % 5, 'T' || id, id, 'new' FROM c WHERE id % 3 = 0""")
+def store_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """Watchlists created from customers, updated with the latest order of those who have many, then those not there yet appended, with all others once more."""
+    c = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5).alias("org_id"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"))
+    t = buckets.Table(spark, f"{shared_folder(spark)}/proofgrid/watchlists-{uuid.uuid4().hex}", ["org_id", "ticker"])
+    t.create(c.filter("id % 3 <> 0").withColumn("last_seen_accession", F.lit(None).cast("string")))
+    o = A.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("k"), F.count("*").alias("n")).filter("n > 12")
+    t.update(o.join(c, "id").select("org_id", "ticker", F.concat(F.lit("a"), F.col("k").cast("string")).alias("last_seen_accession")))
+    t.append(c.withColumn("last_seen_accession", F.lit("new")))
+    return t.read().select("org_id", "ticker", "id", "last_seen_accession")
+
+
+@query("facts_as_of", """WITH k AS (SELECT o_custkey AS entity, o_orderdate AS at, max((o_totalprice, o_orderkey)) AS v FROM orders GROUP BY 1, 2),
+q AS (SELECT event_id, user_id AS entity, ts - INTERVAL 9000 DAY + INTERVAL (event_id % 9000) DAY AS at FROM events)
+SELECT event_id, q.entity, q.at, k.v[1] AS val, k.v[2] AS accession FROM q ASOF LEFT JOIN k ON q.entity = k.entity AND q.at >= k.at""")
+def facts_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each question (an event of a user, at a day of its own) the fact that was the last one known of the entity then."""
+    known = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_totalprice").alias("val"), F.col("o_orderkey").alias("accession"))
+    at = F.expr("cast(ts as timestamp) - interval 9000 days + make_interval(0, 0, 0, cast(event_id % 9000 as int))")
+    return asof.as_of(A.table(spark, sf, "events").select("event_id", F.col("user_id").alias("entity"), at.alias("at")), known, ["entity"], "at")

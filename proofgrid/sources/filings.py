@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import folders
+
 FACT = "struct<start: string, end: string, val: double, fy: int, fp: string, form: string, filed: string>"
 #: An explicit schema: inference would make a struct field of every tag.
 COMPANY = f"cik long, entityName string, facts map<string, map<string, struct<units: map<string, array<{FACT}>>>>>"
 FEED = "accessionNumber array<string>, form array<string>, filingDate array<string>, reportDate array<string>, primaryDocument array<string>, items array<string>"
 #: Of a filing's folder: its documents by name.
 FOLDER = "item array<struct<name: string>>"
-FORM4 = "reportingOwner struct<reportingOwnerId: struct<rptOwnerName: string>>, nonDerivativeTable struct<nonDerivativeTransaction: array<struct<transactionDate: struct<value: string>, transactionCoding: struct<transactionCode: string>, transactionAmounts: struct<transactionShares: struct<value: string>, transactionPricePerShare: struct<value: string>>>>>"
+FORM4 = "reportingOwner struct<reportingOwnerId: struct<rptOwnerName: string>>, nonDerivativeTable struct<nonDerivativeTransaction: array<struct<securityTitle: struct<value: string>, transactionDate: struct<value: string>, transactionCoding: struct<transactionCode: string>, transactionAmounts: struct<transactionShares: struct<value: string>, transactionPricePerShare: struct<value: string>>>>>"
 
 
 def facts(companies: DataFrame) -> DataFrame:
@@ -27,6 +31,46 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return facts(spark.read.schema(COMPANY).json(path, multiLine=True))
 
 
+def companies(texts: DataFrame) -> DataFrame:
+    """texts (entity, json) with company, a VARIANT that keeps whatever keys the file has; null where it is no JSON."""
+    return texts.select("entity", F.try_parse_json("json").alias("company"))
+
+
+def read_companies(spark: SparkSession, path: str, prefix: str = "_raw_") -> DataFrame:
+    """(entity, company) of a folder of company files, each named after its entity; filters on the entity choose files by name."""
+    return companies(folders.read_folder(spark, path, prefix).select("entity", F.col("text").alias("json")))
+
+
+def exploded(rows: DataFrame, column: str, key: str, value: str, place: str | None = None) -> DataFrame:
+    """A row for each key of an object, or each place of an array, of a VARIANT column; other kinds of values, and null, have none."""
+    rows.createOrReplaceTempView(view := f"__variants_{uuid.uuid4().hex}")
+    own = ", ".join(f"t.`{c}`" for c in rows.columns if c != column)
+    out = rows.sparkSession.sql(f"SELECT {own}, {f'e.pos AS {place}' if place else f'e.key AS {key}'}, e.value AS {value} FROM {view} t, LATERAL variant_explode(t.`{column}`) e")
+    rows.sparkSession.catalog.dropTempView(view)
+    return out
+
+
+def concepts(companies: DataFrame) -> DataFrame:
+    """(entity, taxonomy, tag, label, description, units) of company files, read without a schema: units stays a VARIANT."""
+    read = lambda path, kind="string": F.try_variant_get("concept", f"$.{path}", kind)
+    groups = exploded(companies.filter("company is not null").select("entity", F.try_variant_get("company", "$.facts", "variant").alias("groups")), "groups", "taxonomy", "tags")
+    return exploded(groups, "tags", "tag", "concept").select("entity", "taxonomy", "tag", read("label").alias("label"), read("description").alias("description"), read("units", "variant").alias("units"))
+
+
+def raw_facts(concepts: DataFrame) -> DataFrame:
+    """(entity, taxonomy, tag, label, unit, pos, fact, keys) of every fact: the whole VARIANT and the names of all its keys, known or not."""
+    units = exploded(concepts.select("entity", "taxonomy", "tag", "label", "units"), "units", "unit", "list")
+    x = exploded(units, "list", "", "fact", "pos")
+    return x.withColumn("keys", F.coalesce(F.array_sort(F.map_keys(F.try_variant_get("fact", "$", "map<string, variant>"))), F.array().cast("array<string>")))
+
+
+def typed_facts(raw: DataFrame) -> DataFrame:
+    """The columns of facts() of raw facts."""
+    get = lambda name, kind: F.try_variant_get("fact", f"$.{name}", kind).alias(name)
+    day = lambda name: F.try_to_date(F.try_variant_get("fact", f"$.{name}", "string")).alias(name)
+    return raw.select("entity", "taxonomy", "tag", "unit", day("start"), day("end"), get("val", "double"), get("fy", "int"), get("fp", "string"), get("form", "string"), day("filed"), "pos")
+
+
 def submissions(feeds: DataFrame) -> DataFrame:
     """Filings of parallel arrays (entity and the FEED columns); a ragged array counts as blanks."""
     n = F.size("accessionNumber")
@@ -88,6 +132,13 @@ def read_replays(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ticker string, raw string").json(path, multiLine=True).select(F.upper("ticker").alias("doc_id"), F.coalesce("raw", F.lit("[]")).alias("raw"))
 
 
+def read_replay_folder(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:
+    """The same of a folder with a file a ticker, named after it in upper case; of tickers only their files are opened."""
+    files = folders.read_folder(spark, path)
+    some = files if tickers is None else files.filter(F.col("entity").isin([t.upper() for t in tickers]))
+    return some.select(F.col("entity").alias("doc_id"), F.coalesce(F.get_json_object("text", "$.raw"), F.lit("[]")).alias("raw"))
+
+
 def replayed(wanted: DataFrame, replays: DataFrame) -> DataFrame:
     """wanted (doc_id) with raw and available; without a replay an empty array, and not available."""
     return wanted.join(replays, "doc_id", "left").withColumns({"available": F.col("raw").isNotNull(), "raw": F.coalesce("raw", F.lit("[]"))})
@@ -119,8 +170,10 @@ def requested(filings: DataFrame, tickers: list[str] | None = None, most: int |
 
 
 def insider_transactions(forms: DataFrame) -> DataFrame:
-    """(entity, accession, owner, code, shares, price, date) of Form 4 documents (column xml); rows without readable shares go."""
-    x = forms.select("entity", "accession", F.from_xml("xml", FORM4).alias("d"))
-    t = x.select("entity", "accession", F.col("d.reportingOwner.reportingOwnerId.rptOwnerName").alias("owner"), F.explode("d.nonDerivativeTable.nonDerivativeTransaction").alias("t"))
+    """(entity, accession, owner, code, shares, price, date, title, filed) of Form 4 documents (column xml, and filing_date where there is one); rows without
+    readable shares go."""
+    filed = F.col("filing_date") if "filing_date" in forms.columns else F.lit(None).cast("date")
+    x = forms.select("entity", "accession", filed.alias("filed"), F.from_xml("xml", FORM4).alias("d"))
+    t = x.select("entity", "accession", "filed", F.col("d.reportingOwner.reportingOwnerId.rptOwnerName").alias("owner"), F.explode("d.nonDerivativeTable.nonDerivativeTransaction").alias("t"))
     num = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
-    return t.select("entity", "accession", "owner", F.col("t.transactionCoding.transactionCode").alias("code"), num("t.transactionAmounts.transactionShares.value").alias("shares"), num("t.transactionAmounts.transactionPricePerShare.value").alias("price"), F.try_to_date("t.transactionDate.value").alias("date")).filter("shares is not null")
+    return t.select("entity", "accession", "owner", F.col("t.transactionCoding.transactionCode").alias("code"), num("t.transactionAmounts.transactionShares.value").alias("shares"), num("t.transactionAmounts.transactionPricePerShare.value").alias("price"), F.try_to_date("t.transactionDate.value").alias("date"), F.coalesce(F.col("t.securityTitle.value"), F.lit("")).alias("title"), "filed").filter("shares is not null")
