@@ -463,6 +463,19 @@ def test_html_noise_in_any_element():
     assert extraction.main_text("<div>a<section class='comments'><article>NO</article></section></div>", "article") == "a"
 
 
+def test_html_shared_paragraphs_hidden_elements_and_titles(spark, tmp_path):
+    """Six pages of one host whose articles share a heading and a paragraph keep them; hidden elements go; a heading in an article's header stays; names of noise before what
+    a text is about are no noise."""
+    page = lambda i: f"<body><nav>Menu</nav><article><h1>Report</h1><h2>Summary</h2><p>The same paragraph for all of them.</p><p>Number {i}.</p></article><footer>F</footer>"
+    pq.write_table(pa.table({"page_id": list(range(6)), "url": ["http://one.example/"] * 6, "html": [page(i) for i in range(6)]}), tmp_path / "pages.parquet")
+    got = {r.page_id: r.text for r in extraction.query(spark, str(tmp_path)).collect()}
+    assert got == {i: f"Report Summary The same paragraph for all of them. Number {i}." for i in range(6)}
+    cases = [("<header><h1>Title</h1><p>by line</p></header>a", "Title a"), ("<header class='ad'><h1>T</h1></header>a", "T a"), ("<nav><h2>N</h2></nav>a", "a"), ("<p hidden>x</p>a", "a"), ("<p style='color:red; display: none'>x</p>a", "a"), ("<p style='display:block'>x</p>a", "x a"), ("<div hidden><header><h1>x</h1></header></div>a", "a")]
+    cases += [(f"<div class='{c}'>x</div>a", "x a") for c in ("comment-free-zone", "menu-of-the-day", "banner-photo", "content-ad-free")] + [(f"<div class='{c}'>x</div>a", "a") for c in ("cookie-law-info", "ad-slot-1", "comment-list", "nav-primary")]
+    for part, want in cases:
+        assert extraction.main_text(f"<body><header><h1>Site</h1></header><article>{part}</article>", "article") == want, part
+
+
 def test_html_tags_as_browsers_read_them():
     cases = [("<p title=\"5\" tall\">Hello</p>", "Hello"), ("<p title='a>b'>x</p>", "x"), ("a<p x=1 y>b</p", "a b"), ("a <b", "a"), ("1 < 2 <3", "1 < 2 <3"), ("<p =>x", "x"), ("<div class=\"alert-fatigue\">kept</div>", "kept"), ("<div class='alert alert-info'>NO</div>a", "a"), ("<p id=cookie-notice>NO<p>a", "a"), ("<p class='comment-list'>NO<p>a", "a"), ("<p class='shared-memory ad-hoc'>kept", "kept"), ("<p><!-- x > --> y</p></ >z", "y z"), ("<script>if (a</b) {}</script >x", "x"), ("<!doctype html><p>é &lt;b&gt;", "é <b>")]
     for page, want in cases:
@@ -496,7 +509,7 @@ def test_html_slots_of_hosts_without_article(spark, tmp_path):
         rows.append((i, f"http://one.example/{i}", f"<body><div class='wrap'><div class='links'>{links(i)}</div><div class='bod'>{inner}</div></div></body>"))
         want[i] = " ".join(" ".join(x.split()) for x in body(i))
         rows.append((100 + i, f"http://two.example/{i}", f"<body><article><p>Share this<p>text {i}</article>"))
-        want[100 + i] = f"text {i}"
+        want[100 + i] = f"Share this text {i}"  # the article's own text, whatever all pages share
     for i in range(3):
         rows.append((200 + i, "http://few.example/", f"<body><main><p>Same<p>text {i}</main>"))
         want[200 + i] = f"Same text {i}"
