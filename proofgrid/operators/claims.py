@@ -204,7 +204,19 @@ def audit_rows(verdicts: DataFrame, order: list[str], stamp: Column) -> DataFram
     )
 
 
+def emitted_flags(rule: Column, params: Column) -> Column:
+    """JSON of the evidence flags that a rule asks for and whether the claim has them: {} of a rule without any."""
+    there = lambda names: F.to_json(F.struct(*[F.coalesce(F.map_contains_key(params, F.lit(k)), F.lit(False)).alias(k) for k in names]))
+    out = None
+    for name, flags in FLAGS.items():
+        out = F.when(rule == name, there(flags)) if out is None else out.when(rule == name, there(flags))
+    return out.otherwise("{}")
+
+
 def review_rows(records: DataFrame) -> DataFrame:
-    """One row a claim for reviewers: bucket, owner, and an empty label. records: doc_id, rule_name, status, evidence_emitted, label_caught, operands."""
+    """One row a claim for reviewers: bucket, owner, evidence flags, the start of the explanation (200 characters, as in the report), and an empty label. records: doc_id,
+    rule_name, status, evidence_emitted, label_caught, operands; params and explanation where there are any."""
     b = bucket(F.col("status"), F.col("evidence_emitted"), F.col("rule_name"), F.col("label_caught"))
-    return records.select("doc_id", "rule_name", F.col("status").alias("verdict"), b.alias("auto_bucket"), owner(b).alias("owner"), F.array_join(F.transform("operands", lambda o: shown(o["value"])), "|").alias("operands"), F.lit("").alias("human_label"), F.lit("").alias("human_notes"))
+    flags = emitted_flags(F.col("rule_name"), F.col("params")) if "params" in records.columns else F.lit("{}")
+    said = F.substring(F.coalesce("explanation", F.lit("")), 1, 200) if "explanation" in records.columns else F.lit("")
+    return records.select("doc_id", "rule_name", F.col("status").alias("verdict"), b.alias("auto_bucket"), owner(b).alias("owner"), F.array_join(F.transform("operands", lambda o: shown(o["value"])), "|").alias("operands"), flags.alias("evidence_flags_emitted"), said.alias("explanation"), F.lit("").alias("human_label"), F.lit("").alias("human_notes"))

@@ -209,6 +209,17 @@ def fetch_metrics(log: DataFrame, *keys: str) -> DataFrame:
     return total.join(ranked.groupBy(*keys).agg(at(0.5).alias("p50"), at(0.95).alias("p95")), [*keys]).withColumns({"failures": F.col("calls") - F.col("ok"), "success_rate": F.bround(F.col("ok") / F.col("calls"), 4)})
 
 
+def fetch_summary(log: DataFrame, *keys: str) -> DataFrame:
+    """fetch_metrics with the total latency, all latencies rounded to 4 digits, and a map of outcome to count, in one row a key. log: also outcome. The total is a sum of
+    decimals, so it is the same in any order."""
+    r4 = lambda c: F.bround(F.col(c), 4)
+    m = fetch_metrics(log, *keys).withColumns({c: r4(c) for c in ("mean", "p50", "p95", "longest")})
+    total = log.groupBy(*keys).agg(F.bround(F.sum(F.col("latency").cast("decimal(38, 12)")).cast("double"), 4).alias("total"))
+    n = log.groupBy(*keys, F.coalesce("outcome", F.lit("unknown")).alias("outcome")).agg(F.count("*").alias("n"))
+    tags = n.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"))
+    return m.join(total, [*keys]).join(tags, [*keys])
+
+
 def outcomes(log: DataFrame, *keys: str) -> DataFrame:
     """Calls by outcome."""
     return log.groupBy(*keys, "outcome").agg(F.count("*").alias("n"))

@@ -431,6 +431,17 @@ def fetch_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return dashboards.fetch_metrics(log, "outcome").drop("retries").withColumn("mean", F.round("mean", 6))
 
 
+@query("fetch_summary", """WITH l AS (SELECT user_id, event_type, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+o AS (SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS outcomes FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, count(*)::BIGINT AS calls, count(*) FILTER (value > 10)::BIGINT AS ok, sum(event_id % 3)::BIGINT AS retries, round_even(max(value) FILTER (r = round_even(0.5 * (n - 1), 0)), 4) AS p50, round_even(max(value) FILTER (r = round_even(0.95 * (n - 1), 0)), 4) AS p95, round_even(max(value), 4) AS longest,
+ round_even(sum(value::DECIMAL(38, 12))::DOUBLE, 4) AS total, any_value(outcomes) AS outcomes FROM l JOIN o USING (user_id) GROUP BY 1""")
+def fetch_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What a user's calls came to: latencies with their total, retries, and a map of outcomes."""
+    log = A.table(spark, sf, "events").select("user_id", F.col("event_type").alias("outcome"), F.col("value").alias("latency"), (F.col("value") > 10).alias("ok"), (F.col("event_id") % 3).alias("retries"))
+    m = dashboards.fetch_summary(log, "user_id").withColumn("outcomes", F.array_join(F.transform(F.map_entries("outcomes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+    return m.select("user_id", "calls", "ok", "retries", "p50", "p95", "longest", "total", "outcomes")
+
+
 # Text.
 
 
@@ -448,11 +459,18 @@ def numeric_density(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "documents").select("doc_id", T.numeric_density(F.col("text")).alias("density"))
 
 
-@query("definitional_flag", r"""WITH w(w) AS (VALUES ('flat'), ('stable'), ('about'), ('in line'), ('similar')), t AS (SELECT p_partkey, lower('Costs were ' || CASE p_partkey % 6 WHEN 0 THEN 'Flat' WHEN 1 THEN 'stable and flat' WHEN 2 THEN 'roundabout' WHEN 3 THEN 'in line, about' WHEN 4 THEN 'Similar.' ELSE 'up 4%' END) AS t FROM part)
-SELECT p_partkey, (SELECT w FROM w WHERE regexp_matches(t, '(^|[^a-z0-9_])' || w || '([^a-z0-9_]|$)') ORDER BY length(w) DESC, w LIMIT 1) AS word FROM t""")
+CONSTANT_WORDS = ", ".join(f"('{w}')" for w in sorted(K.CONSTANCY))
+
+
+@query("definitional_flag", f"""WITH w(w) AS (VALUES {CONSTANT_WORDS}), l AS (SELECT list(w ORDER BY length(w) DESC, w) AS words FROM w),
+t AS (SELECT p_partkey, lower('Costs in ' || p_name || CASE WHEN p_partkey % 3 > 0 THEN ' were ' || words[(p_partkey % len(words) + 1)::INT] ELSE '' END || CASE p_partkey % 4 WHEN 0 THEN '.' WHEN 1 THEN '_' WHEN 2 THEN ', or ' || upper(words[(p_partkey // 7 % len(words) + 1)::INT]) ELSE 's' END) AS t, words FROM part, l)
+SELECT p_partkey, list_filter(words, lambda w: regexp_matches(t, '(^|[^a-z0-9_])' || w || '([^a-z0-9_]|$)'))[1] AS word FROM t""")
 def definitional_flag(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("p_partkey") % 6
-    t = F.concat(F.lit("Costs were "), F.when(k == 0, "Flat").when(k == 1, "stable and flat").when(k == 2, "roundabout").when(k == 3, "in line, about").when(k == 4, "Similar.").otherwise("up 4%"))
+    """Texts with each of the words of constancy, alone, with another one, inside a longer word, or with none."""
+    k, words = F.col("p_partkey"), sorted(K.CONSTANCY, key=lambda w: (-len(w), w))
+    word = lambda at: F.get(F.array(*map(F.lit, words)), (at % len(words)).cast("int"))
+    end = F.when(k % 4 == 0, F.lit(".")).when(k % 4 == 1, F.lit("_")).when(k % 4 == 2, F.concat(F.lit(", or "), F.upper(word(F.floor(k / 7))))).otherwise("s")
+    t = F.concat(F.lit("Costs in "), "p_name", F.when(k % 3 > 0, F.concat(F.lit(" were "), word(k))).otherwise(""), end)
     return A.table(spark, sf, "part").select("p_partkey", K.definitional_word(t).alias("word"))
 
 

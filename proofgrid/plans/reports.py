@@ -92,9 +92,9 @@ def ownership_document(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "part").select("p_partkey", S.ownership_document(F.when(k == 0, names("a.htm", "XSLF.xml", "form4.xml", "z.xml")).when(k == 1, names("Doc.XML")).when(k == 2, names("xslf345.xml", "a.txt")).otherwise(names("b.xml", "a.xml"))).alias("name"))
 
 
-@query("cik_lookup", "SELECT upper('t' || (o_orderkey % 3000)) AS ticker, c_custkey AS cik, c_name AS title, c_custkey IS NOT NULL AS known FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) LEFT JOIN customer ON c_custkey = o_orderkey % 3000")
+@query("cik_lookup", "SELECT upper('t' || (o_orderkey % 3000)) AS ticker, c_custkey AS cik, c_name AS title, c_custkey IS NOT NULL AS known FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN customer ON c_custkey = o_orderkey % 3000")
 def cik_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = A.table(spark, sf, "orders").filter("o_orderkey % 5 = 0").select(F.concat(F.lit(" t"), (F.col("o_orderkey") % 3000).cast("string")).alias("ticker"))
+    wanted = A.table(spark, sf, "orders").select(F.concat(F.lit(" t"), (F.col("o_orderkey") % 3000).cast("string")).alias("ticker"))
     known = A.table(spark, sf, "customer").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string"), F.lit(" ")).alias("ticker"), F.col("c_custkey").alias("cik"), F.col("c_name").alias("title"))
     found, unknown = S.cik_lookup(wanted, known)
     return found.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)), allowMissingColumns=True)
@@ -142,10 +142,10 @@ def latest_run(spark: SparkSession, sf: str) -> DataFrame:
     return S.latest_run(e).select("event_id", "user_id")
 
 
-@query("example_lookup", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN p_partkey END AS example_id FROM orders JOIN part ON p_partkey = o_orderkey % 50 + 1")
+@query("example_lookup", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN p_partkey END AS example_id FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)")
 def example_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    p = A.table(spark, sf, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_name"), F.lit("\n one  source")).alias("source"), F.concat(F.lit("sum "), F.col("p_partkey").cast("string")).alias("summary"))
-    o = A.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 50 + 1).alias("id"))
+    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_name"), F.lit("\n one  source")).alias("source"), F.concat(F.lit("sum "), F.col("p_partkey").cast("string")).alias("summary"))
+    o = A.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % p.count()).alias("id"))
     asked = o.join(p, "id").select("o_orderkey", F.concat(F.lit("  "), F.regexp_replace("source", r"\s+", " \t"), F.lit("\n")).alias("source"), F.when(F.col("o_orderkey") % 3 == 0, F.col("summary")).otherwise("another").alias("summary"))
     return S.example_of(asked, p).select("o_orderkey", "example_id")
 
@@ -169,15 +169,16 @@ def statement_slice(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("p_partkey", F.expr("instr(t, s)").alias("at"), F.length("s").alias("n"))
 
 
-@query("exhibit_fallback", """WITH e AS (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), x AS (SELECT k, 'R' || n || '.htm' AS name, n FROM e WHERE n <= 12 AND n % 3 > 0), y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS r FROM x)
+@query("exhibit_fallback", """WITH e AS (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), x AS (SELECT k, 'R' || n || '.htm' AS name, n FROM e WHERE n % 3 > 0), y AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS r FROM x)
 SELECT k::VARCHAR AS accession, string_agg(name, ',' ORDER BY n) FILTER (r <= 3) AS names, least(count(*), 3)::INT AS taken FROM y GROUP BY 1""")
 def exhibit_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Companion documents of filings, each with more text than may be taken: as many as fit, in the order of their numbers."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    e = A.table(spark, sf, "orders").select("o_custkey", F.row_number().over(w).alias("n")).filter("n <= 12")
+    e = A.table(spark, sf, "orders").select("o_custkey", F.row_number().over(w).alias("n"))
     name = F.when(F.col("n") % 3 == 0, F.concat(F.lit("R"), F.col("n").cast("string"), F.lit("_index.htm"))).otherwise(F.concat(F.lit("R"), F.col("n").cast("string"), F.lit(".htm")))
     html = "<p>Consolidated balance sheets</p>" + "<td>12,345</td> " * 40 + "Total assets 123,456 net income total equity 99,999" + " more" * 4000
     docs = e.select(F.col("o_custkey").cast("string").alias("accession"), name.alias("name"), F.lit("main.htm").alias("primary_document"), F.lit(html).alias("html"))
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "accession", "name")  # few bytes before they are filled with text, much work after
     plain = docs.select("accession", F.lit("EX13.htm").alias("name"), "primary_document", F.lit("<p>nothing of use</p>").alias("html")).distinct()
     found = F.regexp_extract_all("text", F.lit(r"REPORT (\S+) score"), F.lit(1))
     return statements.exhibits(docs.unionByName(plain)).select("accession", F.array_join(found, ",").alias("names"), F.size(found).alias("taken"))
@@ -402,18 +403,18 @@ def buyback_crosscheck(spark: SparkSession, sf: str) -> DataFrame:
 # The store.
 
 
-@query("watchlist_update", """WITH u AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS a FROM events WHERE event_type = 'click' GROUP BY 1) SELECT c_custkey AS id, coalesce(a::VARCHAR, 'old') AS last_seen_accession FROM customer LEFT JOIN u ON user_id = c_custkey""")
+@query("watchlist_update", """WITH u AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS a FROM events GROUP BY 1) SELECT c_custkey AS id, coalesce(a::VARCHAR, 'old') AS last_seen_accession FROM customer LEFT JOIN u ON user_id = c_custkey""")
 def watchlist_update(spark: SparkSession, sf: str) -> DataFrame:
     at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")))
     w = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("org_id"), F.col("c_name").alias("ticker"), F.lit("old").alias("last_seen_accession"), F.lit(None).cast("struct<t: timestamp, e: bigint>").alias("last_checked_at"))
-    u = A.table(spark, sf, "events").filter("event_type = 'click'").select(F.col("user_id").alias("id"), (F.col("user_id") % 3).alias("org_id"), F.col("event_id").cast("string").alias("accession"), F.struct(at.alias("t"), F.col("event_id").alias("e")).alias("at"))
+    u = A.table(spark, sf, "events").select(F.col("user_id").alias("id"), (F.col("user_id") % 3).alias("org_id"), F.col("event_id").cast("string").alias("accession"), F.struct(at.alias("t"), F.col("event_id").alias("e")).alias("at"))
     return store.seen(w, u).select("id", "last_seen_accession")
 
 
-@query("delivery_fanout", """SELECT event_id, c_custkey AS webhook_id, 'pending' AS status, event_id::VARCHAR AS accession FROM events JOIN customer ON c_custkey % 40 = user_id % 40 AND c_custkey % 3 > 0 AND c_custkey <= 120 WHERE event_type = 'purchase'""")
+@query("delivery_fanout", """SELECT event_id, c_custkey AS webhook_id, 'pending' AS status, event_id::VARCHAR AS accession FROM events JOIN customer ON c_custkey // 4 = user_id // 4 AND c_custkey % 3 > 0""")
 def delivery_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    e = A.table(spark, sf, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 40).alias("org_id"), F.col("event_id").alias("watchlist_id"), F.lit("t").alias("ticker"), F.col("event_id").cast("string").alias("accession"), F.create_map(F.lit("form"), F.lit("10-K")).alias("filing"))
-    h = A.table(spark, sf, "customer").filter("c_custkey <= 120").select((F.col("c_custkey") % 40).alias("org_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3 > 0).alias("active"), F.lit("filing_detected").alias("event_type"))
+    e = A.table(spark, sf, "events").select(F.expr("user_id div 4").alias("org_id"), F.col("event_id").alias("watchlist_id"), F.lit("t").alias("ticker"), F.col("event_id").cast("string").alias("accession"), F.create_map(F.lit("form"), F.lit("10-K")).alias("filing"))
+    h = A.table(spark, sf, "customer").select(F.expr("c_custkey div 4").alias("org_id"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3 > 0).alias("active"), F.lit("filing_detected").alias("event_type"))
     d = store.deliveries(e, h, F.lit("2024-01-01").cast("timestamp"))
     return d.select(F.col("watchlist_id").alias("event_id"), "webhook_id", "status", F.get_json_object("payload_json", "$.accession").alias("accession"))
 

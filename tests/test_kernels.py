@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,16 +320,71 @@ def test_gold_kernels(spark):
     assert [tuple(r) for r in sorted(rows)] == [(i, v, g) for i, (_, _, v, g) in enumerate(cases)]
 
 
-def test_statements_of_banks_and_indexes():
+BALANCE_ROWS = (re.compile(T.ASSETS_ROW), re.compile(T.CLAIMS_ROW))
+STARTS_RE = re.compile(statements.HEADING)
+
+
+def start_of(text: str, upper: str) -> int:
+    """Where the statements start: of the headings before a dense table the first whose stretch has the rows of a balance sheet, else the first;
+    without a dense one, the densest; -1 without a heading."""
+    best, at = (-1, 0), -1
+    first = None
+    for m in STARTS_RE.finditer(upper):
+        i = m.start()
+        density = len(re.findall(statements.FIGURE, text[i : i + statements.WINDOW]))
+        if density > best[0]:
+            best, at = (density, i), i
+        if density >= statements.DENSE:
+            first = i if first is None else first
+            if all(r.search(text[i : i + statements.PROBE]) for r in BALANCE_ROWS):
+                return i
+    return at if first is None else first
+
+
+def cut_out(text: str | None) -> str:
+    """The statements of a text: to the first end that leaves the balance sheet whole, and not more than a slice, a wide one where the balance sheet
+    lies further; without a heading the first slice of the text."""
+    if not text:
+        return ""
+    upper = text.upper()
+    start = start_of(text, upper)
+    if start < 0:
+        return text[: statements.SLICE].strip()
+    stretch = text[start : start + statements.WIDE]
+    last = max((m.end() for r in BALANCE_ROWS for m in r.finditer(stretch)), default=0)
+    least = max(statements.LEAST, last + 500 if last else 0)
+    found = (upper.find(e, start + 1) for e in statements.ENDS)
+    end = min((i for i in found if i >= 0 and i - start >= least), default=-1)
+    most = statements.WIDE if least > statements.SLICE else statements.SLICE
+    return text[start : end if 0 <= end <= start + most else start + most].strip()
+
+
+def sliced(spark, texts: list) -> list:
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", statements.statements("t").alias("s"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    return [r.s for r in sorted(df.collect())]
+
+
+def test_statements_of_banks_and_indexes(spark):
     dense, rows = "1,234 " * 40, "Total assets $ 999,999 text total equity 888,888 "
     index = "CONSOLIDATED BALANCE SHEETS page 12 " + "prose " * 900
     text = index + "CONSOLIDATED STATEMENTS OF INCOME " + dense + "x " * 14000 + "CONSOLIDATED BALANCE SHEETS " + dense + rows + "y " * 300 + "NOTES TO FINANCIAL STATEMENTS " + dense * 20
-    got = statements.cut_out(text)
-    assert got.startswith("CONSOLIDATED BALANCE SHEETS 1,234") and rows.strip() in got
-    assert statements.cut_out("") == "" and statements.cut_out(None) == "" and len(statements.cut_out("z" * 99_999)) == statements.SLICE
     near = "CONSOLIDATED STATEMENTS OF INCOME " + dense + "x " * 6000 + "Balance sheets " + dense + rows + "w " * 300 + "NOTES TO FINANCIAL STATEMENTS"
-    assert statements.cut_out(near).startswith("CONSOLIDATED STATEMENTS OF INCOME") and rows.strip() in statements.cut_out(near)
-    assert statements.cut_out("BALANCE SHEETS 12,345 " + "q " * 20000).startswith("BALANCE SHEETS") and len(statements.cut_out("BALANCE SHEETS 12,345 " + "q " * 40000)) <= statements.SLICE
+    texts = [text, "", None, "z" * 99_999, near, "BALANCE SHEETS 12,345 " + "q " * 20000, "BALANCE SHEETS 12,345 " + "q " * 40000]
+    got = sliced(spark, texts)
+    assert got == [cut_out(t) for t in texts]
+    assert got[0].startswith("CONSOLIDATED BALANCE SHEETS 1,234") and rows.strip() in got[0] and got[1] == got[2] == "" and len(got[3]) == statements.SLICE
+    assert got[4].startswith("CONSOLIDATED STATEMENTS OF INCOME") and rows.strip() in got[4] and got[5].startswith("BALANCE SHEETS") and len(got[6]) <= statements.SLICE
+
+
+def test_statements_meet_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    parts = [*statements.STARTS, *statements.ENDS, "Total Assets $ 12,345", "total stockholders\u2019 equity 99,999", "1,234 " * 30, "55,555.5 ", "prose " * 400, "p " * 3000, "w " * 9000, "\n\n \u00a0", "consolidated balance sheet", "NOTES TO "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    assert sliced(spark, texts) == [cut_out(t) for t in texts]
 
 
 def test_facts_of_other_units_and_forms_do_not_count(spark):
