@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import text as T
 from proofgrid.operators import claims as C
-from proofgrid.operators import asof, compare, dashboards
+from proofgrid.operators import asof, audit, compare, dashboards
 from proofgrid.operators import facts as X
 from proofgrid.operators.graph import shared_folder
-from proofgrid.sources import buckets, claims_json, statements, store, tables
+from proofgrid.sources import buckets, claims_json, sinks, statements, store, tables
 from proofgrid.sources import filings as S
 from proofgrid.streaming import filings as streams
 
@@ -485,3 +485,55 @@ def facts_as_of(spark: SparkSession, sf: str) -> DataFrame:
     known = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_totalprice").alias("val"), F.col("o_orderkey").alias("accession"))
     at = F.expr("cast(ts as timestamp) - interval 9000 days + make_interval(0, 0, 0, cast(event_id % 9000 as int))")
     return asof.as_of(A.table(spark, sf, "events").select("event_id", F.col("user_id").alias("entity"), at.alias("at")), known, ["entity"], "at")
+
+
+# What is written, read back.
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/proofgrid/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_sink", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'a, "b"' WHEN 1 THEN 'line' || chr(10) || 'two' WHEN 2 THEN '# no comment' ELSE o_orderpriority END AS note, CASE WHEN o_orderkey % 7 <> 3 THEN o_totalprice END AS price, '[' || o_custkey || ',' || o_orderkey || ']' AS ids FROM orders""")
+def csv_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as CSV under comment lines, with quotes, line breaks, nulls and a nested column, and read back."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 5 == 0, 'a, "b"').when(k % 5 == 1, "line\ntwo").when(k % 5 == 2, "# no comment").otherwise(F.col("o_orderpriority"))
+    rows = A.table(spark, sf, "orders").select("o_orderkey", note.alias("note"), F.when(k % 7 != 3, F.col("o_totalprice")).alias("price"), F.array("o_custkey", "o_orderkey").alias("ids"))
+    sinks.write_csv(rows, path := scratch(spark, "csv"), meta={"run": "r1", "what": "orders"})
+    return spark.read.option("header", "true").option("comment", "#").option("multiLine", "true").option("escape", "\\").schema("o_orderkey long, note string, price double, ids string").csv(path)
+
+
+@query("run_sink", """SELECT c_custkey::VARCHAR AS doc_id, 'replay' AS mode, c_name AS name, (SELECT string_agg(n || ':' || o_orderstatus, ',' ORDER BY n) FROM (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE o_custkey = c_custkey) AS claims FROM customer""")
+def run_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's record, one JSON line a filing with its claims in order, read back; a filing without claims has none."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    records = A.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), n.alias("ord"), F.col("o_orderstatus").alias("status"))
+    filings_ = A.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_name").alias("name"))
+    sinks.write_run(filings_, records, path := scratch(spark, "run"), run_mode="replay", started_at="2024-01-01T00:00:00Z", finished_at="2024-01-01T00:01:00Z")
+    x = spark.read.schema("doc_id string, mode string, name string, claims array<struct<ord: int, status: string>>").json(path)
+    return x.select("doc_id", "mode", "name", F.when(F.size("claims") > 0, F.array_join(F.transform("claims", lambda c: F.concat_ws(":", c["ord"].cast("string"), c["status"])), ",")).alias("claims"))
+
+
+@query("gold_scan", """WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ord FROM orders) SELECT o_custkey::VARCHAR AS doc_id, ord, o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice END AS stated_value, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice * 2 END AS operand, CASE WHEN o_orderkey % 3 > 0 THEN 'grounded' ELSE 'missing' END AS source FROM o""")
+def gold_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold files written from customers' orders, 16 with a list of documents each, and scanned."""
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    operand = F.struct(F.when(k % 3 > 0, p * 2).alias("value"), F.when(k % 3 > 0, "grounded").otherwise("missing").alias("source"))
+    claim = F.struct(k.cast("string").alias("id"), F.lit("total").alias("claim_text"), F.lit("identity").alias("operation"), F.when(k % 4 > 0, p).alias("stated_value"), F.array(operand).alias("operands"), F.lit("VERIFIED").alias("expected_status"))
+    docs = A.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), claim.alias("c")))), lambda x: x["c"]).alias("gold_claims"))
+    docs.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("file")).agg(F.collect_list(F.struct("id", "gold_claims")).alias("documents")).write.partitionBy("file").json(path := scratch(spark, "gold"))
+    return S.read_gold(spark, path).select("doc_id", "ord", "id", "stated_value", F.col("operands")[0]["value"].alias("operand"), F.col("operands")[0]["source"].alias("source"))
+
+
+@query("preferred_context", """SELECT s_suppkey::VARCHAR AS doc_id, n::BIGINT AS ord, CASE n WHEN 0 THEN CASE WHEN s_suppkey % 3 = 1 THEN 'false' WHEN s_suppkey % 2 = 0 THEN 'true' END ELSE NULL END AS flag FROM supplier, range(2) r(n)""")
+def preferred_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Earnings claims of filings, some of whose texts speak of what is left for common shareholders, some with a flag of their own; a cash claim beside each has none."""
+    s = A.table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    own = F.when(k % 3 == 1, F.lit(', "params": {"preferred_dividends_present": "false"}')).otherwise("")
+    eps = F.concat(F.lit('{"claim_text": "e", "operation": "internal_consistency", "rule_name": "eps_reconciliation", "operands": [{"value": 4}, {"value": 2}, {"value": 2}]'), own, F.lit("}"))
+    cash = F.lit('{"claim_text": "c", "operation": "internal_consistency", "rule_name": "cash_flow_tie_out", "operands": [{"value": 4}, {"value": 4}]}')
+    raw = s.select(k.cast("string").alias("doc_id"), F.concat(F.lit("["), eps, F.lit(", "), cash, F.lit("]")).alias("raw"))
+    texts = s.select(k.cast("string").alias("doc_id"), F.concat("s_name", F.when(k % 2 == 0, " had net income available to common stockholders of 4").otherwise(" had income")).alias("text"))
+    return audit.statement_claims(raw, texts).select("doc_id", "ord", F.try_element_at("params", F.lit("preferred_dividends_present")).alias("flag"))

@@ -111,3 +111,11 @@ def test_peer_claims_are_verified(spark):
     said = spark.createDataFrame([("g", e) for e in ("a", "b", "c", "d", "out")] + [("one", "x")], "`group` string, entity string")
     assert {r.entity: r.status for r in compare.C.verify(compare.highest_claims(gate, said)).collect()} == {"a": "WRONG_MATH", "b": "VERIFIED", "c": "WRONG_MATH", "d": "VERIFIED", "out": "UNSUPPORTED_NUMBER", "x": "VERIFIED"}
     assert {r.group: (r.winner, r.verdict, r.loser, r.control) for r in compare.superlatives(gate).collect()} == {"g": ("b", "VERIFIED", "c", "WRONG_MATH"), "one": ("x", "VERIFIED", "x", None)}
+
+
+def test_review_rows_tell_flags_and_reasons(spark):
+    rows = [("d", "eps_reconciliation", "VERIFIED", True, False, [(1.5,)], {"eps_income_basis": "net"}, "e" * 300), ("d", "cash_flow_tie_out", "WRONG_MATH", False, False, [], None, None), ("d", None, "VERIFIED", True, False, [], {}, "")]
+    df = spark.createDataFrame(rows, "doc_id string, rule_name string, status string, evidence_emitted boolean, label_caught boolean, operands array<struct<value: double>>, params map<string, string>, explanation string")
+    got = [(json.loads(r.evidence_flags_emitted), len(r.explanation)) for r in compare.C.review_rows(df).collect()]
+    assert got == [({"eps_income_basis": True, "income_operand_basis": False}, 200), ({"restricted_cash_disclosed": False}, 0), ({}, 0)]
+    assert [r.evidence_flags_emitted for r in compare.C.review_rows(df.drop("params", "explanation")).collect()] == ["{}"] * 3
