@@ -159,6 +159,7 @@ def highest_claims(gate: DataFrame, said: DataFrame) -> DataFrame:
 
 def superlatives(gate: DataFrame) -> DataFrame:
     """extremes with the verdicts of two claims: that the winner has the highest value, and, as a control, that the loser has; null where they are one."""
+    gate = graph.cut(gate.select("group", "entity", "value", "state", "included"))  # read for the extremes and for both claims
     e = extremes(gate)
     said = e.select("group", F.col("winner").alias("entity"), F.lit("verdict").alias("kind")).unionByName(e.filter("winner <> loser").select("group", F.col("loser").alias("entity"), F.lit("control").alias("kind")))
     v = C.verify(highest_claims(gate, said)).groupBy("group").agg(*[F.max(F.when(F.col("kind") == k, F.col("status"))).alias(k) for k in ("verdict", "control")])

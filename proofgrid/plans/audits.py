@@ -386,9 +386,16 @@ def analyst_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return answers.sweep(answers.gate(questions(spark, sf).filter("question_id in (1, 3)"), ledger), ledger, topics)
 
 
-@query("trust_gates", f"""WITH {RECORDS} SELECT doc_id, 'cash' AS about, CASE WHEN status = 'WRONG_MATH' THEN 'DECLINE_DISPUTED' WHEN status = 'VERIFIED' THEN 'ANSWER' ELSE 'DECLINE_UNVERIFIED' END AS decision FROM adj WHERE ord = 1 UNION ALL SELECT doc_id, 'eps', 'NO_BASIS' FROM adj WHERE ord = 1""")
+@query("trust_gates", f"""WITH {RECORDS}, d AS (SELECT doc_id, max(CASE WHEN ord = 0 THEN status END) AS bs, max(CASE WHEN ord = 1 THEN status END) AS cash, substr(doc_id, 2)::BIGINT AS k FROM adj GROUP BY 1)
+SELECT doc_id, 'cash' AS about, CASE cash WHEN 'WRONG_MATH' THEN 'DECLINE_DISPUTED' WHEN 'VERIFIED' THEN 'ANSWER' WHEN 'INSUFFICIENT_EVIDENCE' THEN 'DECLINE_UNVERIFIED' ELSE 'NO_BASIS' END AS decision FROM d
+UNION ALL SELECT doc_id, 'eps', CASE WHEN k % 3 = 0 THEN CASE bs WHEN 'WRONG_MATH' THEN 'DECLINE_DISPUTED' WHEN 'VERIFIED' THEN 'ANSWER' WHEN 'INSUFFICIENT_EVIDENCE' THEN 'DECLINE_UNVERIFIED' ELSE 'NO_BASIS' END
+ WHEN k % 3 = 1 THEN CASE WHEN 'WRONG_MATH' IN (coalesce(bs, ''), coalesce(cash, '')) THEN 'DECLINE_DISPUTED' WHEN 'VERIFIED' IN (coalesce(bs, ''), coalesce(cash, '')) THEN 'ANSWER' WHEN 'INSUFFICIENT_EVIDENCE' IN (coalesce(bs, ''), coalesce(cash, '')) THEN 'DECLINE_UNVERIFIED' ELSE 'NO_BASIS' END ELSE 'NO_BASIS' END FROM d""")
 def trust_gates(spark: SparkSession, sf: str) -> DataFrame:
-    v = run_records(spark, sf)[0].withColumn("claim_text", F.when(F.col("rule_name") == "cash_flow_tie_out", "Cash flow ties").otherwise("Balance sheet"))
+    """Gates of two questions over every filer's verdicts: claims of every third filer speak of earnings per share, of the next one both do, of the others none."""
+    k = F.substring("doc_id", 2, 20).cast("long") % 3
+    cash = F.col("rule_name") == "cash_flow_tie_out"
+    v = run_records(spark, sf)[0].withColumn("claim_text", F.concat(F.when(cash, "Cash flow ties").otherwise("Balance sheet"), F.when((k == 0) & ~cash, ", and Earnings Per Share too").when(k == 1, " as EPS does").otherwise("")))
+    v = v.select("doc_id", "claim_text", "status")
     return answers.trust(v, answers.CASH_WORDS, True, "doc_id").withColumn("about", F.lit("cash")).unionByName(answers.trust(v, answers.EPS_WORDS, False, "doc_id").withColumn("about", F.lit("eps")))
 
 
