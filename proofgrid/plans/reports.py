@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import text as T
 from proofgrid.operators import claims as C
-from proofgrid.operators import asof, audit, compare, dashboards
+from proofgrid.operators import asof, audit, compare, dashboards, runs
 from proofgrid.operators import facts as X
 from proofgrid.operators.graph import shared_folder
 from proofgrid.sources import buckets, claims_json, sinks, statements, store, tables
@@ -537,3 +537,12 @@ def preferred_context(spark: SparkSession, sf: str) -> DataFrame:
     raw = s.select(k.cast("string").alias("doc_id"), F.concat(F.lit("["), eps, F.lit(", "), cash, F.lit("]")).alias("raw"))
     texts = s.select(k.cast("string").alias("doc_id"), F.concat("s_name", F.when(k % 2 == 0, " had net income available to common stockholders of 4").otherwise(" had income")).alias("text"))
     return audit.statement_claims(raw, texts).select("doc_id", "ord", F.try_element_at("params", F.lit("preferred_dividends_present")).alias("flag"))
+
+
+@query("series_runs", """WITH s AS (SELECT user_id, event_id, value, sign(value - lag(value) OVER w)::INT AS g, row_number() OVER w AS n FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, g ORDER BY n) AS island FROM s)
+SELECT event_id, CASE g WHEN 1 THEN 'up' WHEN -1 THEN 'down' WHEN 0 THEN 'flat' END AS way, CASE WHEN g IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY user_id, g, island ORDER BY n) END::BIGINT AS run FROM i""")
+def series_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of rises and falls over every user's values, as rows."""
+    e = A.table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    return runs.runs(e, ["user_id"], ["at", "event_id"], "value").select("event_id", "way", "run")

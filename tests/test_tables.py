@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from proofgrid.operators import asof, compare
+from proofgrid.operators import asof, compare, runs
 from proofgrid.operators import facts as X
 from proofgrid.sources import buckets, folders
 from proofgrid.sources import filings as S
@@ -119,3 +119,30 @@ def test_review_rows_tell_flags_and_reasons(spark):
     got = [(json.loads(r.evidence_flags_emitted), len(r.explanation)) for r in compare.C.review_rows(df).collect()]
     assert got == [({"eps_income_basis": True, "income_operand_basis": False}, 200), ({"restricted_cash_disclosed": False}, 0), ({}, 0)]
     assert [r.evidence_flags_emitted for r in compare.C.review_rows(df.drop("params", "explanation")).collect()] == ["{}"] * 3
+
+
+def test_runs_meet_brute_force_over_many_ranges(spark):
+    """A series of 100,000 points, longer runs than ranges, and many short series."""
+    rng, rows = random.Random(8), []
+    walk = [0.0]
+    while len(walk) < 100_000:
+        step = rng.choice([-1.0, 0.0, 1.0])
+        walk += [walk[-1] + step * (k + 1) for k in range(rng.choice([1, 2, 3, 30_000 if rng.random() < 0.0005 else 5]))]
+    rows += [("long", i, float(v)) for i, v in enumerate(walk[:100_000])]
+    rows += [("up", i, float(i)) for i in range(40_000)] + [(f"s{k}", i, float(rng.randrange(3))) for k in range(300) for i in range(rng.randrange(1, 9))]
+    want = {}
+    series: dict = {}
+    for s, i, v in rows:
+        series.setdefault(s, []).append((i, v))
+    for s, points in series.items():
+        before, way, run = None, None, 0
+        for i, v in points:
+            now = None if before is None else "up" if v > before else "down" if v < before else "flat"
+            run = 0 if now is None else run + 1 if now == way else 1
+            before, way = v, now
+            want[s, i] = (way, run)
+    df = spark.createDataFrame(rows + [("long", None, 1.0), (None, 1, 1.0), ("up", 5, None)], "s string, i int, v double")
+    r = runs.runs(df, ["s"], ["i"], "v")
+    got = {(x.s, x.i): (x.way, x.run) for x in r.collect()}
+    assert got == want
+    assert {x.s: (x.way, x.run) for x in runs.trailing(r, ["s"], ["i"], "v").collect()}["up"] == ("up", 39_999)
