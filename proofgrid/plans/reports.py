@@ -64,15 +64,16 @@ def form4_list(spark: SparkSession, sf: str) -> DataFrame:
 def xml_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Form 4 documents: an order's items as transactions, some without readable shares, some without a price."""
     k = F.col("l_linenumber")
-    deal = F.concat(F.lit("<nonDerivativeTransaction><transactionDate><value>"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("</value></transactionDate><transactionCoding><transactionCode>"), F.when(F.col("l_returnflag") == "R", "S").when(F.col("l_returnflag") == "A", "P").otherwise("G"), F.lit("</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>"), F.when(k == 3, "n/a").otherwise(F.format_number("l_extendedprice", 2)), F.lit("</value></transactionShares>"), F.when(k == 2, "").otherwise(F.concat(F.lit("<transactionPricePerShare><value>"), F.col("l_quantity").cast("string"), F.lit("</value></transactionPricePerShare>"))), F.lit("</transactionAmounts></nonDerivativeTransaction>"))
-    x = A.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(deal)), "").alias("t"), F.min("l_suppkey").alias("s"))
-    return x.select(F.col("s").cast("string").alias("entity"), F.col("l_orderkey").cast("string").alias("accession"), F.concat(F.lit("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>Owner &amp; Co</rptOwnerName></reportingOwnerId></reportingOwner><nonDerivativeTable>"), "t", F.lit("</nonDerivativeTable></ownershipDocument>")).alias("xml"))
+    title = F.when(k == 1, "").otherwise(F.concat(F.lit("<securityTitle><value>Class "), k.cast("string"), F.lit(" stock</value></securityTitle>")))
+    deal = F.concat(F.lit("<nonDerivativeTransaction>"), title, F.lit("<transactionDate><value>"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("</value></transactionDate><transactionCoding><transactionCode>"), F.when(F.col("l_returnflag") == "R", "S").when(F.col("l_returnflag") == "A", "P").otherwise("G"), F.lit("</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>"), F.when(k == 3, "n/a").otherwise(F.format_number("l_extendedprice", 2)), F.lit("</value></transactionShares>"), F.when(k == 2, "").otherwise(F.concat(F.lit("<transactionPricePerShare><value>"), F.col("l_quantity").cast("string"), F.lit("</value></transactionPricePerShare>"))), F.lit("</transactionAmounts></nonDerivativeTransaction>"))
+    x = A.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(deal)), "").alias("t"), F.min("l_suppkey").alias("s"), F.date_add(F.max("l_shipdate").cast("date"), 2).alias("filing_date"))
+    return x.select("filing_date", F.col("s").cast("string").alias("entity"), F.col("l_orderkey").cast("string").alias("accession"), F.concat(F.lit("<ownershipDocument><reportingOwner><reportingOwnerId><rptOwnerName>Owner &amp; Co</rptOwnerName></reportingOwnerId></reportingOwner><nonDerivativeTable>"), "t", F.lit("</nonDerivativeTable></ownershipDocument>")).alias("xml"))
 
 
-DEALS = """t AS (SELECT l_orderkey::VARCHAR AS accession, min(l_suppkey) OVER (PARTITION BY l_orderkey)::VARCHAR AS entity, CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE 'G' END AS code, l_extendedprice AS shares, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS price, l_shipdate::DATE AS date, l_linenumber AS k FROM lineitem), d AS (SELECT * FROM t WHERE k <> 3)"""
+DEALS = """t AS (SELECT l_orderkey::VARCHAR AS accession, min(l_suppkey) OVER (PARTITION BY l_orderkey)::VARCHAR AS entity, CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'P' ELSE 'G' END AS code, l_extendedprice AS shares, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS price, l_shipdate::DATE AS date, l_linenumber AS k, CASE WHEN l_linenumber = 1 THEN '' ELSE 'Class ' || l_linenumber || ' stock' END AS title, (max(l_shipdate) OVER (PARTITION BY l_orderkey))::DATE + 2 AS filed FROM lineitem), d AS (SELECT * FROM t WHERE k <> 3)"""
 
 
-@query("insider_transactions", f"WITH {DEALS} SELECT entity, accession, 'Owner & Co' AS owner, code, shares, price, date FROM d")
+@query("insider_transactions", f"WITH {DEALS} SELECT entity, accession, 'Owner & Co' AS owner, code, shares, price, date, title, filed FROM d")
 def insider_transactions(spark: SparkSession, sf: str) -> DataFrame:
     return S.insider_transactions(xml_forms(spark, sf))
 
