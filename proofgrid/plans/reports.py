@@ -14,6 +14,7 @@ from proofgrid.operators import facts as X
 from proofgrid.operators.graph import shared_folder
 from proofgrid.sources import buckets, claims_json, sinks, statements, store, tables
 from proofgrid.sources import filings as S
+from proofgrid.streaming import delivery
 from proofgrid.streaming import filings as streams
 
 from . import adapters as A
@@ -462,6 +463,25 @@ def filing_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").groupBy("form").agg(F.count("*").alias("filings"), F.count_distinct("accession").alias("accessions"))
 
 
+@query("delivery_retries", """SELECT event_id AS id, CASE WHEN event_id % 7 < 5 THEN 'delivered' ELSE 'failed' END AS status, least(event_id % 7 + 1, 5)::INT AS attempts, (pow(2, least(event_id % 7 + 1, 5)) - 2)::BIGINT AS waited, CASE WHEN event_id % 7 >= 5 THEN 'timed out' END AS last_error,
+least(event_id % 7 + 1, 5)::BIGINT AS calls FROM events""")
+def delivery_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of deliveries, each twice, to receivers that time out up to six times; the ladder runs with 10 ms as its second until all have ended."""
+    where = f"{shared_folder(spark)}/proofgrid/retries-{uuid.uuid4().hex}"
+    events = A.table(spark, sf, "events")
+    e = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/events.parquet*")
+    twice = e.select(F.col("event_id").alias("id"), F.to_json(F.struct("event_type", "props")).alias("payload"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    q = delivery.Queue(spark, where, lambda f: ("timed out" if tried <= i % 7 else None for i, tried in zip(f["id"], f["attempt"], strict=True)), unit=0.01)
+    stream, n = q.start(twice, "0 seconds"), events.count()
+    try:
+        while not stream.awaitTermination(3) and q.ended() < n:
+            pass
+    finally:
+        stream.stop()
+    calls = q.outcomes().groupBy("id").agg(F.count("*").alias("calls"))
+    return q.deliveries().join(calls, "id")
+
+
 # Tables updated in place, and what was known when.
 
 
