@@ -85,8 +85,8 @@ class Queue:
     def __init__(self, spark: SparkSession, path: str, deliver: Callable[[pd.DataFrame], Iterable[str | None]], unit: float = 1.0, keep: float = KEEP):
         self.spark, self.path, self.deliver = spark, path.rstrip("/"), deliver
         self.unit, self.keep = max(1, int(unit * 1000)), int(keep * 1000)
-        spark.createDataFrame([], OUTCOMES).write.mode("ignore").parquet(f"{self.path}/outcomes/batch=none")
-        spark.createDataFrame([], ROWS).write.mode("ignore").parquet(f"{self.path}/log/batch=none")
+        for name, columns in (("outcomes", OUTCOMES), ("log", ROWS)):
+            nothing(spark, columns).write.mode("ignore").parquet(f"{self.path}/{name}/batch=none")
 
     def start(self, deliveries: DataFrame, every: str = "1 second") -> StreamingQuery:
         """Run the queue over a stream of deliveries (id, payload), with a batch as often as `every` says, until it is stopped."""
@@ -106,7 +106,7 @@ class Queue:
         due = spark.read.schema(ROWS).parquet(log).filter("kind = 'send'").select("id", "attempt", "payload")
         if due.isEmpty():
             return
-        spark.createDataFrame([], OUTCOMES).write.mode("append").parquet(out)
+        nothing(spark, OUTCOMES).write.mode("append").parquet(out)
         sent = spark.read.schema(OUTCOMES).parquet(out).select("id", "attempt")
         due.join(sent, ["id", "attempt"], "left_anti").mapInPandas(sender(self.deliver), OUTCOMES).write.mode("append").parquet(out)
 
@@ -131,6 +131,11 @@ class Queue:
         return x.select("id", F.coalesce("x.kind", F.lit("pending")).alias("status"), F.coalesce("x.attempt", F.lit(0)).alias("attempts"), "waited", F.col("x.error").alias("last_error"))
 
 
+def nothing(spark: SparkSession, columns: str) -> DataFrame:
+    """No rows, without a task in Python."""
+    return spark.range(0).select(*[F.lit(None).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in columns.split(", ")])
+
+
 def sender(deliver: Callable[[pd.DataFrame], Iterable[str | None]]):
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
