@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from proofgrid.functions import kernels as K
 from proofgrid.functions import text as T
-from proofgrid.operators import answers, audit, compare, dashboards, gold, graph
+from proofgrid.operators import answers, audit, compare, dashboards, gold, graph, series
 from proofgrid.operators import claims as C
 from proofgrid.operators import facts as X
 from proofgrid.sources import claims_json, store, tables
 
 from . import adapters as A
 from .base import query
-from .queries import CONFLICTS, HALF, cells
+from .queries import CONFLICTS, HALF, TAG_ROWS, cells, tags
 
 OPS = ("sum", "difference", "percent_change", "ratio", "identity")
 
@@ -304,23 +304,45 @@ def eps_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filer_memory(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("key")
-    return A.statements(spark, sf).select(F.concat(F.lit("p"), k.cast("string")).alias("doc_id"), k, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c")).filter("key % 4 <> 0").select("doc_id", F.when(k % 7 == 0, 1).otherwise(5).alias("n_points"), F.when((k + F.col("c")) % 3 == 0, 2).otherwise(0).alias("n_dropped"), (F.col("c") == 3).alias("split_sensitive"), F.when((k + F.col("c")) % 5 == 0, F.array(F.lit("fallback_xbrl_tag_used"))).otherwise(F.array(F.lit("split_sensitive_series"))).alias("signals"))
-
-
-@query("dashboard", f"""WITH {RECORDS}, a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (status IN ('VERIFIED', 'WRONG_MATH')) AS w, count(*) FILTER (status = 'VERIFIED') AS v, count(*) FILTER (emitted) AS e, count(*) FILTER (status = 'INSUFFICIENT_EVIDENCE') AS d, count(*) FILTER (status = 'INSUFFICIENT_EVIDENCE' AND (emitted OR adjudicated)) AS g FROM adj GROUP BY 1),
-m AS (SELECT 'p' || key AS doc_id, key % 7 <> 0 AS usable, count(*) FILTER ((key + c) % 3 <> 0 AND (key + c) % 5 <> 0) AS clean FROM st, range(4) r(c) WHERE key % 4 <> 0 GROUP BY key), q AS (SELECT 'p' || key AS doc_id, key FROM st), p(i, panel) AS (VALUES (0, 'verification_score'), (1, 'evidence_coverage'), (2, 'disclosure_quality'), (3, 'consistency_score'), (4, 'restatement_risk'))
-SELECT q.doc_id, i::BIGINT AS panel_ord, panel, CASE i WHEN 0 THEN CASE WHEN a.n IS NULL THEN 'no_data' WHEN w > 0 THEN 'ok' ELSE 'unassessed' END WHEN 3 THEN CASE WHEN m.doc_id IS NULL THEN 'unassessed' WHEN usable THEN 'ok' ELSE 'no_data' END WHEN 4 THEN CASE WHEN key % 5 = 1 THEN 'ok' ELSE 'unassessed' END ELSE CASE WHEN a.n IS NULL THEN 'no_data' ELSE 'ok' END END AS state,
-CASE i WHEN 0 THEN CASE WHEN w > 0 THEN round_even(v * 100.0::DOUBLE / w, 1) END WHEN 1 THEN round_even(e * 100.0::DOUBLE / n, 1) WHEN 2 THEN CASE WHEN d = 0 THEN 100.0 ELSE round_even(g * 100.0::DOUBLE / d, 1) END WHEN 3 THEN CASE WHEN usable THEN round_even(clean * 100.0::DOUBLE / 4, 1) END END AS value,
-CASE WHEN i = 4 AND key % 5 = 1 THEN CASE WHEN key % 10 = 1 THEN 2 ELSE 0 END END::BIGINT AS conflicts FROM q CROSS JOIN p LEFT JOIN a ON a.doc_id = q.doc_id LEFT JOIN m ON m.doc_id = q.doc_id""")
+    """The company memory of every filer that has yearly facts."""
+    return series.company_memory(A.facts(spark, sf), tags(spark)).withColumn("doc_id", F.concat(F.lit("p"), "entity"))
+
+
+def restated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The filers with two documents, and the conflicts between these: the later document gives what liabilities and equity add up to as assets, and equity in
+    ten thousands; what it says of that depends on how much is owed."""
+    s = A.statements(spark, sf).filter(F.col("shares").cast("long") % 3 == 0).withColumn("set_id", F.concat(F.lit("p"), F.col("key").cast("string")))
+    later = F.round(F.col("equity") / 10000) * 10000
+    cell = lambda d, label, v: F.struct(F.lit(d).alias("doc_ord"), F.lit(label).alias("row_label"), F.lit("FY").alias("column_label"), v.alias("value"))
+    rows = F.array(cell(0, "Total assets", F.col("assets")), cell(0, "Equity", F.col("equity")), cell(1, " total Assets", F.col("liabilities") + F.col("equity")), cell(1, "equity ", later))
+    named = lambda d: F.concat_ws("-", "set_id", d)
+    both = s.select("set_id", F.inline(rows)).withColumn("doc_id", named(F.col("doc_ord").cast("string")))
+    number = lambda v: F.when(v == F.floor(v), F.format_number(v, 0)).otherwise(F.format_number(v, 2))
+    owed = F.col("liabilities") / F.col("equity")
+    said = F.when(owed > 0.6, "as restated").when(owed > 0.4, "reclassified to conform").otherwise("as before")
+    text = F.concat(F.lit("Total assets "), number(F.col("liabilities") + F.col("equity")), F.lit(" and equity "), number(later), F.lit(", "), said)
+    found = compare.conflicts(both, 0.005)
+    return s.select(F.col("set_id").alias("doc_id")), compare.annotated(found, s.select(named(F.lit("1")).alias("doc_id"), text.alias("text"))).withColumn("doc_id", F.col("set_id"))
+
+
+@query("dashboard", f"""WITH {RECORDS}, {A.FACTS}, {TAG_ROWS}, a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (status IN ('VERIFIED', 'WRONG_MATH')) AS w, count(*) FILTER (status = 'VERIFIED') AS v, count(*) FILTER (emitted) AS e, count(*) FILTER (status = 'INSUFFICIENT_EVIDENCE') AS d, count(*) FILTER (status = 'INSUFFICIENT_EVIDENCE' AND (emitted OR adjudicated)) AS g FROM adj GROUP BY 1),
+j AS (SELECT *, min(tag_rank) OVER (PARTITION BY entity, concept) AS best FROM pts JOIN t USING (tag) WHERE unit = 'USD' AND form = '10-K'), mm AS (SELECT entity, concept, any_value(tag) AS tag, any_value(tag_rank) AS r, count(*) AS n FROM j WHERE tag_rank = best GROUP BY 1, 2), dr AS (SELECT entity, tag, count(*) FILTER (NOT fit) AS dropped FROM fits WHERE unit = 'USD' AND form = '10-K' GROUP BY 1, 2),
+m AS (SELECT 'p' || e.entity AS doc_id, count(*) FILTER (n >= 2) AS usable, count(*) FILTER (n >= 2 AND dropped = 0 AND r = 0) AS clean, count(*) FILTER (n >= 2 AND dropped > 0) AS cut, count(*) FILTER (n >= 2 AND r > 0) AS fallback FROM (SELECT DISTINCT entity FROM facts WHERE form = '10-K') e LEFT JOIN mm ON mm.entity = e.entity LEFT JOIN dr ON dr.entity = e.entity AND dr.tag = mm.tag GROUP BY 1),
+two AS (SELECT * FROM st WHERE shares::BIGINT % 3 = 0), x AS (SELECT key, assets AS va, liabilities + equity AS vb, liabilities / equity AS owed FROM two UNION ALL SELECT key, equity, round(equity / 10000) * 10000, liabilities / equity FROM two), f AS (SELECT * FROM x WHERE abs(va - vb) / greatest(abs(vb), 1e-9) > 0.005),
+z AS (SELECT two.key, count(f.key) AS n, count(*) FILTER (f.owed > 0.6) AS explicit, count(*) FILTER (f.owed > 0.4 AND f.owed <= 0.6) AS moved, count(f.key) FILTER (f.owed <= 0.4 OR f.owed IS NULL) AS unexplained FROM two LEFT JOIN f ON f.key = two.key GROUP BY 1),
+q AS (SELECT 'p' || key AS doc_id, key FROM st), p(i, panel) AS (VALUES (0, 'verification_score'), (1, 'evidence_coverage'), (2, 'disclosure_quality'), (3, 'consistency_score'), (4, 'restatement_risk'))
+SELECT q.doc_id, i::BIGINT AS panel_ord, panel, CASE i WHEN 0 THEN CASE WHEN a.n IS NULL THEN 'no_data' WHEN w > 0 THEN 'ok' ELSE 'unassessed' END WHEN 3 THEN CASE WHEN m.doc_id IS NULL THEN 'unassessed' WHEN usable > 0 THEN 'ok' ELSE 'no_data' END WHEN 4 THEN CASE WHEN z.key IS NOT NULL THEN 'ok' ELSE 'unassessed' END ELSE CASE WHEN a.n IS NULL THEN 'no_data' ELSE 'ok' END END AS state,
+CASE i WHEN 0 THEN CASE WHEN w > 0 THEN round_even(v * 100.0::DOUBLE / w, 1) END WHEN 1 THEN round_even(e * 100.0::DOUBLE / a.n, 1) WHEN 2 THEN CASE WHEN d = 0 THEN 100.0 ELSE round_even(g * 100.0::DOUBLE / d, 1) END WHEN 3 THEN CASE WHEN usable > 0 THEN round_even(clean * 100.0::DOUBLE / usable, 1) END END AS value,
+CASE WHEN i = 3 AND m.doc_id IS NOT NULL THEN 'usable ' || usable || ' clean ' || clean || ' cut ' || cut || ' fallback ' || fallback WHEN i = 4 AND z.key IS NOT NULL THEN 'conflicts ' || z.n || ' explicit ' || explicit || ' reclassified ' || moved || ' unexplained ' || unexplained END AS detail FROM q CROSS JOIN p LEFT JOIN a ON a.doc_id = q.doc_id LEFT JOIN m ON m.doc_id = q.doc_id LEFT JOIN z ON z.key = q.key""")
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    """Five panels of every filer: records, memory of four series where there is any, and conflicts where documents were compared."""
+    """Five panels of every filer: its records, the memory of its yearly facts, and the conflicts between its two documents where it has two."""
     r, _, _, wanted = run_records(spark, sf)
-    k = F.substring("doc_id", 2, 20).cast("long")
-    compared = wanted.filter(k % 5 == 1)
-    conflicts = compared.filter(k % 10 == 1).select("doc_id", F.explode(F.array(F.lit("UNEXPLAINED"), F.lit(None).cast("string"))).alias("restatement_type"))
+    compared, conflicts = restated(spark, sf)
     d = dashboards.assembled(wanted, dashboards.record_panels(r), dashboards.consistency_panel(filer_memory(spark, sf)), dashboards.restatement_panel(compared, conflicts))
-    return d.select("doc_id", "panel_ord", "panel", "state", "value", F.when(F.col("panel") == "restatement_risk", F.try_element_at("parts", F.lit("conflicts"))).alias("conflicts"))
+    said = lambda **parts: F.concat_ws(" ", *[x for k, p in parts.items() for x in (F.lit(k), F.try_element_at("parts", F.lit(p)).cast("string"))])
+    detail = F.when((F.col("panel_ord") == 3) & (F.size("parts") > 0), said(usable="usable_series", clean="clean_series", cut="series_with_dropped_spans", fallback="series_with_fallback_tag"))
+    detail = detail.when((F.col("panel_ord") == 4) & (F.size("parts") > 0), said(conflicts="conflicts", explicit="explicit_restatement", reclassified="possible_reclassification", unexplained="unexplained"))
+    return d.select("doc_id", "panel_ord", "panel", "state", "value", detail.alias("detail"))
 
 
 @query("dashboard_agreement", f"WITH {RECORDS} SELECT s.status, count(adj.status)::BIGINT AS from_panels, count(adj.status)::BIGINT AS from_records, TRUE AS agrees FROM (VALUES ('VERIFIED'), ('WRONG_MATH'), ('UNSUPPORTED_NUMBER'), ('INSUFFICIENT_EVIDENCE')) s(status) LEFT JOIN adj ON adj.status = s.status GROUP BY 1")
