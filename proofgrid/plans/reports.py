@@ -216,6 +216,57 @@ def text_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "part").select("p_partkey", F.coalesce(T.overlaps(F.lit("What does this company's liabilities, of 2024q1, net to?"), text), F.lit(False)).alias("shared"))
 
 
+# Text operators over whole documents.
+
+#: A token of an answer's number in SQL, and its value.
+TOKEN = r"-?\$?\(?\d[\d,]*\.?\d*\)?%?"
+VALUE = r"TRY_CAST(regexp_replace(b, '[()]', '', 'g') AS DOUBLE)"
+
+
+@query("document_redaction", r"""WITH k AS (SELECT doc_id, text || ' key ' || CASE doc_id % 7 WHEN 0 THEN 'gsk_' WHEN 1 THEN 'sk-' WHEN 2 THEN 'sk-ant-' WHEN 3 THEN 'AIza' WHEN 4 THEN 'AQ.' WHEN 5 THEN 'Bearer ' ELSE '' END || left(md5(text), (doc_id % 13)::INT) || ', end' AS text FROM documents)
+SELECT doc_id, md5(t) AS digest, (length(t) - length(replace(t, '***REDACTED***', ''))) // 14 AS n FROM (SELECT doc_id, regexp_replace(text,
+ '(gsk_)[A-Za-z0-9]{8,}|(sk-ant-)[A-Za-z0-9._-]{4,}|(sk-)[A-Za-z0-9._-]{8,}|(AIza)[A-Za-z0-9._-]{8,}|(AQ\.)[A-Za-z0-9._-]{8,}|(Bearer)\s+[A-Za-z0-9._-]{8,}', '\1\2\3\4\5\6***REDACTED***', 'g') AS t FROM k)""")
+def document_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with a key after it, of one of six kinds or none and often too short for one, masked; and how many were."""
+    k = F.col("doc_id") % 7
+    kind = F.when(k == 0, "gsk_").when(k == 1, "sk-").when(k == 2, "sk-ant-").when(k == 3, "AIza").when(k == 4, "AQ.").when(k == 5, "Bearer ").otherwise("")
+    key = F.concat("text", F.lit(" key "), kind, F.left(F.md5("text"), (F.col("doc_id") % 13).cast("int")), F.lit(", end"))
+    t, mask = T.redacted(key), F.lit("***REDACTED***")
+    return A.table(spark, sf, "documents").select("doc_id", F.md5(t).alias("digest"), F.floor((F.length(t) - F.length(F.replace(t, mask))) / F.length(mask)).alias("n"))
+
+
+@query("document_numbers", rf"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '\[F\d+\]', '', 'g'), '{TOKEN}'), lambda t: regexp_replace(t, '[,$%]', '', 'g')) AS bare FROM documents),
+v AS (SELECT doc_id, text, list_filter(list_transform(bare, lambda b: CASE WHEN regexp_matches(b, '^\(.*\)$') THEN -{VALUE} ELSE {VALUE} END), lambda x: x IS NOT NULL) AS v FROM b)
+SELECT doc_id, len(v)::BIGINT AS n, list_min(v) AS low, list_max(v) AS high, md5(regexp_replace(text, '{TOKEN}', '[number withheld]', 'g')) AS withheld FROM v""")
+def document_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers that every document states, as an answer is read, and the document without them."""
+    v = T.numbers(F.col("text"))
+    return A.table(spark, sf, "documents").select("doc_id", F.size(v).cast("long").alias("n"), F.array_min(v).alias("low"), F.array_max(v).alias("high"), F.md5(T.withheld(F.col("text"))).alias("withheld"))
+
+
+@query("document_source_numbers", r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS text, '(?i)(-?\$?\s*\d[\d,]*(?:\.\d+)?)\s*(billion|bn|million|mm|m|thousand|k)?' AS p FROM documents),
+n AS (SELECT doc_id, unnest(regexp_extract_all(text, p, 1)) AS n, lower(unnest(regexp_extract_all(text, p, 2))) AS u FROM p), v AS (SELECT doc_id, u, TRY_CAST(regexp_replace(n, '[$,\s]', '', 'g') AS DOUBLE) AS v FROM n),
+w AS (SELECT doc_id, v FROM v UNION SELECT doc_id, v * CASE WHEN u IN ('billion', 'bn') THEN 1000.0::DOUBLE WHEN u IN ('million', 'mm', 'm') THEN 1.0::DOUBLE ELSE 0.001::DOUBLE END FROM v WHERE u <> '')
+SELECT doc_id, count(v)::BIGINT AS n, min(v) AS low, max(v) AS high FROM documents LEFT JOIN w USING (doc_id) GROUP BY 1""")
+def document_source_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The different numbers of every document as a source, in millions too where a unit follows."""
+    v = T.source_numbers(F.col("text"))
+    return A.table(spark, sf, "documents").select("doc_id", F.size(v).cast("long").alias("n"), F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+
+
+SHARED_STOP = ", ".join(f"'{w}'" for w in "the a an is are was were did do does why how what which of to in on for and or with by from at it its this that company s".split())
+
+
+@query("document_overlap", rf"""WITH w AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '\s+') AS w FROM documents), k AS (SELECT doc_id, list_transform(w, lambda x: trim(x, '?.,!()''"')) AS q, list_transform(w, lambda x: trim(x, '?.,!()''"$%')) AS t FROM w),
+f AS (SELECT doc_id, list_filter(q, lambda x: length(x) > 3 AND NOT regexp_matches(x, '\d') AND x NOT IN ({SHARED_STOP})) AS q, list_filter(t, lambda x: length(x) > 3 AND NOT regexp_matches(x, '\d') AND x NOT IN ({SHARED_STOP})) AS t FROM k)
+SELECT a.doc_id, list_has_any(a.q, b.t) AS shared FROM f a JOIN f b ON b.doc_id = a.doc_id + 1""")
+def document_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a document shares a telling word with the next."""
+    d = A.table(spark, sf, "documents").select("doc_id", "text")
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    return d.join(following, "doc_id").select("doc_id", T.overlaps(F.col("text"), F.col("next")).alias("shared"))
+
+
 NUMBERED = "(SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS nth FROM lineitem)"
 #: Words of tags, by a part's key.
 WORDS = ("DerivativeForecast", "RevenueOutlookLow", "Assets", "EffectiveTaxRate", "ProjectionOfSales")
