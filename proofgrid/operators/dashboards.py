@@ -90,16 +90,18 @@ def panel(name: str, state: Column | str, value: Column | None = None, **parts:
 def record_panels(records: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """(doc_id, panel, state, value, parts) of the three panels over records: doc_id, status, evidence_emitted, evidence_gate_satisfied, adjudicated; scores:
     doc_id with score and score_available where claims depend on each other, else the flat score. Nothing measured is unassessed."""
-    s = (C.score(records, ["doc_id"]) if scores is None else scores).select("doc_id", "score", "score_available", "total_checkable", "n_verified", "n_wrong_math", "n_unsupported_number", "n_ambiguous", "n_insufficient_evidence")
     declined = F.col("status") == K.INSUFFICIENT
-    a = records.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("evidence_emitted").alias("emitted"), F.count_if("evidence_gate_satisfied").alias("ok"), F.count_if(declined).alias("declines"), F.count_if(declined & (F.col("evidence_emitted") | F.col("adjudicated"))).alias("explained"), F.count_if(declined & F.col("adjudicated")).alias("via_adjudication"))
+    own = {"n": F.count("*"), "emitted": F.count_if("evidence_emitted"), "ok": F.count_if("evidence_gate_satisfied"), "declines": F.count_if(declined), "explained": F.count_if(declined & (F.col("evidence_emitted") | F.col("adjudicated"))), "via_adjudication": F.count_if(declined & F.col("adjudicated"))}
+    a = C.score(records, ["doc_id"], also=own)  # one aggregation of the records
+    if scores is not None:
+        a = a.select("doc_id", *own).join(scores, "doc_id")
     counts = {k: F.col(c) for k, c in (("verified", "n_verified"), ("wrong_math", "n_wrong_math"), ("unsupported", "n_unsupported_number"), ("ambiguous", "n_ambiguous"), ("insufficient_evidence", "n_insufficient_evidence"), ("total_checkable", "total_checkable"))}
     three = F.array(
         panel(PANELS[0], F.when(F.col("score_available"), "ok").otherwise("unassessed"), F.when(F.col("score_available"), F.col("score")), **counts),
         panel(PANELS[1], "ok", C.percent(F.col("emitted"), F.col("n")), claims=F.col("n"), evidence_emitted=F.col("emitted"), evidence_gate_satisfied=F.col("ok")),
         panel(PANELS[2], "ok", F.when(F.col("declines") == 0, 100.0).otherwise(C.percent(F.col("explained"), F.col("declines"))), declines=F.col("declines"), explained=F.col("explained"), explained_via_adjudication=F.col("via_adjudication")),
     )
-    return a.join(s, "doc_id").select("doc_id", F.inline(three))
+    return a.select("doc_id", F.inline(three))
 
 
 def consistency_panel(memories: DataFrame) -> DataFrame:

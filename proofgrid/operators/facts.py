@@ -10,7 +10,7 @@ from proofgrid.functions import text as T
 from proofgrid.sources import sinks
 
 from . import claims as C
-from .series import select_fact
+from .series import chosen_span
 
 #: Fields with their tags, the preferred first, their unit, and whether they last over a span.
 FIELDS = [
@@ -36,14 +36,21 @@ def field_tags(spark: SparkSession) -> DataFrame:
 
 def pivoted(facts: DataFrame, form: str = "10-K", pins: DataFrame | None = None) -> DataFrame:
     """One row an entity: period_end, the twelve fields and tags_used. Every field is of the period that the entity's latest Assets of the form end, or
-    that pins (entity, end) name; nothing is taken from another period. Assets themselves are chosen before the pin."""
-    tags = field_tags(facts.sparkSession)
-    own = facts.filter((F.col("form") == form) & F.col("val").isNotNull())
-    pin = own.filter("tag = 'Assets' and unit = 'USD'").groupBy("entity").agg(F.max("end").alias("end")) if pins is None else pins.select("entity", "end")
-    assets = select_fact(facts, tags.filter("field = 'assets'"), form, pins)
-    rest = select_fact(facts, tags.filter("field <> 'assets'"), form, pin)
-    x = assets.unionByName(rest).groupBy("entity").agg(*[F.max(F.when(F.col("field") == f, F.col("val"))).alias(f) for f, *_ in FIELDS], F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "tag")))).alias("tags_used"))
-    return own.select("entity").distinct().join(pin.withColumnRenamed("end", "period_end"), "entity", "left").join(x, "entity", "left")
+    that pins (entity, end; one row an entity) name; nothing is taken from another period, and a fact without an end takes no part. Facts are read once: the best fact of each
+    field and end, aggregated before the shuffle, then the period by entity over what is left."""
+    own = facts.filter((F.col("form") == form) & F.col("val").isNotNull()).join(field_tags(facts.sparkSession), ["tag", "unit"], "left")
+    fits, prefer = chosen_span(form)
+    usable = F.col("field").isNotNull() & F.col("end").isNotNull() & (~F.col("duration") | fits)
+    # Facts of no field are one row an entity before the shuffle; they only say that it is there.
+    only = lambda c: F.when(usable, F.col(c)).alias(c)
+    best = F.max_by(F.struct("tag", "val"), F.struct(-F.col("tag_rank"), prefer, F.col("filed"), -F.col("pos"))).alias("p")
+    ends = own.withColumns({c: only(c) for c in ("field", "end")}).groupBy("entity", "field", "end").agg(best)
+    pin = F.max(F.when(F.col("field") == "assets", F.col("end"))).over(Window.partitionBy("entity"))
+    x = ends.withColumn("period_end", pin) if pins is None else ends.join(pins.select("entity", F.col("end").alias("period_end")), "entity", "left")
+    here = F.col("end") == F.col("period_end")
+    used = F.collect_list(F.when(here, F.struct("field", F.col("p.tag").alias("tag"))))
+    x = x.groupBy("entity").agg(F.max("period_end").alias("period_end"), *[F.max(F.when(here & (F.col("field") == f), F.col("p.val"))).alias(f) for f, *_ in FIELDS], F.array_sort(used).alias("__used"))
+    return x.withColumn("tags_used", F.when(F.size("__used") > 0, F.map_from_entries("__used"))).drop("__used")
 
 
 def claims_of(rows: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def run(facts: DataFrame, form: str = "10-K", pins: DataFrame | None = None) ->
     """(entity, period_end, n_claims, verdicts) of every filer: facts to claims to verdicts, in one job."""
     rows = pivoted(facts, form, pins)
     v = C.verify(claims_of(rows))
-    n = sinks.verdict_counts(v, "doc_id").join(v.groupBy("doc_id").agg(F.count("*").alias("n_claims")), "doc_id")
+    n = sinks.verdict_counts(v, "doc_id").withColumn("n_claims", F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, c: a + c))
     out = rows.select("entity", "period_end").join(n.withColumnRenamed("doc_id", "entity"), "entity", "left")
     return out.select("entity", "period_end", F.coalesce("n_claims", F.lit(0)).cast("long").alias("n_claims"), F.coalesce("counts", F.create_map().cast("map<string, bigint>")).alias("verdicts"))
 

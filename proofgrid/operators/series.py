@@ -63,16 +63,21 @@ def with_fallback(points: DataFrame, tags: DataFrame) -> DataFrame:
     return own.join(best, ["entity", "concept", "form", "tag_rank"])
 
 
+def chosen_span(form: str) -> tuple[Column, Column]:
+    """Whether a fact lasts as long as those of a form's flows do, and what is the greater the better the span suits the form."""
+    days = span_days(F.col("start"), F.col("end"))
+    quarter, year = days.between(60, 100), days >= 300
+    return F.col("start").isNotNull() & (quarter if form == "10-Q" else year if form == "10-K" else year | quarter), -days if form == "10-Q" else days
+
+
 def select_fact(facts: DataFrame, tags: DataFrame, form: str = "10-K", pins: DataFrame | None = None) -> DataFrame:
     """One fact of a form for each entity and field: the first tag and unit with candidates, then the pinned end or the latest, the longest span
     (of a quarterly report the shortest), the last filed. Facts of other forms and units never take part; with pins (entity, end) an entity
     has no fact of another end. tags: field, tag, tag_rank, unit, duration."""
-    days = span_days(F.col("start"), F.col("end"))
-    span = days.between(60, 100) if form == "10-Q" else (days >= 300) if form == "10-K" else (days >= 300) | days.between(60, 100)
-    c = facts.filter((F.col("form") == form) & F.col("val").isNotNull()).join(tags, ["tag", "unit"]).filter(~F.col("duration") | (F.col("start").isNotNull() & span))
+    fits, prefer = chosen_span(form)
+    c = facts.filter((F.col("form") == form) & F.col("val").isNotNull()).join(tags, ["tag", "unit"]).filter(~F.col("duration") | fits)
     if pins is not None:
         c = c.join(pins.select("entity", F.col("end").alias("__pin")), "entity").filter("end = __pin").drop("__pin")
-    prefer = -days if form == "10-Q" else days
     best = F.max_by(F.struct("tag", "tag_rank", "end", "val", "filed", "fy", "fp"), F.struct(-F.col("tag_rank"), F.col("end"), prefer, F.col("filed"), -F.col("pos"))).alias("p")
     return c.groupBy("entity", "field").agg(best).select("entity", "field", "p.*")
 

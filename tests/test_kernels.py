@@ -433,3 +433,39 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t1.json").write_text(json.dumps({"ticker": "abc", "raw": "[]"}))
     assert filings.read_replays(spark, str(tmp_path / "t1.json")).first().doc_id == "ABC"
     assert filings.newest_file(spark, str(tmp_path), "*.json").endswith("t1.json")
+
+
+def test_pivot_reads_facts_once(spark, tmp_path):
+    """Fields of the period that assets end; the preferred tag, then the longest span, the last filed; other periods, forms and facts without an end take no part."""
+    rows = [
+        ("a", "Assets", "USD", None, "2022-12-31", 10.0, "10-K", "2023-02-01", 0), ("a", "Assets", "USD", None, "2023-12-31", 11.0, "10-K", "2024-02-01", 1),
+        ("a", "Assets", "USD", None, "2023-12-31", 12.0, "10-K", "2024-03-01", 2), ("a", "Assets", "USD", None, "2024-03-31", 99.0, "10-Q", "2024-05-01", 3),
+        ("a", "Liabilities", "USD", None, "2022-12-31", 5.0, "10-K", "2023-02-01", 4), ("a", "Liabilities", "USD", None, None, 6.0, "10-K", "2023-02-01", 5),
+        ("a", "ProfitLoss", "USD", "2023-01-01", "2023-12-31", 3.0, "10-K", "2024-02-01", 6), ("a", "NetIncomeLoss", "USD", "2023-10-01", "2023-12-31", 1.0, "10-K", "2024-02-01", 7),
+        ("b", "Unknown", "USD", None, "2023-12-31", 1.0, "10-K", "2024-02-01", 8), ("c", "Assets", "USD", None, None, 1.0, "10-K", "2024-02-01", 9), ("d", "Assets", "USD", None, "2024-03-31", 1.0, "10-Q", "2024-05-01", 10),
+    ]
+    path = str(tmp_path / "facts")
+    spark.createDataFrame(rows, "entity string, tag string, unit string, start string, end string, val double, form string, filed string, pos int").withColumns({c: F.col(c).cast("date") for c in ("start", "end", "filed")}).write.parquet(path)
+    x = X.pivoted(spark.read.parquet(path))
+    got = {r.entity: r for r in x.collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    a = got["a"]
+    assert (str(a.period_end), a.assets, a.liabilities, a.net_income_total, a.tags_used) == ("2023-12-31", 12.0, None, 3.0, {"assets": "Assets", "net_income_total": "ProfitLoss"})
+    assert all(got[e].period_end is None and got[e].assets is None and got[e].tags_used is None for e in "bc")
+    pins = spark.sql("SELECT 'a' AS entity, DATE'2022-12-31' AS end")
+    pinned = {r.entity: r for r in X.pivoted(spark.read.parquet(path), pins=pins).collect()}
+    assert (pinned["a"].assets, pinned["a"].liabilities, pinned["b"].period_end) == (10.0, 5.0, None) and len(pinned) == 3
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_panels_score_in_one_aggregation(spark, tmp_path):
+    rows = [("d", "VERIFIED", True, True, False), ("d", "WRONG_MATH", True, True, False), ("d", "INSUFFICIENT_EVIDENCE", False, False, True), ("e", "INSUFFICIENT_EVIDENCE", False, False, False)]
+    path = str(tmp_path / "records")
+    spark.createDataFrame(rows, "doc_id string, status string, evidence_emitted boolean, evidence_gate_satisfied boolean, adjudicated boolean").write.parquet(path)
+    r = spark.read.parquet(path)
+    p = dashboards.record_panels(r)
+    got = {(x.doc_id, x.panel): (x.state, x.value) for x in p.collect()}
+    assert got == {("d", "verification_score"): ("ok", 50.0), ("d", "evidence_coverage"): ("ok", 66.7), ("d", "disclosure_quality"): ("ok", 100.0), ("e", "verification_score"): ("unassessed", None), ("e", "evidence_coverage"): ("ok", 0.0), ("e", "disclosure_quality"): ("ok", 0.0)}
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    scores = C.score(r, ["doc_id"]).withColumn("score", F.lit(12.5))
+    assert {x.value for x in dashboards.record_panels(r, scores).filter("doc_id = 'd' and panel = 'verification_score'").collect()} == {12.5}
