@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.operators import asof, compare, runs
 from proofgrid.operators import facts as X
+from proofgrid.plans import reports
 from proofgrid.sources import buckets, folders
 from proofgrid.sources import filings as S
 
@@ -146,3 +147,8 @@ def test_runs_meet_brute_force_over_many_ranges(spark):
     got = {(x.s, x.i): (x.way, x.run) for x in r.collect()}
     assert got == want
     assert {x.s: (x.way, x.run) for x in runs.trailing(r, ["s"], ["i"], "v").collect()}["up"] == ("up", 39_999)
+
+
+def test_accessions_of_large_event_ids_are_good(spark, tmp_path):
+    spark.createDataFrame([(i, 7, "click", datetime(2024, 1, 1)) for i in (1_000_001, 12_345_678, 1_000_000)], "event_id long, user_id long, event_type string, ts timestamp").withColumn("value", F.lit(1.0)).write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r.entity, r.bad_accession) for r in reports.timeline_integrity(spark, str(tmp_path)).collect()] == [(7, 1)]
