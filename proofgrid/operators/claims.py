@@ -6,6 +6,8 @@ eps_variant, context, evidence columns. Verification is one projection without a
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,9 +182,30 @@ def pipeline_status(fetched: Column, available: Column, degraded: Column, n_clai
     return F.when(~fetched, "fetch_failed").when(~available, "extraction_unavailable").when(degraded, "silent_degradation").when(n_claims == 0, "extraction_empty").when(n_checkable == 0, "vacuous_no_checkable").otherwise("ok")
 
 
+def whole(x: Column) -> Column:
+    """A whole number with all the digits of its exact value; from 2**125 on those after the 17th are zeros, and so is what Java prints from 2**53 on."""
+    low = x % float(2**62)
+    high = ((x - low) / float(2**62)).cast("long").cast("decimal(19,0)") * F.lit(Decimal(2**62)).cast("decimal(19,0)")
+    size = F.abs(x)
+    return F.when(size < float(2**53), F.format_string("%.0f", x)).when(size < float(2**63), x.cast("long").cast("string")).when(size < float(2**125), (high + low.cast("long").cast("decimal(19,0)")).cast("string")).otherwise(F.format_string("%.0f", x))
+
+
+def six_digits(x: Column) -> Column:
+    """A number to six digits, rounded from its exact value: Java rounds what it prints, so a number that it prints as a half needs a look at what is left of it."""
+    size = F.abs(x)
+    places = F.when(size.between(1e-5, 1e6), F.lit(6) - F.floor(F.log10(size)).cast("int"))
+    power = F.get(F.array(*[F.lit(10.0**k) for k in range(12)]), places)
+    seven = F.round(size * power)
+    high = size * 134217729.0 - (size * 134217729.0 - size)  # half of the bits, so that products with the power are exact
+    left = (high * power - seven) + (size - high) * power
+    down = (seven % 10 == 5) & (seven / power == size) & ((left < 0) | ((left == 0) & (F.floor(seven / 10) % 2 == 0)))
+    near = F.when(F.coalesce(down, F.lit(False)), x * (1 - 1e-12)).otherwise(x)
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", near), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+
 def shown(x: Column) -> Column:
     """A number as records show it: whole ones without places, others to six digits; empty for null."""
-    return F.when(x.isNull(), "").when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
+    return F.when(x.isNull(), "").when(x % 1 == 0, whole(x)).otherwise(six_digits(x))
 
 
 def citation(o: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 
 import pytest
@@ -469,3 +470,12 @@ def test_panels_score_in_one_aggregation(spark, tmp_path):
     assert p._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     scores = C.score(r, ["doc_id"]).withColumn("score", F.lit(12.5))
     assert {x.value for x in dashboards.record_panels(r, scores).filter("doc_id = 'd' and panel = 'verification_score'").collect()} == {12.5}
+
+
+def test_numbers_are_shown_by_their_exact_value(spark):
+    rng = random.Random(5)
+    xs = [2868067650821229568.0, -2.0**62 - 2.0**11, 12345678901234567890123.0, -1.5e37, 1e19, 2.0**63, 0.0, -0.0, 12345.25, 12345.75, 100012.5, 1.000005, 0.1234565, -0.0001234565, 1234567.5, 0.5, float("nan"), float("inf")]
+    xs += [rng.randrange(10**6, 10**7) / 10 ** rng.randrange(1, 11) for _ in range(2000)] + [(rng.randrange(10**5, 10**6) * 10 + 5) / 10 ** rng.randrange(1, 11) for _ in range(4000)] + [float(rng.randrange(2**100)) for _ in range(100)]
+    got = [r.s for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", C.shown(F.col("x")).alias("s")).orderBy("i").collect()]
+    want = ["NaN" if x != x else "Infinity" if x == float("inf") else f"{x:.0f}" if x % 1 == 0 else f"{x:g}" for x in xs]
+    assert [(x, g, w) for x, g, w in zip(xs, got, want, strict=True) if g != w] == []
