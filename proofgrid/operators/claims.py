@@ -96,11 +96,13 @@ def weight(status: Column) -> Column:
 def score(verdicts: DataFrame, keys: list[str], downstream: str | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """One row a document: the aggregates of also by name, counts, total_checkable, flat and weighted score in percent to one place. With nothing to check the score is not available, 0 and not 100."""
     w = weight(F.col("status"))
+    tenths = F.round(w * 10).cast("long")  # whole numbers add up to the same in any order, so a score that lies between two places goes to the even one
     reach = 1 + F.log1p(F.coalesce(F.col(downstream), F.lit(0)).cast("double")) if downstream else F.lit(1.0)
     use = F.when(w.isNotNull(), reach)
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)]
-    out = verdicts.groupBy(*keys).agg(*counts, F.count(w).alias("total_checkable"), F.avg(w).alias("__flat"), F.try_divide(F.sum(w * use), F.sum(use)).alias("__weighted"), *[c.alias(name) for name, c in (also or {}).items()])
-    return out.select(*keys, *(also or {}), *[f"n_{s.lower()}" for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)], "total_checkable", (F.col("total_checkable") > 0).alias("score_available"), F.bround(F.coalesce("__flat", F.lit(0.0)) * 100, 1).alias("unweighted_score"), F.bround(F.coalesce("__weighted", F.lit(0.0)) * 100, 1).alias("score"))
+    percent = lambda points, of: F.try_divide(F.sum(points) * 10.0, of)
+    out = verdicts.groupBy(*keys).agg(*counts, F.count(w).alias("total_checkable"), percent(tenths, F.count(w)).alias("__flat"), percent(tenths * use, F.sum(use)).alias("__weighted"), *[c.alias(name) for name, c in (also or {}).items()])
+    return out.select(*keys, *(also or {}), *[f"n_{s.lower()}" for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)], "total_checkable", (F.col("total_checkable") > 0).alias("score_available"), F.bround(F.coalesce("__flat", F.lit(0.0)), 1).alias("unweighted_score"), F.bround(F.coalesce("__weighted", F.lit(0.0)), 1).alias("score"))
 
 
 def adjudicated(prose: DataFrame, tagged: DataFrame) -> DataFrame:

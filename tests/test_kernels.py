@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -472,6 +473,15 @@ def test_panels_score_in_one_aggregation(spark, tmp_path):
     assert {x.value for x in dashboards.record_panels(r, scores).filter("doc_id = 'd' and panel = 'verification_score'").collect()} == {12.5}
 
 
+def test_a_score_between_two_places_is_even_in_any_order(spark):
+    status = {1.0: "VERIFIED", 0.4: "UNSUPPORTED_NUMBER", 0.0: "WRONG_MATH"}
+    weights = {"a": [1.0] * 9 + [0.4] * 4 + [0.0] * 3, "b": [0.4] * 24 + [1.0] + [0.0] * 7, "c": [0.4] * 1 + [1.0] * 11 + [0.0] * 4, "d": [0.4] * 7 + [1.0] * 5 + [0.0] * 4}
+    rows = [(f"{d}{turn}", status[w]) for d, ws in weights.items() for turn, order in enumerate((ws, ws[::-1], sorted(ws), ws[5:] + ws[:5])) for w in order]
+    got = {r.doc_id: (r.score, r.unweighted_score) for r in C.score(spark.createDataFrame(rows, "doc_id string, status string").coalesce(1), ["doc_id"]).collect()}
+    want = {d: float((Decimal(sum(int(w * 10) for w in ws) * 10) / len(ws)).quantize(Decimal("0.1"), ROUND_HALF_EVEN)) for d, ws in weights.items()}
+    assert got == {k: (want[k[0]],) * 2 for k in got} and len(got) == 16 and want["a"] == 66.2
+
+
 def test_numbers_are_shown_by_their_exact_value(spark):
     rng = random.Random(5)
     xs = [2868067650821229568.0, -2.0**62 - 2.0**11, 12345678901234567890123.0, -1.5e37, 1e19, 2.0**63, 0.0, -0.0, 12345.25, 12345.75, 100012.5, 1.000005, 0.1234565, -0.0001234565, 1234567.5, 0.5, float("nan"), float("inf")]
