@@ -152,3 +152,7 @@ def test_runs_meet_brute_force_over_many_ranges(spark):
 def test_accessions_of_large_event_ids_are_good(spark, tmp_path):
     spark.createDataFrame([(i, 7, "click", datetime(2024, 1, 1)) for i in (1_000_001, 12_345_678, 1_000_000)], "event_id long, user_id long, event_type string, ts timestamp").withColumn("value", F.lit(1.0)).write.parquet(f"{tmp_path}/events.parquet")
     assert [(r.entity, r.bad_accession) for r in reports.timeline_integrity(spark, str(tmp_path)).collect()] == [(7, 1)]
+
+
+def test_texts_of_few_bytes_are_spread_over_tasks(spark, sf_dir):
+    assert reports.statement_slice(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
