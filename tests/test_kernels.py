@@ -489,3 +489,21 @@ def test_numbers_are_shown_by_their_exact_value(spark):
     got = [r.s for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", C.shown(F.col("x")).alias("s")).orderBy("i").collect()]
     want = ["NaN" if x != x else "Infinity" if x == float("inf") else f"{x:.0f}" if x % 1 == 0 else f"{x:g}" for x in xs]
     assert [(x, g, w) for x, g, w in zip(xs, got, want, strict=True) if g != w] == []
+
+
+def test_html_is_passed_over_only_for_what_it_has(spark):
+    texts = ["a &amp; b\t\u00a0 c\u00a0d  e f &#65; &zz; x", " <p>no\n \n\n\n\n entity</p>\t", "plain  words", "", None, "&nbsp;&lt;\n&gt; ", "a\u00a0", "A&", "\n"]
+
+    def brute(x):
+        x = x or ""
+        for tag in ("script", "style"):
+            x = re.sub(rf"(?is)<{tag}.*?</{tag}>", " ", x)
+        x = re.sub(r"<[^>]+>", " ", x)
+        for entity, char in T.ENTITIES:
+            x = x.replace(entity, char)
+        x = re.sub(r"&[a-zA-Z]+;", " ", re.sub(r"&#x?[0-9a-fA-F]+;", " ", x))
+        x = re.sub(r"[ \t\u00a0]+", " ", x)
+        return re.sub(r"(?a)^\s+|\s+$", "", re.sub(r"\n{3,}", "\n\n", re.sub(r"(?a)\s*\n\s*", "\n", x)))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.strip_html(F.col("t")).alias("s")).orderBy("i")
+    assert [r.s for r in df.collect()] == [brute(t) for t in texts]
