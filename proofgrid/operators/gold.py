@@ -62,9 +62,9 @@ def score() -> Column:
 
 def candidates(p: DataFrame, g: DataFrame) -> DataFrame:
     """(doc_id, pred, gold, score) of the pairs (of sides()) that share a word, or a stated value (or its absence) near enough. Each of these is an equi-join, the
-    value by bins as wide as the tolerance with both neighbours. Pairs that share no more than the operation are not made: matches() counts them off."""
+    value by bins: steps a little longer than the tolerance, and shorter than a bin, so that none between is passed over. Pairs that share no more than the operation are not made: matches() counts them off."""
     bin_of = lambda c: F.when(F.abs(c) < 5, F.floor(c / 0.1).cast("double")).otherwise(F.signum(c) * (1000 + F.floor(F.log(F.abs(c)) / 0.02)))
-    near = lambda c: F.explode(F.array_distinct(F.array(*[bin_of(c * (1 + d) + e) for d in (-0.02, 0.0, 0.02) for e in (-0.06, 0.0, 0.06)])))
+    near = lambda c: F.explode(F.array_distinct(F.array(*[bin_of(c * (1 + d) + e) for d in (-0.0102, 0.0, 0.0102) for e in (-0.051, 0.0, 0.051)])))
     ways = (
         p.select("doc_id", "pred", F.explode("pred_words").alias("k")).join(g.select("doc_id", "gold", F.explode("gold_words").alias("k")), ["doc_id", "k"]),
         p.filter("pred_stated is not null").select("doc_id", "pred", near(F.col("pred_stated")).alias("k")).join(g.filter("gold_stated is not null").select("doc_id", "gold", bin_of(F.col("gold_stated")).alias("k")), ["doc_id", "k"]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict, deque
 
@@ -115,3 +116,12 @@ def test_pairs_of_one_operation_pair_off_without_being_made(spark):
     rows = gold.matches(p, g).collect()
     assert sorted((r.pred, r.gold) for r in rows if r.gold is not None) == [(k + 100, k) for k in range(700)] and sorted(r.pred for r in rows if r.gold is None) == list(range(100))
     assert gold.candidates(gold.sides(p, "pred"), gold.sides(g, "gold")).isEmpty()
+
+
+def test_near_values_meet_at_the_edge_of_a_bin(spark):
+    """Values within the tolerance and without a common word, where the first lies just over the start of a bin: the bin below was passed over."""
+    at = [(-1) ** k * math.exp(0.02 * k + 0.0001) for k in range(300, 900)] + [0.1 * k + 0.001 for k in range(-60, 60)]
+    p = spark.createDataFrame([(i, 1, "left", v, "sum") for i, v in enumerate(at)], "doc_id int, ord long, claim_text string, stated_value double, operation string")
+    for share in (-0.0099, -0.005, 0.0099):
+        g = p.selectExpr("doc_id", "ord", "'right' as claim_text", f"stated_value + if(abs(stated_value) < 5, 5 * {share}, stated_value * {share}) as stated_value", "'ratio' as operation")
+        assert {r.score for r in gold.matches(p, g).collect()} == {1.0}
