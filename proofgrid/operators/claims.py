@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid.functions import kernels as K
@@ -93,16 +93,24 @@ def weight(status: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), status)
 
 
-def score(verdicts: DataFrame, keys: list[str], downstream: str | None = None, also: dict[str, Column] | None = None) -> DataFrame:
-    """One row a document: the aggregates of also by name, counts, total_checkable, flat and weighted score in percent to one place. With nothing to check the score is not available, 0 and not 100."""
+def score(verdicts: DataFrame, keys: list[str], downstream: str | None = None, also: dict[str, Column] | None = None, order: str | None = None) -> DataFrame:
+    """One row a document: the aggregates of also by name, counts, total_checkable, flat and weighted score in percent to one place. With nothing to check the score is not available, 0 and not 100.
+    order: add the weights up as doubles one after the other by this column, as a loop over the claims does; this too gives the same score in each run, and that of the loop where it lies between two places."""
     w = weight(F.col("status"))
     tenths = F.round(w * 10).cast("long")  # whole numbers add up to the same in any order, so a score that lies between two places goes to the even one
     reach = 1 + F.log1p(F.coalesce(F.col(downstream), F.lit(0)).cast("double")) if downstream else F.lit(1.0)
     use = F.when(w.isNotNull(), reach)
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)]
     percent = lambda points, of: F.try_divide(F.sum(points) * 10.0, of)
-    out = verdicts.groupBy(*keys).agg(*counts, F.count(w).alias("total_checkable"), percent(tenths, F.count(w)).alias("__flat"), percent(tenths * use, F.sum(use)).alias("__weighted"), *[c.alias(name) for name, c in (also or {}).items()])
-    return out.select(*keys, *(also or {}), *[f"n_{s.lower()}" for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)], "total_checkable", (F.col("total_checkable") > 0).alias("score_available"), F.bround(F.coalesce("__flat", F.lit(0.0)), 1).alias("unweighted_score"), F.bround(F.coalesce("__weighted", F.lit(0.0)), 1).alias("score"))
+    flat, weighted, place = percent(tenths, F.count(w)), percent(tenths * use, F.sum(use)), lambda x: F.bround(x, 1)
+    if order:
+        up = Window.partitionBy(*keys).orderBy(order)
+        so_far = lambda x: F.sum(x).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        verdicts = verdicts.withColumns({"__n": F.row_number().over(up), "__w": so_far(w), "__wt": so_far(w * use), "__t": so_far(use)})
+        last = lambda x: F.max_by(x, "__n")
+        flat, weighted, place = F.try_divide(last("__w"), F.count(w)) * 100, F.try_divide(last("__wt"), last("__t")) * 100, lambda x: F.rint(x * 10) / 10
+    out = verdicts.groupBy(*keys).agg(*counts, F.count(w).alias("total_checkable"), flat.alias("__flat"), weighted.alias("__weighted"), *[c.alias(name) for name, c in (also or {}).items()])
+    return out.select(*keys, *(also or {}), *[f"n_{s.lower()}" for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)], "total_checkable", (F.col("total_checkable") > 0).alias("score_available"), place(F.coalesce("__flat", F.lit(0.0))).alias("unweighted_score"), place(F.coalesce("__weighted", F.lit(0.0))).alias("score"))
 
 
 def adjudicated(prose: DataFrame, tagged: DataFrame) -> DataFrame:

@@ -297,7 +297,7 @@ def propagate_errors(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, count(w)::BIGINT AS total_checkable, round_even(coalesce(sum(w * t) / sum(CASE WHEN w IS NOT NULL THEN t END), 0) * 100, 1) AS score, round_even(coalesce(avg(w), 0) * 100, 1) AS unweighted_score FROM w GROUP BY 1""")
 def score_weighted(spark: SparkSession, sf: str) -> DataFrame:
     v, e = A.tree(spark, sf)
-    s = C.score(v.join(graph.downstream(e).withColumnRenamed("n", "downstream"), ["doc_id", "node"], "left"), ["doc_id"], "downstream")
+    s = C.score(v.join(graph.downstream(e).withColumnRenamed("n", "downstream"), ["doc_id", "node"], "left"), ["doc_id"], "downstream", order="ord")
     return s.select("doc_id", "total_checkable", "score", "unweighted_score")
 
 

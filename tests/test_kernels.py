@@ -285,6 +285,28 @@ def test_graphs_with_cycles_raise_and_new_edges_close_none(spark):
         graph.assert_acyclic(spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 9, 1), (2, 1, 2)], "doc_id int, src int, dst int"))
 
 
+def test_score_adds_up_in_order_where_told(spark):
+    """Nine of weight 1 and four of 0.4 among 16 are 66.25: in which order they are added decides where that goes."""
+    import random
+
+    rng, weight = random.Random(5), {"VERIFIED": 1.0, "UNSUPPORTED_NUMBER": 0.4, "WRONG_MATH": 0.0}
+    docs = [rng.sample(["VERIFIED"] * 9 + ["UNSUPPORTED_NUMBER"] * 4 + ["WRONG_MATH"] * 3, 16) for _ in range(40)]
+
+    def flat(statuses):
+        total = 0.0
+        for s in statuses:
+            total += weight[s]
+        return round(total / 16 * 100 * 10) / 10
+
+    want = {i: flat(d) for i, d in enumerate(docs)}
+    assert len(set(want.values())) == 2
+    rows = [(i, n, s) for i, d in enumerate(docs) for n, s in enumerate(d)]
+    rng.shuffle(rows)
+    got = C.score(spark.createDataFrame(rows, "doc_id int, ord int, status string"), ["doc_id"], order="ord").collect()
+    assert {r.doc_id: r.unweighted_score for r in got} == {r.doc_id: r.score for r in got} == want
+
+
+
 def test_gold_matches_brute_force(spark):
     import random
     import re
