@@ -5,8 +5,8 @@ at once; one that all have keeps its hash (from CONSTANT_PAGES different pages o
 groups. The streams of a host are aligned with each other: what both have stays, what one lacks becomes optional, a
 single and a repeated group become a repeated one. A hashed text that the alignment leaves in place is constant, one that it
 makes optional is a slot. Streams are counted with partial aggregation first, so a hot host costs no more than its different
-streams, which merge in rounds of groups of about MERGED, each round written. Stretches without a common part that are too long to
-align become optional groups of each of their tokens, so a wrapper does not grow with its pages. Wrapper and region are joined to
+streams, which merge in rounds of groups of about MERGED, each round written. Stretches without a common part
+become optional groups of each of their tokens, whatever their length, so a wrapper does not grow with its pages. Wrapper and region are joined to
 the pages, and each page's text is read from the slots in the region.
 
 The main text is the region (`article`, else `main`, else the smallest element whose whole subtree holds four fifths of
@@ -28,9 +28,9 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Container, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -78,8 +78,10 @@ ENDS = (
 )
 
 
-#: Streams merged at once, about; the product of the lengths of stretches that are aligned token by token.
-MERGED, ALIGNED = 8, 250_000
+#: Streams merged at once, about.
+MERGED = 8
+#: A text in a token stream.
+HASHED = re.compile("#[0-9a-f]{16}")
 #: A text in all of at least so many different pages of a host can be the host's; with fewer, copies look the same.
 CONSTANT_PAGES = 5
 
@@ -309,8 +311,40 @@ def fold(tokens: list[str], longest: int = 8) -> list[str]:
     return tokens
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal tokens, rising in both: the n-th of a token in one is paired with the n-th in the other, and of these pairs the longest rising run stays; then the same
+    between its neighbours, until nothing there is in both. Texts go before tags, which are many and alike. Each pass takes n log n steps, whatever the tokens are."""
+    found: list[tuple[int, int]] = []
+    gaps = [(0, len(a), 0, len(b), True)]
+    while gaps:
+        i, m, j, n, texts = gaps.pop()
+        at: dict[str, list[int]] = {}
+        for y in range(n - 1, j - 1, -1):
+            if not texts or HASHED.search(b[y]):
+                at.setdefault(b[y], []).append(y)
+        pairs = [(x, at[a[x]].pop()) for x in range(i, m) if at.get(a[x])]
+        ends: list[int] = []
+        last, before = [], [-1] * len(pairs)  # the pair that ends the best run of each length, and the one before each pair
+        for k, (_, y) in enumerate(pairs):
+            r = bisect_left(ends, y)
+            before[k] = last[r - 1] if r else -1
+            ends[r : r + 1], last[r : r + 1] = [y], [k]
+        run, k = [], last[-1] if last else -1
+        while k >= 0:
+            run.append(pairs[k])
+            k = before[k]
+        run.reverse()
+        found += run
+        if not run and texts:
+            gaps.append((i, m, j, n, False))
+        for (x, y), (u, v) in zip([(i - 1, j - 1), *run], [*run, (m, n)], strict=True):
+            if run and u - x > 1 and v - y > 1:
+                gaps.append((x + 1, u, y + 1, v, texts))
+    return sorted(found)
+
+
 def align(one: list[str], two: list[str]) -> list[str]:
-    """The least wrapper that both fit: mismatches become optional, x and (x)+ become (x)+."""
+    """A wrapper that both fit: tokens between what is in both become optional groups, each once, x and (x)+ become (x)+."""
 
     def bare(x: str) -> str:
         x = x.removesuffix("?")
@@ -328,14 +362,11 @@ def align(one: list[str], two: list[str]) -> list[str]:
 
     both(one[:head], two[:head])
     one, two, a, b, rest = one[head : len(one) - tail], two[head : len(two) - tail], a[head : len(a) - tail], b[head : len(b) - tail], (one[len(one) - tail :], two[len(two) - tail :])
-    if len(a) * len(b) > ALIGNED:
-        out += [f"({x})+?" for x in dict.fromkeys(a + b)]
-    else:
-        for op, i, j, k, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if op == "equal":
-                both(one[i:j], two[k:n])
-            else:
-                out += [x.removesuffix("?") + "?" for x in one[i:j] + two[k:n]]
+    i = j = 0
+    for x, y in [*common(a, b), (len(a), len(b))]:
+        out += [f"({t})+?" for t in dict.fromkeys(a[i:x] + b[j:y])]
+        both(one[x : x + 1], two[y : y + 1])
+        i, j = x + 1, y + 1
     both(*rest)
     return out
 

@@ -8,6 +8,7 @@ import html as entities
 import random
 import re
 import struct
+import time
 import zlib
 from html.parser import HTMLParser
 from pathlib import Path
@@ -527,6 +528,19 @@ def test_wrapper_groups():
     assert any(t.endswith("?") for t in extraction.align(one, two))
 
 
+@pytest.mark.parametrize("length", [3, 3000])
+def test_wrapper_keeps_what_pages_share_whatever_their_length(length):
+    """A text, and an element, that both have between middles of their own stay; the middles become optional, each token once."""
+    shared = f"#{'ab' * 8}"
+    page = lambda tag: ["article", *[x for i in range(length) for x in (tag, f"#{len(tag):04x}{i:012x}", f"/{tag}")], "aside", shared, "/aside", *[f"{tag}{i}" for i in range(length)], "/article"]
+    start = time.monotonic()
+    wrapper = extraction.align(page("p"), page("li"))
+    assert extraction.constants(wrapper) == [int("ab" * 8, 16) - 2**64] and [t for t in wrapper if not t.endswith("?")] == ["article", "aside", shared, "/aside", "/article"]
+    rng = random.Random(3)
+    one, two = ([rng.choice(["p", "/p", "b", "#"]) for _ in range(8 * length)] for _ in "ab")
+    assert len(extraction.align(one, two)) >= length and time.monotonic() - start < 20
+
+
 def test_warc_edges(spark, edge):
     pages = pq.read_table(f"{edge}/pages.parquet").to_pylist()
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
