@@ -36,15 +36,17 @@ def field_tags(spark: SparkSession) -> DataFrame:
 
 def pivoted(facts: DataFrame, form: str = "10-K", pins: DataFrame | None = None) -> DataFrame:
     """One row an entity: period_end, the twelve fields and tags_used. Every field is of the period that the entity's latest Assets of the form end, or
-    that pins (entity, end; one row an entity) name; nothing is taken from another period, and a fact without an end takes no part. Facts are read once: the best fact of each
-    field and end, aggregated before the shuffle, then the period by entity over what is left."""
+    that pins (entity, end; one row an entity) name; nothing is taken from another period, and a fact without an end takes no part. Facts are read and shuffled once, by entity
+    over all shuffle partitions: by number, as Spark would join partitions by their compressed bytes, and these are sorted whole. Facts of no field only say that the entity is
+    there, and go without their values."""
     own = facts.filter((F.col("form") == form) & F.col("val").isNotNull()).join(field_tags(facts.sparkSession), ["tag", "unit"], "left")
     fits, prefer = chosen_span(form)
     usable = F.col("field").isNotNull() & F.col("end").isNotNull() & (~F.col("duration") | fits)
-    # Facts of no field are one row an entity before the shuffle; they only say that it is there.
-    only = lambda c: F.when(usable, F.col(c)).alias(c)
-    best = F.max_by(F.struct("tag", "val"), F.struct(-F.col("tag_rank"), prefer, F.col("filed"), -F.col("pos"))).alias("p")
-    ends = own.withColumns({c: only(c) for c in ("field", "end")}).groupBy("entity", "field", "end").agg(best)
+    only = lambda c: F.when(usable, c)
+    rank = F.struct((-F.col("tag_rank")).alias("rank"), prefer.alias("prefer"), "filed", (-F.col("pos")).alias("pos"))
+    own = own.select("entity", only(F.col("field")).alias("field"), only(F.col("end")).alias("end"), only(F.struct("tag", "val")).alias("p"), only(rank).alias("rank"))
+    own = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+    ends = own.groupBy("entity", "field", "end").agg(F.max_by("p", "rank").alias("p"))
     pin = F.max(F.when(F.col("field") == "assets", F.col("end"))).over(Window.partitionBy("entity"))
     x = ends.withColumn("period_end", pin) if pins is None else ends.join(pins.select("entity", F.col("end").alias("period_end")), "entity", "left")
     here = F.col("end") == F.col("period_end")

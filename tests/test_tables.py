@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.operators import asof, compare, runs
 from proofgrid.operators import facts as X
+from proofgrid.plans import queries as plans
 from proofgrid.plans import reports
 from proofgrid.sources import buckets, folders
 from proofgrid.sources import filings as S
@@ -156,3 +157,14 @@ def test_accessions_of_large_event_ids_are_good(spark, tmp_path):
 
 def test_texts_of_few_bytes_are_spread_over_tasks(spark, sf_dir):
     assert reports.statement_slice(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["fact_pivot", "pinned_run", "cell_lookup"])
+def test_rows_stay_dealt_over_all_shuffle_partitions(spark, sf_dir, name):
+    """However few bytes they take: no aggregation sorts more than a partition's share."""
+    df = plans.QUERIES[name](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "REPARTITION_BY_NUM" in final
+    assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
