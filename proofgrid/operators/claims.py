@@ -6,10 +6,13 @@ eps_variant, context, evidence columns. Verification is one projection without a
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from proofgrid.functions import kernels as K
 
@@ -93,12 +96,20 @@ def weight(status: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), status)
 
 
+@F.pandas_udf(DoubleType())
+def logarithm(x: pd.Series) -> pd.Series:
+    """As the C library and so the original has it. Spark's log and log1p are Java's, which differ in the last bit, at 3 already; that decides scores which lie between two places."""
+    return x.map(math.log)
+
+
 def score(verdicts: DataFrame, keys: list[str], downstream: str | None = None, also: dict[str, Column] | None = None, order: str | None = None) -> DataFrame:
     """One row a document: the aggregates of also by name, counts, total_checkable, flat and weighted score in percent to one place. With nothing to check the score is not available, 0 and not 100.
     order: add the weights up as doubles one after the other by this column, as a loop over the claims does; this too gives the same score in each run, and that of the loop where it lies between two places."""
     w = weight(F.col("status"))
     tenths = F.round(w * 10).cast("long")  # whole numbers add up to the same in any order, so a score that lies between two places goes to the even one
-    reach = 1 + F.log1p(F.coalesce(F.col(downstream), F.lit(0)).cast("double")) if downstream else F.lit(1.0)
+    if downstream:
+        verdicts = verdicts.withColumn("__reach", 1 + logarithm(1 + F.coalesce(F.col(downstream), F.lit(0)).cast("double")))
+    reach = F.col("__reach") if downstream else F.lit(1.0)
     use = F.when(w.isNotNull(), reach)
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in (*WEIGHTS, K.UNCHECKED, K.REVIEW, K.INSUFFICIENT, K.PROPAGATED)]
     percent = lambda points, of: F.try_divide(F.sum(points) * 10.0, of)
