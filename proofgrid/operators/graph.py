@@ -6,6 +6,8 @@ cut by a checkpoint in the shared folder, so lineage stays short and a lost exec
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,23 +146,27 @@ def without_cycles(new: DataFrame, given: DataFrame | None = None) -> DataFrame:
         return free
     ranked = tied.join(new.select(*own, "rank"), own, "left").select(*own, "rank")
 
-    def decide(g: pd.DataFrame) -> pd.DataFrame:
-        after: dict[object, set] = {}
-        taken = []
-        for r in g.sort_values(["rank", "src", "dst"], na_position="first").itertuples():
-            stack, seen = [r.dst], set()
-            while stack and r.src not in seen:
-                at = stack.pop()
-                if at not in seen:
-                    seen.add(at)
-                    stack += after.get(at, ())
-            if pd.isna(r.rank) or r.src not in seen:
-                after.setdefault(r.src, set()).add(r.dst)
-                if not pd.isna(r.rank):
-                    taken.append((r.doc_id, r.src, r.dst))
-        return pd.DataFrame(taken, columns=own)
-
-    return free.unionByName(ranked.groupBy("doc_id").applyInPandas(decide, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.select(*own).schema)))
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, after = None, {}
+        for f in frames:
+            taken = []
+            for d, src, dst, given_ in zip(f["doc_id"].array, f["src"].array, f["dst"].array, f["given"].array, strict=True):
+                if d != doc:
+                    doc, after = d, {}
+                stack, seen = [] if given_ else [dst], set()
+                while stack and src not in seen:
+                    at = stack.pop()
+                    if at not in seen:
+                        seen.add(at)
+                        stack += after.get(at, ())
+                if src not in seen:
+                    after.setdefault(src, []).append(dst)
+                taken.append(not given_ and src not in seen)
+            yield f.loc[taken, own]
+
+    # many documents a task, one after the other; a group for each would cost a frame each
+    inorder = reach.dealt(ranked).sortWithinPartitions("doc_id", F.col("rank").asc_nulls_first(), "src", "dst").select(*own, F.col("rank").isNull().alias("given"))
+    return free.unionByName(inorder.mapInPandas(decide, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.select(*own).schema)))
 
 
 def downstream(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ PLACES = np.arange(BLOCK, dtype=np.uint64)
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Products of squares of bits: row r of the result is the union of the rows of b whose bits row r of a has."""
     out = np.zeros_like(a)
-    for c in range(BLOCK):
+    for c in range(a.shape[1]):
         out |= (np.uint64(0) - (a >> np.uint64(c) & ONE)) & b[:, c : c + 1]
     return out
 
@@ -31,7 +31,7 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def nearer(a: np.ndarray, dist: np.ndarray, root: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest (dist + step, root) among the columns whose bits each row of a has; FAR where there is none."""
     d, o = np.full(a.shape, FAR, np.int64), np.full(a.shape, FAR, np.int64)
-    for c in range(BLOCK):
+    for c in range(a.shape[1]):
         has = (a >> np.uint64(c) & ONE).astype(bool)
         if not has.any():
             continue
@@ -68,7 +68,13 @@ def labels(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def columns_of(bits: np.ndarray) -> np.ndarray:
     """How many rows have each column's bit."""
-    return np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").reshape(len(bits), BLOCK, BLOCK).sum(axis=1, dtype=np.int64)
+    return np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").reshape(len(bits), -1, BLOCK).sum(axis=1, dtype=np.int64)
+
+
+def used(e: np.ndarray) -> int:
+    """How many numbers the squares go up to, of both rows and columns."""
+    rows = np.flatnonzero(e.any(axis=0))
+    return max(int(np.bitwise_or.reduce(e, axis=None)).bit_length(), int(rows[-1]) + 1 if len(rows) else 0, 1)
 
 
 def numbering(edges: DataFrame, *order: str, nodes: DataFrame | None = None) -> DataFrame:
@@ -100,6 +106,11 @@ def typed(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of few bytes that much work is made of, by document over all shuffle partitions: Spark joins others by their bytes, to one task of bits at most sizes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 OUT = "idx long, n long, cyclic boolean, dist long, root_ord long"
 
 
@@ -111,20 +122,23 @@ def within_blocks(blocks: DataFrame, at: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             e = squares(b.column("rows"))
-            d, o = labels(b.column("start"))
-            all_, k = np.zeros_like(e), 1
-            while e.any() and k <= BLOCK:
-                d, o = closer(d, o, *nearer(e, d, o, k))
+            m = used(e)  # most documents have few claims: only so many rows and columns are looked at
+            e = np.ascontiguousarray(e[:, :m])
+            d, o = (np.ascontiguousarray(x[:, :m]) for x in labels(b.column("start")))
+            all_, k, sources = np.zeros_like(e), 1, (d < FAR).any()
+            while e.any() and k <= m:
+                if sources:
+                    d, o = closer(d, o, *nearer(e, d, o, k))
                 all_ |= e | times(e, all_)
                 e, k = times(e, e), 2 * k
-            cyclic = (all_ >> PLACES[None, :] & ONE).astype(bool)
-            n = columns_of(all_) - cyclic
+            cyclic = (all_ >> PLACES[None, :m] & ONE).astype(bool)
+            n = columns_of(all_)[:, :m] - cyclic
             some = np.flatnonzero(((n > 0) | cyclic | (d < FAR)).ravel())
-            row, idx = some // BLOCK, some % BLOCK
+            row, idx = some // m, some % m
             dist, root = d.ravel()[some], o.ravel()[some]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(idx), pa.array(n.ravel()[some]), pa.array(cyclic.ravel()[some]), pa.array(dist, mask=dist >= FAR), pa.array(root, mask=dist >= FAR)], ["doc_id", "idx", "n", "cyclic", "dist", "root_ord"])
 
-    return blocks.select("doc_id", "rows").join(at, "doc_id", "left").mapInArrow(run, f"doc_id {typed(blocks)}, {OUT}")
+    return dealt(blocks.select("doc_id", "rows")).join(at, "doc_id", "left").mapInArrow(run, f"doc_id {typed(blocks)}, {OUT}")
 
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -249,7 +263,7 @@ def relabelled(edges: DataFrame, claims: DataFrame, cut) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(c), pa.array(n[row, c])], ["doc_id", "idx", "n"])
 
     kind = typed(blocks)
-    out = blocks.filter("not big").select("doc_id", "rows").join(lists, "doc_id").mapInArrow(run, f"doc_id {kind}, idx long, n long")
+    out = dealt(blocks.filter("not big").select("doc_id", "rows")).join(lists, "doc_id").mapInArrow(run, f"doc_id {kind}, idx long, n long")
     large = blocks.filter("big").drop("big")
     if not large.isEmpty():
         out = out.unionByName(levels(large, state.filter("big"), cut))
