@@ -99,7 +99,7 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
     """(doc_id, path) of each document with a cycle: the one that the smallest successors lead to from its smallest node on a cycle, from its own smallest node back to it.
     Pointers are doubled, so the rounds are the logarithm of the longest cycle: first every node learns where it is after more steps than there are nodes, and the
     smallest node of the cycle there; then the nodes of that cycle learn how far they are from it."""
-    succ = cut(on_cycles(edges).groupBy("doc_id", F.col("src").alias("node")).agg(F.min("dst").alias("next")))
+    succ = cut(on_cycles(cut(edges)).groupBy("doc_id", F.col("src").alias("node")).agg(F.min("dst").alias("next")))
     most = succ.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     jump, steps = succ.withColumn("low", F.least("node", "next")), 1
     while steps < most:
