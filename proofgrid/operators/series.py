@@ -70,16 +70,21 @@ def chosen_span(form: str) -> tuple[Column, Column]:
     return F.col("start").isNotNull() & (quarter if form == "10-Q" else year if form == "10-K" else year | quarter), -days if form == "10-Q" else days
 
 
-def select_fact(facts: DataFrame, tags: DataFrame, form: str = "10-K", pins: DataFrame | None = None) -> DataFrame:
-    """One fact of a form for each entity and field: the first tag and unit with candidates, then the pinned end or the latest, the longest span
+def select_facts(facts: DataFrame, tags: DataFrame, forms: tuple[str, ...], pins: DataFrame | None = None) -> DataFrame:
+    """One fact of each form for each entity and field: the first tag and unit with candidates, then the pinned end or the latest, the longest span
     (of a quarterly report the shortest), the last filed. Facts of other forms and units never take part; with pins (entity, end) an entity
-    has no fact of another end. tags: field, tag, tag_rank, unit, duration."""
-    fits, prefer = chosen_span(form)
-    c = facts.filter((F.col("form") == form) & F.col("val").isNotNull()).join(tags, ["tag", "unit"]).filter(~F.col("duration") | fits)
+    has no fact of another end. All forms are chosen in one pass. tags: field, tag, tag_rank, unit, duration."""
+    of_form = lambda i: F.coalesce(*[F.when(F.col("form") == f, chosen_span(f)[i]) for f in forms])
+    c = facts.filter(F.col("form").isin(*forms) & F.col("val").isNotNull()).join(tags, ["tag", "unit"]).filter(~F.col("duration") | of_form(0))
     if pins is not None:
         c = c.join(pins.select("entity", F.col("end").alias("__pin")), "entity").filter("end = __pin").drop("__pin")
-    best = F.max_by(F.struct("tag", "tag_rank", "end", "val", "filed", "fy", "fp"), F.struct(-F.col("tag_rank"), F.col("end"), prefer, F.col("filed"), -F.col("pos"))).alias("p")
-    return c.groupBy("entity", "field").agg(best).select("entity", "field", "p.*")
+    best = F.max_by(F.struct("tag", "tag_rank", "end", "val", "filed", "fy", "fp"), F.struct(-F.col("tag_rank"), F.col("end"), of_form(1), F.col("filed"), -F.col("pos"))).alias("p")
+    return c.groupBy("entity", "field", "form").agg(best).select("form", "entity", "field", "p.*")
+
+
+def select_fact(facts: DataFrame, tags: DataFrame, form: str = "10-K", pins: DataFrame | None = None) -> DataFrame:
+    """The facts that select_facts chooses of one form."""
+    return select_facts(facts, tags, (form,), pins).drop("form")
 
 
 def year_on_year(points: DataFrame, *keys: str) -> DataFrame:

@@ -253,8 +253,7 @@ c AS (SELECT *, row_number() OVER (PARTITION BY want, entity, field ORDER BY tag
 SELECT want AS form, entity, field, tag, end_d AS "end", val, filed FROM c WHERE rn = 1""")
 def fact_selection(spark: SparkSession, sf: str) -> DataFrame:
     t = F.broadcast(spark.createDataFrame([("revenue", "Revenues", 0, "USD", True), ("revenue", "SalesRevenueNet", 1, "USD", True), ("assets", "Assets", 0, "USD", False)], "field string, tag string, tag_rank int, unit string, duration boolean"))
-    one = lambda form: series.select_fact(A.facts(spark, sf), t, form).select(F.lit(form).alias("form"), "entity", "field", "tag", "end", "val", "filed")
-    return one("10-K").unionByName(one("10-Q"))
+    return series.select_facts(A.facts(spark, sf), t, ("10-K", "10-Q")).select("form", "entity", "field", "tag", "end", "val", "filed")
 
 
 @query("trend_controls", f"""WITH {A.FACTS}, {TAG_ROWS}, s AS (SELECT *, row_number() OVER (PARTITION BY entity, tag ORDER BY end_d DESC) AS r FROM pts JOIN t USING (tag) WHERE unit = 'USD' AND form = '10-K'),
