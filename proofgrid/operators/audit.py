@@ -68,8 +68,9 @@ def verdicts(claims: DataFrame) -> DataFrame:
 
 
 def scored(results: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """Scores by document with the number of dropped elements and why (issues: doc_id, ok, reason). Results of conflicts count like others."""
-    s = C.score(results, ["doc_id"], "downstream")
+    """Scores by document with the number of dropped elements and why (issues: doc_id, ok, reason). Results of conflicts count like others. Weights are added up in the
+    order of the claims (ord), as the original does: that decides scores which lie between two places."""
+    s = C.score(results, ["doc_id"], "downstream", order="ord")
     if issues is None:
         return s
     lost = issues.filter(~F.col("ok") & (F.exists(F.array(*map(F.lit, DROPPED)), lambda p: F.startswith(F.col("reason"), p))))
@@ -105,7 +106,8 @@ def many(documents: DataFrame, summaries: DataFrame, statements: DataFrame, cell
     results = verdicts(C.with_evidence(joined(with_links(parsed.filter("ok"), sources), per.filter("ok"))))
     texts = documents.select("doc_id", "text")
     conflicts = graph.cut(compare.conflict_verdicts(compare.annotated(compare.conflicts(cells, rel), texts)))
-    every = results.select("doc_id", "status", "downstream").unionByName(conflicts.select(F.col("set_id").alias("doc_id"), "status", F.lit(0).cast("long").alias("downstream")))
+    last = F.lit(2**63 - 1).cast("long").alias("ord")  # conflicts come after all claims, and all weigh the same
+    every = results.select("doc_id", "ord", "status", "downstream").unionByName(conflicts.select(F.col("set_id").alias("doc_id"), last, "status", F.lit(0).cast("long").alias("downstream")))
     return results, conflicts, scored(every, parsed.unionByName(per))
 
 
