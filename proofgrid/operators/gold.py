@@ -16,6 +16,8 @@ ORDERED = ("percent_change", "absolute_change", "difference", "ratio", "margin_p
 LEAST = 0.15
 #: The score of a pair that has nothing but the operation in common. No share of words alone gives it.
 SAME_OPERATION = 0.3
+#: Documents of at most so many pairs are decided each in a row of its own; the others pair by pair, over all tasks.
+PAIRS = 100_000
 
 
 def equal(a: Column, b: Column, rel: float = 0.01, floor: float = 0.05) -> Column:
@@ -54,10 +56,13 @@ def sides(claims: DataFrame, name: str) -> DataFrame:
     return cut(x.select("doc_id", F.struct("ord", "copy").alias(name), words.alias(f"{name}_words"), F.col("stated_value").alias(f"{name}_stated"), F.col("operation").alias(f"{name}_op")))
 
 
+def worth(words: Column, pred_stated: Column, gold_stated: Column, pred_op: Column, gold_op: Column) -> Column:
+    """What a pair's words (their share), stated values and operations have in common."""
+    return 3 * words + equal(pred_stated, gold_stated).cast("double") + F.when(F.coalesce(pred_op == gold_op, F.lit(False)), 0.3).otherwise(0.0)
+
+
 def score() -> Column:
-    """What a pair's words, stated values and operations have in common."""
-    same_op = F.coalesce(F.col("pred_op") == F.col("gold_op"), F.lit(False))
-    return 3 * T.jaccard(F.col("pred_words"), F.col("gold_words")) + equal(F.col("pred_stated"), F.col("gold_stated")).cast("double") + F.when(same_op, 0.3).otherwise(0.0)
+    return worth(T.jaccard(F.col("pred_words"), F.col("gold_words")), *[F.col(c) for c in ("pred_stated", "gold_stated", "pred_op", "gold_op")])
 
 
 def candidates(p: DataFrame, g: DataFrame) -> DataFrame:
@@ -92,10 +97,8 @@ def assigned(pairs: DataFrame) -> DataFrame:
     return left if out is None else cut(out)
 
 
-def matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """(doc_id, pred, gold, score): one-to-one assignment within a document, the best score first, of equals the larger numbers first, and what is left over with a
-    null on the other side. Claims of a document that share a number are claims of their own, each with its row; of those the one with the larger text, value and
-    operation comes first. Steps go down the scores, and each sees only what those before have left: claims that agree in everything; pairs that share a word or a
+def wide_matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """matches() of documents of any size. Steps go down the scores, and each sees only what those before have left: claims that agree in everything; pairs that share a word or a
     value; pairs that share the operation alone, which all have one score and so pair off in order, without being made; pairs with few common words."""
     p, g = sides(pred, "pred"), sides(gold, "gold")
     found = None
@@ -118,6 +121,49 @@ def matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return both.unionByName(rest(g, "gold"), allowMissingColumns=True).unionByName(rest(p, "pred"), allowMissingColumns=True)
 
 
+def row_matches(claims: DataFrame) -> DataFrame:
+    """matches() of documents whose pairs fit in a row (claims of both sides, with gold: which side): claims go to their document once, and neither they nor pairs are written.
+    Claims are taken by their places in the order of number, text, value and operation, so claims that share a number are told apart."""
+    claim = F.struct("ord", "claim_text", "stated_value", "operation")
+    side = lambda gold: F.array_sort(F.collect_list(F.when(F.col("gold") == gold, claim)))
+    telling = lambda cs: F.transform(cs, lambda c: F.struct(c["ord"].alias("ord"), T.tokens(c["claim_text"], tuple(T.GOLD_STOPWORDS)).alias("words"), c["stated_value"].alias("stated"), c["operation"].alias("op")))
+
+    def pair(p: Column, i: Column, g: Column, j: Column) -> Column:
+        common = F.size(F.array_intersect(p["words"], g["words"]))
+        return F.struct(worth(F.coalesce(F.try_divide(common, F.size(p["words"]) + F.size(g["words"]) - common), F.lit(0.0)), p["stated"], g["stated"], p["op"], g["op"]).alias("score"), i.alias("pred"), j.alias("gold"))
+
+    def pairs(p: Column, g: Column) -> Column:
+        return F.flatten(F.transform(p, lambda x, i: F.filter(F.transform(g, lambda y, j: pair(x, i, y, j)), lambda s: s["score"] > LEAST)))
+
+    def taken(every: Column) -> Column:
+        start = F.array().cast("array<struct<score: double, pred: int, gold: int>>")
+        return F.aggregate(F.sort_array(every, asc=False), start, lambda won, x: F.when(F.exists(won, lambda w: (w["pred"] == x["pred"]) | (w["gold"] == x["gold"])), won).otherwise(F.array_append(won, x)))
+
+    def result(p: Column, g: Column, won: Column) -> Column:
+        row = lambda pred, gold, score: F.struct(pred.alias("pred"), gold.alias("gold"), score.alias("score"))
+        no, none = F.lit(None).cast(claims.schema["ord"].dataType), F.lit(None).cast("double")
+        free = lambda cs, at: F.filter(cs, lambda c, i: ~F.exists(won, lambda w: w[at] == i))
+        both = F.transform(won, lambda w: row(F.get(p, w["pred"])["ord"], F.get(g, w["gold"])["ord"], w["score"]))
+        return F.concat(both, F.transform(free(g, "gold"), lambda c: row(no, c["ord"], none)), F.transform(free(p, "pred"), lambda c: row(c["ord"], no, none)))
+
+    whole = K.bind(F.struct(telling(F.col("p")).alias("p"), telling(F.col("g")).alias("g")), lambda d: K.bind(taken(pairs(d["p"], d["g"])), lambda won: result(d["p"], d["g"], won)))
+    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("lone")  # claims of no document match nothing
+    return claims.select("*", lone).groupBy("doc_id", "lone").agg(side(False).alias("p"), side(True).alias("g")).select("doc_id", F.inline(whole))
+
+
+def matches(pred: DataFrame, gold: DataFrame, most: int = PAIRS) -> DataFrame:
+    """(doc_id, pred, gold, score): one-to-one assignment within a document, the best score first, of equals the larger numbers first, and what is left over with a
+    null on the other side. Claims of a document that share a number are claims of their own, each with its row; of those the one with the larger text, value and
+    operation comes first. Documents of more than most pairs are decided over all tasks, with the same result."""
+    of = lambda x: x.select("doc_id", "ord", "claim_text", "stated_value", "operation")
+    sizes = pred.select("doc_id", F.lit(0).alias("gold")).unionByName(gold.select("doc_id", F.lit(1).alias("gold"))).groupBy("doc_id").agg(F.count_if(F.col("gold") == 0).alias("p"), F.count_if(F.col("gold") == 1).alias("g"))
+    large = cut(sizes.filter((F.col("p") * F.col("g") > most) & F.col("doc_id").isNotNull()).select("doc_id"))
+    some = not large.isEmpty()
+    small = lambda x, side: (x.join(large, "doc_id", "left_anti") if some else x).withColumn("gold", F.lit(side))
+    rows = row_matches(small(of(pred), False).unionByName(small(of(gold), True)))
+    return rows.unionByName(wide_matches(of(pred).join(large, "doc_id", "left_semi"), of(gold).join(large, "doc_id", "left_semi"))) if some else rows
+
+
 def evaluated(pairs: DataFrame, pred: DataFrame, gold: DataFrame) -> DataFrame:
     """One row a pair of matches: matched, spurious, operation_ok, stated_ok, order_ok (null where order means nothing or a gold operand is missing),
     order_flip, grounding_ok, fully_correct, verdict_agree. pred and gold are verdicts: doc_id, ord, operation, stated_value, operands, status."""

@@ -432,7 +432,7 @@ def gold_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     o = A.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     text = F.concat(F.lit("total of "), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", " ")), F.lit(" order in "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" was "), F.col("o_orderstatus"))
-    g = o.select(F.col("o_custkey").alias("doc_id"), k.alias("ord"), text.alias("claim_text"), F.col("o_totalprice").alias("stated_value"), F.get(F.array(*map(F.lit, OPS)), (k % 5).cast("int")).alias("operation"))
+    g = A.dealt(o, "o_custkey").select(F.col("o_custkey").alias("doc_id"), k.alias("ord"), text.alias("claim_text"), F.col("o_totalprice").alias("stated_value"), F.get(F.array(*map(F.lit, OPS)), (k % 5).cast("int")).alias("operation"))
     p = g.filter("ord % 9 <> 4").select("doc_id", (F.col("ord") * 2).alias("ord"), F.when(F.col("ord") % 4 == 1, F.concat(F.lit("figure "), F.substring("claim_text", 10, 40))).otherwise(F.col("claim_text")).alias("claim_text"), F.when(F.col("ord") % 5 == 2, F.col("stated_value") * 1.2).when(F.col("ord") % 5 == 3, F.col("stated_value") * 1.005).otherwise(F.col("stated_value")).alias("stated_value"), F.when(F.col("ord") % 3 == 1, "sum").otherwise(F.col("operation")).alias("operation"))
     items = A.table(spark, sf, "lineitem").join(o.select(k.alias("l_orderkey"), F.col("o_custkey").alias("doc_id")), "l_orderkey")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
